@@ -24,6 +24,7 @@ from ...errors import ModelNotFound, UnsuitableTarget
 UNROLLED = 64       # dot products up to this width are written out for code generation
 MAX_SQUARE = 2_000  # widest feature vector whose square matrix is gathered
 ROWS_PER_TASK = 20_000
+DIRECT_PARTS = 64   # tasks whose sums the driver adds up directly
 
 
 @dataclass
@@ -116,37 +117,43 @@ def sum_over_rows(frame: Frame, part, size: int) -> np.ndarray:
                 total += part(*rows_of(batch))
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["v"])
 
-    sums = frame.arrays.mapInArrow(each, "v array<double>")
-    if frame.parts > 64:
+    return _gather(frame, frame.arrays.mapInArrow(each, "v array<double>"))
+
+
+def _gather(frame: Frame, sums: DataFrame) -> np.ndarray:
+    """Add up one array per task: in two steps beyond ``DIRECT_PARTS`` tasks."""
+    if frame.parts > DIRECT_PARTS:
         sums = sums.repartition(math.isqrt(frame.parts)).mapInArrow(_add_up, "v array<double>")
-    return np.sum([np.asarray(v, dtype=float) for v in (r["v"] for r in sums.collect())], axis=0)
+    return np.sum([np.asarray(r["v"], dtype=float) for r in sums.collect()], axis=0)
 
 
 def averaged_rounds(frame: Frame, start: np.ndarray, local, rounds: int, settle: float = 1e-4) -> np.ndarray:
     """Rounds of local passes: every task improves its copy of the parameters over its rows,
     and the copies are averaged by row count (parameter mixing, Zinkevich et al. 2010).
 
-    ``local(params, batches, round)`` returns the task's parameters. Stops early once the
-    average moves by less than ``settle`` relative to its length.
+    ``local(params, rows, round)`` consumes batches ``(x, y, h)`` and returns the task's
+    parameters. Stops early once the average moves by less than ``settle`` of its length.
     """
-    params = start
-    size = len(start)
-    for r in range(rounds):
-        here = params
-
-        def each(batches, here=here, r=r):
-            seen = [rows_of(b) for b in batches if b.num_rows]
-            n = sum(len(y) for _, y, _ in seen)
-            out = np.zeros(size + 1)
-            if n:
-                out[:size] = n * local(here.copy(), seen, r)
-                out[size] = n
-            yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.float64()))], ["v"])
+    params, size = start, len(start)
+    for number in range(rounds):
+
+        def each(batches, here=params, number=number):
+            n = 0
+
+            def counted():
+                nonlocal n
+                for b in batches:
+                    if b.num_rows:
+                        n += b.num_rows
+                        yield rows_of(b)
+
+            learned = local(here.copy(), counted(), number)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([np.append(n * learned, float(n))], pa.list_(pa.float64()))], ["v"]
+            )
 
         sums = frame.arrays.mapInArrow(each, "v array<double>")
-        if frame.parts > 64:
-            sums = sums.repartition(math.isqrt(frame.parts)).mapInArrow(_add_up, "v array<double>")
-        total = np.sum([np.asarray(v["v"], dtype=float) for v in sums.collect()], axis=0)
+        total = _gather(frame, sums)
         new = total[:size] / total[size]
         moved = np.linalg.norm(new - params) / max(np.linalg.norm(params), 1e-12)
         params = new

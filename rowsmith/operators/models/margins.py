@@ -334,7 +334,10 @@ def svc(frame: Frame, cost: float = 1.0) -> PairwiseScores:
     return _pairwise(frame, [cost] * pairs, None)
 
 
-def nu_svc(frame: Frame, nu: float = 0.5, size: int = 100, grid=(0.1, 1.0, 10.0, 100.0, 1000.0)) -> PairwiseScores:
+COST_GRID = tuple(10.0 ** (e / 2) for e in range(-2, 7))
+
+
+def nu_svc(frame: Frame, nu: float = 0.5, size: int = 100, grid=COST_GRID) -> PairwiseScores:
     """RBF machine by random features; per pair the cost of ``grid`` whose share of rows
     inside the margin is closest to ``nu``."""
     fourier = fourier_settings(frame, size)

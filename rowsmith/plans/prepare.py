@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ContractViolation, UnsuitableTarget
+from ..functions.split import is_holdout
 from ..functions.text import finite_or_null, to_number
 from ..operators.encode import MapSize, category_codes, encode, map_sizes, text_columns
 from ..operators.impute import exact_median
@@ -212,9 +213,12 @@ def fit_preparation(df: DataFrame, settings: Settings) -> Preparation:
     numbers = [f for f in features if kinds[f] == "number"]
     categories = [f for f in features if kinds[f] == "category"]
     target = finite_or_null(F.col(f"`{s.target}`")) if s.task == REGRESSION else F.col(f"`{s.target}`")
+    # means come from the rows the models learn from; codes say nothing about the target
+    # and are given to the categories of all rows
+    learns = ~is_holdout(F.col(f"`{s.key}`"), s.holdout, s.seed) if s.evaluate_on == "holdout" else F.lit(True)
     row = df.agg(
         F.count_if(target.isNull()).alias("missing"),
-        *[F.avg(prep._cell(f)).alias(f"m{i}") for i, f in enumerate(numbers)],
+        *[F.avg(F.when(learns, prep._cell(f))).alias(f"m{i}") for i, f in enumerate(numbers)],
         *[F.approx_count_distinct(prep._cell(f)).alias(f"d{i}") for i, f in enumerate(categories)],
     ).first()
     prep.means = {f: row[f"m{i}"] for i, f in enumerate(numbers)}
