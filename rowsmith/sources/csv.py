@@ -6,6 +6,7 @@ that "first appearance" has a meaning later; drop it when it is not needed.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,16 +23,15 @@ def is_csv_name(name):
     return F.lower(name).rlike(r"\.csv$")
 
 
-def _require_csv(path: str) -> None:
-    leaf = path.rstrip("/").rsplit("/", 1)[-1]
-    if "." in leaf and "*" not in leaf and not leaf.lower().endswith(".csv"):
-        raise SourceRejected(f"not a .csv source: {path}")
-
-
 def _headers(spark: SparkSession, path: str) -> list[str]:
-    first = spark.read.option("pathGlobFilter", CSV_GLOB).csv(path).first()
+    try:
+        first = spark.read.option("pathGlobFilter", CSV_GLOB).csv(path).first()
+    except AnalysisException as error:
+        if "UNABLE_TO_INFER_SCHEMA" not in str(error):
+            raise
+        first = None
     if first is None:
-        raise SourceRejected(f"no header row in {path}")
+        raise SourceRejected(f"no .csv file with a header row: {path}")
     names = [clean_header(v or "") for v in first]
     twice = sorted({n for n in names if names.count(n) > 1})
     if twice:
@@ -41,7 +41,6 @@ def _headers(spark: SparkSession, path: str) -> list[str]:
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """Every cell as trimmed text; short rows give NULL cells."""
-    _require_csv(path)
     names = _headers(spark, path)
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     place = F.struct(

@@ -16,6 +16,7 @@ from ..functions.display import readable
 from ..operators.models.base import Fitted, load_fitted
 from ..plans.prepare import Preparation
 from ..plans.train import Run
+from ..plans.zoo import models_for
 
 MODEL_SUFFIX = ".pkl"  # fixed value: the suffix of model files in listings
 MODELS = "user string, project string, model_name string, run_id string, task string, target string, " \
@@ -42,8 +43,8 @@ def save_run(run: Run, base: str, user: str, project: str, names: list[str] | No
     folder = _run_path(base, user, project, run.run_id)
     run.preparation.save(spark, f"{folder}/preparation")
     rows, written = [], {}
-    for position, name in enumerate(run.models):
-        if names is not None and name not in names:
+    for position, name in enumerate(models_for(run.task)):
+        if name not in run.models or (names is not None and name not in names):
             continue
         model = run.models[name]
         if id(model) not in written:  # names that share one fit share one folder
