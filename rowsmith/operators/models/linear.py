@@ -160,7 +160,7 @@ def huber(frame: Frame, epsilon: float = 1.35, alpha: float = 1e-4) -> LinearMod
     )
     fitted = LinearRegression(
         loss="huber", epsilon=epsilon, regParam=alpha / frame.rows, elasticNetParam=0.0,
-        standardization=False, maxIter=200, tol=1e-10,
+        standardization=False, maxIter=100, tol=1e-8,
     ).fit(scaled)
     w = fitted.coefficients.toArray() / sd
     return LinearModel(

@@ -21,8 +21,10 @@ from pyspark.sql.functions import pandas_udf
 from .base import Fitted, Frame, dot, features_array, first_max, shares, sum_over_rows
 from .gaussian import LinearScores
 
-HINGE_WIDTHS = (3.0, 1.2, 0.5, 0.25, 0.1)
-MAX_PASSES = 120
+HINGE_WIDTHS = (2.0, 0.4, 0.1)  # half widths of the rounded corner, the last one is final
+TUBE_WIDTHS = (2.0, 0.4, 0.08, 0.02)
+STEPS = (1.6, 1.0, 0.7, 0.45, 0.3, 0.2, 0.12, 0.06, 0.03, 0.01, 0.003, 0.0005)  # tried in one pass
+MAX_STEPS = 40
 
 
 # -- losses ------------------------------------------------------------------------------
@@ -79,10 +81,12 @@ def _scaled(frame: Frame, fourier: dict | None):
     return (lambda x: np.column_stack([(x - mean) / sd, np.ones(len(x))])), mean, sd
 
 
-def minimise(frame: Frame, targets, loss, cost, fourier=None, penalise_constant=False, widths=HINGE_WIDTHS, unit=1.0):
+def minimise(frame: Frame, targets, loss, cost, fourier=None, penalise_constant=False, widths=HINGE_WIDTHS, unit=1.0,
+             start=None):
     """Weights (m x d) and constants (m) of the m problems with costs ``cost``.
 
     ``targets(y, h)`` gives the n x m targets of a batch. ``unit`` scales the hinge widths.
+    ``start`` may bring weights and constants on random features to go on from.
     """
     columns, mean, sd = _scaled(frame, fourier)
     cost = np.asarray(cost, dtype=float)
@@ -103,34 +107,36 @@ def minimise(frame: Frame, targets, loss, cost, fourier=None, penalise_constant=
         gradient = cost[:, None] * s[m : m + m * p].reshape(m, p) + w @ penalty
         return value, gradient, cost[:, None, None] * s[m + m * p :].reshape(m, p, p) + penalty
 
-    w = np.zeros((m, p))
-    passes = 0
-    for width in widths:
-        settled = 1e-7 if width == widths[-1] else 1e-2
-        value, gradient, curve = evaluate(w, width * unit)
-        passes += 1
-        step, size, open_ = np.zeros_like(w), np.ones(m), np.ones(m, bool)
-        fresh = np.ones(m, bool)
-        while open_.any() and passes < MAX_PASSES:
-            for j in np.flatnonzero(open_ & fresh):
+    def along(w, step, width):
+        """Values of the loss sums at ``w + t step`` for all trial sizes t: one cheap pass."""
+
+        def part(x, y, h):
+            z, t = columns(x), targets(y, h)
+            here, there = z @ w.T, z @ step.T
+            return np.concatenate([loss(here + size * there, t, width)[0].sum(0) for size in STEPS])
+
+        trials = w[None] + np.asarray(STEPS)[:, None, None] * step[None]
+        penalties = 0.5 * np.einsum("smp,pq,smq->sm", trials, penalty, trials)
+        return cost * sum_over_rows(frame, part, len(STEPS) * m).reshape(len(STEPS), m) + penalties
+
+    w = np.zeros((m, p)) if start is None else np.column_stack(start)
+    for width in np.asarray(widths) * unit:
+        settled = 1e-4 if width == widths[-1] * unit else 3e-2
+        for _ in range(MAX_STEPS):
+            value, gradient, curve = evaluate(w, width)
+            step, open_ = np.zeros_like(w), np.zeros(m, bool)
+            for j in range(m):
                 ridge = 1e-10 * np.trace(curve[j]) / p
                 step[j] = -np.linalg.solve(curve[j] + ridge * np.eye(p), gradient[j])
-                size[j] = 1.0
-                gain = -gradient[j] @ step[j]
-                if gain <= settled * max(abs(value[j]), 1e-12):
-                    open_[j] = False
+                open_[j] = -gradient[j] @ step[j] > settled * max(abs(value[j]), 1e-12)
             if not open_.any():
                 break
-            trial = w + np.where(open_, size, 0.0)[:, None] * step
-            new_value, new_gradient, new_curve = evaluate(trial, width * unit)
-            passes += 1
-            slope = np.einsum("mp,mp->m", gradient, step)
-            better = open_ & (new_value <= value + 1e-4 * size * slope)
-            w[better], value[better] = trial[better], new_value[better]
-            gradient[better], curve[better] = new_gradient[better], new_curve[better]
-            fresh = better
-            size[open_ & ~better] *= 0.4
-            open_ &= size > 1e-10
+            values = along(w, step, width)
+            best = values.argmin(0)
+            better = open_ & (values[best, np.arange(m)] < value)
+            w += np.where(better, np.asarray(STEPS)[best], 0.0)[:, None] * step
+            if not better.any():
+                break
     weights = w[:, :-1] / sd
     return weights, w[:, -1] - weights @ mean
 
@@ -343,7 +349,7 @@ def nu_svc(frame: Frame, nu: float = 0.5, size: int = 100, grid=COST_GRID) -> Pa
     fourier = fourier_settings(frame, size)
     pairs = list(combinations(range(frame.n_classes), 2))
     targets = _pair_targets(pairs, [-1] * len(grid), 1)
-    w, b = minimise(frame, targets, _margin_loss(_ramp), list(grid) * len(pairs), fourier, widths=(3.0, 1.2, 0.5))
+    w, b = minimise(frame, targets, _margin_loss(_ramp), list(grid) * len(pairs), fourier, widths=(2.0, 0.5))
 
     def inside(x, y, h):
         t = targets(y, h)
@@ -372,12 +378,15 @@ def _spread_of_label(frame: Frame) -> tuple[float, float]:
     return row[0], row[1] or 1.0
 
 
-def _tube(frame: Frame, fourier: dict, cost: float, epsilon: float) -> FourierModel:
+def _tube(frame: Frame, fourier: dict, cost: float, epsilon: float, start: FourierModel | None = None) -> FourierModel:
     mean, sd = _spread_of_label(frame)
+    known = None
+    if start is not None:
+        known = np.asarray(start.state["weights"]), np.asarray(start.state["constants"]) - mean
     # the label is centred for the solver; widths are in units of the label's spread
     w, b = minimise(
         frame, lambda y, h: (y - mean)[:, None], _tube_loss(epsilon), [cost], fourier,
-        widths=(3.0, 1.0, 0.4, 0.15, 0.05, 0.02), unit=sd,
+        widths=TUBE_WIDTHS if start is None else TUBE_WIDTHS[-2:], unit=sd, start=known,
     )
     return FourierModel(
         {"fourier": fourier, "weights": w.tolist(), "constants": [float(b[0] + mean)], "epsilon": float(epsilon)}
@@ -398,7 +407,7 @@ def nu_svr(frame: Frame, nu: float = 0.5, cost: float = 1.0, size: int = 200, ro
         epsilon = model.transform(frame.df).select(gap).approxQuantile("gap", [1 - nu], 0.001)[0]
         if abs(epsilon - model.state["epsilon"]) <= 0.01 * max(epsilon, 1e-12):
             break
-        model = _tube(frame, fourier, cost, epsilon)
+        model = _tube(frame, fourier, cost, epsilon, start=model)
     return model
 
 

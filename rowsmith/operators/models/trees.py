@@ -234,66 +234,6 @@ def extra_trees_regressor(frame: Frame, trees: int = 100, binnings: int = 10, cu
 # -- adaptive boosting -------------------------------------------------------------------------
 
 
-class WeightedVotes(Fitted):
-    """Members vote with their weight; the class with the most weight wins."""
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        keep = df.columns
-        votes = []
-        for m, weight in enumerate(self.state["weights"]):
-            df = self.parts[f"member{m}"].transform(df).withColumnRenamed("prediction", f"_m{m}")
-            df = df.drop("rawPrediction", "probability")
-            votes.append(F.struct(F.col(f"_m{m}").alias("c"), F.lit(float(weight)).alias("w")))
-        all_votes = F.array(*votes)
-        k, total = self.state["classes"], float(sum(self.state["weights"]))
-        each = F.transform(
-            F.array(*[F.lit(float(c)) for c in range(k)]),
-            lambda c: F.aggregate(
-                all_votes, F.lit(0.0), lambda a, v: a + F.when(v["c"] == c, v["w"]).otherwise(F.lit(0.0))
-            ),
-        )
-        df = df.withColumn("_each", each)
-        scores = [F.col("_each")[c] for c in range(k)]
-        # class probabilities: softmax of the vote shares, spread over k - 1
-        raised = F.transform(F.col("_each"), lambda v: F.exp(v / F.lit(total * max(k - 1, 1))))
-        return df.select(*keep, first_max(scores).alias("prediction"), shares(raised).alias("probability"))
-
-
-def ada_boost_classifier(frame: Frame, rounds: int = 50) -> WeightedVotes:
-    """SAMME (Zhu et al. 2009) on stumps."""
-    k = frame.n_classes
-    df = frame.df.select("features", "label").withColumn("_w", F.lit(1.0))
-    members, weights = [], []
-    for r in range(rounds):
-        stump = DecisionTreeClassifier(maxDepth=1, maxBins=128, weightCol="_w", seed=frame.seed).fit(df)
-        voted = stump.transform(df).select(
-            "features", "label", "_w", (F.col("prediction") != F.col("label")).cast("double").alias("_miss")
-        )
-        row = voted.agg(F.sum("_w"), F.sum(F.col("_w") * F.col("_miss"))).first()
-        error = row[1] / row[0]
-        if error <= 0:  # a perfect stump needs no others
-            members.append(stump)
-            weights.append(1.0)
-            break
-        if error >= 1 - 1 / k:
-            if not members:
-                members.append(stump)
-                weights.append(1.0)
-            break
-        weight = math.log((1 - error) / error) + math.log(k - 1)
-        members.append(stump)
-        weights.append(weight)
-        total = row[0] + row[1] * (math.exp(weight) - 1)
-        scale = frame.rows / total
-        df = voted.select(
-            "features", "label",
-            (F.col("_w") * F.lit(scale) * F.when(F.col("_miss") > 0, math.exp(weight)).otherwise(1.0)).alias("_w"),
-        )
-        if (r + 1) % CHECKPOINT_ROUNDS == 0 and r + 1 < rounds:
-            df = cut_lineage(df)
-    return WeightedVotes({"weights": weights, "classes": k}, {f"member{m}": s for m, s in enumerate(members)})
-
-
 class WeightedMedian(Fitted):
     """The member prediction at half of the total member weight."""
 

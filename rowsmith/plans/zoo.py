@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from ..operators.models import gaussian, linear, margins, neighbors, online, trees, voting
+from ..operators.models import gaussian, linear, margins, neighbors, online, stumps, trees, voting
 from ..operators.profile import CLASSIFICATION
 
 # The model names shown in a leaderboard, in the order they are tried.
@@ -15,7 +15,7 @@ CLASSIFIERS: dict[str, Callable] = {
     "Decision Tree Classifier": trees.decision_tree_classifier,
     "Random Forest Classifier": trees.random_forest_classifier,
     "Gradient Boosting Classifier": trees.gradient_boosting_classifier,
-    "AdaBoost Classifier": trees.ada_boost_classifier,
+    "AdaBoost Classifier": stumps.ada_boost_classifier,
     "Extra Trees Classifier": trees.extra_trees_classifier,
     "Support Vector Classifier": margins.svc,
     "Linear SVC": margins.linear_svc,

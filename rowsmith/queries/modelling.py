@@ -235,7 +235,6 @@ def nearest_neighbour_means(spark, sf):
 QUICK = {
     "Gradient Boosting Classifier": {"rounds": 20},
     "HistGradient Boosting Classifier": {"rounds": 20},
-    "AdaBoost Classifier": {"rounds": 20},
     "Extra Trees Classifier": {"trees": 50},
     "Multi-layer Perceptron": {"rounds": 100},
 }
