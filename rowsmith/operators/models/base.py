@@ -24,7 +24,9 @@ from ...errors import ModelNotFound, UnsuitableTarget
 UNROLLED = 64       # dot products up to this width are written out for code generation
 MAX_SQUARE = 2_000  # widest feature vector whose square matrix is gathered
 ROWS_PER_TASK = 20_000
-DIRECT_PARTS = 64   # tasks whose sums the driver adds up directly
+DIRECT_PARTS = 64       # arrays of sums the driver adds up directly
+GATHER_BYTES = 256 << 20  # and their total size
+MAX_SUMS = 1 << 23      # numbers in one array of sums
 
 
 @dataclass
@@ -106,8 +108,7 @@ def _add_up(batches):
 def sum_over_rows(frame: Frame, part, size: int) -> np.ndarray:
     """Sum of ``part(x, y, h)`` (a flat array of ``size`` numbers) over all batches of rows.
 
-    Each task returns one array. With many tasks a second stage adds them up in about
-    sqrt(tasks) groups, so the driver never receives more than that many arrays.
+    Each task returns one array; further stages add them up before the driver sees them.
     """
 
     def each(batches):
@@ -117,13 +118,17 @@ def sum_over_rows(frame: Frame, part, size: int) -> np.ndarray:
                 total += part(*rows_of(batch))
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["v"])
 
-    return _gather(frame, frame.arrays.mapInArrow(each, "v array<double>"))
+    return _gather(frame, frame.arrays.mapInArrow(each, "v array<double>"), size)
 
 
-def _gather(frame: Frame, sums: DataFrame) -> np.ndarray:
-    """Add up one array per task: in two steps beyond ``DIRECT_PARTS`` tasks."""
-    if frame.parts > DIRECT_PARTS:
-        sums = sums.repartition(math.isqrt(frame.parts)).mapInArrow(_add_up, "v array<double>")
+def _gather(frame: Frame, sums: DataFrame, size: int) -> np.ndarray:
+    """Add up one array per task. Stages of about the square root of the tasks add them up
+    until so few arrays are left that the driver can take them."""
+    parts = frame.parts
+    direct = max(1, min(DIRECT_PARTS, GATHER_BYTES // (8 * size)))
+    while parts > direct:
+        parts = max(direct, math.isqrt(parts))
+        sums = sums.repartition(parts).mapInArrow(_add_up, "v array<double>")
     return np.sum([np.asarray(r["v"], dtype=float) for r in sums.collect()], axis=0)
 
 
@@ -153,7 +158,7 @@ def averaged_rounds(frame: Frame, start: np.ndarray, local, rounds: int, settle:
             )
 
         sums = frame.arrays.mapInArrow(each, "v array<double>")
-        total = _gather(frame, sums)
+        total = _gather(frame, sums, size + 1)
         new = total[:size] / total[size]
         moved = np.linalg.norm(new - params) / max(np.linalg.norm(params), 1e-12)
         params = new

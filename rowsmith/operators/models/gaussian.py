@@ -3,40 +3,70 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ...errors import UnsuitableTarget
-from .base import Fitted, Frame, dot, features_array, first_max, softmax, sum_over_rows
+from .base import MAX_SUMS, Fitted, Frame, dot, features_array, first_max, softmax, sum_over_rows
 
+WIDE = 32  # quadratic scores of more features go through matrix products
 VARIANCE_FLOOR = 1e-9  # share of the largest feature variance added to every variance
 
 
-def class_moments(frame: Frame, full: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts, means (k x d), and per-class sums of squares (k x d) or products (k x d x d)."""
+def class_means(frame: Frame) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and mean per class."""
     k, d = frame.n_classes, frame.width
 
-    def firsts(x, y, h):
+    def part(x, y, h):
         hot = np.equal.outer(np.arange(k), y).astype(float)
         return np.concatenate([hot.sum(1), (hot @ x).ravel()])
 
-    sums = sum_over_rows(frame, firsts, k + k * d)
+    sums = sum_over_rows(frame, part, k + k * d)
     count = sums[:k]
     if (count == 0).any():
         raise UnsuitableTarget("a class has no training rows")
-    mean = sums[k:].reshape(k, d) / count[:, None]
+    return count, sums[k:].reshape(k, d) / count[:, None]
 
-    def seconds(x, y, h):
+
+def class_squares(frame: Frame, mean: np.ndarray) -> np.ndarray:
+    """Sums of squares about the class mean (k x d)."""
+    k, d = mean.shape
+
+    def part(x, y, h):
+        hot = np.equal.outer(np.arange(k), y).astype(float)
+        return (hot @ (x - mean[y.astype(int)]) ** 2).ravel()
+
+    return sum_over_rows(frame, part, k * d).reshape(k, d)
+
+
+def class_products(frame: Frame, mean: np.ndarray, pooled: bool) -> np.ndarray:
+    """Products about the class mean: d x d over all classes, or one d x d per class.
+
+    Classes go some at a time where the matrices of all of them would not fit one array.
+    """
+    frame.check_square()
+    k, d = mean.shape
+
+    def within(x, y, classes):
         out = []
-        for c in range(k):
+        for c in classes:
             a = x[y == c] - mean[c]
-            out.append((a.T @ a).ravel() if full else (a * a).sum(0))
-        return np.concatenate(out)
-
-    if full:
-        frame.check_square()
-    shape = (k, d, d) if full else (k, d)
-    return count, mean, sum_over_rows(frame, seconds, int(np.prod(shape))).reshape(shape)
+            out.append(a.T @ a)
+        return out
+
+    if pooled:
+        return sum_over_rows(frame, lambda x, y, h: sum(within(x, y, range(k))).ravel(), d * d).reshape(d, d)
+    at_once = max(1, MAX_SUMS // (d * d))
+    pieces = []
+    for at in range(0, k, at_once):
+        classes = range(at, min(k, at + at_once))
+        sums = sum_over_rows(
+            frame, lambda x, y, h, classes=classes: np.concatenate(within(x, y, classes)).ravel(), len(classes) * d * d
+        )
+        pieces.append(sums.reshape(len(classes), d, d))
+    return np.concatenate(pieces)
 
 
 class LinearScores(Fitted):
@@ -57,9 +87,9 @@ class LinearScores(Fitted):
 
 def lda(frame: Frame) -> LinearScores:
     """Pooled covariance, class shares as priors."""
-    count, mean, scatter = class_moments(frame, full=True)
+    count, mean = class_means(frame)
     n, k = count.sum(), frame.n_classes
-    pooled = scatter.sum(0) / max(n - k, 1)
+    pooled = class_products(frame, mean, pooled=True) / max(n - k, 1)
     sd = np.sqrt(np.diag(pooled))
     sd[sd == 0] = 1.0
     inverse = np.linalg.pinv(pooled / np.outer(sd, sd), rcond=1e-10, hermitian=True) / np.outer(sd, sd)
@@ -74,31 +104,46 @@ class QuadraticScores(Fitted):
 
     def transform(self, df: DataFrame) -> DataFrame:
         s = self.state
-        df = df.withColumn("_x", features_array())
-        scores = []
-        for mean, root, constant in zip(s["mean"], s["root"], s["constant"]):
-            centred = F.transform(F.arrays_zip(F.col("_x").alias("x"), F.array(*[F.lit(m) for m in mean]).alias("m")),
-                                  lambda p: p["x"] - p["m"])
-            df = df.withColumn(f"_d{len(scores)}", centred)
-            here = F.col(f"_d{len(scores)}")
-            total = F.lit(0.0)
-            for row in root:
-                z = dot(here, row)
-                total = total + z * z
-            scores.append(F.lit(constant) - 0.5 * total)
-        names = [f"_s{i}" for i in range(len(scores))]
-        df = df.withColumns(dict(zip(names, scores)))
+        k, names = len(s["mean"]), [f"_s{c}" for c in range(len(s["mean"]))]
+        if len(s["mean"][0]) > WIDE:
+            df = df.withColumn("_s", self._matrix_scores()).withColumns({n: F.col("_s")[c] for c, n in enumerate(names)})
+            df = df.drop("_s")
+        else:
+            df = df.withColumn("_x", features_array())
+            df = df.withColumns({
+                f"_d{c}": F.array(*[F.col("_x")[j] - F.lit(m) for j, m in enumerate(s["mean"][c])]) for c in range(k)
+            })
+            scores = {}
+            for c, n in enumerate(names):
+                z = [dot(F.col(f"_d{c}"), row) for row in s["root"][c]]
+                scores[n] = F.lit(s["constant"][c]) - 0.5 * sum((v * v for v in z), F.lit(0.0))
+            df = df.withColumns(scores).drop("_x", *[f"_d{c}" for c in range(k)])
         cols = [F.col(n) for n in names]
-        return df.withColumns({"prediction": first_max(cols), "probability": softmax(cols)}).drop(
-            "_x", *names, *[f"_d{i}" for i in range(len(scores))]
-        )
+        return df.withColumns({"prediction": first_max(cols), "probability": softmax(cols)}).drop(*names)
+
+    def _matrix_scores(self):
+        """Matrix products in Arrow batches, for features too many to be written out as expressions."""
+        means = [np.asarray(m) for m in self.state["mean"]]
+        roots = [np.asarray(r) for r in self.state["root"]]
+        constants = self.state["constant"]
+
+        @pandas_udf("array<double>")
+        def scores(x: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series([], dtype=object)
+            rows = np.stack(x.to_numpy())
+            each = [c - 0.5 * (((rows - m) @ r.T) ** 2).sum(1) for m, r, c in zip(means, roots, constants)]
+            return pd.Series(list(np.column_stack(each)))
+
+        return scores(features_array())
 
 
 def qda(frame: Frame) -> QuadraticScores:
     """One covariance per class, class shares as priors."""
-    count, mean, scatter = class_moments(frame, full=True)
+    count, mean = class_means(frame)
     if (count < 2).any():
         raise UnsuitableTarget("a class has a single row: no covariance")
+    scatter = class_products(frame, mean, pooled=False)
     state = {"mean": mean.tolist(), "root": [], "constant": []}
     for c in range(frame.n_classes):
         values, vectors = np.linalg.eigh(scatter[c] / (count[c] - 1))
@@ -135,7 +180,8 @@ class NaiveGaussian(Fitted):
 
 def gaussian_nb(frame: Frame) -> NaiveGaussian:
     """Variances plus a 1e-9 share of the largest overall variance; class shares as priors."""
-    count, mean, squares = class_moments(frame, full=False)
+    count, mean = class_means(frame)
+    squares = class_squares(frame, mean)
     floor = VARIANCE_FLOOR * float((frame.moments[1] ** 2).max())
     variance = squares / count[:, None] + floor
     return NaiveGaussian(

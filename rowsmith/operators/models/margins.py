@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .base import Fitted, Frame, dot, features_array, first_max, shares, sum_over_rows
+from .base import MAX_SUMS, Fitted, Frame, dot, features_array, first_max, shares, sum_over_rows
 from .gaussian import LinearScores
 
 HINGE_WIDTHS = (2.0, 0.4, 0.1)  # half widths of the rounded corner, the last one is final
@@ -82,16 +82,25 @@ def _scaled(frame: Frame, fourier: dict | None):
 
 
 def minimise(frame: Frame, targets, loss, cost, fourier=None, penalise_constant=False, widths=HINGE_WIDTHS, unit=1.0,
-             start=None):
+             start=None, settled=1e-4):
     """Weights (m x d) and constants (m) of the m problems with costs ``cost``.
 
     ``targets(y, h)`` gives the n x m targets of a batch. ``unit`` scales the hinge widths.
+    A problem is done once a Newton step would gain less than ``settled`` of its value.
     ``start`` may bring weights and constants on random features to go on from.
     """
     columns, mean, sd = _scaled(frame, fourier)
     cost = np.asarray(cost, dtype=float)
     m, p = len(cost), len(mean) + 1
     frame.check_square(p)
+    fits = max(1, MAX_SUMS // (p * p))
+    if m > fits:  # too many problems for one array of sums: some at a time
+        pieces = [
+            minimise(frame, lambda y, h, at=at: targets(y, h)[:, at : at + fits], loss, cost[at : at + fits], fourier,
+                     penalise_constant, widths, unit, start and tuple(a[at : at + fits] for a in start), settled)
+            for at in range(0, m, fits)
+        ]
+        return np.concatenate([w for w, _ in pieces]), np.concatenate([b for _, b in pieces])
     back = np.append(-mean / sd, 1.0)  # raw constant as a function of scaled weights
     penalty = np.diag(np.append(1.0 / sd**2, 0.0)) + (np.outer(back, back) if penalise_constant else 0.0)
 
@@ -121,14 +130,14 @@ def minimise(frame: Frame, targets, loss, cost, fourier=None, penalise_constant=
 
     w = np.zeros((m, p)) if start is None else np.column_stack(start)
     for width in np.asarray(widths) * unit:
-        settled = 1e-4 if width == widths[-1] * unit else 3e-2
+        enough = settled if width == widths[-1] * unit else 3e-2
         for _ in range(MAX_STEPS):
             value, gradient, curve = evaluate(w, width)
             step, open_ = np.zeros_like(w), np.zeros(m, bool)
             for j in range(m):
                 ridge = 1e-10 * np.trace(curve[j]) / p
                 step[j] = -np.linalg.solve(curve[j] + ridge * np.eye(p), gradient[j])
-                open_[j] = -gradient[j] @ step[j] > settled * max(abs(value[j]), 1e-12)
+                open_[j] = -gradient[j] @ step[j] > enough * max(abs(value[j]), 1e-12)
             if not open_.any():
                 break
             values = along(w, step, width)
@@ -195,7 +204,8 @@ def _one_vs_rest(k: int):
 def linear_svc(frame: Frame, cost: float = 1.0) -> LinearScores:
     """Squared hinge, one class against the rest, the constant penalised like a weight."""
     m, targets = _one_vs_rest(frame.n_classes)
-    w, b = minimise(frame, targets, _margin_loss(_square), [cost] * m, penalise_constant=True, widths=(1.0,))
+    w, b = minimise(frame, targets, _margin_loss(_square), [cost] * m, penalise_constant=True, widths=(1.0,),
+                    settled=1e-10)
     return LinearScores({"weights": w.tolist(), "constants": b.tolist()})
 
 

@@ -6,6 +6,7 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
@@ -20,9 +21,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from ...session import cut_lineage
-from .base import Fitted, Frame, features_array, first_max, shares
+from ...session import cut_lineage, use_shared_folder
+from .base import UNROLLED, Fitted, Frame, features_array, first_max, shares
 
 MAX_NODES = 1 << 22   # nodes of one fitted model, which the driver holds
 CHECKPOINT_ROUNDS = 10
@@ -134,6 +136,7 @@ class OneAgainstRest(Fitted):
 
 
 def _boosted(frame: Frame, rounds: int, depth: int, bins: int) -> Fitted:
+    use_shared_folder(frame.df.sparkSession)  # boosting writes its rows there every few rounds
     estimator = GBTClassifier(
         maxIter=rounds, maxDepth=depth, stepSize=0.1, maxBins=bins, subsamplingRate=1.0, seed=frame.seed,
         checkpointInterval=CHECKPOINT_ROUNDS,
@@ -158,6 +161,7 @@ def histogram_boosting_classifier(frame: Frame, rounds: int = 100) -> Fitted:
 
 
 def gradient_boosting_regressor(frame: Frame, rounds: int = 100) -> MlModel:
+    use_shared_folder(frame.df.sparkSession)
     return _fit(
         GBTRegressor(maxIter=rounds, maxDepth=3, stepSize=0.1, maxBins=128, seed=frame.seed,
                      checkpointInterval=CHECKPOINT_ROUNDS),
@@ -170,6 +174,18 @@ def gradient_boosting_regressor(frame: Frame, rounds: int = 100) -> MlModel:
 
 def _binned(x, cuts):
     """Per feature the number of cut points at or below the value."""
+    if len(cuts) > UNROLLED:  # too many numbers for a plan: matrices in Arrow batches
+        table = [np.asarray(row) for row in cuts]
+
+        @pandas_udf("array<double>")
+        def counts(values: pd.Series) -> pd.Series:
+            if not len(values):
+                return pd.Series([], dtype=object)
+            rows = np.stack(values.to_numpy())
+            binned = [np.searchsorted(c, rows[:, j], side="right").astype(float) for j, c in enumerate(table)]
+            return pd.Series(list(np.column_stack(binned)))
+
+        return array_to_vector(counts(x))
     table = F.array(*[F.array(*[F.lit(float(c)) for c in row]) for row in cuts])
     pairs = F.arrays_zip(x.alias("x"), table.alias("cuts"))
     return array_to_vector(

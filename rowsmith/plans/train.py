@@ -16,6 +16,7 @@ from ..functions.split import fold_number, is_holdout
 from ..operators import evaluate
 from ..operators.models.base import Fitted, Frame, spread
 from ..operators.profile import CLASSIFICATION
+from ..session import scratch_path
 from .prepare import Preparation, Settings, fit_preparation
 from .zoo import models_for
 
@@ -79,13 +80,23 @@ def frame_of(df: DataFrame, prep: Preparation) -> Frame:
     return Frame(df, prep.settings.key, len(prep.classes), prep.settings.seed)
 
 
-def prepare_run(df: DataFrame, settings: Settings, run_id: str | None = None) -> Run:
-    """Fit the preparation and keep the prepared rows for all models."""
+def prepare_run(df: DataFrame, settings: Settings, run_id: str | None = None, keep: str = "memory") -> Run:
+    """Fit the preparation and keep the prepared rows for all models.
+
+    ``keep="memory"`` persists them (spilling to disk); ``keep="table"`` writes them to the
+    shared folder, so that a lost executor costs no second preparation of a large table.
+    """
+    spark = df.sparkSession
     prep = fit_preparation(df, settings)
     prepared = prep.apply(df, with_label=True).withColumn(
         "held_out", is_holdout(F.col(settings.key), settings.holdout, settings.seed)
     )
-    prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
+    if keep == "table":
+        path = scratch_path(spark, "prepared")
+        prepared.write.parquet(path)
+        prepared = spark.read.parquet(path)
+    else:
+        prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
     rows = prepared.count()
     if not rows:
         raise UnsuitableTarget("no rows with a target")

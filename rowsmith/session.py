@@ -51,7 +51,8 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="rowsmith-")
 
 
-def _use_shared_folder(spark: SparkSession) -> str:
+def use_shared_folder(spark: SparkSession) -> str:
+    """The shared folder, set as the checkpoint folder of the session."""
     folder = shared_folder(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
@@ -60,10 +61,10 @@ def _use_shared_folder(spark: SparkSession) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the written copy."""
-    _use_shared_folder(df.sparkSession)
+    use_shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder for a written intermediate table."""
-    return f"{_use_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{use_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

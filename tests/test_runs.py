@@ -159,6 +159,14 @@ def test_stream_equals_batch(spark, run, sizes, tmp_path, name):
     assert streaming.read_scored(spark, out).count() == want.count()
 
 
+def test_prepared_rows_may_be_kept_as_a_table(sizes, run):
+    settings = Settings("size class", "p_partkey", "Classification")
+    r = fit_models(prepare_run(sizes, settings, keep="table"), ["Gaussian Naive Bayes"])
+    ours = {b["model"]: b["accuracy"] for b in run.board.collect()}
+    assert r.board.first()["accuracy"] == ours["Gaussian Naive Bayes"]
+    r.close()
+
+
 def test_preparation_sees_the_table_few_times(spark, sizes):
     r = prepare_run(sizes, Settings("size class", "p_partkey", "Classification"))
     plan = r.preparation.apply(sizes)._jdf.queryExecution().executedPlan().toString()
