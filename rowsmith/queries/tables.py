@@ -173,7 +173,7 @@ def results_stacked(spark, sf):
 
 @query(
     f"SELECT o_orderkey, to_json({{'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus, "
-    f"'o_orderpriority': o_orderpriority}}) AS record FROM ({ORDERS_SQL})"
+    f"'o_orderpriority': o_orderpriority}})::VARCHAR AS record FROM ({ORDERS_SQL})"
 )
 def result_records(spark, sf):
     rows = orders_with_gaps(spark, sf).select("o_orderkey", "o_orderstatus", "o_orderpriority")
