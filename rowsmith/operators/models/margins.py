@@ -30,25 +30,26 @@ MAX_STEPS = 40
 # -- losses ------------------------------------------------------------------------------
 
 
-def _ramp(u, s):
-    """Rounded max(u, 0) of half width s with its first two derivatives."""
-    slope = np.clip((u + s) / (2 * s), 0.0, 1.0)
-    bend = (np.abs(u) < s) / (2 * s)
-    value = np.where(u >= s, u, np.where(u <= -s, 0.0, (u + s) ** 2 / (4 * s)))
-    return value, slope, bend
+def _ramp(u, s, value_only=False):
+    """Rounded max(u, 0) of half width s, with its first two derivatives unless told not to."""
+    inner = np.clip(u, -s, s) + s
+    value = inner * inner / (4 * s) + np.maximum(u - s, 0.0)
+    return value if value_only else (value, inner / (2 * s), (np.abs(u) < s) / (2 * s))
 
 
-def _square(u, _):
+def _square(u, _, value_only=False):
     over = np.maximum(u, 0.0)
-    return over**2, 2 * over, 2.0 * (u > 0)
+    return over**2 if value_only else (over**2, 2 * over, 2.0 * (u > 0))
 
 
 def _margin_loss(shape):
     """Loss of 1 - y f for targets y in {-1, 0, 1}; 0 leaves the row out of the problem."""
 
-    def loss(scores, target, width):
-        value, slope, bend = shape(1 - target * scores, width)
+    def loss(scores, target, width, value_only=False):
         inside = target != 0
+        if value_only:
+            return shape(1 - target * scores, width, True) * inside
+        value, slope, bend = shape(1 - target * scores, width)
         return value * inside, -target * slope, bend * inside
 
     return loss
@@ -57,8 +58,10 @@ def _margin_loss(shape):
 def _tube_loss(epsilon):
     """Loss of |y - f| beyond epsilon, linear outside the tube."""
 
-    def loss(scores, target, width):
+    def loss(scores, target, width, value_only=False):
         gap = scores - target
+        if value_only:
+            return _ramp(np.abs(gap) - epsilon, width, True)
         value, slope, bend = _ramp(np.abs(gap) - epsilon, width)
         return value, np.sign(gap) * slope, bend
 
@@ -104,47 +107,57 @@ def minimise(frame: Frame, targets, loss, cost, fourier=None, penalise_constant=
     back = np.append(-mean / sd, 1.0)  # raw constant as a function of scaled weights
     penalty = np.diag(np.append(1.0 / sd**2, 0.0)) + (np.outer(back, back) if penalise_constant else 0.0)
 
-    def evaluate(w, width):
+    def evaluate(live, width):
+        """Value, gradient and curvature of the problems ``live``: one pass."""
+        here, n = w[live], len(live)
+
         def part(x, y, h):
             z = columns(x)
-            value, slope, bend = loss(z @ w.T, targets(y, h), width)
-            curve = [(z.T @ (z * bend[:, [j]])).ravel() for j in range(m)]
+            value, slope, bend = loss(z @ here.T, targets(y, h)[:, live], width)
+            curve = []
+            for j in range(n):
+                bent = np.flatnonzero(bend[:, j])  # few rows are near the corner
+                rows = z[bent]
+                curve.append((rows.T @ (rows * bend[bent, j][:, None])).ravel())
             return np.concatenate([value.sum(0), (slope.T @ z).ravel(), *curve])
 
-        s = sum_over_rows(frame, part, m + m * p + m * p * p)
-        value = cost * s[:m] + 0.5 * np.einsum("mp,pq,mq->m", w, penalty, w)
-        gradient = cost[:, None] * s[m : m + m * p].reshape(m, p) + w @ penalty
-        return value, gradient, cost[:, None, None] * s[m + m * p :].reshape(m, p, p) + penalty
+        s = sum_over_rows(frame, part, n + n * p + n * p * p)
+        c = cost[live]
+        value = c * s[:n] + 0.5 * np.einsum("mp,pq,mq->m", here, penalty, here)
+        gradient = c[:, None] * s[n : n + n * p].reshape(n, p) + here @ penalty
+        return value, gradient, c[:, None, None] * s[n + n * p :].reshape(n, p, p) + penalty
 
-    def along(w, step, width):
-        """Values of the loss sums at ``w + t step`` for all trial sizes t: one cheap pass."""
+    def along(live, step, width):
+        """Values at ``w + t step`` for all trial sizes t: one pass without derivatives."""
+        here, n = w[live], len(live)
 
         def part(x, y, h):
-            z, t = columns(x), targets(y, h)
-            here, there = z @ w.T, z @ step.T
-            return np.concatenate([loss(here + size * there, t, width)[0].sum(0) for size in STEPS])
+            z, t = columns(x), targets(y, h)[:, live]
+            start, slope = z @ here.T, z @ step.T
+            return np.concatenate([loss(start + size * slope, t, width, True).sum(0) for size in STEPS])
 
-        trials = w[None] + np.asarray(STEPS)[:, None, None] * step[None]
-        penalties = 0.5 * np.einsum("smp,pq,smq->sm", trials, penalty, trials)
-        return cost * sum_over_rows(frame, part, len(STEPS) * m).reshape(len(STEPS), m) + penalties
+        sums = sum_over_rows(frame, part, len(STEPS) * n).reshape(len(STEPS), n)
+        trials = here[None] + np.asarray(STEPS)[:, None, None] * step[None]
+        return cost[live] * sums + 0.5 * np.einsum("smp,pq,smq->sm", trials, penalty, trials)
 
     w = np.zeros((m, p)) if start is None else np.column_stack(start)
     for width in np.asarray(widths) * unit:
         enough = settled if width == widths[-1] * unit else 3e-2
+        live = np.arange(m)
         for _ in range(MAX_STEPS):
-            value, gradient, curve = evaluate(w, width)
-            step, open_ = np.zeros_like(w), np.zeros(m, bool)
-            for j in range(m):
-                ridge = 1e-10 * np.trace(curve[j]) / p
-                step[j] = -np.linalg.solve(curve[j] + ridge * np.eye(p), gradient[j])
-                open_[j] = -gradient[j] @ step[j] > enough * max(abs(value[j]), 1e-12)
-            if not open_.any():
+            value, gradient, curve = evaluate(live, width)
+            ridge = 1e-10 * np.trace(curve, axis1=1, axis2=2)[:, None, None] / p * np.eye(p)
+            step = -np.linalg.solve(curve + ridge, gradient[:, :, None])[:, :, 0]
+            open_ = -np.einsum("mp,mp->m", gradient, step) > enough * np.maximum(np.abs(value), 1e-12)
+            live, value, step = live[open_], value[open_], step[open_]
+            if not live.size:
                 break
-            values = along(w, step, width)
+            values = along(live, step, width)
             best = values.argmin(0)
-            better = open_ & (values[best, np.arange(m)] < value)
-            w += np.where(better, np.asarray(STEPS)[best], 0.0)[:, None] * step
-            if not better.any():
+            better = values[best, np.arange(len(live))] < value
+            w[live[better]] += np.asarray(STEPS)[best[better]][:, None] * step[better]
+            live = live[better]
+            if not live.size:
                 break
     weights = w[:, :-1] / sd
     return weights, w[:, -1] - weights @ mean
