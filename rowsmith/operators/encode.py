@@ -28,16 +28,22 @@ def text_columns(df: DataFrame) -> list[str]:
     return [c for c, t in df.dtypes if t in ("string", "date") or t.startswith("timestamp")]
 
 
+def place_of(order_by: list[str]) -> Column:
+    """Order of rows as one value. A single number or time stays as it is: its minimum is kept in
+    a hash aggregation, while a struct would have all rows sorted first."""
+    columns = [F.col(f"`{c}`") for c in order_by]
+    return columns[0] if len(columns) == 1 else F.struct(*columns)
+
+
 def _first_seen(df: DataFrame, columns: list[str], order_by: list[str]) -> DataFrame:
     """(column, value, first, rows) for each distinct value, combined on the map side."""
-    order = F.struct(*[F.col(f"`{c}`") for c in order_by])
     cells = F.array(
         *[
             F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value"))
             for c in columns
         ]
     )
-    long = df.select(order.alias("place"), F.inline(cells)).where(F.col("value").isNotNull())
+    long = df.select(place_of(order_by).alias("place"), F.inline(cells)).where(F.col("value").isNotNull())
     return long.groupBy("column", "value").agg(
         F.min("place").alias("first"), F.count(F.lit(1)).alias("rows")
     )

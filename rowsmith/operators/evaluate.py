@@ -95,23 +95,21 @@ def class_scores(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
 def classification_report(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Class rows followed by ``accuracy``, ``macro avg`` and ``weighted avg`` rows, as (entry, ...)."""
     by = by or []
-    scores = class_scores(counts, by)
+    names = ("precision", "recall", "f1")
     total = F.sum("support")
 
-    def weighted(c: str) -> Column:
-        return F.sum(F.col(c) * F.col("support")) / total
+    def entry(name: str, value) -> Column:
+        return F.struct(F.lit(name).alias("entry"), *[value(c).alias(c) for c in names], total.alias("support"))
 
-    names = ("precision", "recall", "f1")
-    averages = scores.groupBy(*by).agg(
-        F.array(
-            F.struct(F.lit("accuracy").alias("entry"),
-                     *[(F.sum("hits") / total).alias(c) for c in names], total.alias("support")),
-            F.struct(F.lit("macro avg").alias("entry"), *[F.avg(c).alias(c) for c in names], total.alias("support")),
-            F.struct(F.lit("weighted avg").alias("entry"), *[weighted(c).alias(c) for c in names], total.alias("support")),
-        ).alias("rows")
-    ).select(*by, F.inline("rows"))
-    classes = scores.select(*by, F.col("class").cast("string").alias("entry"), *names, "support")
-    return classes.unionByName(averages)
+    # classes are few: their rows travel as one array beside the averages, so the counts are read once
+    each = F.collect_list(F.struct(F.col("class").cast("string").alias("entry"), *names, "support"))
+    averages = F.array(
+        entry("accuracy", lambda c: F.sum("hits") / total),
+        entry("macro avg", F.avg),
+        entry("weighted avg", lambda c: F.sum(F.col(c) * F.col("support")) / total),
+    )
+    rows = class_scores(counts, by).groupBy(*by).agg(each.alias("classes"), averages.alias("averages"))
+    return rows.select(*by, F.inline(F.concat("classes", "averages")))
 
 
 def regression_scores(df: DataFrame, by: list[str] | None = None, label="label", prediction="prediction") -> DataFrame:

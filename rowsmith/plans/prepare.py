@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..errors import ContractViolation, UnsuitableTarget
 from ..functions.split import is_holdout
 from ..functions.text import finite_or_null, to_number
-from ..operators.encode import MapSize, category_codes, encode, map_sizes, text_columns
+from ..operators.encode import MapSize, category_codes, encode, map_sizes, place_of, text_columns
 from ..operators.impute import exact_median
 from ..operators.profile import CLASSIFICATION, REGRESSION
 from ..session import cut_lineage
@@ -187,7 +187,7 @@ def _target_classes(df: DataFrame, s: Settings) -> tuple[list[str], str]:
     if kind in ("double", "float"):
         target = F.when(~F.isnan(target), target)
     text = kind == "string"
-    order = F.min(F.struct(*[F.col(f"`{c}`") for c in (s.order_by or (s.key,))])) if text else F.first(target)
+    order = F.min(place_of(list(s.order_by or (s.key,)))) if text else F.first(target)
     seen = (
         df.where(target.isNotNull()).groupBy(target.cast("string").alias("value")).agg(order.alias("first"))
         .orderBy("first").limit(MAX_CLASSES + 1).collect()

@@ -7,7 +7,9 @@ base/registry/models, deployments, predictions                      append-only
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,20 +39,26 @@ def _run_path(base: str, user: str, project: str, run_id: str) -> str:
 # -- saving and loading -------------------------------------------------------------------
 
 
-def save_run(run: Run, base: str, user: str, project: str, names: list[str] | None = None) -> DataFrame:
+def save_run(
+    run: Run, base: str, user: str, project: str, names: list[str] | None = None, at_once: int = 4
+) -> DataFrame:
     """Save the preparation and the fitted models of a run and register them."""
     spark = run.prepared.sparkSession
     folder = _run_path(base, user, project, run.run_id)
     run.preparation.save(spark, f"{folder}/preparation")
-    rows, written = [], {}
+    rows, written, saves = [], {}, []
     for position, name in enumerate(models_for(run.task)):
         if name not in run.models or (names is not None and name not in names):
             continue
         model = run.models[name]
         if id(model) not in written:  # names that share one fit share one folder
             written[id(model)] = f"{folder}/{_safe(name)}_{run.run_id}"
-            model.save(spark, written[id(model)])
+            saves.append((model, written[id(model)]))
         rows.append((user, project, name, run.run_id, run.task, run.settings.target, position, written[id(model)]))
+    inherit = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(at_once) as pool:
+        for job in [pool.submit(inherit(model.save), spark, path) for model, path in saves]:
+            job.result()
     table = spark.createDataFrame(rows, MODELS.rsplit(",", 1)[0]).withColumn("created_at", F.current_timestamp())
     table.write.mode("append").partitionBy("user", "project").parquet(f"{base}/registry/models")
     return models(spark, base)
