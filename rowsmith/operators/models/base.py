@@ -15,6 +15,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from ...errors import ModelNotFound, UnsuitableTarget
 
 UNROLLED = 64       # dot products up to this width are written out for code generation
 MAX_SQUARE = 2_000  # widest feature vector whose square matrix is gathered
-ROWS_PER_TASK = 20_000
+ROWS_PER_TASK = 10_000
 DIRECT_PARTS = 64       # arrays of sums the driver adds up directly
 GATHER_BYTES = 256 << 20  # and their total size
 MAX_SUMS = 1 << 23      # numbers in one array of sums
@@ -71,13 +72,21 @@ class Frame:
             raise UnsuitableTarget(f"more than {MAX_SQUARE} features: too wide for a square matrix of sums")
 
     @cached_property
+    def _summary(self) -> tuple[np.ndarray, np.ndarray]:
+        summary = Summarizer.metrics("mean", "variance").summary(F.col("features"))
+        row = self.df.agg(summary.alias("s")).first()["s"]
+        return row["mean"].toArray(), row["variance"].toArray() * (self.rows - 1) / self.rows
+
+    @property
+    def variance(self) -> np.ndarray:
+        """Variance per feature, divided by n."""
+        return self._summary[1]
+
+    @property
     def moments(self) -> tuple[np.ndarray, np.ndarray]:
-        """Mean and standard deviation (divided by n) per feature, in two passes."""
-        n, d = self.rows, self.width
-        mean = sum_over_rows(self, lambda x, y, h: x.sum(0), d) / n
-        var = sum_over_rows(self, lambda x, y, h: ((x - mean) ** 2).sum(0), d) / n
-        sd = np.sqrt(var)
-        return mean, np.where(sd > 0, sd, 1.0)
+        """Mean and standard deviation per feature, 1 for a constant feature."""
+        mean, variance = self._summary
+        return mean, np.where(variance > 0, np.sqrt(variance), 1.0)
 
 
 def spread(df: DataFrame, rows: int) -> DataFrame:

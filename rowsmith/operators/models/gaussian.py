@@ -182,7 +182,7 @@ def gaussian_nb(frame: Frame) -> NaiveGaussian:
     """Variances plus a 1e-9 share of the largest overall variance; class shares as priors."""
     count, mean = class_means(frame)
     squares = class_squares(frame, mean)
-    floor = VARIANCE_FLOOR * float((frame.moments[1] ** 2).max())
+    floor = VARIANCE_FLOOR * float(frame.variance.max())
     variance = squares / count[:, None] + floor
     return NaiveGaussian(
         {

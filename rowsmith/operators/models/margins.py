@@ -169,8 +169,7 @@ def minimise(frame: Frame, targets, loss, cost, fourier=None, penalise_constant=
 def fourier_settings(frame: Frame, size: int) -> dict:
     """Features of the RBF kernel with gamma 1 / (d * variance over all cells)."""
     mean, _ = frame.moments
-    variance = sum_over_rows(frame, lambda x, y, h: ((x - mean.mean()) ** 2).sum(0), frame.width).sum()
-    variance /= frame.rows * frame.width
+    variance = float(frame.variance.mean() + mean.var())  # over all cells together
     gamma = 1.0 / (frame.width * variance) if variance > 0 else 1.0
     return {"size": size, "width": frame.width, "gamma": float(gamma), "seed": frame.seed}
 

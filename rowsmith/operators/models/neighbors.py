@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ...errors import ContractViolation
 from ...session import cut_lineage
 from .base import Fitted, Frame, shares
 
@@ -30,6 +31,7 @@ LEAF_ROWS = 4_000       # aimed-at training rows per leaf
 MAX_LEAVES = 1 << 14    # leaves the driver and every task may hold
 BLOCK_ROWS = 20_000     # rows of one side of a block
 SAMPLE_ROWS = 200_000   # rows (fewer for wide features) that decide the cuts
+KEY_TYPES = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string()}
 
 
 class Cuts:
@@ -159,14 +161,15 @@ class Neighbours(Fitted):
         k, train = s["k"], self.tables["train"]
         cuts = Cuts(s["cuts"])
         key_type = df.schema[key].dataType
+        if key_type not in KEY_TYPES or train.schema["k"].dataType not in KEY_TYPES:
+            raise ContractViolation("nearest neighbours need a whole number or text as the row key")
         out = T.StructType([
             T.StructField("q", key_type), T.StructField("d", T.DoubleType()),
             T.StructField("k", train.schema["k"].dataType), T.StructField("y", T.DoubleType()),
         ])
-        arrow_key = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string()}
         arrow = pa.schema([
-            ("q", arrow_key[key_type]), ("d", pa.float64()),
-            ("k", arrow_key[train.schema["k"].dataType]), ("y", pa.float64()),
+            ("q", KEY_TYPES[key_type]), ("d", pa.float64()),
+            ("k", KEY_TYPES[train.schema["k"].dataType]), ("y", pa.float64()),
         ])
         queries = df.select(F.col(key).alias("q"), vector_to_array("features").alias("x"))
 

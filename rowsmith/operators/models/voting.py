@@ -36,13 +36,18 @@ class Voting(Fitted):
         return df.select(*keep, majority(votes, self.state["classes"]).alias("prediction"))
 
 
-def voting_classifier(frame: Frame, trees: int = 100) -> Voting:
-    """Random forest, linear hinge machine and nearest neighbours, fitted side by side."""
-    members = {
+def voting_classifier(frame: Frame, trees: int = 100, members: dict[str, Fitted] | None = None) -> Voting:
+    """Random forest, linear hinge machine and nearest neighbours.
+
+    ``members`` may bring models already fitted on the same frame; the others are fitted side by side.
+    """
+    have = members or {}
+    wanted = {
         "rf": partial(random_forest_classifier, frame, trees), "svc": partial(svc, frame), "knn": partial(knn_classifier, frame),
     }
     frame.rows, frame.parts  # counted once, before the threads start
     inherit = inheritable_thread_target(frame.df.sparkSession)
-    with ThreadPoolExecutor(len(members)) as pool:
-        jobs = {name: pool.submit(inherit(fit)) for name, fit in members.items()}
-        return Voting({"classes": frame.n_classes}, {name: job.result() for name, job in jobs.items()})
+    with ThreadPoolExecutor(len(wanted)) as pool:
+        jobs = {name: pool.submit(inherit(fit)) for name, fit in wanted.items() if name not in have}
+        fitted = {name: have[name] if name in have else jobs[name].result() for name in wanted}
+    return Voting({"classes": frame.n_classes}, fitted)

@@ -15,6 +15,7 @@ from ..errors import ModelNotFound, UnsuitableTarget
 from ..functions.split import fold_number, is_holdout
 from ..operators import evaluate
 from ..operators.models.base import Fitted, Frame, spread
+from ..operators.models.voting import voting_classifier
 from ..operators.profile import CLASSIFICATION
 from ..session import scratch_path
 from .prepare import Preparation, Settings, fit_preparation
@@ -134,6 +135,20 @@ def _scores(spark: SparkSession, task: str, judged: dict[str, list[tuple]]) -> D
     return accuracy.join(matrix, "model").join(report, "model")
 
 
+def _voters(run: Run, options: dict[str, dict], given: dict) -> dict[str, Fitted]:
+    """Models of this run that are what a vote's members would be."""
+    same = {"rf": ("Random Forest Classifier", {"trees": given.get("trees", 100)}),
+            "svc": ("Support Vector Classifier", {}), "knn": ("K-Nearest Neighbors", {})}
+    usable = {}
+    for member, (name, settings) in same.items():
+        own = dict(options.get(name, {}))
+        if member == "rf":
+            own.setdefault("trees", 100)
+        if name in run.models and own == settings:
+            usable[member] = run.models[name]
+    return usable
+
+
 def fit_models(
     run: Run,
     names: list[str] | None = None,
@@ -164,7 +179,10 @@ def fit_models(
     def work(key, members):
         factory, settings = key
         try:
-            model = factory(frame, **dict(settings))
+            given = dict(settings)
+            if factory is voting_classifier:
+                given["members"] = _voters(run, options, given)
+            model = factory(frame, **given)
             rows = _judge(model.transform(judged_rows), run.task)
         except Exception as error:  # one model's failure must not end the run
             if fail_fast:
@@ -179,9 +197,12 @@ def fit_models(
 
     spark = run.prepared.sparkSession
     inherit = inheritable_thread_target(spark)
-    with ThreadPoolExecutor(at_once) as pool:
-        for job in [pool.submit(inherit(work), key, members) for key, members in groups.items()]:
-            job.result()
+    # the vote comes last: its members are likely fitted by then
+    for late in (False, True):
+        turn = {k: v for k, v in groups.items() if (k[0] is voting_classifier) == late}
+        with ThreadPoolExecutor(at_once) as pool:
+            for job in [pool.submit(inherit(work), key, members) for key, members in turn.items()]:
+                job.result()
     listing = spark.createDataFrame(
         [(i, n, "failed" if n in errors else "fitted", errors.get(n)) for i, n in enumerate(names)],
         "position int, model string, status string, error string",

@@ -23,7 +23,8 @@ def is_csv_name(name):
     return F.lower(name).rlike(r"\.csv$")
 
 
-def _headers(spark: SparkSession, path: str) -> list[str]:
+def _headers(spark: SparkSession, path: str) -> tuple[list[str], list[str | None]]:
+    """Cleaned column names, and the header cells as they are in the file."""
     try:
         first = spark.read.option("pathGlobFilter", CSV_GLOB).csv(path).first()
     except AnalysisException as error:
@@ -32,17 +33,23 @@ def _headers(spark: SparkSession, path: str) -> list[str]:
         first = None
     if first is None:
         raise SourceRejected(f"no .csv file with a header row: {path}")
-    names = [clean_header(v or "") for v in first]
+    names = [clean_header(v or "") or f"Unnamed: {i}" for i, v in enumerate(first)]
     twice = sorted({n for n in names if names.count(n) > 1})
     if twice:
         raise SourceRejected(f"duplicate headers: {twice}")
-    return names
+    return names, list(first)
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Every cell as trimmed text; short rows give NULL cells."""
-    names = _headers(spark, path)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    """Every cell as trimmed text; short rows give NULL cells.
+
+    All files of a folder must have the same header; a file whose header differs fails the read.
+    """
+    names, header = _headers(spark, path)
+    checked = all(header)  # an unnamed column has nothing to be compared with
+    schema = T.StructType([
+        T.StructField(h if checked else f"c{i}", T.StringType()) for i, h in enumerate(header)
+    ])
     place = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -51,12 +58,12 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     rows = (
         spark.read.schema(schema)
         .option("header", True)
-        .option("enforceSchema", True)
+        .option("enforceSchema", not checked)
         .option("pathGlobFilter", CSV_GLOB)
         .csv(path)
     )
     return rows.select(
-        *[F.trim(F.col(f"c{i}")).alias(n) for i, n in enumerate(names)], place.alias(ROW_ORDER)
+        *[F.trim(F.col(f"`{f.name}`")).alias(n) for f, n in zip(schema.fields, names)], place.alias(ROW_ORDER)
     )
 
 

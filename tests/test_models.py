@@ -109,6 +109,25 @@ def test_discriminants_and_naive_bayes(blobs):
         assert (predictions(model, f) == scores.argmax(1)).all()
 
 
+def test_constant_features_do_no_harm(spark):
+    y = np.arange(200) % 2
+    x = np.column_stack([np.full(200, 5.0), y * 1e-3 + RNG.normal(size=200) * 1e-4, RNG.normal(size=200) * 1e-3])
+    f = frame(spark, x, y, 2)
+    floor = 1e-9 * x.var(0).max()
+    got = gaussian.gaussian_nb(f).state["variance"]
+    assert got[0] == pytest.approx(x[y == 0].var(0) + floor, rel=1e-6)
+    for fit in (gaussian.gaussian_nb, gaussian.lda, margins.svc, stumps.ada_boost_classifier, neighbors.knn_classifier):
+        assert (predictions(fit(f), f) == y).mean() > 0.5
+    line_with_constant = frame(spark, x, 3 * x[:, 2] + 1)
+    for fit in (linear.ols, linear.bayesian_ridge, linear.huber):
+        assert np.isfinite(predictions(fit(line_with_constant), line_with_constant)).all()
+
+
+def test_random_features_take_the_spread_of_all_cells(blobs):
+    f, x, _ = blobs
+    assert margins.fourier_settings(f, 10)["gamma"] == pytest.approx(1 / (3 * x.var()), rel=1e-9)
+
+
 def test_logistic_regression_gradient_is_zero(two):
     f, x, y = two
     m = trees.logistic_regression(f).parts["model"]

@@ -72,6 +72,16 @@ def test_names_of_one_algorithm_share_a_fit(part):
     r.close()
 
 
+def test_a_vote_takes_members_already_fitted(sizes, run):
+    r = prepare_run(sizes, Settings("size class", "p_partkey", "Classification"))
+    fit_models(r, ["Voting Classifier", "Random Forest Classifier", "K-Nearest Neighbors"],
+               {"Random Forest Classifier": {"trees": 5}, "Voting Classifier": {"trees": 5}})
+    vote = r.models["Voting Classifier"]
+    assert vote.parts["rf"] is r.models["Random Forest Classifier"] and vote.parts["knn"] is r.models["K-Nearest Neighbors"]
+    assert [b["position"] for b in r.board.orderBy("position").collect()] == [0, 1, 2]
+    r.close()
+
+
 def test_registry_round_trip(spark, run, sizes, tmp_path):
     base = str(tmp_path)
     registry.save_run(run, base, "an a", "pro/ject")

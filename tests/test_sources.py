@@ -60,6 +60,19 @@ def test_only_csv_files_of_a_folder_are_read(spark, tmp_path):
     assert sorted(r["k"] for r in csv.read_csv(spark, str(tmp_path)).collect()) == [1, 3]
 
 
+def test_files_with_another_header_fail_the_read(spark, tmp_path):
+    write(tmp_path / "a.csv", "k,v\n1,2\n")
+    write(tmp_path / "b.csv", "v,k\n3,4\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        csv.read_csv(spark, str(tmp_path)).collect()
+
+
+def test_unnamed_column(spark, tmp_path):
+    path = write(tmp_path / "u.csv", ",a.b:c\n0,x\n1,y\n")
+    df = csv.read_csv(spark, path)
+    assert df.columns[:2] == ["Unnamed: 0", "a.b:c"] and df.count() == 2
+
+
 def test_rows_keep_file_order(spark, tmp_path):
     path = write(tmp_path / "o.csv", "k\n" + "\n".join(str(i * 7919 % 1000) for i in range(1000)) + "\n")
     rows = csv.read_csv(spark, path).orderBy(csv.ROW_ORDER).collect()
