@@ -37,10 +37,11 @@ CORNERS = {
 # A target with a linear part and a little noise, and one without noise.
 LINEAR_NOISY = "3e0 * p_size - 0.5e0 * p_retailprice + (p_partkey * 7919 % 101) / 100e0"
 LINEAR_EXACT = "3e0 * p_size - 0.5e0 * p_retailprice + 7e0"
-# Three levels on one feature with wide gaps. The feature has 33 values, fewer than a tree
-# learner's bins, so that every cut between values is open to it.
+# Three levels on one feature with wide gaps. The feature has nine values: fewer than a tree
+# learner's bins, so that every cut between values is open to it, and so few that each value
+# is in every bootstrap sample.
 LEVEL = "CASE WHEN p_size < 17 THEN 10e0 WHEN p_size < 34 THEN 25e0 ELSE 70e0 END"
-LEVEL_X = f"CASE WHEN p_size < 17 THEN 0e0 WHEN p_size < 34 THEN 4e0 ELSE 8e0 END + (p_partkey * 7919 % 11) / 11e0"
+LEVEL_X = f"CASE WHEN p_size < 17 THEN 0e0 WHEN p_size < 34 THEN 4e0 ELSE 8e0 END + (p_partkey * 7919 % 3) / 3e0"
 
 
 def part_frame(spark: SparkSession, sf: str, target: str, features: dict[str, str]) -> DataFrame:
