@@ -13,8 +13,6 @@ The sample decides only where the cuts are, never the result.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
@@ -28,7 +26,8 @@ from ...session import cut_lineage
 from .base import Fitted, Frame, shares
 
 LEAF_ROWS = 4_000       # aimed-at training rows per leaf
-MAX_LEAVES = 1 << 14    # leaves the driver and every task may hold
+MAX_LEAVES = 1 << 14    # leaves the driver and every task may hold,
+MAX_CELLS = 1 << 19     # fewer where leaves x features would pass this
 BLOCK_ROWS = 20_000     # rows of one side of a block
 SAMPLE_ROWS = 200_000   # rows (fewer for wide features) that decide the cuts
 KEY_TYPES = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string()}
@@ -267,7 +266,8 @@ def neighbours(frame: Frame, k: int = 5, leaf_rows: int = LEAF_ROWS) -> Neighbou
     # applied before the shuffle as well
     place = F.row_number().over(W.partitionBy("x").orderBy("k"))
     train = rows.withColumn("_n", place).where(F.col("_n") <= k).drop("_n")
-    leaves = int(min(MAX_LEAVES, max(1, frame.rows // leaf_rows)))
+    most = max(1, min(MAX_LEAVES, MAX_CELLS // frame.width))
+    leaves = int(min(most, max(1, frame.rows // leaf_rows)))
     wanted = min(SAMPLE_ROWS, max(10_000, 20_000_000 // max(frame.width, 1)))
     share = min(1.0, wanted / frame.rows)
     if leaves > 1:
