@@ -27,3 +27,16 @@ def test_cut_lineage_reads_the_written_copy(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and df.count() == 100
     assert df.sparkSession.sparkContext.getCheckpointDir()
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from rowsmith.operators.models import margins, neighbors
+
+    (tmp_path / "f").write_bytes(cloudpickle.dumps((neighbors._nearest, margins.fourier_map, neighbors.Cuts)))
+    code = "import pickle, sys; pickle.load(open('f', 'rb')); assert 'rowsmith' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=60, env={"PATH": ""})
