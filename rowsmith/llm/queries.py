@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries.common import table
-from . import simhash
+from . import simhash, warc
 
 
 def op6_simhash_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
@@ -15,8 +15,26 @@ def op6_simhash_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op4_warc_archives(spark: SparkSession, sf: str) -> DataFrame:
+    read = warc.round_trip(spark, table(spark, sf, "pages"), payloads=False, least_bytes=1000)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
+    "op4_warc_archives": op4_warc_archives,
     "op6_simhash_near_duplicates": op6_simhash_near_duplicates,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc_archives": """
+        WITH payloads AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+                   max(page_id) OVER (PARTITION BY coalesce(html, '')) AS owner
+            FROM pages
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id < owner THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id < owner THEN owner END AS refers_to
+        FROM payloads
+    """,
+}
