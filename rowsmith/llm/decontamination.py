@@ -10,7 +10,6 @@ searched whole by their own shingle hashes; what meets is counted exactly on the
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,19 +22,12 @@ from .words import LOWER, row_slices, run_hashes, shingle_starts, single_spaced,
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BROADCAST_HASHES = 500_000  # sketch values that tasks hold; beyond it the search is a shuffle join
+BROADCAST_HASHES = 500_000  # shingle hashes of items that tasks hold (4 MB); beyond it the search is a shuffle join
 SIZE_STEP = 2               # upper sizes of the partitions grow by this factor
 
 
-def text_shingles(text: bytes, starts: list[int], ends: list[int]) -> list[str]:
-    return [text[s:e].decode() for s, e in zip(starts, ends)]
-
-
 def _hashed(column: pa.Array, shingle: int):
-    """Normalised bytes, word ranges, shingle starts, their rows and hashes of a slice of texts.
-
-    A text with fewer words than a shingle is one shingle of all its words.
-    """
+    """Lower-cased bytes, words, shingle starts, their rows and hashes of a slice of texts."""
     data, offsets = text_bytes(column)
     data = LOWER[data]
     found = words(data, offsets)
@@ -52,7 +44,7 @@ def shingles(items: DataFrame, id_col: str, text_col: str, shingle: int = SHINGL
             for part in row_slices(batch, "text"):
                 data, found, at, rows, hashes = _hashed(part.column("text"), shingle)
                 text, starts, ends = single_spaced(data, found)
-                strings = text_shingles(text, starts[at].tolist(), ends[at + shingle - 1].tolist())
+                strings = [text[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at + shingle - 1].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id").take(pa.array(rows)), pa.array(hashes.view(np.int64)), pa.array(strings, pa.string())], ["id", "hash", "shingle"]
                 )
@@ -63,7 +55,7 @@ def shingles(items: DataFrame, id_col: str, text_col: str, shingle: int = SHINGL
 
 def size_class(size: Column) -> Column:
     """Largest size of the partition an item of this size belongs to."""
-    return F.pow(F.lit(float(SIZE_STEP)), F.ceil(F.log(F.lit(float(SIZE_STEP)), size.cast("double")) - F.lit(1e-9))).cast("bigint")
+    return F.pow(F.lit(float(SIZE_STEP)), F.ceil(F.log(float(SIZE_STEP), size) - 1e-9)).cast("bigint")
 
 
 def sketches(of_items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -79,35 +71,37 @@ def sketches(of_items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return sizes.select("item", F.explode(F.slice("hashes", F.lit(1), F.greatest(width, F.lit(1)))).alias("hash"), need.alias("need"))
 
 
-def _searched(docs: DataFrame, wanted: np.ndarray, shingle: int) -> DataFrame:
-    """``(doc, hash)`` for the shingles of ``docs`` whose hash is one of ``wanted``, once a document."""
-    held = docs.sparkSession.sparkContext.broadcast(np.sort(wanted))
+def _met(docs: DataFrame, of_items: DataFrame, shingle: int, broadcast_hashes: int) -> DataFrame:
+    """``(doc, hash, shingle)``: the distinct shingles of ``docs`` that some item has.
+
+    Up to ``broadcast_hashes`` hashes (8 bytes each) every task holds them and gives out only
+    what meets; beyond that all shingles of the documents meet the items' in a shuffle join.
+    """
+    number = of_items.count()
+    if number > broadcast_hashes:
+        every = shingles(docs, "id", "text", shingle).withColumnRenamed("id", "doc")
+        return every.join(of_items.select("hash").distinct(), "hash", "left_semi").select("doc", "hash", "shingle")
+    held = docs.sparkSession.sparkContext.broadcast(np.sort(of_items.select("hash").distinct().toArrow().column("hash").to_numpy()))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.value
         for batch in batches:
             for part in row_slices(batch, "text"):
-                _, _, _, rows, hashes = _hashed(part.column("text"), shingle)
+                data, found, at, rows, hashes = _hashed(part.column("text"), shingle)
                 mine = hashes.view(np.int64)
-                place = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-                hit = np.flatnonzero(known[place] == mine)
-                pairs = np.unique(np.stack([rows[hit], mine[hit]]), axis=1)
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(pairs[0])), pa.array(pairs[1])], ["doc", "hash"])
-
-    return docs.mapInArrow(each, "doc bigint, hash bigint")
-
-
-def _all_hashes(docs: DataFrame, shingle: int) -> DataFrame:
-    """``(doc, hash)`` of every shingle, once in a batch of a document."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in row_slices(batch, "text"):
-                _, _, _, rows, hashes = _hashed(part.column("text"), shingle)
-                pairs = np.unique(np.stack([rows, hashes.view(np.int64)]), axis=1)
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(pairs[0])), pa.array(pairs[1])], ["doc", "hash"])
+                place = np.minimum(np.searchsorted(known, mine), max(len(known) - 1, 0))
+                hit = np.flatnonzero(known[place] == mine) if len(known) else np.zeros(0, np.int64)
+                _, once = np.unique(np.stack([rows[hit], mine[hit]]), axis=1, return_index=True)
+                hit = hit[once]
+                firsts, lasts = at[hit], at[hit] + shingle - 1
+                strings = [
+                    " ".join(data[found.starts[w]:found.ends[w]].tobytes().decode() for w in range(i, j + 1)) for i, j in zip(firsts.tolist(), lasts.tolist())
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id").take(pa.array(rows[hit])), pa.array(mine[hit]), pa.array(strings, pa.string())], ["doc", "hash", "shingle"]
+                )
 
-    return docs.mapInArrow(each, "doc bigint, hash bigint")
+    return docs.mapInArrow(each, "doc bigint, hash bigint, shingle string").distinct()
 
 
 def contaminated(
@@ -128,23 +122,17 @@ def contaminated(
     items = items.select(F.col(item_id).cast("bigint").alias("id"), F.col(item_text).cast("string").alias("text")).where("id is not null and text is not null")
     of_items = cut_lineage(shingles(items, "id", "text", shingle).withColumnRenamed("id", "item"))
     sketch = cut_lineage(sketches(of_items, similarity))
-    number = sketch.count()
-    if number and number <= broadcast_hashes:
-        wanted = sketch.select("hash").distinct().toArrow().column("hash").to_numpy()
-        met = _searched(docs, wanted, shingle)
-    else:
-        met = _all_hashes(docs, shingle)
-    candidates = cut_lineage(met.distinct().join(sketch, "hash").select("doc", "item", "need").distinct())
-    return _verified(docs, of_items, candidates, shingle)
-
-
-def _verified(docs: DataFrame, of_items: DataFrame, candidates: DataFrame, shingle: int) -> DataFrame:
-    """Count the shingles, as strings, that a document and a candidate item share."""
-    chosen = candidates.select(F.col("doc").alias("id")).distinct()
-    held = shingles(docs.join(chosen, "id", "left_semi"), "id", "text", shingle).select(F.col("id").alias("doc"), "shingle")
-    asked = candidates.join(of_items.select("item", "shingle"), "item")
-    shared = asked.join(held, ["doc", "shingle"]).groupBy("doc", "item").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need"))
+    met = cut_lineage(_met(docs, of_items, shingle, broadcast_hashes))
+    candidates = met.join(sketch, "hash").select("doc", "item", "need").distinct()
+    asked = candidates.join(of_items.select("item", "hash", "shingle"), "item")
+    shared = asked.join(met, ["doc", "hash", "shingle"]).groupBy("doc", "item").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need"))
     sizes = of_items.groupBy("item").agg(F.count(F.lit(1)).alias("size"))
     return shared.where(F.col("shared") >= F.col("need")).join(sizes, "item").select(
         "doc", "item", "shared", "size", (F.col("shared") / F.col("size")).alias("containment")
     )
+
+
+def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, without those that hold an item; null ids are kept."""
+    found = contaminated(docs, items, doc_id=doc_id, **options).select(F.col("doc").alias("__held")).distinct()
+    return docs.join(found, docs[doc_id] == found["__held"], "left_anti")

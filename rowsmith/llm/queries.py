@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries.common import table
-from . import simhash, warc
+from . import decontamination, simhash, warc
 
 
 def op6_simhash_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
@@ -15,17 +15,40 @@ def op6_simhash_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontamination.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"), shingle=5, similarity=0.8)
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "shared", F.col("size").alias("item_shingles"), "containment")
+
+
 def op4_warc_archives(spark: SparkSession, sf: str) -> DataFrame:
     read = warc.round_trip(spark, table(spark, sf, "pages"), payloads=False, least_bytes=1000)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op4_warc_archives": op4_warc_archives,
     "op6_simhash_near_duplicates": op6_simhash_near_duplicates,
 }
 
+# The distinct runs of five words of a text, A-Z lower-cased.
+SHINGLES = """
+    SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS shingle
+    FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i
+          FROM (SELECT {id} AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+                FROM {table}))
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_benchmark_decontamination": f"""
+        WITH d AS ({SHINGLES.format(id="doc_id", table="documents")}),
+             b AS ({SHINGLES.format(id="item_id", table="benchmark")}),
+             sizes AS (SELECT id, count(*) AS n FROM b GROUP BY id),
+             shared AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS shared FROM d JOIN b USING (shingle) GROUP BY 1, 2)
+        SELECT doc_id, item_id, shared, n AS item_shingles, shared / n AS containment
+        FROM shared JOIN sizes ON sizes.id = item_id
+        WHERE shared >= ceil(0.8 * n - 1e-9)
+    """,
     "op4_warc_archives": """
         WITH payloads AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
