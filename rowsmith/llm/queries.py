@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries.common import table
-from . import decontamination, simhash, warc
+from . import decontamination, simhash, substring, warc
 
 
 def op6_simhash_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
@@ -25,9 +25,15 @@ def op4_warc_archives(spark: SparkSession, sf: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = substring.remove_repeats(table(spark, sf, "documents"), window=35)
+    return kept.select("row.doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op4_warc_archives": op4_warc_archives,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_simhash_near_duplicates": op6_simhash_near_duplicates,
 }
 
@@ -60,4 +66,16 @@ ORACLES: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id < owner THEN owner END AS refers_to
         FROM payloads
     """,
+    "op5_substring_dedup": r"""
+        WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h
+                         FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM texts)),
+             again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+             covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM windows WHERE h IN (SELECT h FROM again)),
+             numbered AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM texts),
+             kept AS (SELECT n.doc_id, string_agg(word, ' ' ORDER BY n.p) AS t, count(*) AS n
+                      FROM numbered n ANTI JOIN covered c ON n.doc_id = c.doc_id AND n.p = c.p GROUP BY n.doc_id)
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM texts LEFT JOIN kept USING (doc_id)
+    """,
 }
