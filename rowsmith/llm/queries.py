@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries.common import table
-from . import decontamination, simhash, substring, warc
+from . import decontamination, langid, simhash, substring, warc
+from .learning import remainder
 
 
 def op6_simhash_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,11 +31,20 @@ def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("row.doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = langid.learn(docs.where(remainder("doc_id", 3) != 1), key=F.col("doc_id"))
+    held_out = F.coalesce(F.col("held_out"), F.lit(False)).alias("held_out")
+    found = langid.identify(docs.select("doc_id", "text", (remainder("doc_id", 3) == 1).alias("held_out")), model)
+    return found.select("row.*", "lang_pred", "score").select("doc_id", held_out, "lang_pred", "score")
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op4_warc_archives": op4_warc_archives,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_simhash_near_duplicates": op6_simhash_near_duplicates,
+    "op9_language_id": op9_language_id,
 }
 
 # The distinct runs of five words of a text, A-Z lower-cased.
