@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries.common import table
-from . import decontamination, langid, simhash, substring, warc
+from . import decontamination, langid, quality, simhash, substring, warc
 from .learning import remainder
 
 
@@ -21,6 +21,19 @@ def op1_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "shared", F.col("size").alias("item_shingles"), "containment")
 
 
+def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = quality.learn(docs, table(spark, sf, "labels"), label_col="quality", only=remainder("doc_id", 3) != 1)
+    return _scored(quality.score(docs.select("doc_id", "text"), model), remainder("doc_id", 3) == 1, 0.5)
+
+
+def _scored(found: DataFrame, held_out: Column, threshold: float) -> DataFrame:
+    """Digest columns of a score; a null id belongs to no fold and is not held out."""
+    return found.select("row.doc_id", "score").select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    )
+
+
 def op4_warc_archives(spark: SparkSession, sf: str) -> DataFrame:
     read = warc.round_trip(spark, table(spark, sf, "pages"), payloads=False, least_bytes=1000)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -41,6 +54,7 @@ def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_quality": op2_quality,
     "op4_warc_archives": op4_warc_archives,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_simhash_near_duplicates": op6_simhash_near_duplicates,
