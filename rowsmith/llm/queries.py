@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries.common import table
-from . import decontamination, langid, quality, simhash, substring, warc
+from . import decontamination, langid, quality, simhash, substring, toxicity, warc
 from .learning import remainder
 
 
@@ -52,6 +52,12 @@ def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("row.*", "lang_pred", "score").select("doc_id", held_out, "lang_pred", "score")
 
 
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = toxicity.learn(docs, table(spark, sf, "labels"), label_col="toxic", only=remainder("doc_id", 4) != 2)
+    return _scored(toxicity.score(docs.select("doc_id", "text"), model), remainder("doc_id", 4) == 2, 0.3)
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_quality": op2_quality,
@@ -59,6 +65,7 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_simhash_near_duplicates": op6_simhash_near_duplicates,
     "op9_language_id": op9_language_id,
+    "op10_toxicity": op10_toxicity,
 }
 
 # The distinct runs of five words of a text, A-Z lower-cased.
