@@ -144,7 +144,8 @@ class Matcher:
         for n, i in enumerate(normal):
             padded[:, n, :self.sizes[n]] = self._codes(model.pieces[i])
         self.low, self.high = self._keys(padded[0]), self._keys(padded[1])
-        self.output = [p.encode() for p in model.pieces]
+        special = {UNKNOWN: " ⁇ ".encode(), CONTROL: b""}
+        self.output = [special[k] if k in special else bytes([int(p[3:5], 16)]) if k == BYTE else p.encode() for p, k in zip(model.pieces, model.kinds)]
 
     def _codes(self, text: str) -> np.ndarray:
         return self.letters[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -176,22 +177,31 @@ class Matcher:
             missing = {c for c in piece if c not in number}
             if missing and len(piece) > 1:
                 raise UnsuitableModel(f"the piece {piece!r} is merged from characters that are no pieces")
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_ranks = np.array([pairs[k] for k in sorted(pairs)], np.int64)
+        self.pair_slots, self.pair_ranks = _hash_table(np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64))
         return reached
 
+    def _seam(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the merge of ``a`` and ``b``; a number above all ranks if they do not merge."""
+        key = a * len(self.model.pieces) + b
+        mask = len(self.pair_slots) - 1
+        slot = (mix(key.view(np.uint64)) & np.uint64(mask)).astype(np.int64)
+        found = self.pair_slots[slot]
+        looking = np.flatnonzero((found != key) & (found != NONE))
+        while len(looking):
+            slot[looking] = (slot[looking] + 1) & mask
+            found = self.pair_slots[slot[looking]]
+            looking = looking[(found != key[looking]) & (found != NONE)]
+        return np.where(self.pair_slots[slot] == key, self.pair_ranks[slot], np.iinfo(np.int64).max)
+
     def _follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging leaves piece ``a`` before piece ``b``: no merge crosses their seam first."""
-        n = len(self.model.pieces)
         ok = np.ones(len(a), bool)
         open_ = np.flatnonzero((a >= 0) & (b >= 0))
         a, b = a[open_], b[open_]
         # a merge over the seam comes first if its rank is below this
         limit = np.full(len(open_), np.iinfo(np.int64).max)
         while len(open_):
-            key = a * n + b
-            at = np.minimum(np.searchsorted(self.pair_keys, key), max(len(self.pair_keys) - 1, 0))
-            crosses = (self.pair_keys[at] == key) & (self.pair_ranks[at] < limit) if len(self.pair_keys) else np.zeros(len(key), bool)
+            crosses = self._seam(a, b) < limit
             ok[open_[crosses]] = False
             ra, rb = self.rank[a], self.rank[b]
             on = ~crosses & ((ra >= 0) | (rb >= 0))
@@ -270,7 +280,8 @@ class Matcher:
         """Last piece of the text up to each position, and where that piece begins."""
         end = start + size
         level = within[start] + size
-        order = np.lexsort((end, level))
+        # of small numbers, which are sorted by counting
+        order = np.argsort(level.astype(np.uint16) if len(level) and level.max() < 1 << 16 else level, kind="stable")
         start, end, piece, level = start[order], end[order], piece[order], level[order]
         cuts = np.searchsorted(level, np.arange(1, (int(level[-1]) if len(level) else 0) + 2))
         last, back = np.full(len(within) + 1, NONE, np.int64), np.zeros(len(within) + 1, np.int64)
@@ -309,29 +320,33 @@ class Matcher:
         spelled = [chr(c).encode("utf-8", "surrogatepass") for c in original[at[other]].tolist()]
         repeat = np.ones(len(piece), np.int64)
         repeat[other] = [len(s) for s in spelled]
-        spots = np.cumsum(repeat) - repeat
         out = np.repeat(piece, repeat)
         out[out == OTHER] = np.array(self.model.byte_ids)[np.frombuffer(b"".join(spelled), np.uint8)]
-        del spots
         return out, np.bincount(np.repeat(segment, repeat), minlength=len(ends))
 
     def decode(self, ids: list[int] | None) -> str | None:
         """The text of ids: blanks for the blank mark, bytes joined, the blank put first taken off."""
         if ids is None:
             return None
-        model, out = self.model, []
-        for i in ids:
-            if not 0 <= i < len(self.output):
-                raise UnsuitableModel(f"{i} is not an id of the model")
-            kind = model.kinds[i]
-            if kind == BYTE:
-                out.append(bytes([int(model.pieces[i][3:5], 16)]))
-            elif kind == UNKNOWN:
-                out.append(" ⁇ ".encode())
-            elif kind != CONTROL:
-                out.append(self.output[i])
-        text = b"".join(out).decode("utf-8", "replace").replace(BLANK, " ")
-        return text[1:] if model.dummy_prefix and text.startswith(" ") else text
+        if ids and not (0 <= min(ids) and max(ids) < len(self.output)):
+            raise UnsuitableModel("an id that the model does not have")
+        text = b"".join([self.output[i] for i in ids]).decode("utf-8", "replace").replace(BLANK, " ")
+        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+
+
+def _hash_table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in slots chosen by their hash, the next free one where it is taken, and their values."""
+    size = 1 << max(4, int(4 * len(keys)).bit_length())
+    slots, held = np.full(size, NONE, np.int64), np.zeros(size, np.int64)
+    at = (mix(keys.view(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
+    left = np.arange(len(keys))
+    while len(left):
+        _, one = np.unique(at[left], return_index=True)
+        put = left[one][slots[at[left[one]]] == NONE]
+        slots[at[put]], held[at[put]] = keys[put], values[put]
+        left = left[slots[at[left]] != keys[left]]
+        at[left] = (at[left] + 1) & (size - 1)
+    return slots, held
 
 
 def _distinct(points: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -365,30 +380,17 @@ def _first_not_below(keys: list[np.ndarray], wanted: list[np.ndarray], after: bo
     return lo
 
 
-_MATCHERS: dict[bytes, Matcher] = {}
-
-
-def _matcher(data: bytes) -> Matcher:
-    """The matcher of a model file, made once a worker."""
-    if data not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[data] = Model.parse(data).matcher()
-    return _MATCHERS[data]
-
-
-def read_model(path: str) -> bytes:
-    """The model file, read on the driver and sent to the tasks (a vocabulary, not data)."""
+def read_model(path: str) -> Matcher:
+    """The matcher of a model file, made on the driver and sent to the tasks: a vocabulary, not data."""
     with open(path, "rb") as f:
-        data = f.read()
-    Model.parse(data)
-    return data
+        return Model.parse(f.read()).matcher()
 
 
 def _packed(docs: DataFrame, col: str, kind: str) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(col).cast(kind).alias("value"))
 
 
-def encode(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, matcher: Matcher, text_col: str = "text") -> DataFrame:
     """``(row, ids)``: ids of the pieces of each text; ``row`` is a struct of all columns of ``docs``.
 
     An empty text has no ids; a null text has null. Repeated rows stay; an empty table gives an
@@ -396,7 +398,6 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(model)
         for batch in batches:
             for part in row_slices(batch, "value", TEXT_SLICE):
                 flat, offsets = matcher.encode(part.column("value"))
@@ -408,14 +409,13 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:
     return rows.mapInArrow(each, T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
-def decode(encoded: DataFrame, model: bytes, ids_col: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, matcher: Matcher, ids_col: str = "ids") -> DataFrame:
     """``(row, decoded)``: the text of each row's ids; null ids give null, ids the model lacks an error.
 
     A text comes back as it was, but for blank marks (U+2581) in it, which become blanks.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

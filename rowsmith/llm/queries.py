@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries.common import table
-from . import decontamination, langid, quality, simhash, substring, toxicity, warc
+from . import decontamination, langid, pieces, quality, simhash, substring, toxicity, warc
 from .learning import remainder
 
 
@@ -34,6 +34,18 @@ def _scored(found: DataFrame, held_out: Column, threshold: float) -> DataFrame:
     )
 
 
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op3_sentencepiece(spark: SparkSession, sf: str, model_path: str = PIECE_MODEL) -> DataFrame:
+    model = pieces.read_model(model_path)
+    encoded = pieces.encode(table(spark, sf, "documents").select("doc_id", "text"), model).select("row.doc_id", "row.text", "ids")
+    back = pieces.decode(encoded, model).select("row.*", "decoded")
+    # what comes back: the text, with blank marks in it read as blanks
+    same = F.col("decoded").eqNullSafe(F.translate("text", pieces.BLANK, " "))
+    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("pieces_hash"), same.alias("round_trip"))
+
+
 def op4_warc_archives(spark: SparkSession, sf: str) -> DataFrame:
     read = warc.round_trip(spark, table(spark, sf, "pages"), payloads=False, least_bytes=1000)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -61,6 +73,7 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_quality": op2_quality,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_warc_archives": op4_warc_archives,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_simhash_near_duplicates": op6_simhash_near_duplicates,
