@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries.common import table
-from . import decontamination, langid, pieces, quality, simhash, substring, toxicity, vectors, warc
+from . import decontamination, langid, main_text, pieces, quality, simhash, substring, toxicity, vectors, warc
 from .learning import remainder
 
 
@@ -56,6 +56,12 @@ def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("row.doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    found = main_text.extract(pages.select("page_id", "url", "html"), main_text.learn(pages))
+    return found.select("row.page_id", "row.url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 def op8_embedding_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     found = vectors.near_duplicates(table(spark, sf, "embeddings"), threshold=0.95)
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
@@ -82,6 +88,7 @@ QUERIES = {
     "op4_warc_archives": op4_warc_archives,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_simhash_near_duplicates": op6_simhash_near_duplicates,
+    "op7_main_text": op7_main_text,
     "op8_embedding_near_duplicates": op8_embedding_near_duplicates,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
