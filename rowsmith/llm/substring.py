@@ -90,10 +90,11 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
 
 
 def spans(docs: DataFrame, hits: DataFrame, window: int) -> DataFrame:
-    """``(anchor, salts, salt, doc, sig, at, text)``: the words under all windows of a recurring anchor.
+    """``(anchor, salts, salt, doc, sig, at, places, text)``: the words under all windows of a recurring anchor.
 
-    ``hits`` gives each key its recurring anchors and in how many parts those are dealt; ``at``
-    is the number of the span's first word.
+    ``hits`` gives each key its recurring anchors and in how many parts those are dealt.
+    ``places`` are the numbers of the span's first word wherever the text has it, ``at`` is the
+    first of them; so a text that repeats itself gives no more spans than it has different ones.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +106,8 @@ def spans(docs: DataFrame, hits: DataFrame, window: int) -> DataFrame:
                 starts, rows, place, grams = _anchors(found.hashes, found.first, window)
                 if not len(starts):
                     continue
-                cut = np.flatnonzero(np.append(True, place[1:] != place[:-1]))  # a place belongs to one row
+                # a place belongs to one row
+                cut = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
                 lo, hi = starts[cut], starts[np.append(cut[1:], len(starts)) - 1] + window
                 of, gram = rows[cut], grams[cut].view(np.int64)
                 salts = np.zeros(len(cut), np.int64)
@@ -126,13 +128,21 @@ def spans(docs: DataFrame, hits: DataFrame, window: int) -> DataFrame:
                 doc, sig = part.column("doc").take(row), part.column("sig").take(row)
                 salt = (sig.to_numpy().view(np.uint64) + at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % salts[keep].astype(np.uint64)
                 strings = [text[s:e].decode() for s, e in zip(begins[lo].tolist(), ends[hi - 1].tolist())]
+                alike: dict[tuple[int, str], list[int]] = {}
+                for i, key in enumerate(zip(of.tolist(), strings)):
+                    alike.setdefault(key, []).append(i)
+                one = np.array([m[0] for m in alike.values()], np.int64)
+                bounds = np.concatenate([[0], np.cumsum([len(m) for m in alike.values()])]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(bounds), pa.array(at[[i for m in alike.values() for i in m]]))
+                chosen = pa.array(one)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram[keep]), pa.array(salts[keep].astype(np.int32)), pa.array(salt.astype(np.int32)), doc, sig, pa.array(at), pa.array(strings, pa.string())],
-                    ["anchor", "salts", "salt", "doc", "sig", "at", "text"],
+                    [pa.array(gram[keep][one]), pa.array(salts[keep][one].astype(np.int32)), pa.array(salt[one].astype(np.int32)), doc.take(chosen), sig.take(chosen),
+                     pa.array(at[one]), listed, pa.array([key[1] for key in alike], pa.string())],
+                    ["anchor", "salts", "salt", "doc", "sig", "at", "places", "text"],
                 )
 
     joined = docs.select("doc", "sig", "text").join(hits, ["doc", "sig"]).select("doc", "sig", "text", "hits")
-    return joined.mapInArrow(each, "anchor bigint, salts int, salt int, doc bigint, sig bigint, at bigint, text string")
+    return joined.mapInArrow(each, "anchor bigint, salts int, salt int, doc bigint, sig bigint, at bigint, places array<bigint>, text string")
 
 
 def _windows(column: pa.Array, window: int):
@@ -145,7 +155,7 @@ def _windows(column: pa.Array, window: int):
 
 
 def _confirmed_widely(of_many: DataFrame, window: int) -> DataFrame:
-    """``(doc, sig, at, places)`` for spans of anchors with many spans: which of their windows recur."""
+    """``(doc, sig, at, recurring)`` for spans of anchors with many spans: which of their windows recur."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,13 +163,16 @@ def _confirmed_widely(of_many: DataFrame, window: int) -> DataFrame:
                 _, found, starts, rows, one, two = _windows(part.column("text"), window)
                 of = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc").take(of), part.column("sig").take(of), part.column("at").take(of), pa.array((starts - found.first[rows]).astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
-                    ["doc", "sig", "at", "place", "one", "two"],
+                    [part.column("doc").take(of), part.column("sig").take(of), part.column("at").take(of), part.column("n").take(of),
+                     pa.array((starts - found.first[rows]).astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
+                    ["doc", "sig", "at", "n", "place", "one", "two"],
                 )
 
-    every = of_many.select("doc", "sig", "at", "text").mapInArrow(each, "doc bigint, sig bigint, at bigint, place int, one bigint, two bigint")
-    recurring = every.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return every.join(recurring, ["one", "two"]).groupBy("doc", "sig", "at").agg(F.collect_set("place").alias("places"))
+    rows = of_many.select("doc", "sig", "at", F.size("places").alias("n"), "text")
+    every = rows.mapInArrow(each, "doc bigint, sig bigint, at bigint, n int, place int, one bigint, two bigint")
+    # written, so that the join below reads both sides from a shuffle and a hot window can be split
+    recurring = written(every.groupBy("one", "two").agg(F.sum("n").alias("n")).where("n > 1").drop("n"), "windows")
+    return every.join(recurring, ["one", "two"]).groupBy("doc", "sig", "at").agg(F.collect_set("place").alias("recurring"))
 
 
 def places(of_spans: DataFrame, window: int) -> DataFrame:
@@ -167,8 +180,8 @@ def places(of_spans: DataFrame, window: int) -> DataFrame:
     many = F.col("salts") > 1
     masks = _confirmed_widely(of_spans.where(many), window)
     wide = of_spans.where(many).join(masks, ["doc", "sig", "at"])
-    narrow = of_spans.where(~many).withColumn("places", F.lit(None).cast("array<int>"))
-    names = ["anchor", "salt", "doc", "sig", "at", "text", "places"]
+    narrow = of_spans.where(~many).withColumn("recurring", F.lit(None).cast("array<int>"))
+    names = ["anchor", "salt", "doc", "sig", "places", "text", "recurring"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches):
@@ -205,15 +218,16 @@ def _located(shard: pa.RecordBatch, window: int) -> pa.RecordBatch:
     """Confirm the windows of a shard, compile its phrases, and stream its spans through them."""
     data, found, starts, rows, one, two = _windows(shard.column("text"), window)
     recurs = np.zeros(len(starts), bool)
-    given = shard.column("places")
+    given, listed_at = shard.column("recurring"), shard.column("places")
     counted = given.is_null().to_numpy(zero_copy_only=False)
     inside = np.flatnonzero(counted[rows])
     if len(inside):
         anchor = shard.column("anchor").to_numpy()[rows[inside]]
         order = np.lexsort((two[inside], one[inside], anchor))
         a, b, c = anchor[order], one[inside][order], two[inside][order]
-        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1]) & (c[1:] == c[:-1])
-        recurs[inside[order]] = np.append(same, False) | np.append(False, same)
+        cut = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])))
+        times = np.add.reduceat(listed_at.value_lengths().to_numpy()[rows[inside[order]]], cut)
+        recurs[inside[order]] = np.repeat(times, np.diff(np.append(cut, len(order)))) > 1
     listed = np.flatnonzero(~counted)
     if len(listed):
         lists = given.take(pa.array(listed))
@@ -231,26 +245,36 @@ def _located(shard: pa.RecordBatch, window: int) -> pa.RecordBatch:
     for s, e, n in zip(begins[lo].tolist(), ends[hi - 1].tolist(), (hi - lo).tolist()):
         automaton.add_word(f" {text[s:e].decode()} ", n)
     automaton.make_automaton()
-    out = [[], [], []]
+    out: list[tuple[int, int, int]] = []
     for r in range(shard.num_rows):
         a, b = int(found.first[r]), int(found.first[r + 1])
-        if a == b:
-            continue
-        span = f" {text[begins[a]:ends[b - 1]].decode()} "
-        reached = 0
+        span = f" {text[begins[a]:ends[b - 1]].decode()} " if a < b else ""
+        met = []
         for end, n in automaton.iter(span):
             # the words up to a place in the span are the blanks up to it
             reached = span.count(" ", 0, end + 1) - 1
-            out[0].append(r)
-            out[1].append(reached - n)
-            out[2].append(reached)
-    of, at = pa.array(out[0], pa.int64()), shard.column("at").to_numpy()[np.array(out[0], np.int64)]
+            met.append((reached - n, reached))
+        if met:
+            met = _united(met)
+            out += [(r, *both) for both in _united([(p + x, p + y) for p in listed_at[r].as_py() for x, y in met])]
+    of = pa.array([o[0] for o in out], pa.int64())
     return pa.RecordBatch.from_arrays(
-        [shard.column("doc").take(of), shard.column("sig").take(of), pa.array(at + np.array(out[1], np.int64)), pa.array(at + np.array(out[2], np.int64))],
+        [shard.column("doc").take(of), shard.column("sig").take(of), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())],
         ["doc", "sig", "begin", "end"],
     )
 
 
+def _united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges that overlap or touch made one."""
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted(ranges):
+        if out and begin <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((begin, end))
+    return out
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
     """``docs`` with what recurs removed: ``(row, text, n_words, n_removed)`` per row.
 
@@ -266,7 +290,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = _keyed(docs, id_col, text_col)
     counted = written(anchors(keyed, window), "anchors")
     salts = F.ceil(F.sum("n") / GROUP_SPANS).cast("int")
-    recurring = counted.groupBy("anchor").agg(F.sum("n").alias("n"), salts.alias("salts")).where("n > 1").drop("n")
+    # written, so that the join below reads both sides from a shuffle and a hot anchor can be split
+    recurring = written(counted.groupBy("anchor").agg(F.sum("n").alias("n"), salts.alias("salts")).where("n > 1").drop("n"), "recurring")
     hits = counted.join(recurring, "anchor").groupBy("doc", "sig").agg(F.collect_set(F.struct("anchor", "salts")).alias("hits"))
     of_spans = written(spans(keyed, hits, window), "spans")
     ranges = places(of_spans, window).groupBy("doc", "sig").agg(F.collect_set(F.struct("begin", "end")).alias("ranges"))
