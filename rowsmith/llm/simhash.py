@@ -57,14 +57,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text has fingerprint 0.
     """
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in row_slices(batch, "text"):
-                prints = fingerprints_of(part.column("text"), shingle, seed)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(prints.view(np.int64))], ["id", "fingerprint"])
+    return _with_prints(_known(docs, id_col, text_col), shingle, seed).select("id", "fingerprint")
+
 
+def _known(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(sig, id, text)``: rows by id, with a hash of the text."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(each, "id bigint, fingerprint bigint")
+    return rows.select(F.xxhash64("text").alias("sig"), "id", "text")
 
 
 def _bucket_keys(blocks: int, distance: int) -> list:
@@ -208,3 +207,32 @@ def near_duplicates(
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     of_print = rooted.join(smallest, "root").select("fingerprint", "component")
     return prints.join(of_print, "fingerprint").select("id", "fingerprint", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
+    """``docs``, all columns, with one row of each component of near-duplicates.
+
+    The row with the smallest id stays, and of rows that share it one with the smallest hash of
+    its text; a row with a null id stays only where no row of the component has an id.
+    """
+    prints = cut_lineage(_with_prints(_known(docs, id_col, text_col), shingle, seed))
+    distinct = cut_lineage(prints.select("fingerprint").distinct())
+    labels = components(links(distinct, distance)).select(F.col("node").alias("fingerprint"), "root")
+    rooted = prints.join(labels, "fingerprint", "left").select(F.coalesce("root", "fingerprint").alias("root"), "id", "sig")
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "sig")).alias("first"))
+    stays = first.select(F.col("first.id").alias("__id"), F.col("first.sig").alias("__sig"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("sig"))
+    kept = rows.join(stays, rows["id"].eqNullSafe(stays["__id"]) & (rows["sig"] == stays["__sig"])).dropDuplicates(["id", "sig"])
+    return kept.select("row.*")
+
+
+def _with_prints(rows: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """``(sig, id, fingerprint)`` of rows ``(sig, id, text)``."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in row_slices(batch, "text"):
+                prints = fingerprints_of(part.column("text"), shingle, seed)
+                yield pa.RecordBatch.from_arrays([part.column("sig"), part.column("id"), pa.array(prints.view(np.int64))], ["sig", "id", "fingerprint"])
+
+    return rows.mapInArrow(each, "sig bigint, id bigint, fingerprint bigint")

@@ -275,13 +275,14 @@ def _united(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, rejoin: bool = True) -> DataFrame:
     """``docs`` with what recurs removed: ``(row, text, n_words, n_removed)`` per row.
 
     ``row`` is a struct of all columns but the text, so no name can clash. A word is removed if
     a window of ``window`` consecutive words over it starts anywhere else as well, in the same
     text or another; windows are judged on the input. ``text`` has the words that are left,
-    joined by one space. A null text counts as empty and comes back empty. Rows with null or
+    joined by one space; without ``rejoin`` a text that loses nothing comes back as it was. A null
+    text counts as empty and comes back empty. Rows with null or
     repeated ids and rows that repeat as a whole are judged like any others; copies of a text of
     ``window`` words or more lose it all. An empty table gives an empty one.
     """
@@ -300,14 +301,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in row_slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("row"), *_without(part.column("text"), part.column("ranges"))], names)
+                yield pa.RecordBatch.from_arrays([part.column("row"), *_without(part.column("text"), part.column("ranges"), rejoin)], names)
 
     schema = T.StructType([keyed.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     joined = keyed.join(ranges, ["doc", "sig"], "left").select("row", "text", "ranges")
     return joined.mapInArrow(each, schema)
 
 
-def _without(column: pa.Array, ranges: pa.Array) -> list[pa.Array]:
+def _without(column: pa.Array, ranges: pa.Array, rejoin: bool) -> list[pa.Array]:
     """Texts without the words in ``ranges``, words before, and words removed."""
     data, offsets = text_bytes(column)
     found = words(data, offsets, hashed=False)
@@ -323,7 +324,9 @@ def _without(column: pa.Array, ranges: pa.Array) -> list[pa.Array]:
     kept = []
     for r in range(len(column)):
         a, b = int(found.first[r]), int(found.first[r + 1])
-        if a == b:
+        if not rejoin and removed[a] == removed[b]:
+            kept.append(column[r].as_py())
+        elif a == b:
             kept.append("")
         elif removed[a] == removed[b]:
             kept.append(text[begins[a]:ends[b - 1]].decode())
