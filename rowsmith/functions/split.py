@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+STEPS = 1_000_000
 
-def key_bucket(key: Column, buckets: int, seed: int = 42) -> Column:
+
+def key_bucket(key: Column, buckets: int, seed: int | str = 42) -> Column:
     """Bucket number in 0..buckets-1 from the first eight hex digits of an md5 of key and seed."""
     digest = F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")))
     return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(buckets)).cast("int")
 
 
 def is_holdout(key: Column, share: float = 0.2, seed: int = 42) -> Column:
-    """True for the held-out share of rows, in steps of one percent."""
-    return key_bucket(key, 100, seed) < int(round(share * 100))
+    """True for the held-out share of rows, in steps of a millionth."""
+    return key_bucket(key, STEPS, seed) < int(round(share * STEPS))
 
 
 def fold_number(key: Column, folds: int = 10, seed: int = 42) -> Column:
-    return key_bucket(key, folds, seed)
+    """Fold of a row, from another hash than the one that holds rows out."""
+    return key_bucket(key, folds, f"{seed}|fold")

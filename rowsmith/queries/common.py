@@ -10,13 +10,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def bucket_sql(key: str, buckets: int, seed: int = 42) -> str:
+def bucket_sql(key: str, buckets: int, seed: int | str = 42) -> str:
     """The row bucket of ``functions.split.key_bucket`` in DuckDB."""
     return f"(('0x' || substr(md5(cast({key} AS VARCHAR) || '|{seed}'), 1, 8))::BIGINT % {buckets})"
 
 
 def holdout_sql(key: str) -> str:
-    return f"({bucket_sql(key, 100)} < 20)"
+    return f"({bucket_sql(key, 1_000_000)} < 200000)"
+
+
+def fold_sql(key: str, folds: int) -> str:
+    return bucket_sql(key, folds, "42|fold")
 
 
 # A number in [0, 1) from the part key, and three classes by size.

@@ -17,7 +17,7 @@ from ..sources import registry
 from ..streaming import score_stream as streaming
 from .common import (
     CORNERS, LEVEL, LEVEL_X, LINEAR_EXACT, LINEAR_NOISY, NOISE_2, NOISY_CLASS, PLAIN, SIZE_CLASS, SIZE_ONLY,
-    bucket_sql, holdout_sql, part_frame, table,
+    fold_sql, holdout_sql, part_frame, table,
 )
 
 QUERIES: dict = {}
@@ -333,7 +333,7 @@ def refitted_on_all_rows(spark, sf):
 
 
 @query(
-    f"WITH {_t(SIZE_ONLY, LINEAR_NOISY)}, k AS (SELECT *, {bucket_sql('p_partkey', 5)} AS fold FROM l), "
+    f"WITH {_t(SIZE_ONLY, LINEAR_NOISY)}, k AS (SELECT *, {fold_sql('p_partkey', 5)} AS fold FROM l), "
     f"s AS (SELECT f.fold, {SUMS_1} FROM k, (SELECT DISTINCT fold FROM k) f WHERE k.fold <> f.fold GROUP BY 1) "
     f"SELECT fold::INTEGER AS fold, round(rmse, 5) AS rmse, round(mae, 5) AS mae, n FROM (SELECT k.fold, {SCORES} FROM "
     "(SELECT k.fold, k.target, my + p / a * (x1 - m) AS p FROM k JOIN s USING (fold)) k GROUP BY 1)"

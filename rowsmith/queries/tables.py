@@ -12,7 +12,7 @@ from ..operators.models.voting import majority
 from ..plans.prepare import Settings, fit_preparation, split_target
 from ..session import scratch_path
 from ..sources import csv, registry, sinks
-from .common import bucket_sql, holdout_sql, table
+from .common import fold_sql, holdout_sql, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -85,24 +85,32 @@ def _blank_sql(n):
 # -- sources and sinks ---------------------------------------------------------------------------
 
 CSV_CUSTOMERS = (
-    "SELECT c_custkey, c_name, "
+    "SELECT c_custkey, ' ' || c_name || ' ' AS c_name, 9000000000000000000 + c_custkey AS long_id, "
+    "CASE c_custkey % 4 WHEN 0 THEN 'said \"' || c_name || '\", ok' WHEN 1 THEN 'two' || chr(10) || 'lines' ELSE 'a,b' END AS note, "
     "CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_nationkey::BIGINT END AS nation_key, "
     "CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS acctbal, "
     "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS mktsegment FROM customer"
 )
 
 
+CSV_NOTE = (
+    "CASE c_custkey % 4 WHEN 0 THEN concat('said \"', c_name, '\", ok') WHEN 1 THEN concat('two', chr(10), 'lines') ELSE 'a,b' END"
+)
+
+
 def _customer_csv(spark, sf):
-    """The customer table as CSV files, with missing marks planted and odd headers."""
+    """The customer table as CSV files, with missing marks, quotes, line breaks and long ids planted and odd headers."""
     path = scratch_path(spark, "customers.csv")
     c = table(spark, sf, "customer")
     c.select(
         "c_custkey",
         F.concat(F.lit(" "), "c_name", F.lit(" ")).alias(" c_name "),
+        (F.lit(9000000000000000000) + F.col("c_custkey")).alias("long_id"),
+        F.expr(CSV_NOTE).alias("note"),
         F.when(F.col("c_custkey") % 5 == 0, "N/A").otherwise(F.col("c_nationkey").cast("string")).alias("nation_key"),
         F.when(F.col("c_custkey") % 7 == 0, "null").otherwise(F.col("c_acctbal").cast("string")).alias("acctbal"),
         F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_mktsegment")).alias("mktsegment"),
-    ).write.option("header", True).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option(
+    ).write.option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option(
         "ignoreTrailingWhiteSpace", False
     ).csv(path)
     return path
@@ -114,13 +122,17 @@ def csv_typed_read(spark, sf):
 
 
 @query(
-    "SELECT cast(c_custkey AS VARCHAR) AS c_custkey, c_name, "
+    "SELECT cast(c_custkey AS VARCHAR) AS c_custkey, c_name, cast(9000000000000000000 + c_custkey AS VARCHAR) AS long_id, "
+    "CASE c_custkey % 4 WHEN 0 THEN 'said \"' || c_name || '\", ok' WHEN 1 THEN 'two' || chr(10) || 'lines' ELSE 'a,b' END AS note, "
     "CASE WHEN c_custkey % 5 = 0 THEN 'N/A' ELSE cast(c_nationkey AS VARCHAR) END AS nation_key, "
+    "CASE WHEN c_custkey % 7 = 0 THEN 'null' ELSE 'present' END AS acctbal, "
     "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS mktsegment FROM customer"
 )
 def csv_raw_read(spark, sf):
     raw = csv.read_raw(spark, _customer_csv(spark, sf))
-    return raw.select("c_custkey", "c_name", "nation_key", "mktsegment")
+    # numbers as text differ between the two engines in how they are spelled
+    balance = F.when(F.col("acctbal") == "null", "null").when(F.col("acctbal").rlike(r"^-?\d+(\.\d+)?(E\d+)?$"), "present")
+    return raw.drop(csv.ROW_ORDER).withColumn("acctbal", balance)
 
 
 @query(
@@ -180,16 +192,21 @@ def result_records(spark, sf):
     return sinks.as_records(rows, ["o_orderkey"])
 
 
-@query("SELECT o_orderkey, o_totalprice AS prediction, '[0.25,0.75]' AS probability FROM orders")
+@query(
+    "SELECT o_orderkey, o_totalprice AS prediction, CASE o_orderkey % 3 WHEN 0 THEN 'a \"' || o_orderstatus || '\", b' "
+    "WHEN 1 THEN 'two' || chr(10) || 'lines' ELSE o_orderpriority END AS note, '[0.25,0.75]' AS probability FROM orders"
+)
 def results_csv_download(spark, sf):
     path = scratch_path(spark, "download.csv")
     o = table(spark, sf, "orders")
     sinks.download_csv(
         o.select("o_orderkey", F.col("o_totalprice").alias("prediction"),
+                 F.expr("CASE o_orderkey % 3 WHEN 0 THEN concat('a \"', o_orderstatus, '\", b') "
+                        "WHEN 1 THEN concat('two', chr(10), 'lines') ELSE o_orderpriority END").alias("note"),
                  F.array(F.lit(0.25), F.lit(0.75)).alias("probability")), path)
-    return spark.read.schema("o_orderkey bigint, prediction double, probability string").option(
-        "header", True
-    ).option("escape", "\\").csv(path)
+    return spark.read.schema("o_orderkey bigint, prediction double, note string, probability string").options(
+        header=True, escape='"', multiLine=True
+    ).csv(path)
 
 
 # -- projections and views -------------------------------------------------------------------------
@@ -449,7 +466,7 @@ def holdout_rows(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", split.is_holdout(F.col("o_orderkey")).alias("held_out"))
 
 
-@query(f"SELECT {bucket_sql('o_orderkey', 10)}::INTEGER AS fold, count(*)::BIGINT AS n FROM orders GROUP BY 1")
+@query(f"SELECT {fold_sql('o_orderkey', 10)}::INTEGER AS fold, count(*)::BIGINT AS n FROM orders GROUP BY 1")
 def fold_sizes(spark, sf):
     return table(spark, sf, "orders").groupBy(split.fold_number(F.col("o_orderkey")).alias("fold")).agg(
         F.count(F.lit(1)).alias("n")

@@ -16,6 +16,7 @@ from ..functions.text import MISSING_MARKS, clean_header, is_number, missing_to_
 
 ROW_ORDER = "_row_order"
 CSV_GLOB = "*.[cC][sS][vV]"
+ROOM = 32  # cells beyond the header's that a row is searched for
 
 
 def is_csv_name(name):
@@ -23,10 +24,15 @@ def is_csv_name(name):
     return F.lower(name).rlike(r"\.csv$")
 
 
-def _headers(spark: SparkSession, path: str) -> tuple[list[str], list[str | None]]:
+def _reader(spark: SparkSession, multiline: bool):
+    """Quotes inside quoted cells are doubled, as the usual writers do."""
+    return spark.read.options(escape='"', multiLine=multiline, pathGlobFilter=CSV_GLOB)
+
+
+def _headers(spark: SparkSession, path: str, multiline: bool) -> tuple[list[str], list[str | None]]:
     """Cleaned column names, and the header cells as they are in the file."""
     try:
-        first = spark.read.option("pathGlobFilter", CSV_GLOB).csv(path).first()
+        first = _reader(spark, multiline).csv(path).first()
     except AnalysisException as error:
         if "UNABLE_TO_INFER_SCHEMA" not in str(error):
             raise
@@ -40,12 +46,15 @@ def _headers(spark: SparkSession, path: str) -> tuple[list[str], list[str | None
     return names, list(first)
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Every cell as trimmed text; short rows give NULL cells.
+def read_raw(spark: SparkSession, path: str, multiline: bool = True, trim: bool = True) -> DataFrame:
+    """Every cell as text, trimmed unless ``trim`` is off; short rows give NULL cells.
 
-    All files of a folder must have the same header; a file whose header differs fails the read.
+    All files of a folder must have the same header; a file whose header differs fails the read,
+    and so does a row with more cells than the header. ``multiline`` allows line breaks in quoted
+    cells, for which a file is read by one task; turn it off for large files without any, which
+    are then read in parts.
     """
-    names, header = _headers(spark, path)
+    names, header = _headers(spark, path, multiline)
     checked = all(header)  # an unnamed column has nothing to be compared with
     schema = T.StructType([
         T.StructField(h if checked else f"c{i}", T.StringType()) for i, h in enumerate(header)
@@ -55,16 +64,22 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("n"),
     )
+    line = next(n for n in ("_line", "_the_line", "_line_read") if n not in schema.names)
     rows = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", not checked)
-        .option("pathGlobFilter", CSV_GLOB)
+        _reader(spark, multiline).schema(T.StructType([*schema.fields, T.StructField(line, T.StringType())]))
+        .options(header=True, enforceSchema=not checked, columnNameOfCorruptRecord=line)
         .csv(path)
     )
-    return rows.select(
-        *[F.trim(F.col(f"`{f.name}`")).alias(n) for f, n in zip(schema.fields, names)], place.alias(ROW_ORDER)
-    )
+    # The reader marks rows whose number of cells is not the header's, short ones too. Those are
+    # read again with room for more cells.
+    wide = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + ROOM)])
+    cells = F.from_csv(F.col(line), wide.simpleString()[7:-1].replace(":", " "), {"escape": '"'})
+    beyond = F.coalesce(*[cells[f"c{i}"] for i in range(len(names), len(names) + ROOM)])
+    text = F.concat(F.lit(f"a row has more cells than the header of {path}: "), F.col(line))
+    checked_cell = lambda c: F.when(F.col(line).isNotNull() & beyond.isNotNull(), F.raise_error(text)).otherwise(c)
+    values = [F.col(f"`{f.name}`") for f in schema.fields]
+    values = [F.trim(v) for v in values] if trim else values
+    return rows.select(*[checked_cell(v).alias(n) for v, n in zip(values, names)], place.alias(ROW_ORDER))
 
 
 def infer_types(raw: DataFrame, marks: tuple[str, ...] = MISSING_MARKS) -> T.StructType:
@@ -76,7 +91,7 @@ def infer_types(raw: DataFrame, marks: tuple[str, ...] = MISSING_MARKS) -> T.Str
         checks += [
             F.count(cell).alias(f"n{i}"),
             F.bool_and(is_number(cell) & ~cell.contains("_")).alias(f"num{i}"),
-            F.bool_and(cell.rlike(r"^\s*[+-]?\d{1,18}\s*$")).alias(f"int{i}"),
+            F.bool_and(F.when(cell.isNotNull(), cell.rlike(r"^\s*[+-]?\d+\s*$") & F.trim(cell).try_cast("bigint").isNotNull())).alias(f"int{i}"),
             F.bool_and(F.lower(cell).isin("true", "false")).alias(f"bool{i}"),
         ]
     seen = raw.agg(*checks).first()
@@ -111,9 +126,9 @@ def apply_types(raw: DataFrame, schema: T.StructType, marks: tuple[str, ...] = M
     return raw.select(*columns, *extra)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Typed read. A stored ``schema`` (a contract) saves the inference pass over the file."""
-    raw = read_raw(spark, path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, multiline: bool = True) -> DataFrame:
+    """Typed read; blanks around text are kept. A stored ``schema`` (a contract) saves the inference pass."""
+    raw = read_raw(spark, path, multiline, trim=False)
     return apply_types(raw, schema or infer_types(raw))
 
 

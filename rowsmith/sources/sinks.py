@@ -47,9 +47,9 @@ def as_records(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def download_csv(df: DataFrame, path: str) -> None:
-    """Result rows as CSV files with a header; nested columns as JSON text."""
+    """Result rows as CSV files with a header, quotes doubled; nested columns as JSON text."""
     flat = [
         F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(f"`{c}`")
         for c, t in df.dtypes
     ]
-    df.select(*flat).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*flat).write.mode("overwrite").options(header=True, escape='"').csv(path)

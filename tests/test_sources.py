@@ -109,3 +109,33 @@ def test_awkward_names(spark):
 def test_records_keep_missing_fields(spark):
     df = spark.createDataFrame([(1, None)], "a int, b string")
     assert sinks.as_records(df).first()["record"] == '{"a":1,"b":null}'
+
+
+def test_csv_with_doubled_quotes_line_breaks_and_long_ids(spark, tmp_path):
+    path = write(tmp_path / "q.csv", 'a,b,id\n"he said ""x"", ok",1,9223372036854775806\n"two\nlines",2,9223372036854775807\n')
+    df = csv.read_csv(spark, path)
+    assert [f.dataType.simpleString() for f in df.schema.fields[:3]] == ["string", "bigint", "bigint"]
+    assert [tuple(r)[:3] for r in df.orderBy("b").collect()] == [('he said "x", ok', 1, 9223372036854775806), ("two\nlines", 2, 9223372036854775807)]
+    too_long = csv.read_csv(spark, write(tmp_path / "l.csv", "id\n9223372036854775808\n1\n"))
+    assert too_long.schema["id"].dataType.simpleString() == "double"
+
+
+@pytest.mark.parametrize("multiline", [True, False])
+def test_rows_wider_than_the_header_fail_the_read(spark, tmp_path, multiline):
+    for i, bad in enumerate(("1,2,3", "1,2,,,5")):
+        path = write(tmp_path / f"w{i}.csv", f"a,b\n{bad}\n4\n")
+        with pytest.raises(Exception, match="more cells"):
+            csv.read_raw(spark, path, multiline).collect()
+    assert csv.read_raw(spark, write(tmp_path / "s.csv", "a,b\n1\n2,3\n"), multiline).count() == 2
+
+
+def test_typed_text_keeps_its_blanks(spark, tmp_path):
+    path = write(tmp_path / "b.csv", "a,b\n x ,1\n")
+    assert csv.read_csv(spark, path).first()["a"] == " x " and csv.read_raw(spark, path).first()["a"] == "x"
+
+
+def test_downloads_double_quotes(spark, tmp_path):
+    df = spark.createDataFrame([('a "b", c', 1)], "t string, n int")
+    sinks.download_csv(df, str(tmp_path / "d.csv"))
+    text = "".join(p.read_text() for p in (tmp_path / "d.csv").glob("part-*"))
+    assert '"a ""b"", c",1' in text
