@@ -14,6 +14,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReader
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 from ...errors import ModelNotFound, UnsuitableTarget
 
 UNROLLED = 64       # dot products up to this width are written out for code generation
-MAX_SQUARE = 2_000  # widest feature vector whose square matrix is gathered
 ROWS_PER_TASK = 10_000
 DIRECT_PARTS = 64       # arrays of sums the driver adds up directly
 GATHER_BYTES = 256 << 20  # and their total size
@@ -38,6 +38,7 @@ class Frame:
     key: str = "key"
     n_classes: int = 0
     seed: int = 42
+    widest_square: int = 2_000  # widest feature vector whose square matrix is gathered
 
     @cached_property
     def _size(self) -> tuple[int, int]:
@@ -68,8 +69,10 @@ class Frame:
         )
 
     def check_square(self, width: int | None = None) -> None:
-        if (width or self.width) > MAX_SQUARE:
-            raise UnsuitableTarget(f"more than {MAX_SQUARE} features: too wide for a square matrix of sums")
+        if (width or self.width) > self.widest_square:
+            raise UnsuitableTarget(
+                f"more than {self.widest_square} features: too wide for a square matrix of sums; see Settings.widest_square"
+            )
 
     @cached_property
     def _summary(self) -> tuple[np.ndarray, np.ndarray]:
@@ -249,7 +252,9 @@ class Fitted:
 def load_fitted(spark: SparkSession, path: str) -> Fitted:
     try:
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    except Exception as error:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise ModelNotFound(path) from error
     module, name = meta["class"].split(":")
     parts = {

@@ -152,7 +152,7 @@ def _nearest(queries: pa.Table, train: pa.Table, k: int, schema: pa.Schema) -> p
 
 
 class Neighbours(Fitted):
-    """Nearest training rows of each scored row; class vote or mean label."""
+    """Nearest training rows of each scored row, whatever its key; class vote or mean label."""
 
     def nearest(self, df: DataFrame, key: str) -> DataFrame:
         """(key, near): ``near`` lists up to k (distance squared, key, label) in order."""
@@ -238,7 +238,10 @@ class Neighbours(Fitted):
         return first.withColumnRenamed("q", key)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        key = self.state["key"]
+        # scored rows need not have a key, and keys may repeat: each row gets a number of its own,
+        # written down so that it stays the same
+        key = "_scored_row"
+        df = cut_lineage(df.withColumn(key, F.monotonically_increasing_id()))
         near = self.nearest(df, key)
         k, classes = self.state["k"], self.state["classes"]
         labels = F.transform("near", lambda n: n["y"])
@@ -255,7 +258,7 @@ class Neighbours(Fitted):
                 (F.array_position("_votes", F.array_max("_votes")) - 1).cast("double").alias("prediction"),
                 shares(F.col("_votes")).alias("probability"),
             )
-        return df.join(answer, key, "left")
+        return df.join(answer, key, "left").drop(key)
 
 
 def neighbours(frame: Frame, k: int = 5, leaf_rows: int = LEAF_ROWS) -> Neighbours:

@@ -26,19 +26,12 @@ from pyspark.sql.functions import pandas_udf
 from ...session import cut_lineage, use_shared_folder
 from .base import UNROLLED, Fitted, Frame, features_array, first_max, shares
 
-MAX_NODES = 1 << 22   # nodes of one fitted model, which the driver holds
 CHECKPOINT_ROUNDS = 10
 
-
-def tree_depth(rows: int, trees: int) -> int:
-    """Depth limit: the learner's own limit of 30 unless the model could outgrow the driver.
-
-    Trees end at pure leaves, so a tree has at most two nodes per row; only where that many
-    nodes would be too many is the depth cut.
-    """
-    if trees * 2 * rows <= MAX_NODES:
-        return 30
-    return max(5, min(30, int(math.log2(MAX_NODES / trees)) - 1))
+# Depth limits, the same for tables of any size. Trees end earlier at pure leaves. The driver holds
+# the nodes of a fitted model: at most 2^21 for one tree, 2^22 for a hundred.
+TREE_DEPTH = 20
+FOREST_DEPTH = 14
 
 
 class MlModel(Fitted):
@@ -78,33 +71,31 @@ def logistic_regression(frame: Frame, cost: float = 1.0) -> MlModel:
     )
 
 
-def decision_tree_classifier(frame: Frame, depth: int | None = None, bins: int = 255) -> MlModel:
-    depth = depth or tree_depth(frame.rows, 1)
+def decision_tree_classifier(frame: Frame, depth: int = TREE_DEPTH, bins: int = 255) -> MlModel:
     return _fit(DecisionTreeClassifier(maxDepth=depth, maxBins=bins, seed=frame.seed), frame)
 
 
-def decision_tree_regressor(frame: Frame, depth: int | None = None, bins: int = 255) -> MlModel:
-    depth = depth or tree_depth(frame.rows, 1)
+def decision_tree_regressor(frame: Frame, depth: int = TREE_DEPTH, bins: int = 255) -> MlModel:
     return _fit(DecisionTreeRegressor(maxDepth=depth, maxBins=bins, seed=frame.seed), frame)
 
 
-def _forest_settings(frame: Frame, trees: int, depth: int | None) -> dict:
+def _forest_settings(frame: Frame, trees: int, depth: int) -> dict:
     return dict(
-        numTrees=trees, maxDepth=depth or tree_depth(frame.rows, trees), maxBins=128,
+        numTrees=trees, maxDepth=depth, maxBins=128,
         subsamplingRate=1.0, seed=frame.seed, maxMemoryInMB=512,
     )
 
 
-def random_forest_classifier(frame: Frame, trees: int = 100, depth: int | None = None) -> MlModel:
+def random_forest_classifier(frame: Frame, trees: int = 100, depth: int = FOREST_DEPTH) -> MlModel:
     settings = _forest_settings(frame, trees, depth)
     return _fit(RandomForestClassifier(featureSubsetStrategy="sqrt", **settings), frame)
 
 
-def random_forest_regressor(frame: Frame, trees: int = 100, depth: int | None = None) -> MlModel:
+def random_forest_regressor(frame: Frame, trees: int = 100, depth: int = FOREST_DEPTH) -> MlModel:
     return _fit(RandomForestRegressor(featureSubsetStrategy="all", **_forest_settings(frame, trees, depth)), frame)
 
 
-def bagging_classifier(frame: Frame, trees: int = 10, depth: int | None = None) -> MlModel:
+def bagging_classifier(frame: Frame, trees: int = 10, depth: int = FOREST_DEPTH) -> MlModel:
     """Full trees on bootstrap samples over all features; class shares are averaged."""
     settings = _forest_settings(frame, trees, depth)
     return _fit(RandomForestClassifier(featureSubsetStrategy="all", bootstrap=True, **settings), frame)
@@ -213,7 +204,7 @@ class ExtraTrees(Fitted):
         return df.select(*keep, first_max(mean).alias("prediction"), F.array(*mean).alias("probability"))
 
 
-def _extra_trees(frame: Frame, learner, subset: str, trees: int, binnings: int, cuts: int, depth) -> ExtraTrees:
+def _extra_trees(frame: Frame, learner, subset: str, trees: int, binnings: int, cuts: int, depth: int) -> ExtraTrees:
     d = frame.width
 
     x = features_array()
@@ -222,7 +213,7 @@ def _extra_trees(frame: Frame, learner, subset: str, trees: int, binnings: int,
     each = max(1, math.ceil(trees / binnings))
     settings = dict(
         featuresCol="_binned", numTrees=each, bootstrap=False, subsamplingRate=1.0, featureSubsetStrategy=subset,
-        maxBins=cuts + 1, maxDepth=depth or tree_depth(frame.rows, trees), maxMemoryInMB=512,
+        maxBins=cuts + 1, maxDepth=depth, maxMemoryInMB=512,
     )
     sets = [
         [np.sort(rng.uniform(ends[f"lo{j}"], ends[f"hi{j}"], cuts)).tolist() for j in range(d)]
@@ -235,7 +226,7 @@ def _extra_trees(frame: Frame, learner, subset: str, trees: int, binnings: int,
     )
 
 
-def extra_trees_classifier(frame: Frame, trees: int = 100, binnings: int = 10, cuts: int = 31, depth=None) -> ExtraTrees:
+def extra_trees_classifier(frame: Frame, trees: int = 100, binnings: int = 10, cuts: int = 31, depth: int = FOREST_DEPTH) -> ExtraTrees:
     """Splits at random cut points: ``binnings`` random sets of cuts, an unbagged forest on each.
 
     An approximation: cut points are drawn per set, not per node.
@@ -243,7 +234,7 @@ def extra_trees_classifier(frame: Frame, trees: int = 100, binnings: int = 10, c
     return _extra_trees(frame, RandomForestClassifier, "sqrt", trees, binnings, cuts, depth)
 
 
-def extra_trees_regressor(frame: Frame, trees: int = 100, binnings: int = 10, cuts: int = 31, depth=None) -> ExtraTrees:
+def extra_trees_regressor(frame: Frame, trees: int = 100, binnings: int = 10, cuts: int = 31, depth: int = FOREST_DEPTH) -> ExtraTrees:
     return _extra_trees(frame, RandomForestRegressor, "all", trees, binnings, cuts, depth)
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import UnsuitableTarget
-from ..functions.text import is_blank, is_number
+from ..functions.text import finite_or_null, is_blank, is_number
+from .impute import exact_median
 
 NUMERIC, CATEGORICAL, UNKNOWN = "Numeric", "Categorical", "Unknown"
 REGRESSION, CLASSIFICATION = "Regression", "Classification"
@@ -94,9 +95,9 @@ def infer_tasks(df: DataFrame, names: list[str] | None = None, strict: bool = Fa
 
 
 def missing_in_target(df: DataFrame, target: str) -> DataFrame:
-    """Missing target cells before a fill, and after it (always none)."""
+    """Missing target cells before the fill with the median, and after it; the median of none is none."""
     cell = F.col(f"`{target}`").cast("double")
-    gone = cell.isNull() | F.isnan(cell)
+    filled = F.coalesce(finite_or_null(cell), F.lit(exact_median(df, target)).cast("double"))
     return df.agg(
-        F.count_if(gone).alias("missing_before"), F.lit(0).cast("bigint").alias("missing_after")
+        F.count_if(cell.isNull() | F.isnan(cell)).alias("missing_before"), F.count_if(filled.isNull()).alias("missing_after")
     )

@@ -23,7 +23,7 @@ from ..operators.impute import exact_median
 from ..operators.profile import CLASSIFICATION, REGRESSION
 from ..session import cut_lineage
 
-MAX_CLASSES = 1_000  # beyond this a target is not a class label
+RESERVED = frozenset(("features", "label", "held_out", "prediction", "probability"))  # columns a run adds
 
 
 @dataclass(frozen=True)
@@ -38,10 +38,14 @@ class Settings:
     holdout: float = 0.2
     evaluate_on: str = "holdout"        # or "train"
     coerce_numeric: tuple[str, ...] = ()  # mixed columns read as numbers, other cells missing
+    most_classes: int = 1_000     # a target with more values is taken to be a number
+    widest_square: int = 2_000    # features beyond which no square matrix of sums is gathered
 
     def __post_init__(self):
         if self.task not in (REGRESSION, CLASSIFICATION):
             raise UnsuitableTarget(f"unknown task {self.task!r}")
+        if self.key in RESERVED:
+            raise ContractViolation(f"a key cannot be named {self.key!r}")
 
 
 @dataclass
@@ -87,7 +91,13 @@ class Preparation:
         self.check(df)
         s = self.settings
         keep = keep or []
-        inner = {f: f"c{i}" for i, f in enumerate(self.used)}
+        if taken := sorted(RESERVED & set(keep)):
+            raise ContractViolation(f"kept columns cannot be named {taken}")
+        # names for the features that no key or kept column has
+        prefix = "c"
+        while any(name.startswith(prefix) for name in (s.key, *keep)):
+            prefix = f"_{prefix}"
+        inner = {f: f"{prefix}{i}" for i, f in enumerate(self.used)}
         target = [F.col(f"`{s.target}`").alias("_target")] if with_label else []
         have_key = [F.col(f"`{s.key}`").alias(s.key)] if s.key in df.columns else []
         frame = df.select(
@@ -190,10 +200,10 @@ def _target_classes(df: DataFrame, s: Settings) -> tuple[list[str], str]:
     order = F.min(place_of(list(s.order_by or (s.key,)))) if text else F.first(target)
     seen = (
         df.where(target.isNotNull()).groupBy(target.cast("string").alias("value")).agg(order.alias("first"))
-        .orderBy("first").limit(MAX_CLASSES + 1).collect()
+        .orderBy("first").limit(s.most_classes + 1).collect()
     )
-    if len(seen) > MAX_CLASSES:
-        raise UnsuitableTarget(f"{s.target!r} has more than {MAX_CLASSES} classes: a number to be regressed?")
+    if len(seen) > s.most_classes:
+        raise UnsuitableTarget(f"{s.target!r} has more than {s.most_classes} classes: a number to be regressed?")
     if len(seen) < 2:
         raise UnsuitableTarget(f"{s.target!r} has fewer than two classes")
     return [r["value"] for r in seen], kind

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import threading
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 
 from pyspark import StorageLevel, inheritable_thread_target
@@ -17,7 +17,7 @@ from ..operators import evaluate
 from ..operators.models.base import Fitted, Frame, spread
 from ..operators.models.voting import voting_classifier
 from ..operators.profile import CLASSIFICATION
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from .prepare import Preparation, Settings, fit_preparation
 from .zoo import models_for
 
@@ -41,6 +41,7 @@ class Run:
     run_id: str
     preparation: Preparation
     prepared: DataFrame                    # key, features, label, held_out
+    source: DataFrame | None = None        # the rows as given
     models: dict[str, Fitted] = field(default_factory=dict)
     board: DataFrame | None = None
 
@@ -78,7 +79,7 @@ def new_run_id() -> str:
 
 
 def frame_of(df: DataFrame, prep: Preparation) -> Frame:
-    return Frame(df, prep.settings.key, len(prep.classes), prep.settings.seed)
+    return Frame(df, prep.settings.key, len(prep.classes), prep.settings.seed, prep.settings.widest_square)
 
 
 def prepare_run(df: DataFrame, settings: Settings, run_id: str | None = None, keep: str = "memory") -> Run:
@@ -106,7 +107,7 @@ def prepare_run(df: DataFrame, settings: Settings, run_id: str | None = None, ke
         spread_out = spread_out.persist(StorageLevel.MEMORY_AND_DISK)
         spread_out.count()
         prepared.unpersist()
-    return Run(settings, run_id or new_run_id(), prep, spread_out)
+    return Run(settings, run_id or new_run_id(), prep, spread_out, df)
 
 
 def _judge(predicted: DataFrame, task: str) -> list[tuple]:
@@ -188,7 +189,7 @@ def fit_models(
             if fail_fast:
                 raise
             with lock:
-                errors.update({m: f"{type(error).__name__}: {error}"[:2000] for m in members})
+                errors.update({m: f"{type(error).__name__}: {error}" for m in members})
             return
         with lock:
             for m in members:
@@ -209,7 +210,7 @@ def fit_models(
     )
     scores = _scores(spark, run.task, judged)
     s = run.settings
-    run.board = listing.join(F.broadcast(scores), "model", "left").withColumns(
+    run.board = listing.join(scores, "model", "left").withColumns(
         {
             "target_column": F.lit(s.target),
             "time": F.lit(run.run_id),
@@ -224,22 +225,21 @@ def train(df: DataFrame, settings: Settings, names=None, options=None, at_once:
     return fit_models(prepare_run(df, settings, run_id), names, options, at_once)
 
 
-def refit_on_all(run: Run, name: str | None = None, options: dict | None = None) -> Fitted:
-    """Fit a model (the best by default) again on learning and held-out rows together."""
+def refit_on_all(run: Run, name: str | None = None, options: dict | None = None) -> tuple[Preparation, Fitted]:
+    """Fit a model (the best by default) and its preparation again on learning and held-out rows together."""
     if name is None:
         name = run.best().first()["model_name"]
         if name is None:
             raise ModelNotFound("no model is best")
-    return models_for(run.task)[name](frame_of(run.prepared, run.preparation), **(options or {}))
+    prep = fit_preparation(run.source, replace(run.settings, evaluate_on="train"))
+    rows = cut_lineage(prep.apply(run.source, with_label=True))
+    return prep, models_for(run.task)[name](frame_of(rows, prep), **(options or {}))
 
 
 def reevaluate(run_rows: DataFrame, model: Fitted, task: str) -> DataFrame:
-    """Metrics of a (loaded) model on prepared rows: one row."""
+    """Metrics of a (loaded) model on prepared rows: one row with all that a leaderboard has of it."""
     predicted = model.transform(run_rows)
-    if task == CLASSIFICATION:
-        return predicted.agg(evaluate.accuracy(F.col("label"), F.col("prediction")).alias("accuracy"),
-                             F.count(F.lit(1)).alias("n"))
-    return evaluate.regression_scores(predicted)
+    return _scores(run_rows.sparkSession, task, {"model": _judge(predicted, task)}).drop("model")
 
 
 def cross_validate(run: Run, name: str, folds: int = 10, options: dict | None = None, at_once: int = 4) -> DataFrame:

@@ -126,10 +126,10 @@ query(f"SELECT p_partkey, round({LINEAR_EXACT}, 2) AS prediction FROM part", "hu
 LEVELS = {"x": LEVEL_X, "z": NOISE_2}
 for _name, _model, _options in (
     ("decision_tree_regression", "dt", {}),
-    ("random_forest_regression", "rf", {"trees": 50}),
-    ("extra_trees_regression", "et", {"trees": 50}),
-    ("gradient_boosting_regression", "gbr", {"rounds": 20}),
-    ("adaptive_boosting_regression", "ada", {"rounds": 20}),
+    ("random_forest_regression", "rf", {}),
+    ("extra_trees_regression", "et", {}),
+    ("gradient_boosting_regression", "gbr", {}),
+    ("adaptive_boosting_regression", "ada", {}),
 ):
     query(f"SELECT p_partkey, {LEVEL} AS prediction FROM part", _name)(_regression(LEVELS, LEVEL, _model, _options, 4))
 
@@ -232,14 +232,6 @@ def nearest_neighbour_means(spark, sf):
 
 # -- every classifier on classes that are far apart ----------------------------------------------------
 
-QUICK = {
-    "Gradient Boosting Classifier": {"rounds": 20},
-    "HistGradient Boosting Classifier": {"rounds": 20},
-    "Extra Trees Classifier": {"trees": 50},
-    "Multi-layer Perceptron": {"rounds": 100},
-}
-
-
 def slug(name: str) -> str:
     return re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")
 
@@ -250,7 +242,7 @@ def _corners(spark, sf):
 
 def _apart(name):
     def run(spark, sf):
-        out = _predicted(_corners(spark, sf), CLASSIFICATION, name, QUICK.get(name))
+        out = _predicted(_corners(spark, sf), CLASSIFICATION, name)
         return out.select("p_partkey", "target", "prediction_label")
 
     return run
@@ -327,9 +319,9 @@ def refitted_on_all_rows(spark, sf):
     """A model fitted again on learning and held-out rows together."""
     df = part_frame(spark, sf, LINEAR_NOISY, SIZE_ONLY)
     run = prepare_run(df, Settings("target", "p_partkey", REGRESSION))
-    model = refit_on_all(run, "lr")
+    prep, model = refit_on_all(run, "lr")
     run.close()
-    return score(df, run.preparation, model).select("p_partkey", F.round("prediction", 5).alias("prediction"))
+    return score(df, prep, model).select("p_partkey", F.round("prediction", 5).alias("prediction"))
 
 
 @query(

@@ -10,6 +10,7 @@ import re
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ MODELS = "user string, project string, model_name string, run_id string, task st
          "position int, path string, created_at timestamp"
 DEPLOYMENTS = "username string, project string, date_of_deployment string, model_trainer_class string, " \
               "model_name string, target_column_name string, api_required_fields array<string>, " \
-              "api_endpoint string, api_status string"
+              "api_endpoint string, api_status string, endpoint_name string, run_id string, model_key string, deployed_at timestamp"
 
 
 def _safe(name: str) -> str:
@@ -42,7 +43,10 @@ def _run_path(base: str, user: str, project: str, run_id: str) -> str:
 def save_run(
     run: Run, base: str, user: str, project: str, names: list[str] | None = None, at_once: int = 4
 ) -> DataFrame:
-    """Save the preparation and the fitted models of a run and register them."""
+    """Save the preparation, the fitted models and the leaderboard of a run and register them.
+
+    The board's rows are appended to those of earlier runs; see ``leaderboards``.
+    """
     spark = run.prepared.sparkSession
     folder = _run_path(base, user, project, run.run_id)
     run.preparation.save(spark, f"{folder}/preparation")
@@ -61,9 +65,17 @@ def save_run(
             job.result()
     table = spark.createDataFrame(rows, MODELS.rsplit(",", 1)[0]).withColumn("created_at", F.current_timestamp())
     table.write.mode("append").partitionBy("user", "project").parquet(f"{base}/registry/models")
+    if run.board is not None:
+        board = run.leaderboard().withColumns({"user": F.lit(user), "project": F.lit(project), "run_id": F.lit(run.run_id)})
+        board.write.mode("append").partitionBy("user", "project").parquet(f"{base}/registry/leaderboards/{_safe(run.task)}")
     return models(spark, base)
 
 
+def leaderboards(spark: SparkSession, base: str, task: str) -> DataFrame:
+    """The leaderboard rows of all saved runs of a task."""
+    return spark.read.option("mergeSchema", True).parquet(f"{base}/registry/leaderboards/{_safe(task)}")
+
+
 def models(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.schema(MODELS).parquet(f"{base}/registry/models")
 
@@ -75,18 +87,24 @@ def latest(registry: DataFrame) -> DataFrame:
     ).select("user", "project", "model_name", "r.*")
 
 
-def load_model(
-    spark: SparkSession, base: str, user: str, project: str, name: str, run_id: str | None = None
-) -> tuple[Preparation, Fitted]:
-    """Preparation and model by reference; the newest run unless one is named."""
+def _registered(spark: SparkSession, base: str, user: str, project: str, name: str, run_id: str | None):
+    """The registry row of a model, of the newest run unless one is named; None if there is none."""
     try:
         rows = models(spark, base).where(
             (F.col("user") == user) & (F.col("project") == project) & (F.col("model_name") == name)
         )
-        rows = rows if run_id is None else rows.where(F.col("run_id") == run_id)
-        found = latest(rows).first()
-    except Exception as error:
+        return latest(rows if run_id is None else rows.where(F.col("run_id") == run_id)).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise ModelNotFound(f"no registry under {base}") from error
+
+
+def load_model(
+    spark: SparkSession, base: str, user: str, project: str, name: str, run_id: str | None = None
+) -> tuple[Preparation, Fitted]:
+    """Preparation and model by reference; the newest run unless one is named."""
+    found = _registered(spark, base, user, project, name, run_id)
     if found is None:
         raise ModelNotFound(f"{user}/{project}/{name}" + (f" of run {run_id}" if run_id else ""))
     folder = _run_path(base, user, project, found["run_id"])
@@ -110,8 +128,14 @@ def deploy(
     spark: SparkSession, base: str, user: str, project: str, name: str,
     link: str | None = None, required_fields: list[str] | None = None, run_id: str | None = None,
 ) -> DataFrame:
-    """Append a deployment record for a saved model; returns that record."""
-    prep, _ = load_model(spark, base, user, project, name, run_id)
+    """Append a deployment record for a saved model; returns that record.
+
+    The run is fixed when the model is deployed: a later run of the same name changes nothing.
+    """
+    found = _registered(spark, base, user, project, name, run_id)
+    if found is None:
+        raise ModelNotFound(f"{user}/{project}/{name}" + (f" of run {run_id}" if run_id else ""))
+    prep = Preparation.load(spark, f"{_run_path(base, user, project, found['run_id'])}/preparation")
     derived = deployment_columns(F.lit(user), F.lit(name), F.lit(link).cast("string"), F.current_timestamp())
     record = spark.range(1).select(
         F.lit(user).alias("username"),
@@ -123,6 +147,10 @@ def deploy(
         F.array(*[F.lit(f) for f in required_fields or prep.features]).alias("api_required_fields"),
         F.lit(link).cast("string").alias("api_endpoint"),
         derived["api_status"].alias("api_status"),
+        derived["endpoint_name"].alias("endpoint_name"),
+        F.lit(found["run_id"]).alias("run_id"),
+        F.lit(name).alias("model_key"),
+        F.current_timestamp().alias("deployed_at"),
     )
     record.write.mode("append").json(f"{base}/registry/deployments", ignoreNullFields=False)
     return record
@@ -132,6 +160,21 @@ def deployments(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.schema(DEPLOYMENTS).json(f"{base}/registry/deployments")
 
 
+def load_deployed(spark: SparkSession, base: str, endpoint_name: str) -> tuple[Preparation, Fitted]:
+    """Preparation and model of an endpoint, ``<model>_<user>``: of its newest deployment, with the run it was made for."""
+    try:
+        found = deployments(spark, base).where(F.col("endpoint_name") == endpoint_name).agg(
+            F.max_by(F.struct("username", "project", "model_key", "run_id"), F.struct("deployed_at", "run_id")).alias("r")
+        ).first()["r"]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = None
+    if found is None:
+        raise ModelNotFound(f"no endpoint {endpoint_name!r}")
+    return load_model(spark, base, found["username"], found["project"], found["model_key"], found["run_id"])
+
+
 def log_predictions(scored: DataFrame, base: str, user: str, model: str, run_id: str, key: str) -> None:
     """Append scored rows to the prediction log."""
     scored.select(

@@ -18,11 +18,34 @@ def record_schema(prep: Preparation, key_type: T.DataType | None = None) -> T.St
 
 
 def parse_records(lines: DataFrame, schema: T.StructType, column: str = "value") -> DataFrame:
-    """Records by the contract; fields a record lacks are NULL, broken records have no key and are left out."""
+    """Records by the contract; fields a record lacks are NULL. Lines without a key are not records: see ``broken_lines``."""
     rows = lines.select(F.from_json(F.col(column), schema).alias("r")).select("r.*")
     return rows.where(F.col(f"`{schema.fields[0].name}`").isNotNull())
 
 
+def broken_lines(lines: DataFrame, schema: T.StructType, column: str = "value") -> DataFrame:
+    """Lines that are no JSON record or have no key, whole."""
+    record = F.from_json(F.col(column), schema)
+    return lines.where(F.col(column).isNull() | record[schema.fields[0].name].isNull())
+
+
+def score_lines(
+    lines: DataFrame, prep: Preparation, model: Fitted, out: str, rejects: str, checkpoint: str,
+    column: str = "value", available_now: bool = True,
+) -> StreamingQuery:
+    """Score JSON lines as ``score_stream`` does; lines that are no records go to ``rejects/batch=<id>``."""
+    schema = record_schema(prep)
+
+    def one_batch(rows: DataFrame, batch: int) -> None:
+        rows = rows.persist()
+        score(parse_records(rows, schema, column), prep, model).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        broken_lines(rows, schema, column).write.mode("overwrite").parquet(f"{rejects}/batch={batch}")
+        rows.unpersist()
+
+    writer = lines.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def score_stream(
     records: DataFrame, prep: Preparation, model: Fitted, out: str, checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:
