@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -434,6 +435,93 @@ def deployed_model(spark, sf):
     )
 
 
+# -- the complete lists, with default options ------------------------------------------------------------
+
+
+def _listed(names) -> str:
+    rows = ", ".join(f"({i}, '{n}')" for i, n in enumerate(names))
+    return f"(VALUES {rows}) AS m(position, model)"
+
+
+@query(
+    "SELECT model, position::INTEGER AS position, 'fitted' AS status, true AS right, (SELECT count(*) FROM part)::BIGINT AS n "
+    f"FROM {_listed(CLASSIFIERS)}"
+)
+def all_classifiers(spark, sf):
+    """Every classifier of the list on one prepared table, its classes far apart."""
+    run = prepare_run(_corners(spark, sf), Settings("target", "p_partkey", CLASSIFICATION, evaluate_on="train"))
+    board = fit_models(run).leaderboard()
+    run.close()
+    return board.select("model", "position", "status", (F.col("accuracy") >= 0.9).alias("right"), "n")
+
+
+@query(
+    f"WITH {_t(SMOOTH, SMOOTH_TARGET)} SELECT model, position::INTEGER AS position, 'fitted' AS status, true AS right, "
+    f"(SELECT count(*) FROM t WHERE NOT learn)::BIGINT AS n FROM {_listed(models_for(REGRESSION))}"
+)
+def all_regressors(spark, sf):
+    """Every named regressor on one prepared table; the strongest penalties leave no more than the mean."""
+    run = prepare_run(part_frame(spark, sf, SMOOTH_TARGET, SMOOTH), Settings("target", "p_partkey", REGRESSION))
+    board = fit_models(run).leaderboard()
+    run.close()
+    return board.select("model", "position", "status", (F.col("r2") > -0.1).alias("right"), "n")
+
+
+@query(
+    LINE + f", b AS (SELECT {SCORES} FROM (SELECT target, my + p / a * (x1 - m) AS p FROM t, s WHERE NOT learn)) "
+    "SELECT 'ana' AS \"user\", 'sizes' AS project, run_id, 'lr' AS model, round(rmse, 5) AS rmse, n FROM b, "
+    "(VALUES ('20240102030405'), ('20240102030406')) AS r(run_id)"
+)
+def leaderboards_kept(spark, sf):
+    """The boards of two runs, appended when the runs were saved."""
+    base, run = _saved_line(spark, sf)
+    registry.save_run(replace(run, run_id="20240102030406"), base, "ana", "sizes")
+    kept = registry.leaderboards(spark, base, REGRESSION)
+    return kept.select("user", "project", F.col("run_id").cast("string").alias("run_id"), "model", F.round("rmse", 5).alias("rmse"), "n")
+
+
+@query(LINE + " SELECT p_partkey, round(my + p / a * (x1 - m), 5) AS prediction FROM t, s")
+def scored_by_endpoint(spark, sf):
+    """An endpoint keeps the model it was deployed with when a later run has another one of that name."""
+    base, _ = _saved_line(spark, sf)
+    registry.deploy(spark, base, "ana", "sizes", "lr", link="/sizes")
+    later = prepare_run(part_frame(spark, sf, "100e0 - p_size", SIZE_ONLY), Settings("target", "p_partkey", REGRESSION), "20250102030405")
+    registry.save_run(fit_models(later, ["lr"]), base, "ana", "sizes")
+    prep, model = registry.load_deployed(spark, base, "lr_ana")
+    rows = table(spark, sf, "part").select(F.col("p_size").cast("double").alias("p_size"), "p_partkey")
+    return score(rows, prep, model).select("p_partkey", F.round("prediction", 5).alias("prediction"))
+
+
+@query(
+    "SELECT CASE p_partkey % 3 WHEN 0 THEN 'no record ' || cast(p_partkey AS VARCHAR) "
+    "ELSE '{\"p_size\":' || cast(p_size AS VARCHAR) || '}' END AS value FROM part WHERE p_partkey % 3 < 2"
+)
+def stream_rejects(spark, sf):
+    """Lines of a stream that are no records, or have no key, are kept whole."""
+    prep, model = _fitted(part_frame(spark, sf, LINEAR_NOISY, SIZE_ONLY), REGRESSION, "lr")
+    source, out, rejects, state = (scratch_path(spark, n) for n in ("records", "scored", "rejects", "progress"))
+    p = table(spark, sf, "part")
+    line = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("no record "), F.col("p_partkey").cast("string"))).when(
+        F.col("p_partkey") % 3 == 1, F.to_json(F.struct("p_size"))
+    ).otherwise(F.to_json(F.struct("p_partkey", "p_size")))
+    p.select(line.alias("value")).write.text(source)
+    lines = spark.readStream.schema("value string").text(source)
+    streaming.score_lines(lines, prep, model, out, rejects, state).awaitTermination()
+    return spark.read.schema("value string").parquet(rejects).select("value")
+
+
+@query(
+    f"WITH {_t(PLAIN, LINEAR_NOISY)}, {NEAREST} SELECT p_partkey AS part, p_partkey % 10 AS p_partkey, round(avg(target), 5) AS prediction "
+    "FROM n WHERE place <= 5 GROUP BY 1"
+)
+def nearest_neighbour_repeated_keys(spark, sf):
+    """Scored rows whose keys repeat have the neighbours of their own features."""
+    df = part_frame(spark, sf, LINEAR_NOISY, PLAIN)
+    prep, model = _fitted(df, REGRESSION, "knn", {"leaf_rows": 500})
+    rows = df.withColumn("part", F.col("p_partkey")).withColumn("p_partkey", F.col("p_partkey") % 10)
+    return score(rows, prep, model, keep=["part"]).select("part", "p_partkey", F.round("prediction", 5).alias("prediction"))
+
+
 def flagship(spark, sf):
     """Which model predicts the size class best: the leaderboard of a few quick models."""
     run = prepare_run(_noisy(spark, sf), Settings("target", "p_partkey", CLASSIFICATION))
