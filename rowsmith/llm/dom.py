@@ -8,15 +8,24 @@ from html import unescape
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg math select object audio video canvas".split())
+RAW = frozenset(
+    "script style noscript template textarea title iframe xmp noembed noframes svg math select object audio video canvas".split()
+)
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rp rt rtc s samp small span strike strong sub sup time tt u var wbr br img input button".split()
+    "a abbr acronym b bdi bdo big br button cite code data del dfn em font i img input ins kbd label mark nobr q ruby rb rp rt rtc "
+    "s samp small span strike strong sub sup time tt u var wbr".split()
 )
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 CLOSED_BY_BLOCK = "p"
 CLOSES = {  # an element that a start tag ends, and what it is not looked for beyond
-    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)),
-    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tbody": (("tr", "td", "th", "thead", "tbody"), ("table",)), "tfoot": (("tr", "td", "th", "tbody"), ("table",)),
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "tbody": (("tr", "td", "th", "thead", "tbody"), ("table",)),
+    "tfoot": (("tr", "td", "th", "tbody"), ("table",)),
 }
 CONTROLS = frozenset(("input", "button", "textarea", "select", "label"))
 

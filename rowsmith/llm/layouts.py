@@ -70,23 +70,28 @@ class Layout:
         if kind == "menu":
             return self._block(kind, self._links(2, 10))
         if kind == "header":
-            return self._block(kind, f'<a href="/">{self._words(1, 3)}</a>' + (f"<p>{self._words(2, 8)}</p>" if r.random() < 0.5 else "") + (self._part("menu") if r.random() < 0.5 else ""))
+            motto = f"<p>{self._words(2, 8)}</p>" if r.random() < 0.5 else ""
+            return self._block(kind, f'<a href="/">{self._words(1, 3)}</a>' + motto + (self._part("menu") if r.random() < 0.5 else ""))
         if kind == "footer":
             return self._block(kind, r.choice([f"&copy; {self._words(2, 30)}", f"<p>&copy; {self._words(2, 12)}</p>", self._links(2, 8) + f"<p>{self._words(3, 20)}</p>"]))
         if kind == "sidebar":
-            inner = (f"<h3>{self._words(1, 4)}</h3>" if r.random() < 0.5 else "") + r.choice([self._links(2, 8), f"<p>{self._words(5, 60)}</p>", "".join(f'<p><a href="/">{self._words(3, 10)}</a> {self._words(0, 12)}</p>' for _ in range(r.randint(1, 4)))])
-            return self._block(kind, inner)
+            heading = f"<h3>{self._words(1, 4)}</h3>" if r.random() < 0.5 else ""
+            teasers = "".join(f'<p><a href="/">{self._words(3, 10)}</a> {self._words(0, 12)}</p>' for _ in range(r.randint(1, 4)))
+            return self._block(kind, heading + r.choice([self._links(2, 8), f"<p>{self._words(5, 60)}</p>", teasers]))
         if kind == "notice":
-            return self._block(kind, r.choice([self._words(5, 40), f"<p>{self._words(5, 40)}</p><button>{self._words(1, 2)}</button>", f'{self._words(5, 30)} <a href="/">{self._words(1, 3)}</a>']))
+            boxed = f"<p>{self._words(5, 40)}</p><button>{self._words(1, 2)}</button>"
+            return self._block(kind, r.choice([self._words(5, 40), boxed, f'{self._words(5, 30)} <a href="/">{self._words(1, 3)}</a>']))
         if kind == "advert":
             return self._block(kind, r.choice([self._words(2, 25), f'<a href="/">{self._words(2, 12)}</a>', f"<p>{self._words(3, 40)}</p>"]))
         if kind == "form":
-            return self._block(kind, f'<label>{self._words(1, 3)}</label><input name="q">' + (f"<p>{self._words(3, 20)}</p>" if r.random() < 0.6 else self._words(0, 12)) + f"<button>{self._words(1, 2)}</button>")
+            hint = f"<p>{self._words(3, 20)}</p>" if r.random() < 0.6 else self._words(0, 12)
+            return self._block(kind, f'<label>{self._words(1, 3)}</label><input name="q">{hint}<button>{self._words(1, 2)}</button>')
         if kind == "share":
             return self._block(kind, r.choice([self._links(2, 5), self._words(2, 8), f"<span>{self._words(2, 5)}</span> <span>{self._words(1, 4)}</span>"]))
         item = r.choice(["div", "article", "li"])
         comments = "".join(
-            f'<{item}{self._name(["comment", "comment-body", "reply", "comment-item"])}>' + r.choice([f"<b>{self._words(1, 2)}</b>", f"<span>{self._words(1, 3)}</span>", ""]) + f"<p>{self._words(2, 70)}</p></{item}>"
+            f'<{item}{self._name(["comment", "comment-body", "reply", "comment-item"])}>'
+            + r.choice([f"<b>{self._words(1, 2)}</b>", f"<span>{self._words(1, 3)}</span>", ""]) + f"<p>{self._words(2, 70)}</p></{item}>"
             for _ in range(r.randint(1, 8))
         )
         return self._block("comments", (f"<h3>{self._words(1, 3)}</h3>" if r.random() < 0.6 else "") + comments)

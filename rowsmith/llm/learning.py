@@ -17,17 +17,18 @@ def remainder(id_col: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(modulus))
 
 
-def about(df: DataFrame, key: Column, rows: int, of: Column | None = None) -> DataFrame:
+def about(df: DataFrame, key: Column, rows: int, of: Column | None = None, most: int | None = None) -> DataFrame:
     """About ``rows`` rows of ``df`` chosen by a hash of ``key``, or all if there are no more.
 
-    With ``of``, about ``rows`` are chosen for each of its values; the values are those of a
-    label, few enough to be listed.
+    With ``of``, about ``rows`` are chosen for each of its values, but about ``most`` in all; the
+    values are those of a label, few enough to be listed.
     """
     place = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(SAMPLE_STEPS))
     if of is None:
         total = df.count()
         return df if total <= rows else df.where(place < int(SAMPLE_STEPS * rows / total))
     counts = df.groupBy(of.alias("v")).agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = rows if most is None else min(rows, most // max(len(counts), 1))
     allowed = F.lit(False)
     for r in counts:
         share = SAMPLE_STEPS if r["n"] <= rows else int(SAMPLE_STEPS * rows / r["n"])

@@ -27,7 +27,8 @@ from .learning import about
 from .words import row_slices
 
 LAYOUTS = 800       # made-up pages trained on
-SAMPLE_PAGES = 300  # pages of the table trained on, where their markup names the article
+SAMPLE_PAGES = 300  # pages of the table trained on, where their markup names the article,
+SAMPLE_CHARS = 200_000  # if no longer than this (in training only; every page is extracted whole)
 TREES, DEPTH, BINS, RATE, RIDGE = 60, 4, 32, 0.25, 1.0
 SMOOTHING = 4.0     # added to the counts behind a word's weight
 PAGE_SLICE = 2 << 20
@@ -296,7 +297,7 @@ def learn(pages: DataFrame | None = None, id_col: str = "page_id", html_col: str
         read_pages.append(page)
         labels += _labelled(page, layout.main)
     if pages is not None:
-        rows = about(pages.where(F.col(html_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(html_col).alias("html")), F.xxhash64("id"), sample_pages)
+        rows = about(pages.where(F.char_length(html_col) <= SAMPLE_CHARS).select(F.col(id_col).alias("id"), F.col(html_col).alias("html")), F.xxhash64("id"), sample_pages)
         for html in sorted(r["html"] for r in rows.collect()):
             page = read(html)
             named = _named(page)

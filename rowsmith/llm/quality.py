@@ -34,7 +34,8 @@ FEATURES = [
     "repeated_lines", "byte_entropy",
 ]
 LETTERS, CAPITALS, DIGITS, STOPS, SYMBOLS, LINE_ENDS, BLANKS = range(7)
-KIND = np.full(256, SYMBOLS, np.int64)
+KIND = np.full(256, SYMBOLS, np.uint8)
+COUNTED = 1 << 20  # bytes counted at once
 KIND[97:123] = KIND[128:] = LETTERS
 KIND[65:91] = CAPITALS
 KIND[48:58] = DIGITS
@@ -54,9 +55,13 @@ def features(column: pa.Array) -> np.ndarray:
     found = words(LOWER[data], offsets)
     size, count = np.maximum(np.diff(offsets), 1), np.diff(found.first)
     per_word = np.maximum(count, 1)
-    of_byte, of_word = np.repeat(np.arange(rows), np.diff(offsets)), np.repeat(np.arange(rows), count)
-    kind = KIND[data]
-    kinds = np.bincount(of_byte * 7 + kind, minlength=rows * 7).reshape(rows, 7)
+    of_word, kind = np.repeat(np.arange(rows), count), KIND[data]
+    per_byte = np.zeros(rows * 256, np.int64)
+    for at in range(0, len(data), COUNTED):
+        of_byte = np.searchsorted(offsets, np.arange(at, min(at + COUNTED, len(data))), "right") - 1
+        per_byte += np.bincount(of_byte * 256 + data[at:at + COUNTED], minlength=len(per_byte))
+    per_byte = per_byte.reshape(rows, 256)
+    kinds = np.stack([per_byte[:, KIND == k].sum(1) for k in range(7)], axis=1)
     col["words"][:] = np.log1p(count)
     length = (found.ends - found.starts).astype(float)
     col["word_bytes"][:] = np.bincount(of_word, length, rows) / per_word
@@ -71,8 +76,8 @@ def features(column: pa.Array) -> np.ndarray:
         ends = kind[found.ends - 1]
         odd = (ends == SYMBOLS) | ((ends == STOPS) & (data[found.ends - 1] == 33))
         col["odd_ends"][:] = np.bincount(of_word, odd, rows) / per_word
-        letters = np.concatenate([[0], np.cumsum((kind == LETTERS) | (kind == CAPITALS))])
-        small = np.concatenate([[0], np.cumsum(kind == LETTERS)])
+        letters = np.concatenate([[0], np.cumsum((kind == LETTERS) | (kind == CAPITALS), dtype=np.int32)])
+        small = np.concatenate([[0], np.cumsum(kind == LETTERS, dtype=np.int32)])
         lettered = letters[found.ends] - letters[found.starts]
         col["plain_words"][:] = np.bincount(of_word, lettered == length, rows) / per_word
         col["capital_words"][:] = np.bincount(of_word, (lettered > 1) & (small[found.ends] == small[found.starts]), rows) / per_word
@@ -93,7 +98,7 @@ def features(column: pa.Array) -> np.ndarray:
         if len(inner):
             lines = [x for x in data[offsets[r]:offsets[r + 1]].tobytes().split(b"\n") if x.strip()]
             out[r, 19] = 1 - len(set(lines)) / max(len(lines), 1)
-    shares = np.bincount(of_byte * 256 + data, minlength=rows * 256).reshape(rows, 256) / size[:, None]
+    shares = per_byte / size[:, None]
     col["byte_entropy"][:] = -(shares * np.log2(np.where(shares > 0, shares, 1))).sum(1)
     return out
 
@@ -200,7 +205,10 @@ def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
     return AdditiveModel(intercept, cuts, tables, coarse, pairs, pair_tables)
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", only: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> AdditiveModel:
+def learn(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    only: Column | None = None, sample_rows: int = SAMPLE_ROWS,
+) -> AdditiveModel:
     """Fit on about ``sample_rows`` labelled rows (all, if there are no more) where ``only`` holds.
 
     Rows without an id or a label are not learned from; a null text counts as empty. Without any

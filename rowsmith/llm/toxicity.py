@@ -125,7 +125,10 @@ def fit(rows: np.ndarray, hashed: np.ndarray, y: np.ndarray) -> FactorizationMac
     return FactorizationMachine(float(state[0][0]), known, state[1], state[2])
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", only: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> FactorizationMachine:
+def learn(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    only: Column | None = None, sample_rows: int = SAMPLE_ROWS,
+) -> FactorizationMachine:
     """Fit on about ``sample_rows`` labelled rows (all, if there are no more) where ``only`` holds.
 
     Rows without an id or a label are not learned from; a null text counts as empty. Without any

@@ -71,6 +71,13 @@ def page_record(page_id, url, digest: str, payload: bytes, refers_to, date: str,
     return record(fields, block)
 
 
+def _info_record(path: str, date: str) -> bytes:
+    """The record that begins an archive."""
+    name = uuid.uuid5(uuid.NAMESPACE_URL, path)
+    fields = [("WARC-Type", "warcinfo"), ("WARC-Date", date), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("Content-Type", "application/warc-fields")]
+    return record(fields, b"format: WARC File Format 1.1\r\n")
+
+
 class Reader:
     """Records of an open archive, in order: ``(fields, block)`` with fields by lower-case name."""
 
@@ -144,7 +151,8 @@ def write_archives(
         F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"),
     ).select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("bigint").alias("bytes"))
-    owners = (
+    # checkpointed, so that the join below reads both sides from a shuffle and a hot payload can be split
+    owners = cut_lineage(
         rows.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes")
         .agg(F.max("id").alias("owner"), F.count(F.lit(1)).alias("n"))
         .where((F.col("n") > 1) & F.col("owner").isNotNull()).drop("n")
@@ -163,7 +171,7 @@ def write_archives(
                     system, place = opened(path)
                     system.create_dir(place.rpartition("/")[0], recursive=True)
                     out, held, count = system.open_output_stream(place), 0, 0
-                    out.write(_member(record([("WARC-Type", "warcinfo"), ("WARC-Date", date), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, path)}>"), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"), level))
+                    out.write(_member(_info_record(path, date), level))
                 name = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{path}#{count}"))
                 member = _member(page_record(row["id"], row["url"], row["digest"], row["payload"], row["refers"], date, name), level)
                 out.write(member)
@@ -175,7 +183,8 @@ def write_archives(
         if out is not None:
             out.close()
             done.append((path, count))
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["path", "records"])
+        names, counts = [p for p, _ in done], [n for _, n in done]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], ["path", "records"])
 
     return cut_lineage(dealt.mapInArrow(each, "path string, records bigint"))
 
