@@ -120,8 +120,8 @@ def map_sizes(codes: DataFrame) -> dict[str, MapSize]:
     return {r["column"]: MapSize(r["n"], r["b"]) for r in rows}
 
 
-def _lookup_spread(df: DataFrame, column: str, entries: DataFrame, out: str) -> DataFrame:
-    """Join a mapping too large to broadcast.
+def _looked_up(df: DataFrame, text: Column, entries: DataFrame) -> DataFrame:
+    """``df`` with ``_found``, the ``answer`` of the row's ``text`` among entries (asked, answer, rows) too many to broadcast.
 
     The most frequent values go in a broadcast of at most ``HOT_VALUES`` entries. Rows
     they answer, and rows without a value, carry a spread-out key that matches nothing,
@@ -129,18 +129,17 @@ def _lookup_spread(df: DataFrame, column: str, entries: DataFrame, out: str) ->
     """
     # only values that hold at least 1/HOT_VALUES of the rows qualify: HOT_VALUES at most
     total = entries.agg(F.sum("rows")).first()[0] or 0
-    frequent = (F.col("rows") * HOT_VALUES >= max(total, 1)) & (F.octet_length("value") <= HOT_BYTES)
-    hot = entries.where(frequent).select(
-        F.col("value").alias("_hv"), F.col("code").alias("_hc")
+    short = (F.octet_length("asked") <= HOT_BYTES) & (F.octet_length(F.col("answer").cast("string")) <= HOT_BYTES)
+    hot = entries.where((F.col("rows") * HOT_VALUES >= max(total, 1)) & short).select(
+        F.col("asked").alias("_hv"), F.col("answer").alias("_hc")
     )
-    cold = entries.select(F.col("value").alias("_cv"), F.col("code").alias("_cc"))
-    text = F.col(f"`{column}`").cast("string")
+    cold = entries.select(F.col("asked").alias("_cv"), F.col("answer").alias("_cc"))
     spread = F.concat(F.lit("\u0000"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("string"))
     return (
         df.join(F.broadcast(hot), text == F.col("_hv"), "left")
         .withColumn("_key", F.when(F.col("_hc").isNotNull() | text.isNull(), spread).otherwise(text))
         .join(cold, F.col("_key") == F.col("_cv"), "left")
-        .withColumn(out, F.coalesce("_hc", "_cc", F.lit(MISSING_CODE)).cast("bigint"))
+        .withColumn("_found", F.coalesce("_hc", "_cc"))
         .drop("_hv", "_hc", "_key", "_cv", "_cc")
     )
 
@@ -167,15 +166,19 @@ def encode(
                 .drop(f"_v{i}", f"_c{i}")
             )
         else:
-            df = _lookup_spread(df, column, entries, out)
+            asked = entries.select(F.col("value").alias("asked"), F.col("code").alias("answer"), "rows")
+            df = _looked_up(df, F.col(f"`{column}`").cast("string"), asked)
+            df = df.withColumn(out, F.coalesce("_found", F.lit(MISSING_CODE)).cast("bigint")).drop("_found")
     return df
 
 
 def decode(df: DataFrame, codes: DataFrame, column: str, code: Column, out: str, size: MapSize) -> DataFrame:
     """Original value of a code; -1 and codes never given are NULL."""
-    entries = codes.where(F.col("column") == column).select(
-        F.col("code").alias("_dc"), F.col("value").alias(out)
-    )
+    entries = codes.where(F.col("column") == column)
+    number = code.cast("bigint")
     if size.small:
-        entries = F.broadcast(entries)
-    return df.join(entries, code.cast("bigint") == F.col("_dc"), "left").drop("_dc")
+        few = entries.select(F.col("code").alias("_dc"), F.col("value").alias(out))
+        return df.join(F.broadcast(few), number == F.col("_dc"), "left").drop("_dc")
+    asked = entries.select(F.col("code").cast("string").alias("asked"), F.col("value").alias("answer"), "rows")
+    given = F.when(number != MISSING_CODE, number.cast("string"))
+    return _looked_up(df, given, asked).withColumnRenamed("_found", out)

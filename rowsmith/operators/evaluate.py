@@ -32,23 +32,17 @@ def confusion_counts(df: DataFrame, by: list[str] | None = None, label="label",
 def confusion_cells(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Every cell of the square matrix over the classes seen as label or prediction, zeros included.
 
-    The cells are spread from an array of classes per model (classes are few), not from a join
-    of two tables.
+    The cells are spread from an array of classes per model; each looks its count up in a join.
     """
     by = by or []
-    pairs = F.collect_list(F.struct("label", "prediction", "n"))
     classes = F.array_sort(F.array_union(F.collect_set("label"), F.collect_set("prediction")))
-    wide = counts.groupBy(*by).agg(pairs.alias("_pairs"), classes.alias("_classes"))
-    cells = wide.select(*by, "_pairs", "_classes", F.explode("_classes").alias("label")).select(
-        *by, "_pairs", "label", F.explode("_classes").alias("prediction")
+    wide = counts.groupBy(*by).agg(classes.alias("_classes"))
+    cells = wide.select(*by, "_classes", F.explode("_classes").alias("label")).select(
+        *by, "label", F.explode("_classes").alias("prediction")
     )
-    hit = F.filter(
-        "_pairs",
-        lambda p: (p["label"] == F.col("label")) & (p["prediction"] == F.col("prediction")),
-    )
-    return cells.select(
-        *by, "label", "prediction",
-        F.coalesce(F.try_element_at(hit, F.lit(1))["n"], F.lit(0)).cast("bigint").alias("n"),
+    known = counts.select(*by, "label", "prediction", F.col("n").alias("_n"))
+    return cells.join(known, [*by, "label", "prediction"], "left").select(
+        *by, "label", "prediction", F.coalesce("_n", F.lit(0)).cast("bigint").alias("n")
     )
 
 

@@ -249,6 +249,8 @@ class PairwiseScores(Fitted):
                     for c in range(k)
                 ]
             )
+        if not s["sigmoid"]:
+            return df.withColumn("prediction", votes).select(*keep, "prediction")
         # P(second of the pair), kept away from 0 and 1
         p = [
             F.least(F.greatest(1 / (1 + F.exp(F.lit(a) * x + F.lit(b))), F.lit(1e-7)), F.lit(1 - 1e-7))
@@ -339,15 +341,15 @@ def _sigmoids(frame: Frame, pairs, columns, w, b, n_folds):
     return ab
 
 
-def _pairwise(frame: Frame, cost_of_pair, fourier, n_folds: int = 5) -> PairwiseScores:
-    """All pairs, each on all rows and without each fold, in the same passes."""
+def _pairwise(frame: Frame, cost_of_pair, fourier, n_folds: int = 5, probability: bool = True) -> PairwiseScores:
+    """All pairs, each on all rows and, for probabilities, without each fold, in the same passes."""
     pairs = list(combinations(range(frame.n_classes), 2))
-    folds = [-1, *range(n_folds)]
+    folds = [-1, *range(n_folds)] if probability else [-1]
     cost = np.repeat(np.asarray(cost_of_pair, dtype=float), len(folds))
     w, b = minimise(frame, _pair_targets(pairs, folds, n_folds), _margin_loss(_ramp), cost, fourier)
     w, b = w.reshape(len(pairs), len(folds), -1), b.reshape(len(pairs), len(folds))
     columns = (lambda x: fourier_map(x, fourier)) if fourier else (lambda x: x)
-    sigmoid = _sigmoids(frame, pairs, columns, w[:, 1:], b[:, 1:], n_folds)
+    sigmoid = _sigmoids(frame, pairs, columns, w[:, 1:], b[:, 1:], n_folds) if probability else np.zeros(0)
     return PairwiseScores(
         {
             "classes": frame.n_classes, "pairs": pairs, "weights": w[:, 0].tolist(), "constants": b[:, 0].tolist(),
@@ -356,10 +358,10 @@ def _pairwise(frame: Frame, cost_of_pair, fourier, n_folds: int = 5) -> Pairwise
     )
 
 
-def svc(frame: Frame, cost: float = 1.0) -> PairwiseScores:
-    """Linear hinge machine per class pair with Platt probabilities."""
+def svc(frame: Frame, cost: float = 1.0, probability: bool = True) -> PairwiseScores:
+    """Linear hinge machine per class pair, with Platt probabilities if asked for."""
     pairs = frame.n_classes * (frame.n_classes - 1) // 2
-    return _pairwise(frame, [cost] * pairs, None)
+    return _pairwise(frame, [cost] * pairs, None, probability=probability)
 
 
 COST_GRID = tuple(10.0 ** (e / 2) for e in range(-2, 7))

@@ -43,7 +43,7 @@ def voting_classifier(frame: Frame, trees: int = 100, members: dict[str, Fitted]
     """
     have = members or {}
     wanted = {
-        "rf": partial(random_forest_classifier, frame, trees), "svc": partial(svc, frame), "knn": partial(knn_classifier, frame),
+        "rf": partial(random_forest_classifier, frame, trees), "svc": partial(svc, frame, probability=False), "knn": partial(knn_classifier, frame),
     }
     frame.rows, frame.parts  # counted once, before the threads start
     inherit = inheritable_thread_target(frame.df.sparkSession)

@@ -418,6 +418,17 @@ def decoded_rows(spark, sf):
     return back.select("o_orderkey", "again")
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE cast(o_custkey % 500 AS VARCHAR) END AS again FROM orders")
+def decoded_rows_many_values(spark, sf):
+    """Decoded without a broadcast of the mapping: frequent codes and rows without one do not meet in a task."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.expr(
+        "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE cast(o_custkey % 500 AS string) END").alias("who"))
+    codes = encode.category_codes(o, ["who"], ["o_orderkey"])
+    large = encode.MapSize(encode.BROADCAST_VALUES + 1, 0)
+    coded = encode.encode(o, codes, ["who"], {"who": large})
+    return encode.decode(coded, codes, "who", F.col("who_code"), "again", large).select("o_orderkey", "again")
+
+
 @query(
     CODES_SQL.format(rows="SELECT * FROM orders WHERE o_orderpriority <> '5-LOW'", column="o_orderpriority")
     + "SELECT o_orderkey, coalesce(code, -1)::BIGINT AS code FROM orders o LEFT JOIN c ON c.value = o.o_orderpriority"
