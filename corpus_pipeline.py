@@ -52,10 +52,9 @@ def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the ids of their pieces, and whether decoding these gives the text back."""
     model = pieces.read_model(PIECE_MODEL)
-    encoded = pieces.encode(docs.select(*COLUMNS), model).select("row.*", "ids")
-    back = pieces.decode(encoded, model)
+    back = pieces.encode_and_decode(docs.select(*COLUMNS), model)
     same = F.col("decoded").eqNullSafe(F.translate("row.text", pieces.BLANK, " "))
-    return back.select(*[f"row.{c}" for c in COLUMNS], F.col("row.ids").alias("pieces"), same.alias("round_trip"))
+    return back.select(*[f"row.{c}" for c in COLUMNS], F.col("ids").alias("pieces"), same.alias("round_trip"))
 
 
 STAGES = [

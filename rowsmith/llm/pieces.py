@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 from ..errors import RowsmithError
 from .words import mix, row_slices
 
-TEXT_SLICE = 4 << 20
-INDEXED = 1 << 20  # characters of segments in one suffix array, unless one segment is longer
+TEXT_SLICE = 2 << 20  # bytes of text encoded at once, unless one text is longer
+INDEXED = 1 << 18     # characters of segments in one suffix array, unless one segment is longer
 BLANK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
@@ -386,8 +386,23 @@ def read_model(path: str) -> Matcher:
         return Model.parse(f.read()).matcher()
 
 
-def _packed(docs: DataFrame, col: str, kind: str) -> DataFrame:
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(col).cast(kind).alias("value"))
+def _packed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Rows with the texts in one of their columns, a few megabytes of text at a time."""
+    for batch in batches:
+        texts = pc.struct_field(batch.column("row"), column).cast(pa.string())
+        both = pa.RecordBatch.from_arrays([batch.column("row"), texts], ["row", "text"])
+        for part in row_slices(both, "text", TEXT_SLICE):
+            yield part.column("row"), part.column("text")
+
+
+def _lists(flat: np.ndarray, offsets: np.ndarray, texts: pa.Array) -> pa.Array:
+    """Ids as one list a text; null for a null text."""
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.astype(np.int32)))
+    return pc.if_else(pc.is_null(texts), pa.scalar(None, lists.type), lists)
 
 
 def encode(docs: DataFrame, matcher: Matcher, text_col: str = "text") -> DataFrame:
@@ -398,14 +413,10 @@ def encode(docs: DataFrame, matcher: Matcher, text_col: str = "text") -> DataFra
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in row_slices(batch, "value", TEXT_SLICE):
-                flat, offsets = matcher.encode(part.column("value"))
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.astype(np.int32)))
-                ids = pc.if_else(pc.is_null(part.column("value")), pa.scalar(None, lists.type), lists)
-                yield pa.RecordBatch.from_arrays([part.column("row"), ids], ["row", "ids"])
+        for rows, texts in _slices(batches, text_col):
+            yield pa.RecordBatch.from_arrays([rows, _lists(*matcher.encode(texts), texts)], ["row", "ids"])
 
-    rows = _packed(docs, text_col, "string")
+    rows = _packed(docs)
     return rows.mapInArrow(each, T.StructType([rows.schema["row"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
@@ -418,9 +429,24 @@ def decode(encoded: DataFrame, matcher: Matcher, ids_col: str = "ids") -> DataFr
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [matcher.decode(ids) for ids in part.column("value").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string())], ["row", "decoded"])
+                rows = batch.column("row").slice(at, 256)
+                texts = [matcher.decode(ids) for ids in pc.struct_field(rows, ids_col).to_pylist()]
+                yield pa.RecordBatch.from_arrays([rows, pa.array(texts, pa.string())], ["row", "decoded"])
 
-    rows = _packed(encoded, ids_col, "array<int>")
+    rows = _packed(encoded)
     return rows.mapInArrow(each, T.StructType([rows.schema["row"], T.StructField("decoded", T.StringType())]))
+
+
+def encode_and_decode(docs: DataFrame, matcher: Matcher, text_col: str = "text") -> DataFrame:
+    """``(row, ids, decoded)``: ``encode`` and ``decode`` in one pass over the texts."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in _slices(batches, text_col):
+            flat, offsets = matcher.encode(texts)
+            ids = _lists(flat, offsets, texts)
+            back = [None if none else matcher.decode(flat[a:b].tolist()) for a, b, none in zip(offsets, offsets[1:], pc.is_null(texts).to_pylist())]
+            yield pa.RecordBatch.from_arrays([rows, ids, pa.array(back, pa.string())], ["row", "ids", "decoded"])
+
+    rows = _packed(docs)
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    return rows.mapInArrow(each, T.StructType([rows.schema["row"], *added]))

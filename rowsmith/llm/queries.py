@@ -39,11 +39,10 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 def op3_sentencepiece(spark: SparkSession, sf: str, model_path: str = PIECE_MODEL) -> DataFrame:
     model = pieces.read_model(model_path)
-    encoded = pieces.encode(table(spark, sf, "documents").select("doc_id", "text"), model).select("row.doc_id", "row.text", "ids")
-    back = pieces.decode(encoded, model).select("row.*", "decoded")
+    back = pieces.encode_and_decode(table(spark, sf, "documents").select("doc_id", "text"), model)
     # what comes back: the text, with blank marks in it read as blanks
-    same = F.col("decoded").eqNullSafe(F.translate("text", pieces.BLANK, " "))
-    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("pieces_hash"), same.alias("round_trip"))
+    same = F.col("decoded").eqNullSafe(F.translate("row.text", pieces.BLANK, " "))
+    return back.select("row.doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("pieces_hash"), same.alias("round_trip"))
 
 
 def op4_warc_archives(spark: SparkSession, sf: str) -> DataFrame:

@@ -89,6 +89,8 @@ def test_round_trip_of_odd_rows(spark, matcher, library):
     rows = pieces.encode(docs_table(spark, given), matcher).select("row.doc_id", "row.text", "ids", "row")
     back = pieces.decode(rows, matcher).collect()
     assert len(back) == len(given)
+    both = pieces.encode_and_decode(docs_table(spark, given), matcher).collect()
+    assert {(str(x["row"]["doc_id"]), str(x["ids"]), x["decoded"]) for x in both} == {(str(x["row"]["row"]["doc_id"]), str(x["row"]["ids"]), x["decoded"]) for x in back}
     for x in back:
         text, ids = x["row"]["text"], x["row"]["ids"]
         assert ids == (None if text is None else library.encode(text))
