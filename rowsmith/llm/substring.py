@@ -155,7 +155,9 @@ def _windows(column: pa.Array, window: int):
 
 
 def _confirmed_widely(of_many: DataFrame, window: int) -> DataFrame:
-    """``(doc, sig, at, recurring)`` for spans of anchors with many spans: which of their windows recur."""
+    """``(key, other, recurring)`` for the distinct texts of spans of anchors with many spans: which windows recur."""
+    # copies of a text are counted before anything else, so a hot passage is a few rows here
+    texts = written(of_many.groupBy("text").agg(F.sum(F.size("places")).alias("n")), "texts")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,23 +165,27 @@ def _confirmed_widely(of_many: DataFrame, window: int) -> DataFrame:
                 _, found, starts, rows, one, two = _windows(part.column("text"), window)
                 of = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc").take(of), part.column("sig").take(of), part.column("at").take(of), part.column("n").take(of),
+                    [part.column("key").take(of), part.column("other").take(of), part.column("n").take(of),
                      pa.array((starts - found.first[rows]).astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
-                    ["doc", "sig", "at", "n", "place", "one", "two"],
+                    ["key", "other", "n", "place", "one", "two"],
                 )
 
-    rows = of_many.select("doc", "sig", "at", F.size("places").alias("n"), "text")
-    every = rows.mapInArrow(each, "doc bigint, sig bigint, at bigint, n int, place int, one bigint, two bigint")
+    every = texts.select(*_text_keys(), "n", "text").mapInArrow(each, "key bigint, other bigint, n bigint, place int, one bigint, two bigint")
     # written, so that the join below reads both sides from a shuffle and a hot window can be split
     recurring = written(every.groupBy("one", "two").agg(F.sum("n").alias("n")).where("n > 1").drop("n"), "windows")
-    return every.join(recurring, ["one", "two"]).groupBy("doc", "sig", "at").agg(F.collect_set("place").alias("recurring"))
+    return written(every.join(recurring, ["one", "two"]).groupBy("key", "other").agg(F.collect_set("place").alias("recurring")), "masks")
+
+
+def _text_keys() -> list:
+    """Two independent hashes that stand for a text."""
+    return [F.xxhash64("text").alias("key"), F.xxhash64(F.lit("other"), F.reverse("text")).alias("other")]
 
 
 def places(of_spans: DataFrame, window: int) -> DataFrame:
     """``(doc, sig, begin, end)``: word ranges of texts under recurring windows, found by automata."""
     many = F.col("salts") > 1
     masks = _confirmed_widely(of_spans.where(many), window)
-    wide = of_spans.where(many).join(masks, ["doc", "sig", "at"])
+    wide = of_spans.where(many).select("*", *_text_keys()).join(masks, ["key", "other"])
     narrow = of_spans.where(~many).withColumn("recurring", F.lit(None).cast("array<int>"))
     names = ["anchor", "salt", "doc", "sig", "places", "text", "recurring"]
 
