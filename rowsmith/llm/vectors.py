@@ -26,7 +26,7 @@ from .graph import components
 from .learning import about
 
 LIST = 10            # neighbours kept at first
-LONGEST_LIST = 40    # neighbours kept at most; the comparison within components covers the rest
+LONGEST_LIST = 20    # neighbours kept at most; the comparison within components covers the rest
 REVERSE = 16         # of those that list a vector, how many meet at it
 BLOCK = 1024         # vectors compared with each other to begin the lists
 SIGNS = 20           # random directions of a block's key
@@ -92,11 +92,16 @@ def _best(u: np.ndarray, v: np.ndarray, s: np.ndarray, keep: int) -> tuple[np.nd
     u, v, s = u[order], v[order], s[order]
     once = np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])) if len(u) else np.zeros(0, bool)
     u, v, s = u[once], v[once], s[once]
-    order = np.lexsort((-s, u))
+    order = np.lexsort((v, -s, u))
     u, v, s = u[order], v[order], s[order]
+    best = _ranks(u) < keep
+    return u[best], v[best], s[best]
+
+
+def _ranks(u: np.ndarray) -> np.ndarray:
+    """Place of each row within its run of equal ``u``."""
     first = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else np.zeros(0, np.int64)
-    rank = np.arange(len(u)) - np.repeat(first, np.diff(np.append(first, len(u))))
-    return u[rank < keep], v[rank < keep], s[rank < keep]
+    return np.arange(len(u)) - np.repeat(first, np.diff(np.append(first, len(u))))
 
 
 def _entries(u: np.ndarray, v: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
@@ -141,22 +146,50 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+LISTS = "u bigint, v bigint, s float, fresh int, rank int, least float"
+
+
 def _cut(entries: DataFrame, threshold: float, longest: int) -> DataFrame:
-    """The best entries of each list; LIST of them, or up to ``longest`` that are over the threshold."""
-    best = entries.groupBy("u", "v").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "v")))
-    return ranked.where(f"rank <= {longest}").where((F.col("rank") <= LIST) | (F.col("s") >= threshold - SLACK)).drop("rank")
+    """The best entries of each list, in the columns of LISTS: LIST of them, or up to ``longest`` that may be links.
+
+    ``fresh`` is 1 for entries that the list did not have before, ``least`` what a new entry of the
+    list has to beat.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _whole_groups(batches, "u"):
+            u, v, s, fresh = (piece.column(c).to_numpy() for c in ("u", "v", "s", "fresh"))
+            order = np.lexsort((fresh, v, u))  # of equal entries the one known before
+            u, v, s, fresh = u[order], v[order], s[order], fresh[order]
+            once = np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))
+            u, v, s, fresh = u[once], v[once], s[once], fresh[once]
+            order = np.lexsort((v, -s, u))
+            u, v, s, fresh = u[order], v[order], s[order], fresh[order]
+            rank = _ranks(u)
+            near = s >= threshold - SLACK
+            keep = (rank < LIST) | (near & (rank < longest))
+            u, v, s, fresh, rank, near = u[keep], v[keep], s[keep], fresh[keep], rank[keep], near[keep]
+            first = np.flatnonzero(rank == 0)
+            size = np.diff(np.append(first, len(u)))
+            last = s[first + size - 1]
+            least = np.where(size < LIST, -2, np.where(near[first + size - 1] & (size < longest), threshold - SLACK, last)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(u), pa.array(v), pa.array(s), pa.array(fresh.astype(np.int32)), pa.array(rank.astype(np.int32)), pa.array(np.repeat(least, size))],
+                ["u", "v", "s", "fresh", "rank", "least"],
+            )
+
+    return entries.select("u", "v", "s", "fresh").repartition("u").sortWithinPartitions("u").mapInArrow(each, LISTS)
 
 
 def _refined(lists: DataFrame, nodes: DataFrame, width: int, threshold: float, longest: int) -> DataFrame:
     """Lists after all neighbours of each vector, and those it is a neighbour of, have met there."""
-    last = lists.groupBy("u").agg(F.min("s").alias("least"), F.count(F.lit(1)).alias("n"))
-    least = F.when((F.col("n") < LIST) | (F.col("least") >= threshold - SLACK), -2.0).otherwise(F.col("least")).cast("float")
-    listing = lists.select(F.col("v").alias("center"), F.col("u").alias("member"), "s", "fresh")
-    listing = listing.withColumn("rank", F.row_number().over(Window.partitionBy("center").orderBy(F.desc("fresh"), F.desc("s"), "member"))).where(f"rank <= {REVERSE}")
-    both = lists.select(F.col("u").alias("center"), F.col("v").alias("member"), "fresh").unionByName(listing.select("center", "member", "fresh"))
-    both = both.groupBy("center", "member").agg(F.max("fresh").alias("fresh"))
-    carried = cut_lineage(nodes.select(F.col("node").alias("member"), "rounded").join(last.select(F.col("u").alias("member"), least.alias("least")), "member"))
+    closest = Window.partitionBy("center").orderBy(F.desc("fresh"), F.desc("s"), "member")
+    listing = lists.select(F.col("v").alias("center"), F.col("u").alias("member"), "s", "fresh").withColumn("place", F.row_number().over(closest))
+    listed = lists.select(F.col("u").alias("center"), F.col("v").alias("member"), "fresh")
+    both = listed.unionByName(listing.where(f"place <= {REVERSE}").select("center", "member", "fresh"))
+    ends = lists.where("rank = 0").select(F.col("u").alias("member"), "least")
+    # written, so that the join below reads both sides from a shuffle and a hub can be split
+    carried = cut_lineage(nodes.select(F.col("node").alias("member"), "rounded").join(ends, "member"))
     sent = both.join(carried, "member").select("center", "member", "fresh", "least", "rounded")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +197,7 @@ def _refined(lists: DataFrame, nodes: DataFrame, width: int, threshold: float, l
             yield _met(piece, width, longest)
 
     met = sent.repartition("center").sortWithinPartitions("center").mapInArrow(each, "u bigint, v bigint, s float")
-    old, new = lists.withColumn("fresh", F.lit(0)), met.withColumn("fresh", F.lit(1))
+    old, new = lists.select("u", "v", "s", F.lit(0).alias("fresh")), met.withColumn("fresh", F.lit(1))
     return cut_lineage(_cut(old.unionByName(new), threshold, longest))
 
 
@@ -187,9 +220,12 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 4096)
 
 def _met(piece: pa.RecordBatch, width: int, longest: int) -> pa.RecordBatch:
     """Compare the members of each center with each other; keep what may enter a list."""
-    center, member = piece.column("center").to_numpy(), piece.column("member").to_numpy()
-    least, fresh = piece.column("least").to_numpy(), piece.column("fresh").to_numpy() > 0
-    x = _unrounded(piece.column("rounded"), width)
+    center, member, fresh = (piece.column(c).to_numpy() for c in ("center", "member", "fresh"))
+    order = np.lexsort((-fresh, member, center))  # a member that lists the center and is listed there comes once
+    order = order[np.append(True, (center[order][1:] != center[order][:-1]) | (member[order][1:] != member[order][:-1]))]
+    piece = piece.take(pa.array(order))
+    center, member, fresh = center[order], member[order], fresh[order] > 0
+    least, x = piece.column("least").to_numpy(), _unrounded(piece.column("rounded"), width)
     first = np.flatnonzero(np.append(True, center[1:] != center[:-1]))
     sizes = np.diff(np.append(first, len(center)))
     u, v, s = [], [], []
@@ -236,7 +272,10 @@ def _counted(rooted: DataFrame, threshold: float, chunk_rows: int = CHUNK) -> Da
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda d: F.struct(F.least(d, chunk).alias("low"), F.greatest(d, chunk).alias("high")))
     dealt = rooted.join(sizes, "root").select("root", F.explode(cells).alias("cell"), chunk.alias("chunk"), "node", "copies", "unit")
-    dealt = dealt.select("root", F.concat_ws("|", "root", "cell.low", "cell.high").alias("group"), (F.col("chunk") == F.col("cell.high")).alias("second"), (F.col("cell.low") == F.col("cell.high")).alias("own"), "node", "copies", "unit")
+    dealt = dealt.select(
+        F.concat_ws("|", "root", "cell.low", "cell.high").alias("group"), (F.col("chunk") == F.col("cell.high")).alias("second"),
+        (F.col("cell.low") == F.col("cell.high")).alias("own"), "node", "copies", "unit",
+    )
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _text_groups(batches, "group"):
