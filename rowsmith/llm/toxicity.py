@@ -21,14 +21,14 @@ from pyspark.sql import types as T
 from .learning import about
 from .words import row_slices, run_hashes, text_bytes, words
 
-SAMPLE_ROWS = 20_000   # labelled rows the machine is fitted on
+SAMPLE_ROWS = 12_000   # labelled rows the machine is fitted on
 HASH_BITS = 22         # terms are hashed to this many bits
 BEGINNINGS = (4, 5)    # bytes of a word's beginnings that are terms as well
 LEAST_ROWS = 3         # rows of the sample a term must be in
-LEAST_DEVIATION = 3.0  # standard deviations its class share must be off, to be a term of the machine
-MOST_TERMS = 16_384    # terms of the machine, those most off first
+LEAST_DEVIATION = 4.0  # standard deviations its class share must be off, to be a term of the machine
+MOST_TERMS = 2_048     # terms of the machine, those most off first
 FACTORS = 8
-STEPS = 400
+STEPS = 200
 RATE = 0.05
 RIDGE = 0.05
 
