@@ -16,7 +16,8 @@ def bucket_sql(key: str, buckets: int, seed: int | str = 42) -> str:
 
 
 def holdout_sql(key: str) -> str:
-    return f"({bucket_sql(key, 1_000_000)} < 200000)"
+    """The share of 0.2: whole percents need the coarse bucket only."""
+    return f"({bucket_sql(key, 100)} < 20)"
 
 
 def fold_sql(key: str, folds: int) -> str:
