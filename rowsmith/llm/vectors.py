@@ -4,10 +4,12 @@ Every distinct vector keeps a list of its nearest neighbours found so far. Lists
 nearest in blocks of vectors whose signs along random directions agree, and are refined by
 joins of neighbours with neighbours: all that list a vector, or are on its list, are compared
 with each other. Lists whose last entry is still over the threshold are saturated and grow.
-Entries over the threshold, checked in double precision, give the components; within a component
-all pairs are compared in blocks, so that every link there is counted however short the lists
-were. A stated sample of vectors is compared with all others to measure what was found, and the
-refinement goes on until enough is.
+Entries over the threshold, checked in double precision, give the components. A list can be full
+of its own component, so vectors with full lists are searched again for neighbours in other
+components only, until no two components join. Within a component all pairs are compared in
+blocks, so that every link there is counted however short the lists were. A stated sample of
+vectors is compared with all others to measure what was found, and the search between components
+goes on until enough is; if the last audit is still below, all vectors are compared with all.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from .graph import components
 from .learning import about
 
 LIST = 10            # neighbours kept at first
-LONGEST_LIST = 20    # neighbours kept at most; the comparison within components covers the rest
+LONGEST_LIST = 20    # neighbours kept at most; the comparison within components and the search between them cover the rest
 REVERSE = 16         # of those that list a vector, how many meet at it
 BLOCK = 1024         # vectors compared with each other to begin the lists
 SIGNS = 20           # random directions of a block's key
@@ -35,7 +37,8 @@ ROUNDS = 6           # refinements between two audits, fewer if little changes
 SETTLED = 0.01       # share of list entries that are new, below which lists are settled
 AUDITED = 256        # vectors compared with all others
 LEAST_RECALL = 0.95  # share of their links that must be found
-AUDITS = 4           # audits before it is given up
+AUDITS = 4           # audits before all vectors are compared with all
+ASKED = 1 << 20      # numbers of the vectors that a task compares with all at once
 SLACK = 0.02         # lists hold rounded vectors: entries this far below the threshold are checked
 CHUNK = 2048         # vectors of one component compared in one task are two chunks at most
 
@@ -109,26 +112,29 @@ def _entries(u: np.ndarray, v: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
 
 
 def _begun(nodes: DataFrame, width: int, seed: int) -> DataFrame:
-    """``(u, v, s)``: neighbours within blocks of vectors in order of their signs along random directions."""
+    """``(u, v, s)``: neighbours of another root within blocks of vectors in order of their signs along random directions."""
     directions = np.random.default_rng(seed).normal(size=(width, SIGNS))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 signs = _matrix(batch.column("unit"), width) @ directions > 0
-                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("rounded"), pa.array(signs @ (1 << np.arange(SIGNS)))], ["node", "rounded", "key"])
+                key = pa.array(signs @ (1 << np.arange(SIGNS)))
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), batch.column("rounded"), key], ["node", "root", "rounded", "key"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, BLOCK):
-            x, node = _unrounded(block.column("rounded"), width), block.column("node").to_numpy()
+            x, node, root = _unrounded(block.column("rounded"), width), block.column("node").to_numpy(), block.column("root").to_numpy()
             s = x @ x.T
-            np.fill_diagonal(s, -2)
+            s[root[:, None] == root] = -2
             keep = min(LIST, len(node) - 1)
             if keep > 0:
                 near = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-                yield _entries(np.repeat(node, keep), node[near].ravel(), np.take_along_axis(s, near, 1).ravel())
+                best = np.take_along_axis(s, near, 1).ravel()
+                other = best > -2
+                yield _entries(np.repeat(node, keep)[other], node[near].ravel()[other], best[other])
 
-    rows = nodes.select("node", "unit", "rounded").mapInArrow(keyed, "node bigint, rounded binary, key bigint")
+    rows = nodes.select("node", "root", "unit", "rounded").mapInArrow(keyed, "node bigint, root bigint, rounded binary, key bigint")
     parts = max(2, rows.sparkSession.sparkContext.defaultParallelism)
     return rows.repartitionByRange(parts, "key", "node").sortWithinPartitions("key", "node").mapInArrow(each, "u bigint, v bigint, s float")
 
@@ -182,15 +188,15 @@ def _cut(entries: DataFrame, threshold: float, longest: int) -> DataFrame:
 
 
 def _refined(lists: DataFrame, nodes: DataFrame, width: int, threshold: float, longest: int) -> DataFrame:
-    """Lists after all neighbours of each vector, and those it is a neighbour of, have met there."""
+    """Lists after all neighbours of each vector, and those it is a neighbour of, have met there; vectors of one root do not."""
     closest = Window.partitionBy("center").orderBy(F.desc("fresh"), F.desc("s"), "member")
     listing = lists.select(F.col("v").alias("center"), F.col("u").alias("member"), "s", "fresh").withColumn("place", F.row_number().over(closest))
     listed = lists.select(F.col("u").alias("center"), F.col("v").alias("member"), "fresh")
     both = listed.unionByName(listing.where(f"place <= {REVERSE}").select("center", "member", "fresh"))
     ends = lists.where("rank = 0").select(F.col("u").alias("member"), "least")
     # written, so that the join below reads both sides from a shuffle and a hub can be split
-    carried = cut_lineage(nodes.select(F.col("node").alias("member"), "rounded").join(ends, "member"))
-    sent = both.join(carried, "member").select("center", "member", "fresh", "least", "rounded")
+    carried = cut_lineage(nodes.select(F.col("node").alias("member"), "root", "rounded").join(ends, "member"))
+    sent = both.join(carried, "member").select("center", "member", "fresh", "least", "root", "rounded")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _whole_groups(batches, "center"):
@@ -219,13 +225,13 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 4096)
 
 
 def _met(piece: pa.RecordBatch, width: int, longest: int) -> pa.RecordBatch:
-    """Compare the members of each center with each other; keep what may enter a list."""
+    """Compare the members of each center that differ in root with each other; keep what may enter a list."""
     center, member, fresh = (piece.column(c).to_numpy() for c in ("center", "member", "fresh"))
     order = np.lexsort((-fresh, member, center))  # a member that lists the center and is listed there comes once
     order = order[np.append(True, (center[order][1:] != center[order][:-1]) | (member[order][1:] != member[order][:-1]))]
     piece = piece.take(pa.array(order))
     center, member, fresh = center[order], member[order], fresh[order] > 0
-    least, x = piece.column("least").to_numpy(), _unrounded(piece.column("rounded"), width)
+    least, root, x = piece.column("least").to_numpy(), piece.column("root").to_numpy(), _unrounded(piece.column("rounded"), width)
     first = np.flatnonzero(np.append(True, center[1:] != center[:-1]))
     sizes = np.diff(np.append(first, len(center)))
     u, v, s = [], [], []
@@ -235,7 +241,7 @@ def _met(piece: pa.RecordBatch, width: int, longest: int) -> pa.RecordBatch:
             place = of[at:at + max(1, (1 << 20) // int(size) ** 2), None] + np.arange(size)
             near = x[place] @ x[place].transpose(0, 2, 1)
             new = fresh[place][:, :, None] | fresh[place][:, None, :]
-            g, i, j = np.nonzero(new & (near > least[place][:, :, None]) & ~np.eye(size, dtype=bool))
+            g, i, j = np.nonzero(new & (near > least[place][:, :, None]) & (root[place][:, :, None] != root[place][:, None, :]))
             u.append(member[place[g, i]])
             v.append(member[place[g, j]])
             s.append(near[g, i, j])
@@ -262,6 +268,97 @@ def _links(lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return near.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(each, "a bigint, b bigint")
 
 
+def _searched(lists: DataFrame | None, nodes: DataFrame, width: int, threshold: float, seed: int) -> DataFrame:
+    """Lists of neighbours of another root, begun with new blocks and refined until they are settled."""
+    begun = [_begun(nodes, width, seed + t).withColumn("fresh", F.lit(1)) for t in range(TABLES)]
+    lists = begun.pop() if lists is None else lists
+    for more in begun:
+        lists = lists.unionByName(more)
+    lists = cut_lineage(_cut(lists, threshold, LIST))
+    longest = LIST
+    for _ in range(ROUNDS):
+        longest = min(2 * longest, LONGEST_LIST)
+        lists = _refined(lists, nodes, width, threshold, longest)
+        counts = lists.agg(F.avg("fresh")).first()[0]
+        if counts is None or counts < SETTLED:
+            break
+    return lists
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components, as ``(node, root)``, after more links ``(a, b)`` of vectors or roots."""
+    return cut_lineage(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)))
+
+
+def _placed(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``nodes`` with the root of each; a vector without a link is its own."""
+    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _joined_across(lists: DataFrame, nodes: DataFrame, roots: DataFrame, width: int, threshold: float, seed: int) -> DataFrame:
+    """Components after vectors whose lists are full have been searched for links with other components.
+
+    A link is in no list only if both ends have nearer ones enough; these may all be in one
+    component each. Lists of the next search leave out the own component, so every pass joins
+    components or is the last.
+    """
+    while True:
+        full = lists.where((F.col("rank") >= LIST - 1) & (F.col("s") >= threshold - SLACK)).select(F.col("u").alias("node")).distinct()
+        asked = cut_lineage(_placed(nodes.select("node", "unit", "rounded").join(full, "node", "left_semi"), roots))
+        if len(asked.select("root").distinct().take(2)) < 2:
+            return roots
+        across = _searched(None, asked, width, threshold, seed)
+        links = cut_lineage(_links(across, asked, threshold))
+        if links.isEmpty():
+            return roots
+        roots, seed = _joined(roots, links), seed + TABLES
+
+
+def _asked(placed: DataFrame, chosen: DataFrame, width: int, threshold: float) -> DataFrame:
+    """``(a, x, y, n)``: how many links the vector ``a`` of root ``x``, one of ``chosen``, has with vectors of root ``y``.
+
+    Both hold ``(node, unit, root)``; every task holds all of ``chosen`` and compares its rows with them.
+    """
+    mine = chosen.select("node", "unit", "root").toArrow().combine_chunks()
+    unit = pa.concat_arrays(mine.column("unit").chunks) if len(mine) else pa.array([], pa.list_(pa.float64()))
+    held = placed.sparkSession.sparkContext.broadcast(
+        (_matrix(unit, width), unit.value_lengths().to_numpy(), mine.column("node").to_numpy(), mine.column("root").to_numpy())
+    )
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, lengths, names, roots = held.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                part = part.take(pa.array(np.argsort(part.column("root").to_numpy(), kind="stable")))
+                x, size = _matrix(part.column("unit"), width), part.column("unit").value_lengths().to_numpy()
+                node, root = part.column("node").to_numpy(), part.column("root").to_numpy()
+                first = np.flatnonzero(np.append(True, root[1:] != root[:-1]))
+                for at in range(0, len(names), 1024):
+                    rows = slice(at, at + 1024)
+                    linked = (asked[rows] @ x.T >= threshold) & (lengths[rows, None] == size) & (names[rows, None] != node)
+                    some = np.flatnonzero(linked.any(1))
+                    counts = np.add.reduceat(linked[some], first, axis=1, dtype=np.int64)
+                    i, j = np.nonzero(counts)
+                    columns = names[rows][some[i]], roots[rows][some[i]], root[first[j]], counts[i, j]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "x", "y", "n"])
+
+    met = placed.select("node", "unit", "root").mapInArrow(each, "a bigint, x bigint, y bigint, n bigint")
+    return cut_lineage(met.groupBy("a", "x", "y").agg(F.sum("n").alias("n")))
+
+
+def _joined_exactly(nodes: DataFrame, roots: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Components after all vectors have been compared with all."""
+    placed = cut_lineage(_placed(nodes.select("node", "unit"), roots))
+    parts = max(1, -(-placed.count() * width // ASKED))
+    part = F.pmod(F.xxhash64("node", F.lit("asked")), F.lit(parts))
+    links = None
+    for k in range(parts):
+        met = _asked(placed, placed.where(part == k), width, threshold).where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        links = met if links is None else links.unionByName(met)
+    return _joined(roots, links)
+
+
 def _counted(rooted: DataFrame, threshold: float, chunk_rows: int = CHUNK) -> DataFrame:
     """``(node, others)``: for vectors of components, the rows of other vectors that link with them.
 
@@ -371,24 +468,20 @@ def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
     numbered = distinct.select(F.monotonically_increasing_id().alias("node"), "unit", "least", "copies")
     # written, so that the numbers of the vectors never change
     nodes = written(numbered.mapInArrow(rounded, "node bigint, unit array<double>, least bigint, copies bigint, rounded binary"), "vectors")
-    lists, rooted = None, None
+    lists, roots = None, None
     for audit in range(AUDITS):
-        begun = [_begun(nodes, width, TABLES * audit + t).withColumn("fresh", F.lit(1)) for t in range(TABLES)]
-        lists = begun.pop() if lists is None else lists
-        for more in begun:
-            lists = lists.unionByName(more)
-        lists = cut_lineage(_cut(lists, threshold, LIST))
-        longest = LIST
-        for _ in range(ROUNDS):
-            longest = min(2 * longest, LONGEST_LIST)
-            lists = _refined(lists, nodes, width, threshold, longest)
-            counts = lists.agg(F.avg("fresh")).first()[0]
-            if counts is None or counts < SETTLED:
-                break
-        roots = components(_links(lists, nodes, threshold))
+        seed = TABLES * AUDITS * audit
+        searched = nodes.withColumn("root", F.col("node")) if roots is None else cut_lineage(_placed(nodes.select("node", "unit", "rounded"), roots))
+        lists = _searched(None, searched, width, threshold, seed)
+        links = _links(lists, nodes, threshold)
+        roots = cut_lineage(components(links)) if roots is None else _joined(roots, links)
+        roots = _joined_across(lists, nodes, roots, width, threshold, seed + TABLES)
         rooted = cut_lineage(nodes.select("node", "unit", "copies").join(roots, "node"))
         if recall(nodes, rooted, width, threshold) >= LEAST_RECALL:
             break
+    else:
+        roots = _joined_exactly(nodes, roots, width, threshold)
+        rooted = cut_lineage(nodes.select("node", "unit", "copies").join(roots, "node"))
     others = _counted(rooted, threshold)
     known = nodes.select("node", "unit", "least", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = cut_lineage(known.join(others, "node", "left").select("unit", "root", "least", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links")))

@@ -71,3 +71,34 @@ def test_recall_counts_links_that_were_missed(spark):
     nodes = spark.createDataFrame(rows, "node bigint, unit array<double>, copies bigint")
     rooted = nodes.where("node < 2").selectExpr("node", "unit", "copies", "0L as root")
     assert vectors.recall(nodes, rooted, 2, 0.95) == pytest.approx(2 / 12)
+
+
+def bridged(sizes, width=32, cosine=0.962):
+    """Groups around directions of one cosine with each other, each far closer within."""
+    r = np.random.default_rng(4)
+    q = np.linalg.qr(r.normal(size=(width, len(sizes) + 1)))[0].T
+    rows = []
+    for k, size in enumerate(sizes):
+        centre = q[0] * math.sqrt(cosine) + q[1 + k] * math.sqrt(1 - cosine)
+        for _ in range(size):
+            rows.append((len(rows), np.float32(centre + r.normal(size=width) * 0.001).tolist()))
+    return rows + [(len(rows) + i, np.float32(r.normal(size=width)).tolist()) for i in range(200)]
+
+
+def linked_as_brute(spark, rows):
+    df = spark.createDataFrame([(i, v, 0, 1, 2, "u") for i, v in rows], SCHEMA).repartition(3)
+    found = vectors.near_duplicates(df, threshold=0.95).collect()
+    return sorted((str(x["id"]), x["n_links"], str(x["component"])) for x in found) == brute(rows, 0.95)
+
+
+@pytest.mark.parametrize("sizes", [(60, 60), (25, 40, 30)])
+def test_groups_longer_than_lists_are_joined(spark, monkeypatch, sizes):
+    monkeypatch.setattr(vectors, "_joined_exactly", None, raising=False)
+    assert linked_as_brute(spark, bridged(sizes))
+
+
+def test_what_the_last_audit_misses_is_found_by_comparing_all(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "AUDITS", 1)
+    monkeypatch.setattr(vectors, "ASKED", 32 * 50)
+    monkeypatch.setattr(vectors, "_joined_across", lambda lists, nodes, roots, *_: roots)
+    assert linked_as_brute(spark, bridged((60, 60)))
