@@ -7,14 +7,16 @@ with each other. Lists whose last entry is still over the threshold are saturate
 Entries over the threshold, checked in double precision, give the components. A list can be full
 of its own component, so vectors with full lists are searched again for neighbours in other
 components only, until no two components join. Within a component all pairs are compared in
-blocks, so that every link there is counted however short the lists were. A stated sample of
-vectors is compared with all others to measure what was found, and the search between components
-goes on until enough is; if the last audit is still below, all vectors are compared with all.
+blocks, so that every link there is counted however short the lists were. A sample of vectors is
+compared with all others to measure what was found: it grows until it holds linked vectors of a
+stated number of components, or is the whole table. The search between components goes on until
+enough is found; if the last audit is still below, all vectors are compared with all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql.window import Window
 from ..session import cut_lineage
 from .files import written
 from .graph import components
-from .learning import about
+from .learning import SAMPLE_STEPS
 
 LIST = 10            # neighbours kept at first
 LONGEST_LIST = 20    # neighbours kept at most; the comparison within components and the search between them cover the rest
@@ -35,8 +37,10 @@ SIGNS = 20           # random directions of a block's key
 TABLES = 3           # keys a vector is blocked by
 ROUNDS = 6           # refinements between two audits, fewer if little changes
 SETTLED = 0.01       # share of list entries that are new, below which lists are settled
-AUDITED = 256        # vectors compared with all others
-LEAST_RECALL = 0.95  # share of their links that must be found
+AUDITED = 256        # vectors compared with all others at first
+GROWTH = 8           # times as many are next, as long as too few of them are linked
+ENOUGH = 32          # components that the linked among them must be of, or all vectors are compared
+LEAST_RECALL = 0.95  # share of their links that must be found, by vector and by component
 AUDITS = 4           # audits before all vectors are compared with all
 ASKED = 1 << 20      # numbers of the vectors that a task compares with all at once
 SLACK = 0.02         # lists hold rounded vectors: entries this far below the threshold are checked
@@ -347,16 +351,56 @@ def _asked(placed: DataFrame, chosen: DataFrame, width: int, threshold: float) -
     return cut_lineage(met.groupBy("a", "x", "y").agg(F.sum("n").alias("n")))
 
 
+@dataclass
+class Audit:
+    """What of the links of a sample is inside components.
+
+    ``by_vector`` is the mean share over the linked vectors, ``by_component`` that over components
+    of their vectors' mean; both are 1 if no vector of the whole table is linked. ``missed`` holds
+    the roots ``(a, b)`` that links of the sample join.
+    """
+
+    by_vector: float
+    by_component: float
+    components: int
+    whole: bool
+    missed: DataFrame
+
+    @property
+    def enough(self) -> bool:
+        return min(self.by_vector, self.by_component) >= LEAST_RECALL
+
+
+def _audited(placed: DataFrame, width: int, threshold: float, audited: int, least: int | None) -> Audit:
+    """Compare about ``audited`` vectors of ``(node, unit, root)`` with all, and more until linked ones of ``least`` components are among them.
+
+    Without ``least``, or if there are not as many, all vectors are compared with all.
+    """
+    total = max(placed.count(), 1)
+    most = max(1, ASKED // width)
+    place = F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(SAMPLE_STEPS))
+    size, upto, found = min(audited, most), 0, None
+    while True:
+        begin, upto = upto, min(SAMPLE_STEPS, upto + max(1, SAMPLE_STEPS * size // total))
+        part = _asked(placed, placed.where((place >= begin) & (place < upto)), width, threshold)
+        found = part if found is None else found.unionByName(part)
+        size = min(size * GROWTH, most)
+        if least is None and upto < SAMPLE_STEPS:
+            continue
+        of_vector = found.groupBy("a", "x").agg((F.sum(F.when(F.col("x") == F.col("y"), F.col("n")).otherwise(0)) / F.sum("n")).alias("share"))
+        of_component = of_vector.groupBy("x").agg(F.sum("share").alias("share"), F.count(F.lit(1)).alias("n"))
+        row = of_component.agg((F.sum("share") / F.sum("n")).alias("by_vector"), F.avg(F.col("share") / F.col("n")).alias("by_component"), F.count(F.lit(1)).alias("components")).first()
+        if upto == SAMPLE_STEPS or row["components"] >= least:
+            break
+    missed = found.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    shares = (row["by_vector"], row["by_component"]) if row["components"] else (1.0, 1.0)
+    return Audit(*shares, row["components"], upto == SAMPLE_STEPS, missed)
+
+
 def _joined_exactly(nodes: DataFrame, roots: DataFrame, width: int, threshold: float) -> DataFrame:
     """Components after all vectors have been compared with all."""
     placed = cut_lineage(_placed(nodes.select("node", "unit"), roots))
-    parts = max(1, -(-placed.count() * width // ASKED))
-    part = F.pmod(F.xxhash64("node", F.lit("asked")), F.lit(parts))
-    links = None
-    for k in range(parts):
-        met = _asked(placed, placed.where(part == k), width, threshold).where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        links = met if links is None else links.unionByName(met)
-    return _joined(roots, links)
+    return _joined(roots, _audited(placed, width, threshold, ASKED, None).missed)
 
 
 def _counted(rooted: DataFrame, threshold: float, chunk_rows: int = CHUNK) -> DataFrame:
@@ -419,25 +463,8 @@ def _text_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Rec
 
 
 def recall(nodes: DataFrame, rooted: DataFrame, width: int, threshold: float, audited: int = AUDITED) -> float:
-    """Share of the links of about ``audited`` vectors, found by comparing them with all, that are in a component."""
-    chosen = about(nodes.select("node", "unit"), F.col("node"), audited).toArrow()
-    if not len(chosen):
-        return 1.0
-    asked, lengths = _matrix(chosen.column("unit").combine_chunks(), width), chosen.column("unit").combine_chunks().value_lengths().to_numpy()
-    names = chosen.column("node").to_numpy()
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                node, size = batch.column("node").to_numpy(), batch.column("unit").value_lengths().to_numpy()
-                linked = (asked @ _matrix(batch.column("unit"), width).T >= threshold) & (lengths[:, None] == size) & (names[:, None] != node)
-                i, j = np.nonzero(linked)
-                yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(node[j])], ["a", "b"])
-
-    true = nodes.select("node", "unit").mapInArrow(each, "a bigint, b bigint")
-    one, two = rooted.select(F.col("node").alias("a"), F.col("root").alias("x")), rooted.select(F.col("node").alias("b"), F.col("root").alias("y"))
-    row = true.join(one, "a", "left").join(two, "b", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") == F.col("y")).alias("found")).first()
-    return row["found"] / row["n"] if row["n"] else 1.0
+    """Mean share, over linked vectors of a sample, of their links that are in a component; see ``_audited``."""
+    return _audited(_placed(nodes.select("node", "unit"), rooted.select("node", "root")), width, threshold, audited, ENOUGH).by_vector
 
 
 def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
@@ -476,12 +503,14 @@ def near_duplicates(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
         links = _links(lists, nodes, threshold)
         roots = cut_lineage(components(links)) if roots is None else _joined(roots, links)
         roots = _joined_across(lists, nodes, roots, width, threshold, seed + TABLES)
-        rooted = cut_lineage(nodes.select("node", "unit", "copies").join(roots, "node"))
-        if recall(nodes, rooted, width, threshold) >= LEAST_RECALL:
+        placed = cut_lineage(_placed(nodes.select("node", "unit"), roots))
+        seen = _audited(placed, width, threshold, AUDITED, ENOUGH)
+        roots = _joined(roots, seen.missed)
+        if seen.whole or seen.enough:
             break
     else:
         roots = _joined_exactly(nodes, roots, width, threshold)
-        rooted = cut_lineage(nodes.select("node", "unit", "copies").join(roots, "node"))
+    rooted = cut_lineage(nodes.select("node", "unit", "copies").join(roots, "node"))
     others = _counted(rooted, threshold)
     known = nodes.select("node", "unit", "least", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = cut_lineage(known.join(others, "node", "left").select("unit", "root", "least", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links")))

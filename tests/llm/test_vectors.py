@@ -102,3 +102,28 @@ def test_what_the_last_audit_misses_is_found_by_comparing_all(spark, monkeypatch
     monkeypatch.setattr(vectors, "ASKED", 32 * 50)
     monkeypatch.setattr(vectors, "_joined_across", lambda lists, nodes, roots, *_: roots)
     assert linked_as_brute(spark, bridged((60, 60)))
+
+
+def alone(seed, n, width=32):
+    return [v.tolist() for v in np.linalg.qr(np.random.default_rng(seed).normal(size=(width, width)))[0][:n]]
+
+
+def test_a_large_group_does_not_hide_missed_pairs(spark):
+    base = alone(1, 31)
+    units = [base[30]] * 300 + [v for v in base[:30] for _ in range(2)]
+    nodes = spark.createDataFrame(list(enumerate(units)), "node bigint, unit array<double>")
+    rooted = nodes.where("node < 300").selectExpr("node", "unit", "0L as root")
+    assert vectors.recall(nodes, rooted, 32, 0.95, 1000) == pytest.approx(300 / 360)
+    seen = vectors._audited(vectors._placed(nodes, rooted.select("node", "root")), 32, 0.95, 1000, 5)
+    assert seen.by_component == pytest.approx(1 / 61) and not seen.enough
+    assert seen.missed.count() == 60
+
+
+def test_a_sample_without_links_is_no_measure(spark):
+    base = alone(2, 32)
+    units = [v for v in base[1:]] + [base[0]] * 2
+    nodes = spark.createDataFrame(list(enumerate(units)), "node bigint, unit array<double>")
+    rooted = nodes.where("false").selectExpr("node", "unit", "0L as root")
+    assert vectors.recall(nodes, rooted, 32, 0.95, 1) == 0
+    seen = vectors._audited(vectors._placed(nodes, rooted.select("node", "root")), 32, 0.95, 1, 5)
+    assert seen.whole and seen.components == 2
