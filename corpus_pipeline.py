@@ -23,13 +23,12 @@ from rowsmith.llm.queries import PIECE_MODEL
 from rowsmith.queries.common import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-FURTHEST = 0.95  # distance (1 - cosine) to the nearest centroid, beyond which a language is rejected
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; the model is learned from the labelled ones."""
-    model = langid.learn(docs.where(remainder("doc_id", 3) != 1), key=F.col("doc_id"))
-    found = langid.identify(docs, model, furthest=FURTHEST)
+    """Documents whose language is recognised; the model and its limits are learned from the labelled ones."""
+    model = langid.learn(docs.where(remainder("doc_id", 3) != 1), key=F.col("doc_id"), limits=True)
+    found = langid.identify(docs, model)
     return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*[f"row.{c}" for c in COLUMNS])
 
 

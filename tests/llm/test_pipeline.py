@@ -81,3 +81,12 @@ def test_no_documents(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.written(stage(spark, docs, path), "stage")
         assert docs.count() == 0
+
+
+def test_texts_of_unlearned_languages_go_and_clean_short_ones_stay(spark):
+    learned = docs_table(spark, list(enumerate(texts("abcdéö", 300, 1))), "xx").unionByName(docs_table(spark, [(1000 + i, t) for i, t in enumerate(texts("mnopñß", 300, 2))], "yy"))
+    far = texts("qrstuv", 5, 3) + texts("привет", 5, 4) + texts("abqrsmnuvzlk", 5, 6)
+    clean = [" ".join(t.split(" ")[:n]) for n in (5, 10, 40) for t in texts("abcdéö", 3, 8) + texts("mnopñß", 3, 9)]
+    asked = docs_table(spark, [(5000 + i, t) for i, t in enumerate(far)] + [(6000 + i, t) for i, t in enumerate(clean)], None)
+    kept = {x["doc_id"] for x in corpus_pipeline.language(spark, learned.unionByName(asked), "").where("doc_id >= 5000").collect()}
+    assert kept == {6000 + i for i in range(len(clean))}
