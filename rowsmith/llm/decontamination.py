@@ -132,7 +132,14 @@ def contaminated(
     )
 
 
-def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, without those that hold an item; null ids are kept."""
-    found = contaminated(docs, items, doc_id=doc_id, **options).select(F.col("doc").alias("__held")).distinct()
-    return docs.join(found, docs[doc_id] == found["__held"], "left_anti")
+def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, without those that hold an item; rows with a null id are told apart by their texts."""
+    found = contaminated(docs, items, doc_id=doc_id, doc_text=doc_text, **options).select(F.col("doc").alias("__held")).distinct()
+    kept = docs.join(found, docs[doc_id] == found["__held"], "left_anti")
+    without = F.col(f"`{doc_id}`").cast("bigint").isNull()
+    text = F.col(f"`{doc_text}`").cast("string")
+    lost = docs.where(without & text.isNotNull()).select(F.xxhash64(text).alias("id"), text.alias("text"))
+    if lost.isEmpty():
+        return kept
+    held = contaminated(lost, items, doc_id="id", doc_text="text", **options).select(F.col("doc").alias("__held")).distinct()
+    return kept.join(held, without & (F.xxhash64(text) == F.col("__held")), "left_anti")

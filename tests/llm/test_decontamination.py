@@ -72,3 +72,10 @@ def test_empty_tables(spark):
     assert decontamination.clean(some, no_items).count() == 1 and decontamination.clean(some, items).count() == 0
     with pytest.raises(ValueError):
         decontamination.contaminated(some, items, similarity=0)
+
+
+def test_rows_without_an_id_are_searched(spark):
+    items = spark.createDataFrame([(1, "a b c d e f g", "", "")], ITEMS)
+    docs = docs_table(spark, [(None, "x a b c d e f g y"), (None, "a b c d e"), (None, None), (1, "a b c d e f g"), (2, "q r s t u v")])
+    kept = decontamination.clean(docs, items).collect()
+    assert sorted(map(str, ((x["doc_id"], x["text"]) for x in kept))) == sorted(map(str, [(None, "a b c d e"), (None, None), (2, "q r s t u v")]))
