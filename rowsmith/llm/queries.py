@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries.common import table
-from . import decontamination, langid, main_text, pieces, quality, simhash, substring, toxicity, vectors, warc
+from . import decontamination, langid, main_text, manifest, pieces, quality, simhash, substring, toxicity, vectors, warc
 from .learning import remainder
 
 
@@ -80,6 +80,24 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(toxicity.score(docs.select("doc_id", "text"), model), remainder("doc_id", 4) == 2, 0.3)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's leaf with its proof; the leaves of some are tampered with and must not verify."""
+    crc = F.crc32(F.col("doc_id").cast("string"))
+
+    def leaf(n_chars: Column) -> list[Column]:
+        return [F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text")]
+
+    tampered = F.when((crc % 7 == 0) & F.col("n_chars").isNotNull(), manifest.digest_of(leaf(F.col("n_chars") + 1)))
+    found = manifest.manifest(
+        table(spark, sf, "documents"), leaf(F.col("n_chars")), group=F.col("lang"), order=F.col("doc_id"), carry={"tampered": tampered},
+    )
+    shown = found.withColumn("folded_root", manifest.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return shown.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", manifest.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_quality": op2_quality,
@@ -91,6 +109,7 @@ QUERIES = {
     "op8_embedding_near_duplicates": op8_embedding_near_duplicates,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 # The distinct runs of five words of a text, A-Z lower-cased.
@@ -101,6 +120,14 @@ SHINGLES = """
                 FROM {table}))
 """
 
+# CRC-32 of a text's bytes, bit by bit.
+CRC32 = """xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))))"""
+
+# A field of a leaf: its length in bytes and its text, or a dash.
+FIELD = "coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')"
+
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": f"""
         WITH d AS ({SHINGLES.format(id="doc_id", table="documents")}),
@@ -134,4 +161,47 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM texts LEFT JOIN kept USING (doc_id)
     """,
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE leaves AS (
+            SELECT doc_id, lang, n_chars IS NOT NULL AND {CRC32.format(text="doc_id::VARCHAR")} % 7 = 0 AS tampered,
+                   sha256(concat({FIELD.format(f="doc_id")}, {FIELD.format(f="source")}, {FIELD.format(f="lang")}, {FIELD.format(f="n_chars")}, {FIELD.format(f="text")})) AS leaf,
+                   sha256(concat({FIELD.format(f="doc_id")}, {FIELD.format(f="source")}, {FIELD.format(f="lang")}, {FIELD.format(f="(n_chars + 1)")}, {FIELD.format(f="text")})) AS other
+            FROM documents
+        ),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+        nodes AS (
+            SELECT lang, 0 AS level, idx, n, leaf AS digest FROM placed
+            UNION ALL
+            SELECT lang, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY lang, level, idx // 2, n
+        ),
+        subroots AS (
+            SELECT lang, level AS height, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1
+        ),
+        tops AS (
+            SELECT 0 AS level, idx, n, subroot AS digest FROM subroots
+            UNION ALL
+            SELECT level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM tops WHERE n > 1 GROUP BY level, idx // 2, n
+        ),
+        steps AS (
+            SELECT p.doc_id, p.leaf, h.level, xor(p.idx >> h.level, 1) AS beside, coalesce(s.digest, '') AS sibling
+            FROM placed p JOIN (SELECT DISTINCT lang, level FROM nodes WHERE n > 1) h ON h.lang IS NOT DISTINCT FROM p.lang
+            LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM p.lang AND s.level = h.level AND s.idx = xor(p.idx >> h.level, 1)
+            UNION ALL
+            SELECT p.doc_id, p.leaf, 1000 + h.level, xor(r.idx >> h.level, 1), coalesce(s.digest, '')
+            FROM placed p JOIN subroots r ON r.lang IS NOT DISTINCT FROM p.lang JOIN (SELECT DISTINCT level FROM tops WHERE n > 1) h ON true
+            LEFT JOIN tops s ON s.level = h.level AND s.idx = xor(r.idx >> h.level, 1)
+        ),
+        ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, leaf ORDER BY level) AS k FROM steps),
+        fold AS (
+            SELECT doc_id, leaf, 0 AS k, CASE WHEN tampered THEN other ELSE leaf END AS node FROM placed
+            UNION ALL
+            SELECT f.doc_id, f.leaf, o.k, sha256(CASE WHEN beside % 2 = 0 THEN sibling || node ELSE node || sibling END)
+            FROM fold f JOIN ordered o ON o.doc_id = f.doc_id AND o.leaf = f.leaf AND o.k = f.k + 1
+        ),
+        ends AS (SELECT doc_id, leaf, node FROM fold QUALIFY row_number() OVER (PARTITION BY doc_id, leaf ORDER BY k DESC) = 1),
+        proofs AS (SELECT doc_id, leaf, sha256(string_agg(sibling, '' ORDER BY k)) AS proof_sha256 FROM ordered GROUP BY doc_id, leaf)
+        SELECT p.doc_id, p.leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, node AS folded_root, node = root AS verified
+        FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang JOIN (SELECT digest AS root FROM tops WHERE n = 1) ON true
+        JOIN ends e ON e.doc_id = p.doc_id AND e.leaf = p.leaf LEFT JOIN proofs f ON f.doc_id = p.doc_id AND f.leaf = p.leaf
+    """,
 }
