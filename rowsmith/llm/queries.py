@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries.common import table
-from . import decontamination, langid, main_text, manifest, pieces, quality, simhash, substring, toxicity, vectors, warc
+from . import decontamination, langid, main_text, manifest, mixing, pieces, quality, simhash, substring, toxicity, vectors, warc
 from .learning import remainder
 
 
@@ -98,6 +98,12 @@ def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op12_mixed_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """What a mix of the sources by weights 3, 1, 2, .. takes of each document."""
+    found = mixing.mixed(table(spark, sf, "documents"), text="text", source="source", key="doc_id", weights=[3, 1, 2], share=1.5, most=2)
+    return mixing.taken(found).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_quality": op2_quality,
@@ -110,6 +116,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_mixed_sources": op12_mixed_sources,
 }
 
 # The distinct runs of five words of a text, A-Z lower-cased.
