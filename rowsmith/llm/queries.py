@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries.common import table
-from . import decontamination, langid, main_text, manifest, mixing, pieces, quality, simhash, substring, toxicity, vectors, warc
+from . import decontamination, langid, main_text, manifest, mixing, pieces, quality, simhash, spelling, substring, toxicity, vectors, warc
 from .learning import remainder
 
 
@@ -104,6 +104,11 @@ def op12_mixed_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.taken(found).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf, "documents"), "doc_id", "text", shortest=5, least=3)
+    return spelling.variants(words, times=2)
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_quality": op2_quality,
@@ -117,6 +122,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_mixed_sources": op12_mixed_sources,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 # The distinct runs of five words of a text, A-Z lower-cased.
@@ -211,4 +217,30 @@ ORACLES: dict[str, str] = {
         FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang JOIN (SELECT digest AS root FROM tops WHERE n = 1) ON true
         JOIN ends e ON e.doc_id = p.doc_id AND e.leaf = p.leaf LEFT JOIN proofs f ON f.doc_id = p.doc_id AND f.leaf = p.leaf
     """,
+    "op13_spelling_variants": f"""
+        WITH RECURSIVE runs AS (
+            SELECT doc_id, word, count(*) AS n
+            FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS word FROM documents)
+            GROUP BY ALL
+        ),
+        hashed AS (SELECT word, n, {CRC32.format(text="concat(doc_id, ':', word)")} AS h FROM runs WHERE length(word) >= 5),
+        spoiled AS (SELECT CASE WHEN h % 97 = 0 THEN substr(word, 1, h % length(word)) || substr(word, h % length(word) + 2) ELSE word END AS word, n FROM hashed),
+        words AS (SELECT word, sum(n)::BIGINT AS n FROM spoiled WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        cut AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+        holes AS (SELECT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS less, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS hole FROM cut),
+        near AS (
+            SELECT a.word, b.word AS other, b.n AS m FROM holes a JOIN holes b ON a.hole = b.hole AND a.word <> b.word
+            UNION SELECT h.word, w.word, w.n FROM holes h JOIN words w ON w.word = h.less
+            UNION SELECT w.word, h.word, h.n FROM holes h JOIN words w ON w.word = h.less
+        ),
+        counted AS (SELECT word, count(*) AS n_near FROM near GROUP BY word),
+        best AS (SELECT word, other, m FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, other) = 1),
+        forms AS (
+            SELECT w.word, w.n, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n, coalesce(n_near, 0) AS n_near
+            FROM words w LEFT JOIN counted USING (word) LEFT JOIN best USING (word)
+        ),
+        way AS (SELECT word, word AS at, 0 AS k FROM forms UNION ALL SELECT w.word, f.form, k + 1 FROM way w JOIN forms f ON f.word = w.at WHERE f.form IS NOT NULL),
+        ends AS (SELECT word, at AS root FROM way QUALIFY row_number() OVER (PARTITION BY word ORDER BY k DESC) = 1)
+        SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+    """,
 }
