@@ -239,8 +239,8 @@ ORACLES: dict[str, str] = {
             SELECT w.word, w.n, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n, coalesce(n_near, 0) AS n_near
             FROM words w LEFT JOIN counted USING (word) LEFT JOIN best USING (word)
         ),
-        way AS (SELECT word, word AS at, 0 AS k FROM forms UNION ALL SELECT w.word, f.form, k + 1 FROM way w JOIN forms f ON f.word = w.at WHERE f.form IS NOT NULL),
-        ends AS (SELECT word, at AS root FROM way QUALIFY row_number() OVER (PARTITION BY word ORDER BY k DESC) = 1)
+        way AS (SELECT word, word AS reached, 0 AS k FROM forms UNION ALL SELECT w.word, f.form, k + 1 FROM way w JOIN forms f ON f.word = w.reached WHERE f.form IS NOT NULL),
+        ends AS (SELECT word, reached AS root FROM way QUALIFY row_number() OVER (PARTITION BY word ORDER BY k DESC) = 1)
         SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
     """,
 }
