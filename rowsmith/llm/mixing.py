@@ -26,7 +26,8 @@ from .words import mix, row_slices, text_bytes, words
 
 BLOCK_WORDS = 256
 SHARD_BLOCKS = 4096
-PIECE_BLOCKS = 1 << 16      # about so many blocks of a source are drawn by one row of the job
+PIECE_BLOCKS = 1 << 14      # about so many blocks of a source are drawn by one row of the job
+MOST_TASKS = 10_000
 SETTLED = 1e-12
 
 
@@ -220,7 +221,8 @@ def _spans(documents: DataFrame, sources: DataFrame, block_words: int, shard_blo
     end = F.least((F.col("block") + 1) * block_words, F.col("start") + F.col("size"))
     held = held.select("number", "block", "start", (first - F.col("start")).alias("first_word"), (first - F.col("block") * block_words).alias("at"), (end - first).alias("held"))
     n_words = F.least(F.col("held"), F.col("words") - F.col("at"))
-    met = held.join(places, ["number", "block"]).withColumn("n_words", n_words).where("n_words > 0")
+    # the plan cannot know how many places a line of a source stands for: no broadcast of them
+    met = held.join(places.hint("merge"), ["number", "block"]).withColumn("n_words", n_words).where("n_words > 0")
     turn = F.xxhash64(F.lit(seed), "shard", "number", "place")
     return met.select("shard", turn.alias("turn"), "number", "block", "start", "first_word", "n_words")
 
@@ -255,7 +257,8 @@ def _places(sources: DataFrame, block_words: int, shard_blocks: int, seed: int)
     pieces = F.least(F.lit(shards), F.expr(f"(places + {PIECE_BLOCKS - 1}) div {PIECE_BLOCKS}")).cast("bigint")
     rows = counted.where("places > 0").select("number", "size", "target", "places", pieces.alias("pieces"))
     rows = rows.select("number", "size", "target", "places", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("piece"), "pieces")
-    return rows.repartition("number", "piece").mapInArrow(draw, "shard bigint, number bigint, place bigint, block bigint, words bigint")
+    tasks = max(1, min(MOST_TASKS, int(counted.agg(F.sum(pieces)).first()[0] or 0)))
+    return rows.repartition(tasks, "number", "piece").mapInArrow(draw, "shard bigint, number bigint, place bigint, block bigint, words bigint")
 
 
 def taken(mix: Mix) -> DataFrame:
