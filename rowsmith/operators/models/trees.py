@@ -11,7 +11,6 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ...session import cut_lineage, use_shared_folder
-from .base import UNROLLED, Fitted, Frame, features_array, first_max, shares
+from .base import UNROLLED, Fitted, Frame, features_array, first_max
 
 CHECKPOINT_ROUNDS = 10
 
@@ -113,44 +112,6 @@ def network_classifier(frame: Frame, hidden: int = 100, rounds: int = 200) -> Ml
 # -- gradient boosting -----------------------------------------------------------------------
 
 
-class OneAgainstRest(Fitted):
-    """Binary members, one per class; the shares of their class-1 probabilities."""
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        keep = df.columns
-        k = len(self.parts)
-        for c in range(k):
-            df = self.parts[f"class{c}"].transform(df).withColumn(f"_p{c}", vector_to_array("probability")[1])
-            df = df.drop("rawPrediction", "probability", "prediction")
-        each = [F.col(f"_p{c}") for c in range(k)]
-        return df.select(*keep, first_max(each).alias("prediction"), shares(F.array(*each)).alias("probability"))
-
-
-def _boosted(frame: Frame, rounds: int, depth: int, bins: int) -> Fitted:
-    use_shared_folder(frame.df.sparkSession)  # boosting writes its rows there every few rounds
-    estimator = GBTClassifier(
-        maxIter=rounds, maxDepth=depth, stepSize=0.1, maxBins=bins, subsamplingRate=1.0, seed=frame.seed,
-        checkpointInterval=CHECKPOINT_ROUNDS,
-    )
-    if frame.n_classes == 2:
-        return _fit(estimator, frame)
-    frames = [
-        frame.df.select("features", (F.col("label") == c).cast("double").alias("label"))
-        for c in range(frame.n_classes)
-    ]
-    models = fit_side_by_side([estimator] * len(frames), frames)
-    return OneAgainstRest({}, {f"class{c}": m for c, m in enumerate(models)})
-
-
-def gradient_boosting_classifier(frame: Frame, rounds: int = 100) -> Fitted:
-    return _boosted(frame, rounds, depth=3, bins=128)
-
-
-def histogram_boosting_classifier(frame: Frame, rounds: int = 100) -> Fitted:
-    """255 bins; depth 5 stands for 31 leaves."""
-    return _boosted(frame, rounds, depth=5, bins=255)
-
-
 def gradient_boosting_regressor(frame: Frame, rounds: int = 100) -> MlModel:
     use_shared_folder(frame.df.sparkSession)
     return _fit(

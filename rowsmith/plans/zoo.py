@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from ..operators.models import gaussian, linear, margins, neighbors, online, stumps, trees, voting
+from ..operators.models import boosting, gaussian, linear, margins, neighbors, online, stumps, trees, voting
 from ..operators.profile import CLASSIFICATION
 
 # The model names shown in a leaderboard, in the order they are tried.
@@ -14,7 +14,7 @@ CLASSIFIERS: dict[str, Callable] = {
     "Passive Aggressive Classifier": online.passive_aggressive_classifier,
     "Decision Tree Classifier": trees.decision_tree_classifier,
     "Random Forest Classifier": trees.random_forest_classifier,
-    "Gradient Boosting Classifier": trees.gradient_boosting_classifier,
+    "Gradient Boosting Classifier": boosting.gradient_boosting_classifier,
     "AdaBoost Classifier": stumps.ada_boost_classifier,
     "Extra Trees Classifier": trees.extra_trees_classifier,
     "Support Vector Classifier": margins.svc,
@@ -27,7 +27,7 @@ CLASSIFIERS: dict[str, Callable] = {
     "Quadratic Discriminant Analysis": gaussian.qda,
     "Voting Classifier": voting.voting_classifier,
     "Bagging Classifier": trees.bagging_classifier,
-    "HistGradient Boosting Classifier": trees.histogram_boosting_classifier,
+    "HistGradient Boosting Classifier": boosting.histogram_boosting_classifier,
 }
 
 # Short names and class names of the regressors. Two names may stand for one

@@ -207,6 +207,37 @@ def class_probabilities(spark, sf):
     return out.select("p_partkey", F.round("probability_1", 6).alias("probability_1"), F.round("confidence", 6).alias("confidence"))
 
 
+def _boosting_round(k: int) -> str:
+    """One stump per class on the slopes of round ``k``: both cuts are tried, leaves take a Newton step."""
+    return (
+        f"p{k} AS (SELECT x1, c, exp(raw) / sum(exp(raw)) OVER (PARTITION BY x1) AS p FROM r{k}), "
+        f"g{k} AS (SELECT p.x1, p.c, m.m, coalesce(n, 0) - m.m * p AS g, m.m * p * (1 - p) AS h FROM p{k} p JOIN m ON m.x1 = p.x1 "
+        "LEFT JOIN cells ON cells.x1 = p.x1 AND cells.c = p.c), "
+        f"s{k} AS (SELECT c, z, sum(g) FILTER (WHERE x1 < z) AS gl, sum(m) FILTER (WHERE x1 < z) AS nl, sum(h) FILTER (WHERE x1 < z) AS hl, "
+        "sum(g) FILTER (WHERE x1 > z) AS gr, sum(m) FILTER (WHERE x1 > z) AS nr, sum(h) FILTER (WHERE x1 > z) AS hr "
+        f"FROM g{k}, (VALUES (2e0), (6e0)) AS cuts(z) GROUP BY c, z), "
+        f"b{k} AS (SELECT * FROM s{k} QUALIFY row_number() OVER (PARTITION BY c ORDER BY gl * gl / nl + gr * gr / nr - (gl + gr) * (gl + gr) / (nl + nr) DESC, z) = 1), "
+        f"r{k + 1} AS (SELECT x1, c, raw + 0.1e0 * 2 / 3 * CASE WHEN x1 < z THEN gl / hl ELSE gr / hr END AS raw FROM r{k} JOIN b{k} USING (c)), "
+    )
+
+
+THREE_STEPS = {"x": "CASE WHEN p_size < 17 THEN 0e0 WHEN p_size < 34 THEN 4e0 ELSE 8e0 END"}
+
+
+@query(
+    f"WITH {_t(THREE_STEPS, NOISY_CLASS)}, {CLASS_NUMBERS}, cells AS (SELECT x1, target AS c, count(*) AS n FROM l GROUP BY 1, 2), "
+    "m AS (SELECT x1, sum(n) AS m FROM cells GROUP BY 1), w AS (SELECT c, sum(n) / (SELECT sum(n) FROM cells) AS share FROM cells GROUP BY 1), "
+    "r0 AS (SELECT x1, c, ln(share) AS raw FROM m, w), " + _boosting_round(0) + _boosting_round(1) +
+    "e AS (SELECT x1, c, number, exp(raw) / sum(exp(raw)) OVER (PARTITION BY x1) AS p FROM r2 JOIN o USING (c)) "
+    "SELECT p_partkey, (max_by(e.c, p)) AS prediction_label, round(sum(p) FILTER (WHERE number = 1), 6) AS probability_1, round(max(p), 6) AS confidence "
+    "FROM t JOIN e USING (x1) GROUP BY 1"
+)
+def boosting_two_rounds(spark, sf):
+    """Two rounds of stumps for three classes that overlap."""
+    out = _predicted(part_frame(spark, sf, NOISY_CLASS, THREE_STEPS), CLASSIFICATION, "Gradient Boosting Classifier", {"rounds": 2, "depth": 1})
+    return out.select("p_partkey", "prediction_label", F.round("probability_1", 6).alias("probability_1"), F.round("confidence", 6).alias("confidence"))
+
+
 NEAREST = (
     "n AS (SELECT q.p_partkey, t.target, row_number() OVER (PARTITION BY q.p_partkey ORDER BY "
     "(q.x1 - t.x1) * (q.x1 - t.x1) + (q.x2 - t.x2) * (q.x2 - t.x2), t.p_partkey) AS place FROM t q, l t)"

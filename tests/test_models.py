@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from rowsmith.operators.models import gaussian, linear, margins, neighbors, online, stumps, trees, voting
+from rowsmith.operators.models import boosting, gaussian, linear, margins, neighbors, online, stumps, trees, voting
 from rowsmith.operators.models.base import Frame, load_fitted
 
 RNG = np.random.default_rng(7)
@@ -169,7 +169,7 @@ def test_svc_is_near_the_hinge_minimum_and_gives_probabilities(two):
     (online.passive_aggressive_classifier, 0.75), (stumps.ada_boost_classifier, 0.85),
     (neighbors.knn_classifier, 0.9), (trees.decision_tree_classifier, 0.95), (trees.bagging_classifier, 0.95),
     (lambda f: trees.random_forest_classifier(f, 20), 0.95), (lambda f: trees.extra_trees_classifier(f, 20, 4), 0.9),
-    (lambda f: trees.gradient_boosting_classifier(f, 5), 0.85), (lambda f: trees.network_classifier(f, rounds=50), 0.85),
+    (lambda f: boosting.gradient_boosting_classifier(f, 5), 0.85), (lambda f: trees.network_classifier(f, rounds=50), 0.85),
     (lambda f: voting.voting_classifier(f, 10), 0.9),
 ])
 def test_classifiers_find_overlapping_blobs(blobs, fit, bound):
@@ -254,7 +254,7 @@ def test_fewer_rows_than_neighbours(spark):
 @pytest.mark.parametrize("fit", [
     margins.svc, margins.nu_svc, gaussian.qda, stumps.ada_boost_classifier, neighbors.knn_classifier,
     trees.logistic_regression, lambda f: trees.extra_trees_classifier(f, 6, 2),
-    lambda f: trees.gradient_boosting_classifier(f, 2), lambda f: voting.voting_classifier(f, 5),
+    lambda f: boosting.gradient_boosting_classifier(f, 2), lambda f: voting.voting_classifier(f, 5),
 ])
 def test_scores_survive_saving(spark, blobs, tmp_path, fit):
     f, _, _ = blobs
