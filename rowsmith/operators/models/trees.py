@@ -1,37 +1,22 @@
-"""Trees and what is built from them, on MLlib's distributed tree learner."""
+"""Models on MLlib's distributed learners: logistic regression, a network, boosted regression trees."""
 
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
 
-import numpy as np
-import pandas as pd
-from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from ...session import cut_lineage, use_shared_folder
-from .base import UNROLLED, Fitted, Frame, features_array, first_max
+from .base import Fitted, Frame
 
 CHECKPOINT_ROUNDS = 10
 
-# Depth limits, the same for tables of any size. Trees end earlier at pure leaves. The driver holds
-# the nodes of a fitted model: at most 2^21 for one tree, 2^22 for a hundred.
-TREE_DEPTH = 20
-FOREST_DEPTH = 14
-
 
 class MlModel(Fitted):
     """A model of MLlib; its probability vector becomes an array."""
@@ -48,14 +33,6 @@ def _fit(estimator, frame: Frame) -> MlModel:
     return MlModel({}, {"model": estimator.fit(frame.df)})
 
 
-def fit_side_by_side(estimators, frames, at_once: int = 3) -> list:
-    """Fit independent estimators from a few driver threads; results keep their order."""
-    inherit = inheritable_thread_target(frames[0].sparkSession)
-    with ThreadPoolExecutor(at_once) as pool:
-        jobs = [pool.submit(inherit(e.fit), f) for e, f in zip(estimators, frames)]
-        return [j.result() for j in jobs]
-
-
 # -- single models ------------------------------------------------------------------------
 
 
@@ -70,36 +47,6 @@ def logistic_regression(frame: Frame, cost: float = 1.0) -> MlModel:
     )
 
 
-def decision_tree_classifier(frame: Frame, depth: int = TREE_DEPTH, bins: int = 255) -> MlModel:
-    return _fit(DecisionTreeClassifier(maxDepth=depth, maxBins=bins, seed=frame.seed), frame)
-
-
-def decision_tree_regressor(frame: Frame, depth: int = TREE_DEPTH, bins: int = 255) -> MlModel:
-    return _fit(DecisionTreeRegressor(maxDepth=depth, maxBins=bins, seed=frame.seed), frame)
-
-
-def _forest_settings(frame: Frame, trees: int, depth: int) -> dict:
-    return dict(
-        numTrees=trees, maxDepth=depth, maxBins=128,
-        subsamplingRate=1.0, seed=frame.seed, maxMemoryInMB=512,
-    )
-
-
-def random_forest_classifier(frame: Frame, trees: int = 100, depth: int = FOREST_DEPTH) -> MlModel:
-    settings = _forest_settings(frame, trees, depth)
-    return _fit(RandomForestClassifier(featureSubsetStrategy="sqrt", **settings), frame)
-
-
-def random_forest_regressor(frame: Frame, trees: int = 100, depth: int = FOREST_DEPTH) -> MlModel:
-    return _fit(RandomForestRegressor(featureSubsetStrategy="all", **_forest_settings(frame, trees, depth)), frame)
-
-
-def bagging_classifier(frame: Frame, trees: int = 10, depth: int = FOREST_DEPTH) -> MlModel:
-    """Full trees on bootstrap samples over all features; class shares are averaged."""
-    settings = _forest_settings(frame, trees, depth)
-    return _fit(RandomForestClassifier(featureSubsetStrategy="all", bootstrap=True, **settings), frame)
-
-
 def network_classifier(frame: Frame, hidden: int = 100, rounds: int = 200) -> MlModel:
     """One hidden layer of 100 on scaled features."""
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(frame.df)
@@ -121,84 +68,6 @@ def gradient_boosting_regressor(frame: Frame, rounds: int = 100) -> MlModel:
     )
 
 
-# -- extra trees -------------------------------------------------------------------------------
-
-
-def _binned(x, cuts):
-    """Per feature the number of cut points at or below the value."""
-    if len(cuts) > UNROLLED:  # too many numbers for a plan: matrices in Arrow batches
-        table = [np.asarray(row) for row in cuts]
-
-        @pandas_udf("array<double>")
-        def counts(values: pd.Series) -> pd.Series:
-            if not len(values):
-                return pd.Series([], dtype=object)
-            rows = np.stack(values.to_numpy())
-            binned = [np.searchsorted(c, rows[:, j], side="right").astype(float) for j, c in enumerate(table)]
-            return pd.Series(list(np.column_stack(binned)))
-
-        return array_to_vector(counts(x))
-    table = F.array(*[F.array(*[F.lit(float(c)) for c in row]) for row in cuts])
-    pairs = F.arrays_zip(x.alias("x"), table.alias("cuts"))
-    return array_to_vector(
-        F.transform(pairs, lambda p: F.size(F.filter(p["cuts"], lambda c: c <= p["x"])).cast("double"))
-    )
-
-
-class ExtraTrees(Fitted):
-    """Forests on randomly binned features; ``state["cuts"]`` has one set of cuts per forest."""
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        keep = df.columns
-        classes = self.state["classes"]
-        df = df.withColumn("_x", features_array())
-        members = []
-        for g, cuts in enumerate(self.state["cuts"]):
-            df = df.withColumn("_binned", _binned(F.col("_x"), cuts))
-            df = self.parts[f"forest{g}"].transform(df)
-            df = df.withColumn(f"_m{g}", vector_to_array("probability") if classes else F.col("prediction"))
-            df = df.drop("rawPrediction", "probability", "prediction", "_binned")
-            members.append(F.col(f"_m{g}"))
-        if not classes:
-            return df.select(*keep, (sum(members, F.lit(0.0)) / len(members)).alias("prediction"))
-        mean = [sum((m[c] for m in members), F.lit(0.0)) / len(members) for c in range(classes)]
-        return df.select(*keep, first_max(mean).alias("prediction"), F.array(*mean).alias("probability"))
-
-
-def _extra_trees(frame: Frame, learner, subset: str, trees: int, binnings: int, cuts: int, depth: int) -> ExtraTrees:
-    d = frame.width
-
-    x = features_array()
-    ends = frame.df.agg(*[f(x[j]).alias(f"{n}{j}") for j in range(d) for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    rng = np.random.default_rng(frame.seed)
-    each = max(1, math.ceil(trees / binnings))
-    settings = dict(
-        featuresCol="_binned", numTrees=each, bootstrap=False, subsamplingRate=1.0, featureSubsetStrategy=subset,
-        maxBins=cuts + 1, maxDepth=depth, maxMemoryInMB=512,
-    )
-    sets = [
-        [np.sort(rng.uniform(ends[f"lo{j}"], ends[f"hi{j}"], cuts)).tolist() for j in range(d)]
-        for _ in range(min(binnings, trees))
-    ]
-    frames = [frame.df.select("label", _binned(x, c).alias("_binned")) for c in sets]
-    models = fit_side_by_side([learner(seed=frame.seed + g, **settings) for g in range(len(sets))], frames)
-    return ExtraTrees(
-        {"cuts": sets, "classes": frame.n_classes}, {f"forest{g}": m for g, m in enumerate(models)}
-    )
-
-
-def extra_trees_classifier(frame: Frame, trees: int = 100, binnings: int = 10, cuts: int = 31, depth: int = FOREST_DEPTH) -> ExtraTrees:
-    """Splits at random cut points: ``binnings`` random sets of cuts, an unbagged forest on each.
-
-    An approximation: cut points are drawn per set, not per node.
-    """
-    return _extra_trees(frame, RandomForestClassifier, "sqrt", trees, binnings, cuts, depth)
-
-
-def extra_trees_regressor(frame: Frame, trees: int = 100, binnings: int = 10, cuts: int = 31, depth: int = FOREST_DEPTH) -> ExtraTrees:
-    return _extra_trees(frame, RandomForestRegressor, "all", trees, binnings, cuts, depth)
-
-
 # -- adaptive boosting -------------------------------------------------------------------------
 
 

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import Fitted, Frame, first_max
+from .forests import random_forest_classifier
 from .margins import svc
 from .neighbors import knn_classifier
-from .trees import random_forest_classifier
 
 
 def majority(votes: list[Column], classes: int) -> Column:

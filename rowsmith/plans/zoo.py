@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from ..operators.models import boosting, gaussian, linear, margins, neighbors, online, stumps, trees, voting
+from ..operators.models import boosting, forests, gaussian, linear, margins, neighbors, online, stumps, trees, voting
 from ..operators.profile import CLASSIFICATION
 
 # The model names shown in a leaderboard, in the order they are tried.
@@ -12,11 +12,11 @@ CLASSIFIERS: dict[str, Callable] = {
     "Logistic Regression": trees.logistic_regression,
     "SGD Classifier": margins.sgd_classifier,
     "Passive Aggressive Classifier": online.passive_aggressive_classifier,
-    "Decision Tree Classifier": trees.decision_tree_classifier,
-    "Random Forest Classifier": trees.random_forest_classifier,
+    "Decision Tree Classifier": forests.decision_tree_classifier,
+    "Random Forest Classifier": forests.random_forest_classifier,
     "Gradient Boosting Classifier": boosting.gradient_boosting_classifier,
     "AdaBoost Classifier": stumps.ada_boost_classifier,
-    "Extra Trees Classifier": trees.extra_trees_classifier,
+    "Extra Trees Classifier": forests.extra_trees_classifier,
     "Support Vector Classifier": margins.svc,
     "Linear SVC": margins.linear_svc,
     "NuSVC": margins.nu_svc,
@@ -26,7 +26,7 @@ CLASSIFIERS: dict[str, Callable] = {
     "Linear Discriminant Analysis": gaussian.lda,
     "Quadratic Discriminant Analysis": gaussian.qda,
     "Voting Classifier": voting.voting_classifier,
-    "Bagging Classifier": trees.bagging_classifier,
+    "Bagging Classifier": forests.bagging_classifier,
     "HistGradient Boosting Classifier": boosting.histogram_boosting_classifier,
 }
 
@@ -43,9 +43,9 @@ REGRESSORS: dict[str, Callable] = {
     "par": online.passive_aggressive_regressor,
     "svm": margins.svr,
     "knn": neighbors.knn_regressor,
-    "dt": trees.decision_tree_regressor,
-    "rf": trees.random_forest_regressor,
-    "et": trees.extra_trees_regressor,
+    "dt": forests.decision_tree_regressor,
+    "rf": forests.random_forest_regressor,
+    "et": forests.extra_trees_regressor,
     "ada": trees.ada_boost_regressor,
     "gbr": trees.gradient_boosting_regressor,
     "mlp": online.network_regressor,
@@ -57,9 +57,9 @@ REGRESSORS: dict[str, Callable] = {
     "HuberRegressor": linear.huber,
     "PassiveAggressiveRegressor": online.passive_aggressive_regressor,
     "SGDRegressor": linear.sgd_regressor,
-    "DecisionTreeRegressor": trees.decision_tree_regressor,
-    "RandomForestRegressor": trees.random_forest_regressor,
-    "ExtraTreesRegressor": trees.extra_trees_regressor,
+    "DecisionTreeRegressor": forests.decision_tree_regressor,
+    "RandomForestRegressor": forests.random_forest_regressor,
+    "ExtraTreesRegressor": forests.extra_trees_regressor,
     "GradientBoostingRegressor": trees.gradient_boosting_regressor,
     "AdaBoostRegressor": trees.ada_boost_regressor,
     "KNeighborsRegressor": neighbors.knn_regressor,

@@ -238,6 +238,31 @@ def boosting_two_rounds(spark, sf):
     return out.select("p_partkey", "prediction_label", F.round("probability_1", 6).alias("probability_1"), F.round("confidence", 6).alias("confidence"))
 
 
+SCATTERED = "cast(p_partkey * 7919 % 1009 AS double) * 1e0"
+
+
+@query(f"WITH {_t({'x': 'cast(p_partkey AS double)'}, SCATTERED)} SELECT p_partkey, target AS by_tree, target AS by_extra_trees, 1e0 AS smallest_share FROM l")
+def learning_rows_remembered(spark, sf):
+    """A target without any order in it: only trees to pure leaves, however deep, give every learning row back."""
+    df = part_frame(spark, sf, SCATTERED, {"x": "cast(p_partkey AS double)"})
+    run = prepare_run(df, Settings("target", "p_partkey", REGRESSION))
+    frame = frame_of(run.learning_rows(), run.preparation)
+    tree, extra = models_for(REGRESSION)["dt"](frame), models_for(REGRESSION)["et"](frame, trees=10)
+    told = tree.transform(frame.df).withColumnRenamed("prediction", "by_tree")
+    told = extra.transform(told).withColumnRenamed("prediction", "by_extra_trees")
+    as_class = replace_labels(frame)
+    shares = models_for(CLASSIFICATION)["Extra Trees Classifier"](as_class, trees=10).transform(as_class.df)
+    right = shares.select(F.col(frame.key), F.element_at("probability", (F.col("label") + 1).cast("int")).alias("smallest_share"))
+    out = told.join(right, frame.key).select(F.col(frame.key).alias("p_partkey"), F.round("by_tree", 6).alias("by_tree"), F.round("by_extra_trees", 6).alias("by_extra_trees"), "smallest_share")
+    run.close()
+    return out
+
+
+def replace_labels(frame):
+    """The frame with two classes in place of its label."""
+    return replace(frame, df=frame.df.withColumn("label", F.col("label") % 2), n_classes=2)
+
+
 NEAREST = (
     "n AS (SELECT q.p_partkey, t.target, row_number() OVER (PARTITION BY q.p_partkey ORDER BY "
     "(q.x1 - t.x1) * (q.x1 - t.x1) + (q.x2 - t.x2) * (q.x2 - t.x2), t.p_partkey) AS place FROM t q, l t)"

@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from rowsmith.operators.models import boosting, gaussian, linear, margins, neighbors, online, stumps, trees, voting
+from rowsmith.operators.models import boosting, forests, gaussian, linear, margins, neighbors, online, stumps, trees, voting
 from rowsmith.operators.models.base import Frame, load_fitted
 
 RNG = np.random.default_rng(7)
@@ -167,8 +167,8 @@ def test_svc_is_near_the_hinge_minimum_and_gives_probabilities(two):
 @pytest.mark.parametrize("fit,bound", [
     (margins.sgd_classifier, 0.85), (margins.svc, 0.9), (margins.nu_svc, 0.9), (margins.linear_svc, 0.85),
     (online.passive_aggressive_classifier, 0.75), (stumps.ada_boost_classifier, 0.85),
-    (neighbors.knn_classifier, 0.9), (trees.decision_tree_classifier, 0.95), (trees.bagging_classifier, 0.95),
-    (lambda f: trees.random_forest_classifier(f, 20), 0.95), (lambda f: trees.extra_trees_classifier(f, 20, 4), 0.9),
+    (neighbors.knn_classifier, 0.9), (forests.decision_tree_classifier, 0.95), (forests.bagging_classifier, 0.95),
+    (lambda f: forests.random_forest_classifier(f, 20), 0.95), (lambda f: forests.extra_trees_classifier(f, 20), 0.9),
     (lambda f: boosting.gradient_boosting_classifier(f, 5), 0.85), (lambda f: trees.network_classifier(f, rounds=50), 0.85),
     (lambda f: voting.voting_classifier(f, 10), 0.9),
 ])
@@ -183,8 +183,8 @@ def test_classifiers_find_overlapping_blobs(blobs, fit, bound):
 
 @pytest.mark.parametrize("fit,bound", [
     (online.passive_aggressive_regressor, 0.9), (online.network_regressor, 0.95), (neighbors.knn_regressor, 0.5),
-    (trees.decision_tree_regressor, 0.95), (lambda f: trees.random_forest_regressor(f, 10), 0.85),
-    (lambda f: trees.extra_trees_regressor(f, 10, 2), 0.85), (lambda f: trees.gradient_boosting_regressor(f, 30), 0.8),
+    (forests.decision_tree_regressor, 0.95), (lambda f: forests.random_forest_regressor(f, 10), 0.85),
+    (lambda f: forests.extra_trees_regressor(f, 10), 0.85), (lambda f: trees.gradient_boosting_regressor(f, 30), 0.8),
     (lambda f: trees.ada_boost_regressor(f, 5), 0.6), (linear.sgd_regressor, 0.95),
 ])
 def test_regressors_explain_a_line(line, fit, bound):
@@ -253,7 +253,7 @@ def test_fewer_rows_than_neighbours(spark):
 
 @pytest.mark.parametrize("fit", [
     margins.svc, margins.nu_svc, gaussian.qda, stumps.ada_boost_classifier, neighbors.knn_classifier,
-    trees.logistic_regression, lambda f: trees.extra_trees_classifier(f, 6, 2),
+    trees.logistic_regression, lambda f: forests.extra_trees_classifier(f, 6),
     lambda f: boosting.gradient_boosting_classifier(f, 2), lambda f: voting.voting_classifier(f, 5),
 ])
 def test_scores_survive_saving(spark, blobs, tmp_path, fit):
@@ -293,7 +293,7 @@ def test_wide_classifiers_use_matrix_products(spark):
     f = frame(spark, x, y, 2)
     scores = np.column_stack([log_density(x, x[y == c].mean(0), np.cov(x[y == c].T)) for c in range(2)]) + np.log(0.5)
     assert (predictions(gaussian.qda(f), f) == scores.argmax(1)).all()
-    assert (predictions(trees.extra_trees_classifier(f, 4, 2), f) == y).mean() > 0.9
+    assert (predictions(forests.extra_trees_classifier(f, 40), f) == y).mean() > 0.9
 
 
 def test_many_problems_are_solved_some_at_a_time(blobs, monkeypatch):
