@@ -290,8 +290,17 @@ def _searched(lists: DataFrame | None, nodes: DataFrame, width: int, threshold:
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """Components, as ``(node, root)``, after more links ``(a, b)`` of vectors or roots."""
-    return cut_lineage(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links)))
+    """Components, as ``(node, root)``, after more links ``(a, b)`` of vectors or roots: only the roots they join are searched."""
+    ends = links
+    for side in ("a", "b"):
+        of = roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+        ends = ends.join(of, side, "left").withColumn(side, F.coalesce(f"{side}_root", side)).select("a", "b")
+    moved = components(ends)
+    if moved.isEmpty():
+        return roots
+    moved = cut_lineage(moved)
+    old = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return cut_lineage(old.unionByName(moved.join(roots, "node", "left_anti").select("node", "root")))
 
 
 def _placed(nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -348,7 +357,9 @@ def _asked(placed: DataFrame, chosen: DataFrame, width: int, threshold: float) -
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "x", "y", "n"])
 
     met = placed.select("node", "unit", "root").mapInArrow(each, "a bigint, x bigint, y bigint, n bigint")
-    return cut_lineage(met.groupBy("a", "x", "y").agg(F.sum("n").alias("n")))
+    counts = written(met.groupBy("a", "x", "y").agg(F.sum("n").alias("n")), "asked")
+    held.destroy()
+    return counts
 
 
 @dataclass
