@@ -26,3 +26,25 @@ def is_holdout(key: Column, share: float = 0.2, seed: int = 42) -> Column:
 def fold_number(key: Column, folds: int = 10, seed: int = 42) -> Column:
     """Fold of a row, from another hash than the one that holds rows out."""
     return key_bucket(key, folds, f"{seed}|fold")
+
+
+MOST_DRAWN = 500.0  # an expected count beyond this is rounded: drawing it would change it by less than a twentieth
+
+
+def poisson_draw(expected: Column, u: Column) -> Column:
+    """How often a row is drawn: the Poisson count with mean ``expected`` that ``u``, from [0, 1), falls on.
+
+    Counts with means of one row's share of all weight, times the rows, are a weighted sample with replacement.
+    The same ``u`` gives the same count again; nothing is expected of a null mean.
+    """
+    mean = F.least(F.coalesce(expected.cast("double"), F.lit(0.0)), F.lit(MOST_DRAWN))
+    none = F.exp(-mean)
+    start = F.struct(none.alias("term"), none.alias("upto"), F.lit(0).alias("n"))
+    steps = F.sequence(F.lit(1), F.ceil(mean + 12 * F.sqrt(mean) + 20).cast("int"))
+
+    def further(state: Column, i: Column) -> Column:
+        term = state["term"] * mean / i
+        return F.struct(term.alias("term"), (state["upto"] + term).alias("upto"), (state["n"] + (u >= state["upto"]).cast("int")).alias("n"))
+
+    drawn = F.aggregate(steps, start, further, lambda state: state["n"])
+    return F.when(expected > MOST_DRAWN, F.round(expected).cast("int")).otherwise(drawn)

@@ -12,10 +12,12 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ...functions.split import key_bucket, poisson_draw
 from ...session import cut_lineage, use_shared_folder
 from .base import Fitted, Frame
 
 CHECKPOINT_ROUNDS = 10
+DRAW_STEPS = 1 << 31    # as many places a draw can fall on
 
 
 class MlModel(Fitted):
@@ -93,13 +95,18 @@ class WeightedMedian(Fitted):
 
 
 def ada_boost_regressor(frame: Frame, rounds: int = 50, depth: int = 3) -> WeightedMedian:
-    """AdaBoost.R2 (Drucker 1997) with linear loss; rows are weighted instead of resampled."""
-    df = frame.df.select("features", "label").withColumn("_w", F.lit(1.0))
-    members, weights = [], []
+    """AdaBoost.R2 (Drucker 1997) with linear loss. Each round's tree learns from a weighted sample with
+    replacement; a row's place in it depends on its key, the round and its weight alone."""
+    df = frame.df.select("features", "label", F.col(frame.key).alias("_key")).withColumn("_w", F.lit(1.0))
+    members, weights, total = [], [], float(frame.rows)
     for r in range(rounds):
-        tree = DecisionTreeRegressor(maxDepth=depth, maxBins=128, weightCol="_w", seed=frame.seed).fit(df)
+        u = (key_bucket(F.col("_key"), DRAW_STEPS, f"{frame.seed}|draw|{r}") + 0.5) / DRAW_STEPS
+        drawn = df.withColumn("_n", poisson_draw(F.col("_w") * (frame.rows / total), u).cast("double")).where("_n > 0")
+        if drawn.isEmpty():     # possible where rows are few
+            drawn = df.withColumn("_n", F.col("_w"))
+        tree = DecisionTreeRegressor(maxDepth=depth, maxBins=128, weightCol="_n", seed=frame.seed).fit(drawn)
         told = tree.transform(df).select(
-            "features", "label", "_w", F.abs(F.col("prediction") - F.col("label")).alias("_gap")
+            "features", "label", "_key", "_w", F.abs(F.col("prediction") - F.col("label")).alias("_gap")
         )
         row = told.agg(F.sum("_w"), F.sum(F.col("_w") * F.col("_gap")), F.max("_gap")).first()
         worst = row[2]
@@ -117,9 +124,10 @@ def ada_boost_regressor(frame: Frame, rounds: int = 50, depth: int = 3) -> Weigh
         members.append(tree)
         weights.append(math.log(1 / beta))
         df = told.select(
-            "features", "label",
+            "features", "label", "_key",
             (F.col("_w") * F.pow(F.lit(beta), 1 - F.col("_gap") / F.lit(worst))).alias("_w"),
         )
+        total = df.agg(F.sum("_w")).first()[0]
         if (r + 1) % CHECKPOINT_ROUNDS == 0 and r + 1 < rounds:
             df = cut_lineage(df)
     return WeightedMedian({"weights": weights}, {f"member{m}": t for m, t in enumerate(members)})

@@ -7,6 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from ..functions.split import key_bucket, poisson_draw
 from ..operators import evaluate
 from ..operators.profile import CLASSIFICATION, REGRESSION
 from ..plans.prepare import Settings
@@ -18,7 +19,7 @@ from ..sources import registry
 from ..streaming import score_stream as streaming
 from .common import (
     CORNERS, LEVEL, LEVEL_X, LINEAR_EXACT, LINEAR_NOISY, NOISE_2, NOISY_CLASS, PLAIN, SIZE_CLASS, SIZE_ONLY,
-    fold_sql, holdout_sql, part_frame, table,
+    bucket_sql, fold_sql, holdout_sql, part_frame, table,
 )
 
 QUERIES: dict = {}
@@ -238,6 +239,18 @@ def boosting_two_rounds(spark, sf):
     return out.select("p_partkey", "prediction_label", F.round("probability_1", 6).alias("probability_1"), F.round("confidence", 6).alias("confidence"))
 
 
+@query(
+    "WITH d AS (SELECT p_partkey, (p_size % 9) / 2e0 AS mean, (" + bucket_sql("p_partkey", 1 << 31, "42|draw|3") + " + 0.5e0) / 2147483648e0 AS u FROM part), "
+    "terms AS (SELECT m / 2e0 AS mean, k, exp(-m / 2e0) * pow(m / 2e0, k) / factorial(k::INTEGER)::DOUBLE AS term FROM range(0, 9) a(m), range(0, 20) b(k)), "
+    "upto AS (SELECT mean, k, sum(term) OVER (PARTITION BY mean ORDER BY k) AS upto FROM terms) "
+    "SELECT p_partkey, count(*) FILTER (WHERE u >= upto)::INTEGER AS drawn FROM d JOIN upto USING (mean) GROUP BY 1"
+)
+def weighted_draws(spark, sf):
+    """How often each row is in a weighted sample with replacement, drawn again from its key."""
+    u = (key_bucket(F.col("p_partkey"), 1 << 31, "42|draw|3") + 0.5) / (1 << 31)
+    return table(spark, sf, "part").select("p_partkey", poisson_draw((F.col("p_size") % 9) / 2, u).alias("drawn"))
+
+
 SCATTERED = "cast(p_partkey * 7919 % 1009 AS double) * 1e0"
 
 
