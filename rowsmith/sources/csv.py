@@ -16,7 +16,7 @@ from ..functions.text import MISSING_MARKS, clean_header, is_number, missing_to_
 
 ROW_ORDER = "_row_order"
 CSV_GLOB = "*.[cC][sS][vV]"
-ROOM = 32  # cells beyond the header's that a row is searched for
+END = "\x1eend"  # a cell put behind a row's last, to see where it comes to stand
 
 
 def is_csv_name(name):
@@ -50,7 +50,7 @@ def read_raw(spark: SparkSession, path: str, multiline: bool = True, trim: bool
     """Every cell as text, trimmed unless ``trim`` is off; short rows give NULL cells.
 
     All files of a folder must have the same header; a file whose header differs fails the read,
-    and so does a row with more cells than the header. ``multiline`` allows line breaks in quoted
+    and so does a row with more cells than the header, blank or not. ``multiline`` allows line breaks in quoted
     cells, for which a file is read by one task; turn it off for large files without any, which
     are then read in parts.
     """
@@ -71,12 +71,13 @@ def read_raw(spark: SparkSession, path: str, multiline: bool = True, trim: bool
         .csv(path)
     )
     # The reader marks rows whose number of cells is not the header's, short ones too. Those are
-    # read again with room for more cells.
-    wide = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names) + ROOM)])
-    cells = F.from_csv(F.col(line), wide.simpleString()[7:-1].replace(":", " "), {"escape": '"'})
-    beyond = F.coalesce(*[cells[f"c{i}"] for i in range(len(names), len(names) + ROOM)])
+    # read again with a last cell more: it is lost behind cells that are too many, blank or not.
+    wide = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+    ended = F.concat(F.regexp_replace(F.col(line), "[\\r\\n]+$", ""), F.lit(f",{END}"))
+    cells = F.from_csv(ended, wide, {"escape": '"'})
+    fits = F.exists(F.array(*[cells[f"c{i}"] for i in range(len(names) + 1)]), lambda c: F.coalesce(c.contains(END), F.lit(False)))
     text = F.concat(F.lit(f"a row has more cells than the header of {path}: "), F.col(line))
-    checked_cell = lambda c: F.when(F.col(line).isNotNull() & beyond.isNotNull(), F.raise_error(text)).otherwise(c)
+    checked_cell = lambda c: F.when(F.col(line).isNotNull() & ~fits, F.raise_error(text)).otherwise(c)
     values = [F.col(f"`{f.name}`") for f in schema.fields]
     values = [F.trim(v) for v in values] if trim else values
     return rows.select(*[checked_cell(v).alias(n) for v, n in zip(values, names)], place.alias(ROW_ORDER))

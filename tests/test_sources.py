@@ -139,3 +139,19 @@ def test_downloads_double_quotes(spark, tmp_path):
     sinks.download_csv(df, str(tmp_path / "d.csv"))
     text = "".join(p.read_text() for p in (tmp_path / "d.csv").glob("part-*"))
     assert '"a ""b"", c",1' in text
+
+
+@pytest.mark.parametrize("multiline", [True, False])
+@pytest.mark.parametrize("blanks", [1, 31, 32, 40, 200])
+@pytest.mark.parametrize("after", ["", "lost", '"a,b"'])
+def test_cells_too_many_are_refused_however_many_are_blank(spark, tmp_path, multiline, blanks, after):
+    path = write(tmp_path / "w.csv", "k,v\n1,2\n3,4" + "," * blanks + after + "\n5\n")
+    with pytest.raises(Exception, match="more cells"):
+        csv.read_csv(spark, path, multiline=multiline).collect()
+
+
+@pytest.mark.parametrize("multiline", [True, False])
+def test_short_rows_and_odd_ends_of_rows_are_read(spark, tmp_path, multiline):
+    path = write(tmp_path / "s.csv", 'k,v,w\r\n1\r\n2,"x, ""y"""\r\n3,,\r\n4,"a,b"\r\n5,z')
+    rows = csv.read_raw(spark, path, multiline=multiline).orderBy(csv.ROW_ORDER).collect()
+    assert [tuple(r)[:3] for r in rows] == [("1", None, None), ("2", 'x, "y"', None), ("3", None, None), ("4", "a,b", None), ("5", "z", None)]
