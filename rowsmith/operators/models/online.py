@@ -1,42 +1,113 @@
 """Models that learn row by row or batch by batch: passive-aggressive and a small network.
 
-Tasks learn on their own rows and the parameters are averaged after each round, so the
-result is an approximation of one sequential pass order. Features are centred and scaled
-inside; scores come back in terms of the raw features.
+Passive-aggressive models learn on shards of rows fixed by the rows' keys, the network on the rows of a task;
+the parameters are averaged after each round, so the result is an approximation of one sequential
+pass order. Features are centred and scaled inside; scores come back in terms of the raw features.
 """
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .base import Fitted, Frame, averaged_rounds, features_array
+from ...session import cut_lineage
+from .base import Fitted, Frame, _gather, averaged_rounds, features_array, rows_of
 from .gaussian import LinearScores
 from .linear import LinearModel
 
+SHARD_ROWS = 512        # about so many rows are learned from one after another
+SHARDS_AT_ONCE = 64     # shards whose rows are learned from side by side
+
+
+def _shard_groups(batches, at_once: int):
+    """``(x, y, first)`` of up to ``at_once`` whole shards: their rows after each other, and where each begins."""
+    held: list[pa.RecordBatch] = []
+
+    def out(table: pa.Table):
+        batch = table.combine_chunks().to_batches()[0]
+        x, y, _ = rows_of(batch)
+        shard = batch.column("shard").to_numpy()
+        return x, y, np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        shards = [h.column("shard").to_numpy() for h in held]
+        if sum(1 + np.count_nonzero(s[1:] != s[:-1]) for s in shards) > 2 * at_once:
+            table = pa.Table.from_batches(held)
+            shard = np.concatenate(shards)
+            begins = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+            whole = [*begins[::at_once], begins[-1]] if (len(begins) - 1) % at_once else begins[::at_once]
+            for start, end in zip(whole, whole[1:]):
+                if end > start:
+                    yield out(table.slice(start, end - start))
+            held = table.slice(int(begins[-1])).to_batches()    # the last shard may go on
+    if held:
+        table = pa.Table.from_batches(held)
+        shard = table.column("shard").to_numpy()
+        begins = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard))
+        for i in range(0, len(begins) - 1, at_once):
+            end = begins[min(i + at_once, len(begins) - 1)]
+            yield out(table.slice(int(begins[i]), int(end - begins[i])))
+
+
+def sharded_rounds(frame: Frame, start: np.ndarray, step, rounds: int, settle: float = 1e-4) -> np.ndarray:
+    """Rounds in which every shard of rows improves its copy of the parameters row by row, and the copies are
+    averaged by row count (parameter mixing).
+
+    A row's shard and its place in it come from a hash of its key, so the result does not depend on how rows lie.
+    ``step(params, x, y)`` learns one row of each of many shards at once: arrays (shard, ..), changed in place.
+    """
+    shards = max(1, -(-frame.rows // SHARD_ROWS))
+    rows = frame.arrays.withColumn("shard", F.pmod(F.col("h"), F.lit(shards)))
+    rows = cut_lineage(rows.repartition("shard").sortWithinPartitions("shard", "h", "y"))
+    layout = SimpleNamespace(parts=rows.rdd.getNumPartitions())
+    params = start
+    for _ in range(rounds):
+
+        def each(batches, here=params):
+            total = np.zeros(here.size + 1)
+            for x, y, first in _shard_groups(batches, SHARDS_AT_ONCE):
+                sizes = np.diff(np.append(first, len(y)))
+                order = np.argsort(-sizes, kind="stable")   # the longest first, so that those still open stand together
+                first, sizes = first[order], sizes[order]
+                copies = np.repeat(here[None], len(first), axis=0)
+                for place in range(sizes[0]):
+                    open_ = int(np.searchsorted(-sizes, -place, side="left"))
+                    at = first[:open_] + place
+                    step(copies[:open_], x[at], y[at])
+                total[:-1] += np.tensordot(sizes.astype(float), copies, 1).ravel()
+                total[-1] += sizes.sum()
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["v"])
+
+        total = _gather(layout, rows.mapInArrow(each, "v array<double>"), start.size + 1)
+        new = (total[:-1] / total[-1]).reshape(start.shape)
+        moved = np.linalg.norm(new - params) / max(np.linalg.norm(params), 1e-12)
+        params = new
+        if moved < settle:
+            break
+    return params
+
 
 def passive_aggressive_classifier(frame: Frame, cost: float = 1.0, rounds: int = 10) -> LinearScores:
     """PA-I (Crammer et al. 2006), one class against the rest."""
     mean, sd = frame.moments
     k = 1 if frame.n_classes == 2 else frame.n_classes
-    p = frame.width + 1
 
-    def local(params, rows, number):
-        w = params.reshape(k, p)
-        for x, y, _ in rows:
-            z = np.column_stack([(x - mean) / sd, np.ones(len(x))])
-            length = np.einsum("np,np->n", z, z)
-            side = np.where(y == 1, 1.0, -1.0)[:, None] if k == 1 else np.where(np.equal.outer(y, np.arange(k)), 1.0, -1.0)
-            for i in range(len(z)):
-                loss = 1 - side[i] * (w @ z[i])
-                if (loss > 0).any():
-                    w += np.outer(np.minimum(cost, np.maximum(loss, 0) / length[i]) * side[i], z[i])
-        return w.ravel()
-
-    w = averaged_rounds(frame, np.zeros(k * p), local, rounds).reshape(k, p)
+    def step(w, x, y):
+        z = np.column_stack([(x - mean) / sd, np.ones(len(x))])
+        side = np.where(y == 1, 1.0, -1.0)[:, None] if k == 1 else np.where(np.equal.outer(y, np.arange(k)), 1.0, -1.0)
+        loss = np.maximum(1 - side * np.einsum("skp,sp->sk", w, z), 0)
+        tau = np.minimum(cost, loss / np.einsum("sp,sp->s", z, z)[:, None])
+        w += (tau * side)[:, :, None] * z[:, None, :]
+
+    w = sharded_rounds(frame, np.zeros((k, frame.width + 1)), step, rounds)
     raw = w[:, :-1] / sd
     return LinearScores({"weights": raw.tolist(), "constants": (w[:, -1] - raw @ mean).tolist()})
 
@@ -47,18 +118,13 @@ def passive_aggressive_regressor(frame: Frame, cost: float = 1.0, epsilon: float
     start = np.zeros(frame.width + 1)
     start[-1] = frame.df.agg(F.avg("label")).first()[0]
 
-    def local(w, rows, number):
-        for x, y, _ in rows:
-            z = np.column_stack([(x - mean) / sd, np.ones(len(x))])
-            length = np.einsum("np,np->n", z, z)
-            for i in range(len(z)):
-                gap = y[i] - w @ z[i]
-                over = abs(gap) - epsilon
-                if over > 0:
-                    w += np.sign(gap) * min(cost, over / length[i]) * z[i]
-        return w
-
-    w = averaged_rounds(frame, start, local, rounds)
+    def step(w, x, y):
+        z = np.column_stack([(x - mean) / sd, np.ones(len(x))])
+        gap = y - np.einsum("sp,sp->s", w, z)
+        over = np.maximum(np.abs(gap) - epsilon, 0)
+        w += (np.sign(gap) * np.minimum(cost, over / np.einsum("sp,sp->s", z, z)))[:, None] * z
+
+    w = sharded_rounds(frame, start, step, rounds)
     raw = w[:-1] / sd
     return LinearModel({"coefficients": raw.tolist(), "intercept": float(w[-1] - raw @ mean)})
 

@@ -304,3 +304,31 @@ def test_many_problems_are_solved_some_at_a_time(blobs, monkeypatch):
     apart = margins.linear_svc(f)
     assert np.array(apart.state["weights"]) == pytest.approx(np.array(together.state["weights"]), rel=1e-6)
     assert gaussian.qda(f).state["constant"] == pytest.approx(classes.state["constant"], rel=1e-12)
+
+
+@pytest.mark.parametrize("shard_rows, at_once", [(512, 64), (20, 3), (7, 1)])
+def test_passive_aggressive_models_do_not_depend_on_partitions(spark, blobs, line, monkeypatch, shard_rows, at_once):
+    """The same shards, learned from in the order of their keys' hashes, as a plain loop over rows gives."""
+    monkeypatch.setattr(online, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(online, "SHARDS_AT_ONCE", at_once)
+    _, x, y = line
+    one, many = (online.passive_aggressive_regressor(frame(spark, x, y, parts=p), rounds=2).state for p in (1, 9))
+    assert one["coefficients"] == pytest.approx(many["coefficients"], rel=1e-9)
+    f = frame(spark, x, y)
+    h = np.array([r["h"] for r in f.df.select("k", F.xxhash64("k").alias("h")).orderBy("k").collect()])
+    shards = -(-len(y) // shard_rows)
+    z = np.column_stack([(x - x.mean(0)) / x.std(0), np.ones(len(y))])
+    w = np.append(np.zeros(4), y.mean())
+    for _ in range(2):
+        total = np.zeros(5)
+        for s in range(shards):
+            mine, rows = w.copy(), sorted(np.flatnonzero(h % shards == s), key=lambda i: h[i])
+            for i in rows:
+                gap = y[i] - mine @ z[i]
+                mine += np.sign(gap) * min(1.0, max(abs(gap) - 0.1, 0) / (z[i] @ z[i])) * z[i]
+            total += len(rows) * mine
+        w = total / len(y)
+    assert one["coefficients"] == pytest.approx(w[:-1] / x.std(0), rel=1e-6)
+    _, bx, by = blobs
+    a, b = (online.passive_aggressive_classifier(frame(spark, bx, by, 3, parts=p), rounds=2).state for p in (1, 9))
+    assert np.array(a["weights"]) == pytest.approx(np.array(b["weights"]), rel=1e-9)
