@@ -8,13 +8,14 @@ from html import unescape
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset(
-    "script style noscript template textarea title iframe xmp noembed noframes svg math select object audio video canvas".split()
-)
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())      # what they hold is no markup
+UNSHOWN = frozenset("template svg select audio video canvas annotation annotation-xml".split())  # what they hold is markup
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br button cite code data del dfn em font i img input ins kbd label mark nobr q ruby rb rp rt rtc "
-    "s samp small span strike strong sub sup time tt u var wbr".split()
+    "s samp small span strike strong sub sup time tt u var wbr "
+    "math semantics mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mpadded mphantom".split()
 )
+ENDLESS = frozenset(("script", "style"))  # without an end tag they go on to the end of the page
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 CLOSED_BY_BLOCK = "p"
 CLOSES = {  # an element that a start tag ends, and what it is not looked for beyond
@@ -35,6 +36,21 @@ NAMED = frozenset(("class", "id", "role", "itemprop", "aria-label", "data-compon
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
+def _ends(html: str, tag: str) -> dict[int, int]:
+    """Where the elements of a name end: the place after the end tag, by that of the start tag.
+
+    An end tag ends the last one open. Those without an end tag are not in the result.
+    """
+    ends, begun = {}, []
+    for found in re.finditer(f"<(/?){re.escape(tag)}(?=[\\s/>])[^>]*+>", html, re.I):
+        if not found[1]:
+            if html[found.end() - 2] != "/":
+                begun.append(found.start())
+        elif begun:
+            ends[begun.pop()] = found.end()
+    return ends
+
+
 @dataclass
 class Page:
     """Nodes in page order: parent (-1: none), tag, attribute tokens, text of leaves, counts of own text."""
@@ -64,14 +80,18 @@ def attribute_tokens(source: str) -> tuple[str, ...]:
 def read(html: str, known: dict[str, tuple[str, ...]] | None = None) -> Page:
     """The block tree of a page. ``known`` remembers the tokens of attribute texts between pages.
 
-    Scripts, styles and other raw elements, comments and tags are left out. White space in the
-    text between two block boundaries becomes one blank; what is empty then is no leaf.
+    Scripts, styles, other raw elements and what is never shown as text, comments and tags are left
+    out. Of these only a script or style without an end tag takes the rest of the page with it; of
+    any other the start tag alone is left out then. White space in the text between two block
+    boundaries becomes one blank; what is empty then is no leaf.
     """
     page = Page()
     known = {} if known is None else known
     stack, open_tags = [-1], [""]
     pieces: list[str] = []
     linked, in_link, at = 0, False, 0
+    ends: dict[str, dict[int, int]] = {}
+    unending: set[str] = set()  # raw elements that no end tag follows any more
 
     def add(tag: str, tokens: tuple[str, ...], text: str = "", link: int = 0) -> int:
         page.parent.append(stack[-1])
@@ -135,12 +155,21 @@ def read(html: str, known: dict[str, tuple[str, ...]] | None = None) -> Page:
             continue
         if tag in CONTROLS and stack[-1] >= 0:
             page.controls[stack[-1]] += 1
+        if tag in UNSHOWN:
+            if tag not in ends:
+                ends[tag] = _ends(html, tag)
+            at = ends[tag].get(match.start(), at)
+            continue
         if tag in RAW:
-            if not attributes.endswith("/"):
+            if not attributes.endswith("/") and tag not in unending:
                 shut = re.compile(f"</{re.escape(tag)}[\\s/>]", re.I).search(html, at)
-                at = len(html) if shut is None else shut.start()
-                after = None if shut is None else html.find(">", at)
-                at = at if after is None else len(html) if after < 0 else after + 1
+                if shut is not None:
+                    after = html.find(">", shut.start())
+                    at = len(html) if after < 0 else after + 1
+                elif tag in ENDLESS:
+                    at = len(html)
+                else:
+                    unending.add(tag)
             continue
         if tag in INLINE:
             if tag == "a":

@@ -27,7 +27,15 @@ def blocks(html):
     ("<p><b>a<br><p>b &amp; c&nbsp;\n d</p>", ["a", "b & c d"]),
     ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", ["a", "b", "c", "d"]),
     ("<table><tr><td>a<td>b<tr><td><p>c</table>d", ["a", "b", "c", "d"]),
-    ("<script>if (a<b) x('</p>')</script>a<style>b</style><!-- c --><noscript>d</noscript>", ["a"]),
+    ("<script>if (a<b) x('</p>')</script>a<style>b</style><!-- c -->", ["a"]),
+    ("a<noscript><p>b</noscript>c", ["a", "b", "c"]),
+    ("E = <math><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup><annotation>mc^2</annotation></math> holds", ["E = mc2 holds"]),
+    ("a<object data='x'><p>b</p></object>c", ["a", "b", "c"]),
+    ("a<svg><p>b<svg><g></g></svg>c<video>d", ["a", "bcd"]),
+    ("a<svg title='>'>b</svg>c<svg><svg/>d</svg>e", ["ace"]),
+    ("a<svg><svg><text>x</text></svg><text>y</text></svg>b<svg/>c", ["abc"]),
+    ("a<select><option>x</option></select>b<iframe>c<title>d<textarea>e<title>f", ["abcdef"]),
+    ("<style>x</style>a<style>never closed", ["a"]),
     ("a<script>never closed", ["a"]),
     ("a < b <3 c", ["a < b <3 c"]),
     ("x<em>y</em>z <a href='>'>w</a>", ["xyz w"]),
@@ -44,6 +52,7 @@ def test_blocks_of_pages(html, expected):
 def test_deep_and_long_pages():
     deep = "<div>" * 3000 + "x" + "</div>" * 3000
     assert blocks(deep) == ["x"]
+    assert blocks("<svg>" * 20_000 + "x" + "<title>" * 20_000 + "y") == ["xy"]
     assert len(blocks("<p>" + "a " * 100_000 + "<p>b" * 2000)) == 2001
 
 
