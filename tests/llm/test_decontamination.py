@@ -79,3 +79,37 @@ def test_rows_without_an_id_are_searched(spark):
     docs = docs_table(spark, [(None, "x a b c d e f g y"), (None, "a b c d e"), (None, None), (1, "a b c d e f g"), (2, "q r s t u v")])
     kept = decontamination.clean(docs, items).collect()
     assert sorted(map(str, ((x["doc_id"], x["text"]) for x in kept))) == sorted(map(str, [(None, "a b c d e"), (None, None), (2, "q r s t u v")]))
+
+
+def test_names_of_other_columns_do_not_matter(spark):
+    items = spark.createDataFrame([(1, "a b c d e f g", "", "")], ITEMS)
+    schema = "doc_id bigint, text string, __held bigint, id string, row string, doc bigint, hash string, `a.b` int"
+    docs = spark.createDataFrame([(None, "a b c d e f g", 1, "i", "r", 2, "h", 3), (1, "A b c d e f g", 1, "i", "r", 2, "h", 3), (2, "q", 1, "i", "r", 2, "h", 3)], schema)
+    kept = decontamination.clean(docs, items)
+    assert kept.schema == docs.schema and [x["doc_id"] for x in kept.collect()] == [2]
+
+
+def test_only_sketches_are_searched(spark):
+    """A document with most shingles of an item, but none of the sketch, is no candidate: it cannot hold enough."""
+    docs, items = tables()
+    of_items = decontamination.shingles(spark.createDataFrame([(i, t, "d", "h") for i, t in enumerate(items)], ITEMS), "item_id", "text").withColumnRenamed("id", "item")
+    sketch = decontamination.sketches(of_items, 0.8)
+    assert 3 * sketch.count() < 2 * of_items.count()
+    known, bits = decontamination._lookup(sketch, 0)
+    hashes = sketch.toPandas()["hash"].to_numpy()
+    assert bits and decontamination._held(known, bits, hashes).all()
+    other = of_items.join(sketch, "hash", "left_anti").toPandas()["hash"].to_numpy()
+    assert decontamination._held(known, bits, other).mean() < 0.2
+    exact, none = decontamination._lookup(sketch, 100_000)
+    assert none == 0 and decontamination._held(exact, 0, hashes).all() and not decontamination._held(exact, 0, other).any()
+
+
+@pytest.mark.parametrize("ids", [0, 1_000_000])
+def test_long_texts_on_both_ways_of_looking_up(spark, monkeypatch, ids):
+    monkeypatch.setattr(decontamination, "BROADCAST_IDS", ids)
+    r = random.Random(5)
+    long = [f"v{r.randrange(10**6)}" for _ in range(400_000)]
+    item = " ".join(long[399_000:399_040])
+    items = spark.createDataFrame([(1, item, "", "")], ITEMS)
+    kept = decontamination.clean(docs_table(spark, [(1, " ".join(long)), (2, " ".join(long[:399_000])), (3, item)]), items)
+    assert [x["doc_id"] for x in kept.select("doc_id").collect()] == [2]
