@@ -67,11 +67,14 @@ def op8_embedding_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """The language of the nearest centroid, how far it is, and whether that is too far for it."""
     docs = table(spark, sf, "documents")
-    model = langid.learn(docs.where(remainder("doc_id", 3) != 1), key=F.col("doc_id"))
+    model = langid.learn(docs.where(remainder("doc_id", 3) != 1), key=F.col("doc_id"), limits=True)
     held_out = F.coalesce(F.col("held_out"), F.lit(False)).alias("held_out")
     found = langid.identify(docs.select("doc_id", "text", (remainder("doc_id", 3) == 1).alias("held_out")), model)
-    return found.select("row.*", "lang_pred", "score").select("doc_id", held_out, "lang_pred", "score")
+    return found.select("row.*", "nearest", "score", "rejected").select(
+        "doc_id", held_out, F.col("nearest").alias("lang_pred"), "score", (1 - F.col("score")).alias("distance"), "rejected"
+    )
 
 
 def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
