@@ -90,7 +90,7 @@ def test_names_of_other_columns_do_not_matter(spark):
 
 
 def test_only_sketches_are_searched(spark):
-    """A document with most shingles of an item, but none of the sketch, is no candidate: it cannot hold enough."""
+    """Sketches are less than two thirds of the shingles; the lookup holds them all, as hashes or as a bitmap, and few others."""
     docs, items = tables()
     of_items = decontamination.shingles(spark.createDataFrame([(i, t, "d", "h") for i, t in enumerate(items)], ITEMS), "item_id", "text").withColumnRenamed("id", "item")
     sketch = decontamination.sketches(of_items, 0.8)
