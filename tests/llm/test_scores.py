@@ -95,6 +95,25 @@ def test_toxicity_of_a_pair_is_learned(spark):
     assert toxicity.score(docs_table(spark, []), model).count() == 0
 
 
+def test_a_rare_pair_of_balanced_terms_is_learned():
+    """Two terms of 1,000 rows, each toxic as often as any row; the thirty rows that hold both all are."""
+    r = random.Random(5)
+    vocabulary = [prose(r, 1)[:-1].lower() for _ in range(2000)]
+
+    def text(*more):
+        return " ".join([vocabulary[min(int(r.paretovariate(0.5)) - 1, 1999)] for _ in range(20)] + list(more))
+
+    rows = [(text("grobian", "foreigners"), 1) for _ in range(30)]
+    for term in ("grobian", "foreigners"):
+        rows += [(text(term), int(i < 80)) for i in range(970)]
+    rows += [(text(), int(i < 1100)) for i in range(10_000)]
+    given, hashed = toxicity.terms(pa.array([t for t, _ in rows]))
+    model = toxicity.fit(given, hashed, np.array([y for _, y in rows], float))
+    scored = [model.score(pa.array([text(*more) for _ in range(200)]), model.places()) for more in ((), ("grobian",), ("foreigners",), ("grobian", "foreigners"))]
+    assert all((s >= 0.3).mean() < 0.05 for s in scored[:3])
+    assert (scored[3] >= 0.3).mean() > 0.95
+
+
 def test_the_margin_is_that_of_all_pairs():
     r = np.random.default_rng(1)
     weights, vectors = r.normal(size=5), r.normal(size=(5, 3))
