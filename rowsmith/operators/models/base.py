@@ -144,41 +144,6 @@ def _gather(frame: Frame, sums: DataFrame, size: int) -> np.ndarray:
     return np.sum([np.asarray(r["v"], dtype=float) for r in sums.collect()], axis=0)
 
 
-def averaged_rounds(frame: Frame, start: np.ndarray, local, rounds: int, settle: float = 1e-4) -> np.ndarray:
-    """Rounds of local passes: every task improves its copy of the parameters over its rows,
-    and the copies are averaged by row count (parameter mixing, Zinkevich et al. 2010).
-
-    ``local(params, rows, round)`` consumes batches ``(x, y, h)`` and returns the task's
-    parameters. Stops early once the average moves by less than ``settle`` of its length.
-    """
-    params, size = start, len(start)
-    for number in range(rounds):
-
-        def each(batches, here=params, number=number):
-            n = 0
-
-            def counted():
-                nonlocal n
-                for b in batches:
-                    if b.num_rows:
-                        n += b.num_rows
-                        yield rows_of(b)
-
-            learned = local(here.copy(), counted(), number)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([np.append(n * learned, float(n))], pa.list_(pa.float64()))], ["v"]
-            )
-
-        sums = frame.arrays.mapInArrow(each, "v array<double>")
-        total = _gather(frame, sums, size + 1)
-        new = total[:size] / total[size]
-        moved = np.linalg.norm(new - params) / max(np.linalg.norm(params), 1e-12)
-        params = new
-        if moved < settle:
-            break
-    return params
-
-
 # -- column expressions ---------------------------------------------------------------
 
 

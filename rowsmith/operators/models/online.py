@@ -1,8 +1,7 @@
 """Models that learn row by row or batch by batch: passive-aggressive and a small network.
 
-Passive-aggressive models learn on shards of rows fixed by the rows' keys, the network on the rows of a task;
-the parameters are averaged after each round, so the result is an approximation of one sequential
-pass order. Features are centred and scaled inside; scores come back in terms of the raw features.
+Both learn on shards of rows fixed by the rows' keys. The parameters are averaged after each round, so the result is
+an approximation of one sequential pass order, but the same however rows lie. Features are centred and scaled inside; scores come back in terms of the raw features.
 """
 
 from __future__ import annotations
@@ -17,12 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ...session import cut_lineage
-from .base import Fitted, Frame, _gather, averaged_rounds, features_array, rows_of
+from .base import Fitted, Frame, _gather, features_array, rows_of
 from .gaussian import LinearScores
 from .linear import LinearModel
 
 SHARD_ROWS = 512        # about so many rows are learned from one after another
 SHARDS_AT_ONCE = 64     # shards whose rows are learned from side by side
+NETWORK_ROWS = 4_096    # about so many rows a network learns from between two averages
 
 
 def _shard_groups(batches, at_once: int):
@@ -129,8 +129,88 @@ def passive_aggressive_regressor(frame: Frame, cost: float = 1.0, epsilon: float
     return LinearModel({"coefficients": raw.tolist(), "intercept": float(w[-1] - raw @ mean)})
 
 
+class Network:
+    """One hidden rectifier layer in one flat array, with the gradients of its two losses."""
+
+    def __init__(self, width: int, hidden: int, outputs: int, classes: bool, alpha: float):
+        self.shapes = [(width, hidden), (hidden,), (hidden, outputs), (outputs,)]
+        self.ends = np.cumsum([int(np.prod(s)) for s in self.shapes])
+        self.classes, self.alpha = classes, alpha
+
+    def unpack(self, v: np.ndarray) -> list[np.ndarray]:
+        return [part.reshape(s) for part, s in zip(np.split(v, self.ends[:-1]), self.shapes)]
+
+    def start(self, seed: int) -> np.ndarray:
+        rng = np.random.default_rng(seed)
+        w1, b1, w2, b2 = [rng.uniform(-1, 1, s) * np.sqrt(6 / sum(s)) if len(s) == 2 else np.zeros(s) for s in self.shapes]
+        return np.concatenate([w1.ravel(), b1, w2.ravel(), b2])
+
+    def gradient(self, v: np.ndarray, z: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Of half the mean squared gap, or of the mean cross-entropy, with a penalty on the weights."""
+        w1, b1, w2, b2 = self.unpack(v)
+        before = z @ w1 + b1
+        shown = np.maximum(before, 0)
+        said = shown @ w2 + b2
+        if self.classes:
+            said = np.exp(said - said.max(1, keepdims=True))
+            said /= said.sum(1, keepdims=True)
+        gap = (said - wanted) / len(z)
+        back = (gap @ w2.T) * (before > 0)
+        decay = self.alpha / len(z)
+        return np.concatenate([(z.T @ back + decay * w1).ravel(), back.sum(0), (shown.T @ gap + decay * w2).ravel(), gap.sum(0)])
+
+
+def network_rounds(
+    frame: Frame, net: Network, wanted, rate: float, batch: int, epochs: int, rounds: int,
+) -> np.ndarray:
+    """Rounds in which every shard of rows goes ``epochs`` times over its mini-batches by Adam, and the parameters
+    and Adam's two moments are averaged by row count.
+
+    Shards, and the order of rows and batches in them, come from hashes of the rows' keys, so the result does not
+    depend on how rows lie. A shard has about NETWORK_ROWS rows at every size of the table. The rate falls
+    linearly to nothing over the rounds. ``wanted(y)`` is what the outputs should be.
+    """
+    mean, sd = frame.moments
+    shards = max(1, -(-frame.rows // NETWORK_ROWS))
+    rows = frame.arrays.withColumn("shard", F.pmod(F.col("h"), F.lit(shards)))
+    tasks = min(shards, max(frame.parts, frame.df.sparkSession.sparkContext.defaultParallelism))
+    rows = cut_lineage(rows.repartition(tasks, "shard").sortWithinPartitions("shard", "h", "y"))
+    layout = SimpleNamespace(parts=rows.rdd.getNumPartitions())
+    start, seed = net.start(frame.seed), frame.seed
+    state = np.stack([start, np.zeros_like(start), np.zeros_like(start)])   # parameters, and Adam's moments
+    for number in range(rounds):
+
+        def each(batches, here=state, number=number):
+            total = np.zeros(here.size + 1)
+            for x, y, _ in _shard_groups(batches, 1):
+                v, first, second = here.copy()
+                z, t, n = (x - mean) / sd, wanted(y), len(y)
+                order, begins = np.random.default_rng([seed, number]), range(0, n, batch)
+                for epoch in range(epochs):
+                    pick = order.permutation(n)
+                    now = rate * (1 - (number * epochs + epoch) / (rounds * epochs))
+                    for place, at in enumerate(begins):
+                        step = (number * epochs + epoch) * len(begins) + place + 1
+                        g = net.gradient(v, z[pick[at:at + batch]], t[pick[at:at + batch]])
+                        first = 0.9 * first + 0.1 * g
+                        second = 0.999 * second + 0.001 * g * g
+                        v = v - now * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+                total[:-1] += n * np.concatenate([v, first, second])
+                total[-1] += n
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["v"])
+
+        total = _gather(layout, rows.mapInArrow(each, "v array<double>"), state.size + 1)
+        state = (total[:-1] / total[-1]).reshape(state.shape)
+    return state[0]
+
+
+def _outputs(s: dict[str, np.ndarray], x: pd.Series) -> np.ndarray:
+    z = (np.stack(x.to_numpy()) - s["mean"]) / s["sd"]
+    return np.maximum(z @ s["w1"] + s["b1"], 0) @ s["w2"] + s["b2"]
+
+
 class NetworkModel(Fitted):
-    """One hidden rectifier layer."""
+    """One hidden rectifier layer and one output."""
 
     def transform(self, df: DataFrame) -> DataFrame:
         s = {n: np.asarray(v) for n, v in self.state.items()}
@@ -139,70 +219,51 @@ class NetworkModel(Fitted):
         def score(x: pd.Series) -> pd.Series:
             if not len(x):
                 return pd.Series([], dtype=float)
-            z = (np.stack(x.to_numpy()) - s["mean"]) / s["sd"]
-            hidden = np.maximum(z @ s["w1"] + s["b1"], 0)
-            return pd.Series((hidden @ s["w2"] + s["b2"]) * s["scale"] + s["centre"])
+            return pd.Series(_outputs(s, x).ravel() * s["scale"] + s["centre"])
 
         return df.withColumn("prediction", score(features_array()))
 
 
-def network_regressor(
-    frame: Frame, hidden: int = 100, alpha: float = 1e-4, rate: float = 5e-3, batch: int = 50, rounds: int = 150,
-) -> NetworkModel:
-    """Rectifier network trained by Adam on mini-batches within each task.
+class NetworkClasses(Fitted):
+    """One hidden rectifier layer and an output for each class, brought to probabilities by softmax."""
 
-    Squared loss on the scaled label. Every round goes over all rows once, whatever their number,
-    and averages the tasks' parameters; it ends early once these settle.
-    """
+    def transform(self, df: DataFrame) -> DataFrame:
+        s = {n: np.asarray(v) for n, v in self.state.items()}
+
+        @pandas_udf("array<double>")
+        def score(x: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series([], dtype=object)
+            said = _outputs(s, x)
+            said = np.exp(said - said.max(1, keepdims=True))
+            return pd.Series(list(said / said.sum(1, keepdims=True)))
+
+        scored = df.withColumn("probability", score(features_array()))
+        most = F.array_position("probability", F.array_max("probability")) - 1
+        return scored.withColumn("prediction", most.cast("double"))
+
+
+def _layers(frame: Frame, net: Network, v: np.ndarray) -> dict:
     mean, sd = frame.moments
+    return {"mean": mean.tolist(), "sd": sd.tolist()} | {n: p.tolist() for n, p in zip(("w1", "b1", "w2", "b2"), net.unpack(v))}
+
+
+def network_regressor(
+    frame: Frame, hidden: int = 100, alpha: float = 1e-4, rate: float = 5e-3, batch: int = 50, epochs: int = 5, rounds: int = 30,
+) -> NetworkModel:
+    """Rectifier network with squared loss on the scaled label; ``epochs`` x ``rounds`` times over all rows."""
     row = frame.df.agg(F.avg("label"), F.stddev_pop("label")).first()
-    centre, scale = row[0], row[1] or 1.0
-    d = frame.width
-    shapes = [(d, hidden), (hidden,), (hidden,), (1,)]
-    sizes = [int(np.prod(s)) for s in shapes]
-    ends = np.cumsum(sizes)
-
-    def unpack(v):
-        return [part.reshape(s) for part, s in zip(np.split(v, ends[:-1]), shapes)]
-
-    seed = frame.seed
-    rng = np.random.default_rng(seed)
-    start = np.concatenate([
-        (rng.uniform(-1, 1, (d, hidden)) * np.sqrt(6 / (d + hidden))).ravel(), np.zeros(hidden),
-        rng.uniform(-1, 1, hidden) * np.sqrt(6 / (hidden + 1)), np.zeros(1),
-    ])
-
-    def gradient(v, z, t):
-        w1, b1, w2, b2 = unpack(v)
-        pre = z @ w1 + b1
-        act = np.maximum(pre, 0)
-        gap = (act @ w2 + b2 - t) / len(t)
-        back = np.outer(gap, w2) * (pre > 0)
-        return np.concatenate([
-            (z.T @ back + alpha / len(t) * w1).ravel(), back.sum(0),
-            act.T @ gap + alpha / len(t) * w2, [gap.sum()],
-        ])
-
-    def local(v, rows, number):
-        order = np.random.default_rng(seed + number)
-        m, s, steps = np.zeros_like(v), np.zeros_like(v), 0
-
-        def learn(z, t):
-            nonlocal v, m, s, steps
-            shuffled = order.permutation(len(t))
-            for at in range(0, len(t), batch):
-                pick = shuffled[at : at + batch]
-                g = gradient(v, z[pick], t[pick])
-                steps += 1
-                m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
-                v = v - rate * (m / (1 - 0.9**steps)) / (np.sqrt(s / (1 - 0.999**steps)) + 1e-8)
-
-        for x, y, _ in rows:
-            learn((x - mean) / sd, (y - centre) / scale)
-        return v
-
-    w1, b1, w2, b2 = unpack(averaged_rounds(frame, start, local, rounds, settle=1e-5))
-    return NetworkModel({
-        "mean": mean.tolist(), "sd": sd.tolist(), "centre": float(centre), "scale": float(scale),
-        "w1": w1.tolist(), "b1": b1.tolist(), "w2": w2.tolist(), "b2": float(b2[0]),
-    })
+    centre, scale = float(row[0]), float(row[1] or 1.0)
+    net = Network(frame.width, hidden, 1, False, alpha)
+    v = network_rounds(frame, net, lambda y: ((y - centre) / scale)[:, None], rate, batch, epochs, rounds)
+    return NetworkModel(_layers(frame, net, v) | {"centre": centre, "scale": scale})
+
+
+def network_classifier(
+    frame: Frame, hidden: int = 100, alpha: float = 1e-4, rate: float = 5e-3, batch: int = 50, epochs: int = 5, rounds: int = 20,
+) -> NetworkClasses:
+    """Rectifier network with one output a class and cross-entropy; ``epochs`` x ``rounds`` times over all rows."""
+    k = max(frame.n_classes, 2)
+    net = Network(frame.width, hidden, k, True, alpha)
+    v = network_rounds(frame, net, lambda y: np.equal.outer(y, np.arange(k)).astype(float), rate, batch, epochs, rounds)
+    return NetworkClasses(_layers(frame, net, v))

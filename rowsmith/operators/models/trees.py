@@ -1,12 +1,10 @@
-"""Models on MLlib's distributed learners: logistic regression, a network, boosted regression trees."""
+"""Models on MLlib's distributed learners: logistic regression, boosted regression trees."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import StandardScaler
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import DataFrame
@@ -49,15 +47,6 @@ def logistic_regression(frame: Frame, cost: float = 1.0) -> MlModel:
     )
 
 
-def network_classifier(frame: Frame, hidden: int = 100, rounds: int = 200) -> MlModel:
-    """One hidden layer of 100 on scaled features."""
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(frame.df)
-    net = MultilayerPerceptronClassifier(
-        featuresCol="scaled", layers=[frame.width, hidden, frame.n_classes], maxIter=rounds, seed=frame.seed
-    ).fit(scaler.transform(frame.df))
-    return MlModel({}, {"model": PipelineModel([scaler, net])})
-
-
 # -- gradient boosting -----------------------------------------------------------------------
 
 

@@ -21,7 +21,7 @@ CLASSIFIERS: dict[str, Callable] = {
     "Linear SVC": margins.linear_svc,
     "NuSVC": margins.nu_svc,
     "K-Nearest Neighbors": neighbors.knn_classifier,
-    "Multi-layer Perceptron": trees.network_classifier,
+    "Multi-layer Perceptron": online.network_classifier,
     "Gaussian Naive Bayes": gaussian.gaussian_nb,
     "Linear Discriminant Analysis": gaussian.lda,
     "Quadratic Discriminant Analysis": gaussian.qda,

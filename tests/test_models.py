@@ -169,7 +169,7 @@ def test_svc_is_near_the_hinge_minimum_and_gives_probabilities(two):
     (online.passive_aggressive_classifier, 0.75), (stumps.ada_boost_classifier, 0.85),
     (neighbors.knn_classifier, 0.9), (forests.decision_tree_classifier, 0.95), (forests.bagging_classifier, 0.95),
     (lambda f: forests.random_forest_classifier(f, 20), 0.95), (lambda f: forests.extra_trees_classifier(f, 20), 0.9),
-    (lambda f: boosting.gradient_boosting_classifier(f, 5), 0.85), (lambda f: trees.network_classifier(f, rounds=50), 0.85),
+    (lambda f: boosting.gradient_boosting_classifier(f, 5), 0.85), (online.network_classifier, 0.9),
     (lambda f: voting.voting_classifier(f, 10), 0.9),
 ])
 def test_classifiers_find_overlapping_blobs(blobs, fit, bound):
@@ -272,6 +272,47 @@ def test_regressors_survive_saving(spark, line, tmp_path):
         assert (predictions(load_fitted(spark, str(tmp_path / str(i))), f) == predictions(model, f)).all()
 
 
+@pytest.mark.parametrize("classes", [False, True])
+def test_gradients_of_networks_are_those_of_their_losses(classes):
+    rng = np.random.default_rng(3)
+    net = online.Network(3, 5, 2, classes, 0.1)
+    z, v = rng.normal(size=(20, 3)), net.start(1)
+    wanted = np.eye(2)[rng.integers(0, 2, 20)]
+
+    def loss(v):
+        w1, b1, w2, b2 = net.unpack(v)
+        said = np.maximum(z @ w1 + b1, 0) @ w2 + b2
+        fit = ((said - wanted) ** 2).sum() / 2 if not classes else (np.log(np.exp(said).sum(1)) - (said * wanted).sum(1)).sum()
+        return (fit + 0.05 * ((w1**2).sum() + (w2**2).sum())) / 20
+
+    step = 1e-6 * np.eye(len(v))
+    assert net.gradient(v, z, wanted) == pytest.approx([(loss(v + e) - loss(v - e)) / 2e-6 for e in step], abs=1e-7)
+
+
+def test_networks_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(online, "NETWORK_ROWS", 100)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 2))
+    f = frame(spark, x, np.sin(2 * x[:, 0]) + x[:, 1] ** 2)
+    rings = frame(spark, x, np.digitize((x**2).sum(1), [0.6, 2.0]), 3)
+    for given, fit in ((f, online.network_regressor), (rings, online.network_classifier)):
+        learned = [fit(Frame(given.df.repartition(n), given.key, given.n_classes), epochs=2, rounds=6).state for n in (1, 4, 16)]
+        for other in learned[1:]:
+            assert all(np.allclose(learned[0][w], other[w], rtol=0, atol=1e-9) for w in ("w1", "b1", "w2", "b2"))
+
+
+def test_networks_bend(spark):
+    """Targets no linear model, mean or stump comes near: a wave and a bowl, and rings around each other."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 2))
+    y = np.sin(2 * x[:, 0]) + x[:, 1] ** 2
+    f = frame(spark, x, y)
+    assert np.var(y - predictions(online.network_regressor(f), f)) < 0.01 * np.var(y)
+    rings = np.digitize((x**2).sum(1), [0.6, 2.0])
+    f = frame(spark, x, rings, 3)
+    assert (predictions(online.network_classifier(f), f) == rings).mean() > 0.97
+
+
 def test_wide_rows_use_array_functions(spark):
     """More features than are written out one by one."""
     x = RNG.normal(size=(200, 90))
