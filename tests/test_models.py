@@ -373,3 +373,37 @@ def test_passive_aggressive_models_do_not_depend_on_partitions(spark, blobs, lin
     _, bx, by = blobs
     a, b = (online.passive_aggressive_classifier(frame(spark, bx, by, 3, parts=p), rounds=2).state for p in (1, 9))
     assert np.array(a["weights"]) == pytest.approx(np.array(b["weights"]), rel=1e-9)
+
+
+def test_tube_loss_is_smooth_where_its_corners_overlap():
+    for epsilon in (0.0, 0.05, 1.0):
+        loss = margins._tube_loss(epsilon)
+        gap = np.linspace(-2, 2, 4001)[:, None]
+        value, slope, bend = loss(gap, 0.0, 0.3)
+        assert slope == pytest.approx(np.gradient(value[:, 0], gap[:, 0])[:, None], abs=2e-3)
+        assert (np.abs(np.diff(slope[:, 0])) < 0.005).all() and (bend >= 0).all()
+        assert (loss(gap, 0.0, 0.3, True) == value).all()
+
+
+def test_large_tables_end_at_the_minimum_over_all_rows(two, monkeypatch):
+    f, x, y = two
+    whole, passes = margins.svc(f, probability=False).state, []
+    monkeypatch.setattr("rowsmith.operators.models.base.START_ROWS", 60)
+    counted = margins.sum_over_rows
+    monkeypatch.setattr(margins, "sum_over_rows", lambda rows, part, size: passes.append(rows is f) or counted(rows, part, size))
+    got = margins.svc(f, probability=False).state
+    assert 0 < sum(passes) < len(passes)
+    value, want = (hinge_objective(x, 2 * y - 1, np.array(s["weights"][0]), s["constants"][0], 1.0) for s in (got, whole))
+    assert value == pytest.approx(want, rel=0.01)
+
+
+def test_tube_regressors_need_few_passes_over_all_rows(spark, monkeypatch):
+    x = RNG.uniform(0, 5, size=(2000, 2))
+    y = x[:, 0] * 0.5 + x[:, 1] / 5 + RNG.normal(size=2000) * 0.1
+    f, passes = frame(spark, x, y), []
+    monkeypatch.setattr("rowsmith.operators.models.base.START_ROWS", 400)
+    counted = margins.sum_over_rows
+    monkeypatch.setattr(margins, "sum_over_rows", lambda rows, part, size: passes.append(rows is f) or counted(rows, part, size))
+    fitted = margins.nu_svr(f, size=60)
+    assert 0 < sum(passes) < 100
+    assert np.abs(predictions(fitted, f) - x @ [0.5, 0.2]).max() < 0.3
