@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 FINE = 10_000  # steps within a percent
 
@@ -38,13 +41,20 @@ def poisson_draw(expected: Column, u: Column) -> Column:
     The same ``u`` gives the same count again; nothing is expected of a null mean.
     """
     mean = F.least(F.coalesce(expected.cast("double"), F.lit(0.0)), F.lit(MOST_DRAWN))
-    none = F.exp(-mean)
-    start = F.struct(none.alias("term"), none.alias("upto"), F.lit(0).alias("n"))
-    steps = F.sequence(F.lit(1), F.ceil(mean + 12 * F.sqrt(mean) + 20).cast("int"))
 
-    def further(state: Column, i: Column) -> Column:
-        term = state["term"] * mean / i
-        return F.struct(term.alias("term"), (state["upto"] + term).alias("upto"), (state["n"] + (u >= state["upto"]).cast("int")).alias("n"))
-
-    drawn = F.aggregate(steps, start, further, lambda state: state["n"])
-    return F.when(expected > MOST_DRAWN, F.round(expected).cast("int")).otherwise(drawn)
+    @pandas_udf("int")
+    def drawn(mean: pd.Series, none: pd.Series, u: pd.Series) -> pd.Series:
+        """The number of sums of Poisson terms that ``u`` reaches; ``none`` is the first term. Null for a null ``u``."""
+        means, term, place = (v.to_numpy(float) for v in (mean, none, u))
+        upto, n = term, np.zeros(len(means), np.int32)
+        most = np.ceil(means + 12 * np.sqrt(means) + 20)
+        step, reached = 1, place >= upto
+        while reached.any():
+            n += reached
+            term = term * means / step
+            upto = upto + term
+            step += 1
+            reached = reached & (place >= upto) & (step <= most)
+        return pd.Series(n).astype("Int32").mask(np.isnan(place))
+
+    return F.when(expected > MOST_DRAWN, F.round(expected).cast("int")).otherwise(drawn(mean, F.exp(-mean), u))

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -136,3 +138,27 @@ def test_mixed_column_as_category_or_number(spark):
     mean = np.mean([i for i in range(20) if i % 4])
     x = {r["k"]: r["x"][0] for r in numbers.apply(df).select("k", vector_to_array("features").alias("x")).collect()}
     assert all(x[k] == pytest.approx(mean if k % 4 == 0 else k) for k in range(20))
+
+
+def test_draws_are_the_poisson_counts_of_their_places(spark):
+    from rowsmith.functions.split import poisson_draw
+
+    means, places = [0.0, 0.5, 4.0, 30.0, None], [0.0, 0.3, 0.97, 1 - 2.0 ** -32, None]
+    df = spark.createDataFrame([(m, u) for m in means for u in places] + [(501.0, 0.1)], "m double, u double")
+    drawn = df.select("m", "u", poisson_draw(F.col("m"), F.col("u")).alias("n"))
+    assert dict(drawn.dtypes)["n"] == "int"
+    for m, u, n in drawn.collect():
+        if m == 501.0:
+            assert n == 501
+        elif u is None:
+            assert n is None
+        else:
+            term = upto = math.exp(-(m or 0.0))
+            want = 0
+            while u >= upto and want < 200:
+                want += 1
+                term *= (m or 0.0) / want
+                upto += term
+            assert n == want or want == 200, (m, u)
+    # no list of steps is worked through row by row
+    assert "aggregate(" not in drawn._jdf.queryExecution().optimizedPlan().toString()
