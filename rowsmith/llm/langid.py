@@ -2,8 +2,8 @@
 
 A text is the TF-IDF vector, of length one, of its hashed byte n-grams: of letters, with any other
 byte read as a blank and no two blanks side by side. Document
-frequencies are counted over all learning rows. Spherical k-means on a bounded sample of each
-language gives its centroids. A text takes the language of the centroid with the highest cosine,
+frequencies are counted over all learning rows. Spherical k-means over all rows of each language
+gives its centroids; it begins at the centroids of a bounded sample. A text takes the language of the centroid with the highest cosine,
 or none if that centroid is too far away. How far is too far can be learned: for each language
 and length of text, a distance beyond nearly all that its own rows, and their beginnings, have
 from centroids made without them.
@@ -26,14 +26,16 @@ from .words import row_slices, text_bytes
 DIMENSIONS = 4096
 GRAMS = (1, 2, 3, 4)       # lengths in bytes of UTF-8
 CLUSTERS = 4               # centroids per language
-SAMPLE_PER_LANGUAGE = 1500  # rows the centroids of a language are fitted on,
+SAMPLE_PER_LANGUAGE = 1500  # rows of a language that its centroids begin from,
 SAMPLE_ROWS = 12_000        # and of all languages: less for each where there are many
 COUNTED = 1 << 20           # bytes counted at once
-ITERATIONS = 12
+ITERATIONS = 12             # over the sample,
+PASSES = 2                  # and then over all rows
 UNKNOWN = "und"
 BEGINNINGS = tuple(8 << k for k in range(9))  # characters of the beginnings of rows that limits are learned from as well
 LENGTHS = 32                # classes of length, by powers of 2 of the number of n-grams
 LOWEST = 0.001              # share of own rows that may be under a limit
+FINENESS = 50_000           # a limit's place among the rows of its class is exact to this part of them
 FEWEST = 100                # rows that a class needs for a limit of its own; else it has that of the next shorter
 TEXT_SLICE = 1 << 20
 ROW_SLICE = 256
@@ -80,7 +82,9 @@ def small_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]
 
 def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Vectors of length one, or zero for a text without n-grams."""
-    vectors = (np.log1p(counts.astype(np.float32)) * idf.astype(np.float32))
+    vectors = np.zeros(counts.shape, np.float32)
+    used = np.flatnonzero(counts)  # most counts are 0
+    vectors.ravel()[used] = np.log1p(counts.ravel()[used].astype(np.float32)) * idf.astype(np.float32)[used % counts.shape[1]]
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     return vectors / np.where(norm > 0, norm, 1)
 
@@ -138,7 +142,7 @@ def learn(
     docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Column | None = None,
     clusters: int = CLUSTERS, sample_per_language: int = SAMPLE_PER_LANGUAGE, limits: bool = False,
 ) -> LanguageModel:
-    """Fit on the rows of ``docs`` with a language; ``key`` (default the text) chooses the sample.
+    """Fit on all rows of ``docs`` with a language; ``key`` (default the text) chooses the sample that the centroids begin from.
 
     Rows with a null language or text are not learned from. Without any rows the model answers
     UNKNOWN for every text. With ``limits`` the distances beyond which a language is rejected are
@@ -175,13 +179,56 @@ def learn(
         centroids.append(found)
         sums.append(length)
     model = LanguageModel(languages, np.concatenate(centroids) if centroids else np.zeros((0, DIMENSIONS), np.float32), idf)
-    if limits and languages:
-        model.limits = _limits(chosen, model, np.concatenate(sums))
+    if languages:
+        length = np.concatenate(sums)
+        for _ in range(PASSES):
+            length = _recentre(rows, model, length)
+        if limits:
+            model.limits = _limits(rows, model, length)
     return model
 
 
-def _limits(sample: DataFrame, model: LanguageModel, sums: np.ndarray) -> np.ndarray:
-    """Least cosine by centroid and class of length, from the cosines of the sample's rows and their beginnings.
+def _recentre(rows: DataFrame, model: LanguageModel, length: np.ndarray) -> np.ndarray:
+    """One step of spherical k-means over all rows: moves the centroids of ``model``, and returns the length of the
+    sum of the rows of each. A centroid without rows stays."""
+    of = np.array(model.languages, object)
+    schema = "centroid int, total array<float>"
+
+    def given(totals: dict[int, np.ndarray]) -> pa.RecordBatch:
+        values = pa.array([t.astype(np.float32) for t in totals.values()], pa.list_(pa.float32()))
+        return pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), values], ["centroid", "total"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part in small_slices(batch, "text"):
+                v = _weighted(gram_counts(part.column("text")), model.idf)
+                mine = part.column("lang").to_numpy(zero_copy_only=False)[:, None] == of
+                own = np.where(mine.any(1), np.argmax(np.where(mine, v @ model.centroids.T, -1), axis=1), -1)
+                for c in np.unique(own[own >= 0]):
+                    totals[c] = totals.get(c, 0.0) + v[own == c].sum(0, dtype=float)
+        yield given(totals)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, total in zip(batch.column("centroid").to_pylist(), batch.column("total")):
+                totals[c] = totals.get(c, 0.0) + total.values.to_numpy().astype(float)
+        yield given(totals)
+
+    sums = rows.select("text", "lang").mapInArrow(each, schema).repartition("centroid").mapInArrow(add_up, schema).toArrow()
+    centroids, length = model.centroids.copy(), length.astype(float)
+    for c, total in zip(sums.column("centroid").to_pylist(), sums.column("total")):
+        total = total.values.to_numpy()
+        norm = float(np.linalg.norm(total))
+        if norm > 0:
+            centroids[c], length[c] = total / norm, norm
+    model.centroids = centroids
+    return length
+
+
+def _limits(rows: DataFrame, model: LanguageModel, sums: np.ndarray) -> np.ndarray:
+    """Least cosine by centroid and class of length, from the cosines of all rows and their beginnings.
 
     A row's cosine is that with the nearest centroid of its language, its own part in the sum
     of its centroid taken out. The limit is the quantile LOWEST, and lower where rows are few.
@@ -191,33 +238,43 @@ def _limits(sample: DataFrame, model: LanguageModel, sums: np.ndarray) -> np.nda
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in small_slices(batch, "text"):
+                names = part.column("lang").to_numpy(zero_copy_only=False)
+                part = part.filter(pa.array((names[:, None] == of).any(1)))
+                if not part.num_rows:
+                    continue
                 text, names = part.column("text"), part.column("lang").to_numpy(zero_copy_only=False)
                 whole = gram_counts(text)
                 mine = names[:, None] == of
                 v = _weighted(whole, model.idf)
                 s = np.where(mine, v @ model.centroids.T, -1).astype(float)
-                rows, own = np.arange(len(names)), np.argmax(s, axis=1)
-                rest = np.sqrt(np.maximum(sums[own] ** 2 - 2 * sums[own] * s[rows, own] + 1, 0))
+                each_row, own = np.arange(len(names)), np.argmax(s, axis=1)
+                own_score = s[each_row, own]
+                rest = np.sqrt(np.maximum(sums[own] ** 2 - 2 * sums[own] * own_score + 1, 0))
                 chars = pc.utf8_length(text).to_numpy(zero_copy_only=False)
                 for size in (*BEGINNINGS, None):
-                    counts = whole if size is None else gram_counts(pc.utf8_slice_codeunits(text, 0, size))
-                    p = _weighted(counts, model.idf)
-                    near = np.where(mine, p @ model.centroids.T, -1).astype(float)
-                    without = (sums[own] * near[rows, own] - (p * v).sum(1)) / np.maximum(rest, 1e-6)
-                    near[rows, own] = np.where(rest > 1e-3, without, -1)
+                    r = each_row if size is None else np.flatnonzero(chars > size)
+                    if not len(r):
+                        continue
+                    counts = whole if size is None else gram_counts(pc.utf8_slice_codeunits(text.take(pa.array(r)), 0, size))
+                    p = v if size is None else _weighted(counts, model.idf)
+                    near = np.where(mine[r], p @ model.centroids.T, -1).astype(float)
+                    at = np.arange(len(r))
+                    without = (sums[own[r]] * near[at, own[r]] - (p * v[r]).sum(1)) / np.maximum(rest[r], 1e-6)
+                    near[at, own[r]] = np.where(rest[r] > 1e-3, without, -1)
                     score = near.max(1)
-                    some = (counts.sum(1) > 0) & (score > -1) & (True if size is None else chars > size)
-                    yield pa.RecordBatch.from_arrays([pa.array(names[some], pa.string()), pa.array(_length_class(counts)[some]), pa.array(score[some])], ["lang", "length", "score"])
-
-    scores = sample.mapInArrow(each, "lang string, length bigint, score double").toArrow()
-    names, lengths, score = (scores.column(c).to_numpy() for c in ("lang", "length", "score"))
+                    some = (counts.sum(1) > 0) & (score > -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[r][some], pa.string()), pa.array(_length_class(counts)[some]), pa.array(score[some])], ["lang", "length", "score"])
+
+    scores = rows.select("text", "lang").mapInArrow(each, "lang string, length bigint, score double")
+    found = scores.groupBy("lang", "length").agg(
+        F.count("score").alias("n"), F.percentile_approx("score", LOWEST, FINENESS).alias("low"), F.stddev_pop("score").alias("spread")
+    ).where(F.col("n") >= FEWEST).collect()
+    known = {(r["lang"], r["length"]): max(r["low"] - 5 * r["spread"] / np.sqrt(r["n"]), 0.0) for r in found}
     out = np.zeros((len(of), LENGTHS))
     for lang in set(of):
         least = shorter = 0.0
         for length in range(LENGTHS):
-            mine = score[(names == lang) & (lengths == length)]
-            if len(mine) >= FEWEST:
-                least = max(np.quantile(mine, LOWEST) - 5 * mine.std() / np.sqrt(len(mine)), 0.0)
+            least = known.get((lang, length), least)
             # the shortest of a class are no nearer than the class below
             out[of == lang, length], shorter = min(shorter, least), least
     return out

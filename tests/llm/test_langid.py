@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from rowsmith.llm import langid
 from tests.llm.common import ODD_TEXTS, docs_table
@@ -61,3 +62,22 @@ def test_long_texts_are_counted_in_parts(monkeypatch):
     whole = langid.gram_counts(given)
     monkeypatch.setattr(langid, "COUNTED", 37)
     assert (langid.gram_counts(given) == whole).all()
+
+
+def test_centroids_and_limits_are_those_of_all_rows(spark, monkeypatch):
+    """A centroid is the sum of all rows nearest to it, and far rows outside the sample lower the limits."""
+    monkeypatch.setattr(langid, "FEWEST", 10)
+    monkeypatch.setattr(langid, "ITERATIONS", 1)
+    monkeypatch.setattr(langid, "BEGINNINGS", (8, 128))
+    near, far = texts("abcd", 60, 1), texts("abcdwxyz", 60, 2)
+    docs = docs_table(spark, list(enumerate(near + far)), "xx")
+    model = langid.learn(docs, clusters=1, sample_per_language=6, limits=True)
+    v = langid._weighted(langid.gram_counts(pa.array(near + far)), model.idf)
+    total = v.sum(0, dtype=float)
+    assert np.allclose(model.centroids[0], total / np.linalg.norm(total), atol=1e-6)
+    rest = total - v
+    scores = (v * rest).sum(1) / np.linalg.norm(rest, axis=1)
+    length = langid._length_class(langid.gram_counts(pa.array(near + far)))
+    longest = scores[length == 10]  # beginnings of 128 characters have at most 512 n-grams
+    assert length.max() == 10 and len(longest) >= 10
+    assert model.limits[0, -1] == pytest.approx(max(longest.min() - 5 * longest.std() / np.sqrt(len(longest)), 0), abs=1e-5)
