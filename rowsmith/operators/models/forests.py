@@ -4,7 +4,8 @@ Nodes with more rows than a task takes are split on the cluster, level by level
 over their rows. As soon as a node's rows fit a task they are sent there and the subtree below is
 finished in it, to pure leaves. What is drawn at random (bootstrap weights, features of a node, cuts)
 comes from hashes of the row's key, the tree, and the node's way from the root, so that the trees do not
-depend on how rows lie. Subtrees stay a table; scoring holds as many trees at once as fit.
+depend on how rows lie. Subtrees stay a table; scoring holds all trees where they fit a worker, and else
+sends the rows to their subtrees, one tree after the other.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -25,7 +28,7 @@ from .base import MAX_SUMS, Fitted, Frame, features_array, first_max, rows_of, s
 from .boosting import binned, cut_points
 
 TASK_ROWS = 100_000         # rows of a subtree finished in one task
-HELD_NODES = 1 << 21        # nodes that scoring holds at once; a single tree may have more
+HELD_NODES = 1 << 21        # nodes that scoring holds at once; of trees with more in all, a subtree at a time
 ALL, ROOT = "all", "sqrt"   # features tried at a node
 POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
 
@@ -399,21 +402,71 @@ class Forest(Fitted):
 
     def transform(self, df: DataFrame) -> DataFrame:
         keep, sizes, values = df.columns, self.state["sizes"], self.state["values"]
-        total = F.array(*[F.lit(0.0)] * values)
-        out = df.withColumn("_x", features_array())
-        chunk: list[int] = []
-        for t, size in enumerate(sizes):
-            chunk.append(t)
-            if t + 1 == len(sizes) or sum(sizes[i] for i in chunk) + sizes[t + 1] > HELD_NODES:
-                added = self._chunk(chunk)(F.col("_x"))
-                out = out.withColumn("_sum", F.zip_with(F.col("_sum"), added, lambda a, b: a + b) if "_sum" in out.columns else added)
-                chunk = []
-        mean = F.transform(F.col("_sum") if "_sum" in out.columns else total, lambda v: v / len(sizes))
-        out = out.withColumn("_mean", mean)
+        if sum(sizes) > HELD_NODES:
+            out = self._sent(df)
+        else:
+            out = df.withColumn("_sum", self._chunk(list(range(len(sizes))))(features_array()))
+        out = out.withColumn("_mean", F.transform("_sum", lambda v: v / len(sizes)))
         if not self.state["classes"]:
             return out.select(*keep, F.col("_mean")[0].alias("prediction"))
         return out.select(*keep, first_max([F.col("_mean")[c] for c in range(values)]).alias("prediction"), F.col("_mean").alias("probability"))
 
+    def _sent(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``_sum``, what all trees say of a row: for one tree after the other each row goes to the task that
+        has its subtree. A task holds one subtree."""
+        vectors = {f.name for f in df.schema if isinstance(f.dataType, VectorUDT)}
+        cells = [(vector_to_array(f"`{c}`") if c in vectors else F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)]
+        rows = df.select(F.struct(*cells).alias("row"), features_array().alias("x"), F.array(*[F.lit(0.0)] * self.state["values"]).alias("sum"))
+        for t in range(len(self.state["sizes"])):
+            rows = self._through(rows, t)
+        back = [(array_to_vector(f"row.c{i}") if c in vectors else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(df.columns)]
+        return rows.select(*back, F.col("sum").alias("_sum"))
+
+    def _through(self, rows: DataFrame, t: int) -> DataFrame:
+        """``rows`` with what tree ``t`` says added to ``sum``."""
+        feature, cut, left, value = self.state["upper"][t]
+        upper = (np.array(feature), np.array(cut, float), np.array(left))
+        known = np.array([v or [0.0] * self.state["values"] for v in value], float)
+        waiting = np.array([v is None for v in value]) & (upper[2] < 0)
+
+        @pandas_udf("bigint")
+        def place(x: pd.Series, spread: pd.Series) -> pd.Series:
+            """The node whose subtree a row needs; rows that the upper nodes answer are dealt to negative places."""
+            if not len(x):
+                return pd.Series([], dtype="int64")
+            at = reached(np.stack(x.to_numpy()), upper)
+            return pd.Series(np.where(waiting[at], at, -1 - spread.to_numpy()))
+
+        def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            holder, held = None, None
+            for batch in batches:
+                places, is_row = batch.column("place").to_numpy(), batch.column("is_row").to_numpy(zero_copy_only=False)
+                given = batch.filter(batch.column("is_row"))
+                before = np.append(0, np.cumsum(is_row))
+                x = given.column("x").flatten().to_numpy(zero_copy_only=False).reshape(given.num_rows, -1) if given.num_rows else None
+                total = given.column("sum").flatten().to_numpy(zero_copy_only=False).reshape(given.num_rows, -1).copy() if given.num_rows else None
+                starts = [0, *(np.flatnonzero(places[1:] != places[:-1]) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+                for a, b in zip(starts, starts[1:]):
+                    if not is_row[a]:  # a subtree comes before its rows
+                        one = [batch.column(c)[a].values.to_numpy(zero_copy_only=False) for c in ("feature", "cut", "left", "value")]
+                        holder, held = places[a], (*one[:3], one[3].reshape(len(one[2]), -1))
+                    some = slice(before[a], before[b])
+                    if some.start < some.stop:
+                        tree, says = (held[:3], held[3]) if holder == places[a] else (upper, known)
+                        total[some] += says[reached(x[some], tree)]
+                if given.num_rows:
+                    sums = pa.array(list(total), pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([given.column("row"), given.column("x"), sums], ["row", "x", "sum"])
+
+        spread = F.pmod(F.xxhash64("x", "row"), F.lit(1 << 16))
+        subtrees = self.tables["subtrees"].where(F.col("tree") == t)
+        both = rows.select("*", place("x", spread).alias("place"), F.lit(True).alias("is_row")).unionByName(
+            subtrees.select(F.col("node").cast("bigint").alias("place"), F.lit(False).alias("is_row"), "feature", "cut", "left", "value"),
+            allowMissingColumns=True,
+        )
+        both = both.repartition("place").sortWithinPartitions("place", "is_row")
+        return both.mapInArrow(finish, rows.schema)
+
     def _chunk(self, numbers: list[int]):
         """A function that adds up what some trees say of a row."""
         trees, values = self._whole(numbers), self.state["values"]

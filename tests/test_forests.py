@@ -138,3 +138,20 @@ def test_scoring_in_parts_and_after_loading(spark, noisy, monkeypatch, tmp_path)
     model.save(spark, str(tmp_path / "m"))
     monkeypatch.setattr(forests, "HELD_NODES", 300)
     assert predictions(load_fitted(spark, str(tmp_path / "m")), f, "probability") == pytest.approx(before, abs=1e-12)
+
+
+@pytest.mark.parametrize("fit", KINDS + [lambda f, **o: forests.extra_trees_regressor(f, 3, **o)])
+@pytest.mark.parametrize("task_rows", [10 ** 6, 60])
+def test_rows_sent_to_subtrees_are_told_the_same(spark, noisy, monkeypatch, fit, task_rows):
+    x, y = noisy
+    f = frame(spark, x, y, 3)
+    model = fit(f, task_rows=task_rows)
+    twice = f.df.unionByName(f.df)
+    held = model.transform(twice)
+    want = sorted(map(str, held.collect()))
+    monkeypatch.setattr(forests, "HELD_NODES", 10)
+    monkeypatch.setattr(forests.Forest, "_whole", None)  # no whole tree is put together
+    sent = model.transform(twice)
+    assert sent.schema.simpleString() == held.schema.simpleString()
+    assert sorted(map(str, sent.collect())) == want
+    assert model.transform(f.df.limit(0)).count() == 0
