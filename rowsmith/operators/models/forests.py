@@ -223,22 +223,29 @@ class _Upper:
                 after += self._drawn(some, task_rows) if plan.drawn else self._best(some, bins, task_rows)
             large = after
 
+    def _slots(self, some: list[tuple[int, int]]) -> tuple[dict[int, tuple], dict[int, np.ndarray]]:
+        """The trees of the nodes in ``some``, and for each tree the place in ``some`` of its nodes, or -1."""
+        arrays = {t: self.trees[t].arrays() for t, _ in some}
+        slots = {t: np.full(len(tree[2]), -1) for t, tree in arrays.items()}
+        for i, (t, node) in enumerate(some):
+            slots[t][node] = i
+        return arrays, slots
+
     def _sums(self, some: list[tuple[int, int]], place, places: int) -> np.ndarray:
-        """Sums over the rows of each node in ``some`` by feature and ``place(x, slot number, rows)``."""
+        """Sums over the rows of each node in ``some`` by feature and ``place(x, slot number of each row)``."""
         plan, width, d = self.plan, self.width, self.frame.width
-        arrays = {t: self.trees[t].arrays() for t, _ in some}
-        slots = list(enumerate(some))
+        arrays, slots = self._slots(some)
 
         def part(x: np.ndarray, y: np.ndarray, h: np.ndarray) -> np.ndarray:
             total = np.zeros((len(some) * d * places, width))
-            at = {t: reached(x, tree) for t, tree in arrays.items()}
-            weights = {t: plan.weights(h, t) for t in arrays}
-            for slot, (t, node) in slots:
-                rows = np.flatnonzero((at[t] == node) & (weights[t] > 0))
+            for t, tree in arrays.items():
+                mine, w = slots[t][reached(x, tree)], plan.weights(h, t)
+                rows = np.flatnonzero((mine >= 0) & (w > 0))
                 if not len(rows):
                     continue
-                where = (slot * d + np.arange(d)) * places + place(x[rows], slot)
-                what = plan.counted(y[rows], weights[t][rows])
+                mine = mine[rows]
+                where = (mine[:, None] * d + np.arange(d)) * places + place(x[rows], mine)
+                what = plan.counted(y[rows], w[rows])
                 for k in range(width):
                     total[:, k] += np.bincount(where.ravel(), np.repeat(what[:, k], d), len(total))
             return total.ravel()
@@ -312,7 +319,7 @@ class _Upper:
 
     def _ends(self, some: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
         plan, d = self.plan, self.frame.width
-        arrays = {t: self.trees[t].arrays() for t, _ in some}
+        arrays, slots = self._slots(some)
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low, high = np.full((len(some), d), np.inf), np.full((len(some), d), -np.inf)
@@ -320,11 +327,16 @@ class _Upper:
                 if not batch.num_rows:
                     continue
                 x, _, h = rows_of(batch)
-                at = {t: reached(x, tree) for t, tree in arrays.items()}
-                for i, (t, node) in enumerate(some):
-                    here = x[(at[t] == node) & (plan.weights(h, t) > 0)]
-                    if len(here):
-                        low[i], high[i] = np.minimum(low[i], here.min(0)), np.maximum(high[i], here.max(0))
+                for t, tree in arrays.items():
+                    mine = slots[t][reached(x, tree)]
+                    rows = np.flatnonzero((mine >= 0) & (plan.weights(h, t) > 0))
+                    if not len(rows):
+                        continue
+                    rows = rows[np.argsort(mine[rows], kind="stable")]
+                    starts = np.flatnonzero(np.append(True, mine[rows][1:] != mine[rows][:-1]))
+                    at, here = mine[rows][starts], x[rows]
+                    low[at] = np.minimum(low[at], np.minimum.reduceat(here, starts))
+                    high[at] = np.maximum(high[at], np.maximum.reduceat(here, starts))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(low.size)), pa.array(low.ravel()), pa.array(high.ravel())], ["place", "low", "high"])
 
         ends = self.frame.arrays.mapInArrow(each, "place bigint, low double, high double").groupBy("place").agg(F.min("low").alias("low"), F.max("high").alias("high"))
