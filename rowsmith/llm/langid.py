@@ -47,14 +47,14 @@ LETTER[97:123] = LETTER[128:] = True
 def gram_counts(column: pa.Array) -> np.ndarray:
     """Counts of the hashed n-grams of each text: a row per text, DIMENSIONS wide."""
     data, offsets = text_bytes(pc.utf8_lower(pc.fill_null(column, "")))
-    out = np.zeros(len(column) * DIMENSIONS, np.int64)
+    size_out, out = len(column) * DIMENSIONS, None
     for at in range(0, len(data), COUNTED):
         # the n-grams that begin in this part; the last of them end in the next
         part = data[at:at + COUNTED + max(GRAMS) - 1]
         row = np.searchsorted(offsets, np.arange(at, at + len(part)), "right") - 1
         letter = LETTER[part]
         code = np.where(letter, part, 32).astype(np.uint64)
-        gram = np.zeros(len(code), np.uint64)
+        gram, places = np.zeros(len(code), np.uint64), []
         for n in range(1, max(GRAMS) + 1):
             size = len(code) - n + 1
             if size <= 0:
@@ -70,8 +70,10 @@ def gram_counts(column: pa.Array) -> np.ndarray:
             for i in range(n - 1):
                 ok &= letter[i:i + size] | letter[i + 1:i + 1 + size]
             bucket = ((gram + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - DIMENSIONS.bit_length() + 1)
-            out += np.bincount(row[:size][ok] * DIMENSIONS + bucket[ok].astype(np.int64), minlength=len(out))
-    return out.reshape(len(column), DIMENSIONS)
+            places.append(row[:size][ok] * DIMENSIONS + bucket[ok].astype(np.int64))
+        found = np.bincount(np.concatenate(places), minlength=size_out)
+        out = found if out is None else out + found
+    return (np.zeros(size_out, np.int64) if out is None else out).reshape(len(column), DIMENSIONS)
 
 
 def small_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
