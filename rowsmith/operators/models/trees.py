@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
@@ -85,19 +86,36 @@ class WeightedMedian(Fitted):
 
 def ada_boost_regressor(frame: Frame, rounds: int = 50, depth: int = 3) -> WeightedMedian:
     """AdaBoost.R2 (Drucker 1997) with linear loss. Each round's tree learns from a weighted sample with
-    replacement; a row's place in it depends on its key, the round and its weight alone."""
+    replacement; a row's place in it depends on its key, the round and its weight alone. A round keeps its rows
+    and its sample until the next has its own, so that no round works through the ones before it again."""
+    kept: list[DataFrame] = []
+
+    def keep(rows: DataFrame) -> DataFrame:
+        kept.append(rows.persist(StorageLevel.MEMORY_AND_DISK))
+        return rows
+
+    try:
+        return _ada_boost_rounds(frame, rounds, depth, keep, kept)
+    finally:
+        for rows in kept:
+            rows.unpersist()
+
+
+def _ada_boost_rounds(frame: Frame, rounds: int, depth: int, keep, kept: list[DataFrame]) -> WeightedMedian:
     df = frame.df.select("features", "label", F.col(frame.key).alias("_key")).withColumn("_w", F.lit(1.0))
     members, weights, total = [], [], float(frame.rows)
     for r in range(rounds):
         u = (key_bucket(F.col("_key"), DRAW_STEPS, f"{frame.seed}|draw|{r}") + 0.5) / DRAW_STEPS
-        drawn = df.withColumn("_n", poisson_draw(F.col("_w") * (frame.rows / total), u).cast("double")).where("_n > 0")
-        if drawn.isEmpty():     # possible where rows are few
+        drawn = keep(df.withColumn("_n", poisson_draw(F.col("_w") * (frame.rows / total), u).cast("double")).where("_n > 0"))
+        if not drawn.count():     # possible where rows are few
             drawn = df.withColumn("_n", F.col("_w"))
         tree = DecisionTreeRegressor(maxDepth=depth, maxBins=128, weightCol="_n", seed=frame.seed).fit(drawn)
-        told = tree.transform(df).select(
+        told = keep(tree.transform(df).select(
             "features", "label", "_key", "_w", F.abs(F.col("prediction") - F.col("label")).alias("_gap")
-        )
+        ))
         row = told.agg(F.sum("_w"), F.sum(F.col("_w") * F.col("_gap")), F.max("_gap")).first()
+        while len(kept) > 1:    # the rows told are complete now
+            kept.pop(0).unpersist()
         worst = row[2]
         error = row[1] / (row[0] * worst) if worst > 0 else 0.0
         if error <= 0:

@@ -407,3 +407,22 @@ def test_tube_regressors_need_few_passes_over_all_rows(spark, monkeypatch):
     fitted = margins.nu_svr(f, size=60)
     assert 0 < sum(passes) < 100
     assert np.abs(predictions(fitted, f) - x @ [0.5, 0.2]).max() < 0.3
+
+
+def test_adaptive_boosting_reads_its_rows_once_a_use(spark):
+    """Rounds go on from kept rows: the rows given are not worked through again in later rounds."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(200, numPartitions=2).selectExpr("id AS k", "array(cast(id % 17 AS double), cast(id % 5 AS double)) AS x", "cast(id * 7 % 23 AS double) AS label")
+    df = rows.mapInArrow(counted, rows.schema).select("k", array_to_vector("x").alias("features"), "label")
+    f = Frame(df, "k")
+    f.rows
+    before = read.value
+    model = trees.ada_boost_regressor(f, 6)
+    assert len(model.state["weights"]) > 3
+    assert read.value - before <= 2 * 200
