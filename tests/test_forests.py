@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from rowsmith.operators.models import forests
-from rowsmith.operators.models.base import load_fitted
+from rowsmith.operators.models.base import Frame, load_fitted
 from tests.test_models import frame, predictions
 
 KINDS = [
@@ -155,3 +155,34 @@ def test_rows_sent_to_subtrees_are_told_the_same(spark, noisy, monkeypatch, fit,
     assert sent.schema.simpleString() == held.schema.simpleString()
     assert sorted(map(str, sent.collect())) == want
     assert model.transform(f.df.limit(0)).count() == 0
+
+
+def test_rows_are_binned_once_for_all_trees(monkeypatch):
+    """The sums of large nodes are those of a plain loop, from one binning of a batch."""
+    rng = np.random.default_rng(3)
+    x, y, h = rng.normal(size=(500, 3)), rng.integers(0, 3, 500).astype(float), rng.integers(0, 1 << 62, 500)
+    calls = []
+    monkeypatch.setattr(forests, "sum_over_rows", lambda frame, part, size: part(x, y, h))
+    monkeypatch.setattr(forests, "cut_points", lambda frame: [[-0.5, 0.0, 0.5]] * 3)
+    bin_rows = forests.binned
+    monkeypatch.setattr(forests, "binned", lambda x, table: calls.append(1) or bin_rows(x, table))
+    for classes in (3, 0):
+        plan = forests.Plan(classes, 4, False, forests.ALL, True, 5)
+        upper = object.__new__(forests._Upper)
+        upper.frame, upper.plan, upper.width = Frame(None, "k"), plan, classes or 3
+        upper.frame.__dict__["_size"] = (500, 3)
+        upper.trees, upper.table = [forests.Nodes(plan.root(t)) for t in range(4)], [np.array([-0.5, 0.0, 0.5])] * 3
+        for tree in upper.trees:
+            tree.split(0, 1, 0.1)
+        some, seen = [(t, n) for t in range(4) for n in (1, 2)], []
+        sums = forests._Upper._sums
+        upper._sums = lambda *a: seen.append(sums(upper, *a)) or seen[-1]
+        calls.clear()
+        upper._best(some, 4, 10 ** 6)
+        assert len(calls) == 1
+        bins = bin_rows(x, upper.table)
+        for (t, node), got in zip(some, seen[0]):
+            w = plan.weights(h, t) * ((x[:, 1] <= 0.1) == (node == 1))
+            what = plan.counted(y, w)
+            for j in range(3):
+                assert got[j] == pytest.approx(np.array([what[bins[:, j] == b].sum(0) for b in range(4)]))
