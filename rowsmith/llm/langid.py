@@ -28,7 +28,8 @@ GRAMS = (1, 2, 3, 4)       # lengths in bytes of UTF-8
 CLUSTERS = 4               # centroids per language
 SAMPLE_PER_LANGUAGE = 1500  # rows of a language that its centroids begin from,
 SAMPLE_ROWS = 12_000        # and of all languages: less for each where there are many
-COUNTED = 1 << 20           # bytes counted at once
+MARGIN = max(GRAMS) - 1
+COUNTED = 1 << 16           # bytes counted at once: what is worked on stays in the processor's cache
 ITERATIONS = 12             # over the sample,
 PASSES = 2                  # and then over all rows
 UNKNOWN = "und"
@@ -40,40 +41,83 @@ FEWEST = 100                # rows that a class needs for a limit of its own; el
 TEXT_SLICE = 1 << 20
 ROW_SLICE = 256
 
-LETTER = np.zeros(256, bool)
-LETTER[97:123] = LETTER[128:] = True
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+LETTERS = bytes(b if 97 <= b < 123 or b >= 128 else 32 for b in range(256))
 
 
-def gram_counts(column: pa.Array) -> np.ndarray:
-    """Counts of the hashed n-grams of each text: a row per text, DIMENSIONS wide."""
-    data, offsets = text_bytes(pc.utf8_lower(pc.fill_null(column, "")))
-    size_out, out = len(column) * DIMENSIONS, None
+def _gram_places(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """By parts of the bytes: the first byte, the first row, one after the last, and for each length in GRAMS and each byte
+    from MARGIN before the part to MARGIN after it the row * DIMENSIONS + bucket, rows counted from the first, of the n-gram
+    that begins there. What is no n-gram to count, or begins in another part, has the number after all these.
+    The next part overwrites the array."""
+    most = min(len(data), COUNTED)
+    numbers, hashes, shifted = (np.empty(most + MARGIN, np.uint64) for _ in range(3))
+    every = np.empty((len(GRAMS), most + 2 * MARGIN), np.int64)
     for at in range(0, len(data), COUNTED):
         # the n-grams that begin in this part; the last of them end in the next
-        part = data[at:at + COUNTED + max(GRAMS) - 1]
-        row = np.searchsorted(offsets, np.arange(at, at + len(part)), "right") - 1
-        letter = LETTER[part]
-        code = np.where(letter, part, 32).astype(np.uint64)
-        gram, places = np.zeros(len(code), np.uint64), []
-        for n in range(1, max(GRAMS) + 1):
-            size = len(code) - n + 1
-            if size <= 0:
-                break
-            gram = gram[:size] * np.uint64(257) + code[n - 1:]
-            if n not in GRAMS:
-                continue
-            # inside one row, without two blanks side by side, and more than a blank
-            ok = row[:size] == row[n - 1:]
-            ok[COUNTED:] = False
+        part = np.frombuffer(data[at:at + COUNTED + MARGIN].tobytes().translate(LETTERS), np.uint8)
+        begin, end = np.searchsorted(offsets, [at, at + len(part) - 1], "right") - [1, 0]
+        bounds = np.clip(offsets[begin:end + 1] - at, 0, len(part))
+        row = np.repeat(np.arange(end - begin) * DIMENSIONS, np.diff(bounds))
+        letter = part != 32
+        # an n-gram lies inside one row, has no two blanks side by side, and is more than a blank
+        pair = letter[:-1] | letter[1:]
+        pair[bounds[1:-1] - 1] = False
+        # the sum of its bytes in base 257 and of n, times the factor, is the hash of an n-gram; that of its first bytes begins it
+        number, hashed = numbers[:len(part)], hashes[:len(part)]
+        np.multiply(part, FACTOR, out=number)
+        hashed[:] = 0
+        places = every[:, :min(len(part), COUNTED) + 2 * MARGIN]
+        for n in range(1, MARGIN + 2):
+            size = max(min(len(part) - n + 1, COUNTED), 0)
+            hashed = hashed[:size]
+            hashed *= np.uint64(257)
+            hashed += number[n - 1:n - 1 + size]
             if n == 1:
-                ok &= letter
-            for i in range(n - 1):
-                ok &= letter[i:i + size] | letter[i + 1:i + 1 + size]
-            bucket = ((gram + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - DIMENSIONS.bit_length() + 1)
-            places.append(row[:size][ok] * DIMENSIONS + bucket[ok].astype(np.int64))
-        found = np.bincount(np.concatenate(places), minlength=size_out)
-        out = found if out is None else out + found
-    return (np.zeros(size_out, np.int64) if out is None else out).reshape(len(column), DIMENSIONS)
+                ok = letter[:size]
+            else:
+                ok = pair[:size] if n == 2 else ok[:size] & pair[n - 2:n - 2 + size]
+            if n in GRAMS:
+                place = places[GRAMS.index(n)]
+                place[:MARGIN] = place[MARGIN + size:] = (end - begin) * DIMENSIONS
+                place = place[MARGIN:MARGIN + size]
+                np.add(hashed, np.uint64(int(FACTOR) * n % (1 << 64)), out=shifted[:size])
+                np.right_shift(shifted[:size], np.uint64(64 - DIMENSIONS.bit_length() + 1), out=place.view(np.uint64))
+                place += row[:size]
+                np.copyto(place, (end - begin) * DIMENSIONS, where=~ok)
+        yield at, begin, end, places
+
+
+def gram_counts(column: pa.Array) -> np.ndarray:
+    """Counts of the hashed n-grams of each text: a row per text, DIMENSIONS wide."""
+    return _counts_by_beginning(column, ())[0]
+
+
+def _counts_by_beginning(column: pa.Array, sizes: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Counts of the n-grams of each text, and for each of ``sizes``, ascending, the row * DIMENSIONS + bucket of each n-gram
+    inside the texts' beginnings of so many characters, but not inside the shorter ones."""
+    lower = pc.utf8_lower(pc.fill_null(column, ""))
+    data, offsets = text_bytes(lower)
+    out = np.zeros((len(column), DIMENSIONS), np.int64)
+    within: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in sizes]
+    lengths = [pc.binary_length(pc.utf8_slice_codeunits(lower, 0, size)).to_numpy(zero_copy_only=False) for size in sizes]
+    ends = np.stack([offsets[:-1] + n for n in lengths] + [offsets[1:]], axis=1)
+    for at, begin, end, places in _gram_places(data, offsets):
+        size = (end - begin) * DIMENSIONS
+        out[begin:end] += np.bincount(places.ravel(), minlength=size + 1)[:size].reshape(-1, DIMENSIONS)
+        if not sizes:
+            continue
+        # the least beginning that each byte is in; an n-gram is in that of its last byte
+        bounds = np.clip(ends[begin:end].ravel() - at, 0, places.shape[1] - MARGIN)
+        least = np.repeat(np.tile(np.arange(len(sizes) + 1, dtype=np.uint8), end - begin), np.diff(bounds, prepend=0))
+        last = np.argsort(least, kind="stable")
+        upto = np.cumsum(np.bincount(least, minlength=len(sizes)))
+        for k in range(len(sizes)):
+            ending = last[upto[k - 1] if k else 0:upto[k]]
+            for n, place in zip(GRAMS, places):
+                found = place[ending + (MARGIN - n + 1)]
+                within[k].append(found[found < size] + begin * DIMENSIONS)
+    return out, [np.concatenate(w) for w in within]
 
 
 def small_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -84,11 +128,13 @@ def small_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]
 
 def _weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Vectors of length one, or zero for a text without n-grams."""
-    vectors = np.zeros(counts.shape, np.float32)
-    used = np.flatnonzero(counts)  # most counts are 0
-    vectors.ravel()[used] = np.log1p(counts.ravel()[used].astype(np.float32)) * idf.astype(np.float32)[used % counts.shape[1]]
-    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return vectors / np.where(norm > 0, norm, 1)
+    most = counts.max(initial=0)
+    # few counts are large: the logarithm of each number is taken once
+    vectors = np.log1p(np.arange(most + 1, dtype=np.float32))[counts] if most < counts.size else np.log1p(counts.astype(np.float32))
+    vectors *= idf.astype(np.float32)
+    norm = np.sqrt((vectors * vectors).sum(1, keepdims=True))
+    vectors /= np.where(norm > 0, norm, 1)
+    return vectors
 
 
 def _length_class(counts: np.ndarray) -> np.ndarray:
@@ -236,6 +282,7 @@ def _limits(rows: DataFrame, model: LanguageModel, sums: np.ndarray) -> np.ndarr
     of its centroid taken out. The limit is the quantile LOWEST, and lower where rows are few.
     """
     of = np.array(model.languages, object)
+    idf = model.idf.astype(np.float32)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,7 +292,7 @@ def _limits(rows: DataFrame, model: LanguageModel, sums: np.ndarray) -> np.ndarr
                 if not part.num_rows:
                     continue
                 text, names = part.column("text"), part.column("lang").to_numpy(zero_copy_only=False)
-                whole = gram_counts(text)
+                whole, added = _counts_by_beginning(text, BEGINNINGS)
                 mine = names[:, None] == of
                 v = _weighted(whole, model.idf)
                 s = np.where(mine, v @ model.centroids.T, -1).astype(float)
@@ -253,19 +300,35 @@ def _limits(rows: DataFrame, model: LanguageModel, sums: np.ndarray) -> np.ndarr
                 own_score = s[each_row, own]
                 rest = np.sqrt(np.maximum(sums[own] ** 2 - 2 * sums[own] * own_score + 1, 0))
                 chars = pc.utf8_length(text).to_numpy(zero_copy_only=False)
-                for size in (*BEGINNINGS, None):
-                    r = each_row if size is None else np.flatnonzero(chars > size)
-                    if not len(r):
-                        continue
-                    counts = whole if size is None else gram_counts(pc.utf8_slice_codeunits(text.take(pa.array(r)), 0, size))
-                    p = v if size is None else _weighted(counts, model.idf)
-                    near = np.where(mine[r], p @ model.centroids.T, -1).astype(float)
+
+                def scored(r: np.ndarray, grams: np.ndarray, near: np.ndarray, with_whole: np.ndarray) -> pa.RecordBatch:
+                    near = np.where(mine[r], near, -1).astype(float)
                     at = np.arange(len(r))
-                    without = (sums[own[r]] * near[at, own[r]] - (p * v[r]).sum(1)) / np.maximum(rest[r], 1e-6)
+                    without = (sums[own[r]] * near[at, own[r]] - with_whole) / np.maximum(rest[r], 1e-6)
                     near[at, own[r]] = np.where(rest[r] > 1e-3, without, -1)
                     score = near.max(1)
-                    some = (counts.sum(1) > 0) & (score > -1)
-                    yield pa.RecordBatch.from_arrays([pa.array(names[r][some], pa.string()), pa.array(_length_class(counts)[some]), pa.array(score[some])], ["lang", "length", "score"])
+                    some = (grams > 0) & (score > -1)
+                    return pa.RecordBatch.from_arrays([pa.array(names[r][some], pa.string()), pa.array(_length_class(grams[:, None])[some]), pa.array(score[some])], ["lang", "length", "score"])
+
+                # a beginning's vector, not yet of length one, is that of the shorter with the n-grams added
+                counts, p = np.zeros(whole.size, np.int32), np.zeros(whole.shape, np.float32)
+                logs = np.log1p(np.arange(min(int(whole.max()), sum(map(len, added))) + 1, dtype=np.float32))
+                grams = np.zeros(len(names), np.int64)
+                for size, places in zip(BEGINNINGS, added):
+                    r = np.flatnonzero(chars > size)
+                    if not len(r):
+                        break
+                    np.add.at(counts, places, np.int32(1))
+                    if len(places) < p.size // 32:
+                        p.ravel()[places] = logs[counts[places]] * idf[places % DIMENSIONS]
+                    else:
+                        np.multiply(logs[counts].reshape(p.shape), idf, out=p)
+                    grams += np.bincount(places // DIMENSIONS, minlength=len(names))
+                    q = p if len(r) == len(p) else p[r]
+                    norm = np.sqrt((q * q).sum(1))
+                    norm = np.where(norm > 0, norm, 1)
+                    yield scored(r, grams[r], q @ model.centroids.T / norm[:, None], (q * (v if q is p else v[r])).sum(1) / norm)
+                yield scored(each_row, whole.sum(1), s, (v * v).sum(1))
 
     scores = rows.select("text", "lang").mapInArrow(each, "lang string, length bigint, score double")
     found = scores.groupBy("lang", "length").agg(

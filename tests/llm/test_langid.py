@@ -81,3 +81,47 @@ def test_centroids_and_limits_are_those_of_all_rows(spark, monkeypatch):
     longest = scores[length == 10]  # beginnings of 128 characters have at most 512 n-grams
     assert length.max() == 10 and len(longest) >= 10
     assert model.limits[0, -1] == pytest.approx(max(longest.min() - 5 * longest.std() / np.sqrt(len(longest)), 0), abs=1e-5)
+
+
+class Rows:
+    """In place of a table: keeps the function that its batches would go through."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, each, schema):
+        self.each = each
+        raise InterruptedError
+
+
+def test_limits_hash_each_text_once(monkeypatch):
+    """The n-grams of beginnings are those of the whole text up to there, and are not hashed again; the scores are those of the definition."""
+    given = texts("abcdéö中", 6, 1) + texts("mnopñß", 6, 2) + ["", "a", "İİ ÀÉ. b  c" * 9, "x" * 700, "1 2 3" * 20] * 2
+    names = ["xx", "yy"] * (len(given) // 2)
+    centroids = np.random.default_rng(1).random((4, langid.DIMENSIONS)).astype(np.float32)
+    model = langid.LanguageModel(["xx", "xx", "yy", "yy"], centroids / np.linalg.norm(centroids, axis=1, keepdims=True), np.linspace(1, 9, langid.DIMENSIONS))
+    of, sums = np.array(model.languages), np.array([7.0, 9.0, 2.0, 30.0])
+    expected = []
+    for text, name in zip(given, names):
+        v = langid._weighted(langid.gram_counts(pa.array([text])), model.idf)[0].astype(float)
+        own = max(np.flatnonzero(of == name), key=lambda c: v @ model.centroids[c])
+        for beginning in [text[:n] for n in langid.BEGINNINGS if n < len(text)] + [text]:
+            counts = langid.gram_counts(pa.array([beginning]))
+            p = langid._weighted(counts, model.idf)[0].astype(float)
+            near = model.centroids @ p
+            rest = sums[own] * model.centroids[own] - v
+            near[own] = rest @ p / np.sqrt(sums[own] ** 2 - 2 * sums[own] * (v @ model.centroids[own]) + 1)
+            if counts.any():
+                expected.append((name, int(langid._length_class(counts)[0]), near[of == name].max()))
+    hashed = []
+    text_bytes = langid.text_bytes
+    monkeypatch.setattr(langid, "text_bytes", lambda column: hashed.append(sum(len(t.encode()) for t in column.to_pylist())) or text_bytes(column))
+    monkeypatch.setattr(langid, "COUNTED", 50)
+    rows = Rows()
+    with pytest.raises(InterruptedError):
+        langid._limits(rows, model, sums)
+    found = [tuple(x.values()) for b in rows.each([pa.RecordBatch.from_arrays([pa.array(given), pa.array(names)], ["text", "lang"])]) for x in b.to_pylist()]
+    assert sum(hashed) == sum(len(t.lower().encode()) if "İ" not in t else len(t.replace("İ", "i").lower().encode()) for t in given)
+    assert len(found) == len(expected)
+    for x, y in zip(sorted(found), sorted(expected)):
+        assert x[:2] == y[:2] and x[2] == pytest.approx(y[2], abs=1e-5)
