@@ -215,20 +215,24 @@ def learn(
                 counts = np.minimum(gram_counts(part.column("text")), 65535).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("key"), pa.array([c.tobytes() for c in counts], pa.binary())], ["lang", "key", "counts"])
 
-    chosen = about(rows, F.col("key"), sample_per_language, F.col("lang"), SAMPLE_ROWS)
-    sample = chosen.mapInArrow(each, "lang string, key bigint, counts binary").toArrow().sort_by([("lang", "ascending"), ("key", "ascending")])
-    names = np.array(sample.column("lang").to_pylist(), object)
-    languages, centroids, sums = [], [], []
-    for lang in sorted(set(names)):
-        mine = sample.filter(pa.array(names == lang)).column("counts").to_pylist()
-        vectors = _weighted(np.stack([np.frombuffer(c, np.uint16) for c in mine]), idf)
+    def begun(sample: pa.Table) -> pa.Table:
+        counts = sample.column("counts").take(pc.sort_indices(sample, [("key", "ascending"), ("counts", "ascending")]))
+        vectors = np.empty((len(counts), DIMENSIONS), np.float32)
+        for at in range(0, len(counts), ROW_SLICE):
+            vectors[at:at + ROW_SLICE] = _weighted(np.stack([np.frombuffer(c, np.uint16) for c in counts.slice(at, ROW_SLICE).to_pylist()]), idf)
         found, length = _spherical_means(vectors, clusters)
-        languages += [lang] * len(found)
-        centroids.append(found)
-        sums.append(length)
-    model = LanguageModel(languages, np.concatenate(centroids) if centroids else np.zeros((0, DIMENSIONS), np.float32), idf)
+        columns = [sample.column("lang").slice(0, 1).take(pa.array([0] * len(found))), pa.array(range(len(found)), pa.int32()), pa.array(list(found), pa.list_(pa.float32())), pa.array(length, pa.float64())]
+        return pa.table(columns, ["lang", "number", "centroid", "length"])
+
+    # a language's part of the sample meets in a task; the driver gets no rows, only centroids
+    chosen = about(rows, F.col("key"), sample_per_language, F.col("lang"), SAMPLE_ROWS)
+    sample = chosen.mapInArrow(each, "lang string, key bigint, counts binary")
+    first = sample.groupBy("lang").applyInArrow(begun, "lang string, number int, centroid array<float>, length double").toArrow().sort_by([("lang", "ascending"), ("number", "ascending")])
+    languages = first.column("lang").to_pylist()
+    centroids = [c.values.to_numpy() for c in first.column("centroid")]
+    model = LanguageModel(languages, np.stack(centroids) if centroids else np.zeros((0, DIMENSIONS), np.float32), idf)
     if languages:
-        length = np.concatenate(sums)
+        length = first.column("length").to_numpy()
         for _ in range(PASSES):
             length = _recentre(rows, model, length)
         if limits:

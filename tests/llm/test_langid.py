@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rowsmith.llm import langid
 from tests.llm.common import ODD_TEXTS, docs_table
@@ -83,6 +84,25 @@ def test_centroids_and_limits_are_those_of_all_rows(spark, monkeypatch):
     assert model.limits[0, -1] == pytest.approx(max(longest.min() - 5 * longest.std() / np.sqrt(len(longest)), 0), abs=1e-5)
 
 
+def test_centroids_begin_from_rows_that_stay_in_the_tasks(spark, monkeypatch):
+    """The centroids of the sample are those of each language's rows in the order of their keys; the driver gets no rows."""
+    docs = table(spark)
+    keyed = docs.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("doc_id").alias("key")).orderBy("lang", "key").collect()
+    received = []
+    to_arrow = type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: received.append(to_arrow(self)) or received[-1])
+    monkeypatch.setattr(langid, "PASSES", 0)
+    model = langid.learn(docs, key=F.col("doc_id"), clusters=2)
+    assert model.languages == ["xx", "xx", "yy", "yy"]
+    for n, lang in enumerate(("xx", "yy")):
+        rows = [x["text"] for x in keyed if x["lang"] == lang]
+        assert len(rows) == 60
+        expected, _ = langid._spherical_means(langid._weighted(langid.gram_counts(pa.array(rows)), model.idf), 2)
+        assert np.allclose(model.centroids[2 * n:2 * n + 2], expected, atol=1e-6)
+    # a row's counts are 8 KB, and there are 120 rows
+    assert received and max(x.nbytes for x in received) < 120 * 2 * langid.DIMENSIONS / 8
+
+
 class Rows:
     """In place of a table: keeps the function that its batches would go through."""
 
