@@ -5,7 +5,7 @@ over their rows. As soon as a node's rows fit a task they are sent there and the
 finished in it, to pure leaves. What is drawn at random (bootstrap weights, features of a node, cuts)
 comes from hashes of the row's key, the tree, and the node's way from the root, so that the trees do not
 depend on how rows lie. Subtrees stay a table; scoring holds all trees where they fit a worker, and else
-sends the rows to their subtrees, one tree after the other.
+sends the rows to their subtrees in all trees.
 """
 
 from __future__ import annotations
@@ -28,8 +28,13 @@ from .base import MAX_SUMS, Fitted, Frame, features_array, first_max, rows_of, s
 from .boosting import binned, cut_points
 
 TASK_ROWS = 100_000         # rows of a subtree finished in one task
+ROWS_PER_TASK = 20_000      # and of subtrees that share a task, at least
 HELD_NODES = 1 << 21        # nodes that scoring holds at once; of trees with more in all, a subtree at a time
+DEALT = 256                 # places that rows without a subtree are dealt to
 ALL, ROOT = "all", "sqrt"   # features tried at a node
+PADDED, FEW_CLASSES = 256, 16   # nodes of at most as many rows (and classes) are looked into side by side
+AT_ONCE = 1 << 20           # rows of these at once
+PRESORTED = 16              # features of which the rows' order is kept
 POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
 
 
@@ -73,6 +78,22 @@ class Plan:
         h = _hash(np.uint64(key), features.astype(np.uint64) + np.uint64(1 << 32))
         return np.sort(features[np.argsort(h, kind="stable")][:max(1, math.isqrt(len(usable)))])
 
+    def tried_in(self, keys: np.ndarray, usable: np.ndarray) -> np.ndarray:
+        """``tried`` of many nodes, as flags."""
+        if self.subset == ALL:
+            return usable
+        d = usable.shape[1]
+        h = _hash(keys[:, None], np.arange(d).astype(np.uint64) + np.uint64(1 << 32))
+        order = np.lexsort((h, ~usable), axis=1)[:, :max(1, math.isqrt(d))]
+        first = np.zeros(usable.shape, bool)
+        np.put_along_axis(first, order, True, 1)
+        return first & usable
+
+    def cut_in(self, keys: np.ndarray, feature: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """``cuts`` of many nodes for one feature."""
+        cut = low + _uniform(_hash(keys, feature)) * (high - low)
+        return np.where(cut >= high, low, cut)
+
     def cuts(self, key: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """A cut for each feature, drawn evenly between its least and its largest value in the node."""
         cut = low + _uniform(_hash(np.uint64(key), np.arange(len(low)))) * (high - low)
@@ -100,6 +121,11 @@ def child_key(key: int, side: int) -> int:
     return x ^ (x >> 31)
 
 
+def child_keys(keys: np.ndarray, side: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mix(keys * np.uint64(0x9E3779B97F4A7C15) + np.uint64(2 * side + 1))
+
+
 def middle(low: float, high: float) -> float:
     cut = low + (high - low) / 2
     return low if cut >= high else cut
@@ -142,10 +168,8 @@ def reached(x: np.ndarray, tree: tuple[np.ndarray, ...]) -> np.ndarray:
 
 
 def _best_cut(v: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int) -> tuple[float, float]:
-    """(worth, cut) of the best cut of one feature: the sum over both sides of squared class weights, or of
-    the squared sum, by the side's weight. Only cuts between different values."""
-    order = np.argsort(v, kind="stable")
-    v, y, w = v[order], y[order], w[order]
+    """(worth, cut) of the best cut of one feature, whose values come in order: the sum over both sides of squared
+    class weights, or of the squared sum, by the side's weight. Only cuts between different values."""
     ends = np.flatnonzero(v[1:] > v[:-1])
     n = np.cumsum(w)
     if classes:
@@ -166,40 +190,174 @@ def _best_cut(v: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int) -> tupl
     return float(worth[best]), middle(v[ends[best]], v[ends[best] + 1])
 
 
-def _worth(y: np.ndarray, w: np.ndarray, left: np.ndarray, classes: int) -> float:
+def _best_cuts(v: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """``_best_cut`` of many small nodes, a row of the arrays each; places behind a node's rows repeat its last value and weigh nothing."""
+    n = np.cumsum(w, 1)[:, :-1]
+    total, left, right = w.sum(1)[:, None], 0.0, 0.0
+    for what in ([w * (y == c) for c in range(classes)] if classes else [w * y]):
+        s = np.cumsum(what, 1)
+        left, right = left + s[:, :-1] ** 2, right + (s[:, -1:] - s[:, :-1]) ** 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        worth = np.where(v[:, 1:] > v[:, :-1], left / n + right / (total - n), -np.inf)
+    top = worth.max(1, keepdims=True)
+    at = np.argmax(worth >= top - 1e-12 * np.abs(top), 1)
+    nodes = np.arange(len(v))
+    low, high = v[nodes, at], v[nodes, at + 1]
+    cut = low + (high - low) / 2
+    return worth[nodes, at], np.where(cut >= high, low, cut)
+
+
+def _all_best_cuts(v: np.ndarray, y: np.ndarray, w: np.ndarray, starts: np.ndarray, sizes: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(worth, cut) of one feature in each node. The rows of a node lie together, in the order of the feature."""
+    worth, cut = np.empty(len(starts)), np.empty(len(starts))
+    alone = sizes > (PADDED if classes <= FEW_CLASSES else 0)
+    for i in np.flatnonzero(alone):
+        here = slice(starts[i], starts[i] + sizes[i])
+        worth[i], cut[i] = _best_cut(v[here], y[here], w[here], classes)
+    width = 2
+    while width // 2 < PADDED:
+        some = np.flatnonzero(~alone & (sizes <= width) & (sizes > width // 2))
+        for nodes in np.array_split(some, len(some) * width // AT_ONCE + 1) if len(some) else []:
+            place = np.arange(width)
+            at = starts[nodes, None] + np.minimum(place, sizes[nodes, None] - 1)
+            worth[nodes], cut[nodes] = _best_cuts(v[at], y[at], np.where(place < sizes[nodes, None], w[at], 0.0), classes)
+        width *= 2
+    return worth, cut
+
+
+def _drawn_worths(left: np.ndarray, y: np.ndarray, w: np.ndarray, starts: np.ndarray, node: np.ndarray, classes: int) -> np.ndarray:
+    """What the cut of one feature is worth in each node; ``left`` tells the side of a row, ``node`` its node's number."""
     out = 0.0
+    if classes:
+        _, code, = np.unique((node * 2 + left) * classes + y.astype(np.int64), return_inverse=True) if len(starts) * 2 * classes > 4 * len(y) else (None, (node * 2 + left) * classes + y.astype(np.int64))
+        squares = np.bincount(code, w)[code] * w      # adds up to the squared weight of each class
     for side in (left, ~left):
-        sums = np.bincount(y[side].astype(np.int64), w[side], classes) if classes else (w[side] * y[side]).sum()
-        out += float((sums ** 2).sum() / w[side].sum())
+        weight = np.add.reduceat(np.where(side, w, 0.0), starts)
+        if classes:
+            out = out + np.add.reduceat(np.where(side, squares, 0.0), starts) / weight
+        else:
+            out = out + np.add.reduceat(np.where(side, w * y, 0.0), starts) ** 2 / weight
     return out
 
 
-def leaf_value(y: np.ndarray, w: np.ndarray, classes: int) -> list[float]:
-    sums = np.bincount(y.astype(np.int64), w, classes) if classes else np.array([(w * y).sum()])
-    return (sums / w.sum()).tolist()
-
-
-def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, key: int, plan: Plan) -> Nodes:
-    """A tree to pure leaves over rows that fit; rows come in the order of their keys' hashes."""
-    nodes, open_ = Nodes(key), [(0, np.arange(len(y)))]
-    while open_:
-        node, rows = open_.pop()
-        best = None
-        if (y[rows] != y[rows[0]]).any():
-            here = x[rows]
-            low, high = here.min(0), here.max(0)
-            cuts = plan.cuts(nodes.key[node], low, high) if plan.drawn else None
-            for j in plan.tried(nodes.key[node], high > low):
-                worth, cut = (_worth(y[rows], w[rows], here[:, j] <= cuts[j], plan.classes), float(cuts[j])) if plan.drawn else _best_cut(here[:, j], y[rows], w[rows], plan.classes)
-                if best is None or worth > best[0] * (1 + 1e-12):
-                    best = (worth, int(j), cut)
-        if best is None:
-            nodes.value[node] = leaf_value(y[rows], w[rows], plan.classes)
-            continue
-        first = nodes.split(node, best[1], best[2])
-        left = x[rows, best[1]] <= best[2]
-        open_ += [(first + 1, rows[~left]), (first, rows[left])]
-    return nodes
+def _leaf_values(y: np.ndarray, w: np.ndarray, starts: np.ndarray, node: np.ndarray, classes: int) -> np.ndarray:
+    if not len(starts):
+        return np.zeros((0, max(1, classes)))
+    if not classes:
+        sums = np.add.reduceat(w * y, starts)[:, None]
+    else:
+        sums = np.bincount(node * classes + y.astype(np.int64), w, len(starts) * classes).reshape(-1, classes)
+    return sums / np.add.reduceat(w, starts)[:, None]
+
+
+class _Open:
+    """The open nodes of a growing tree and their rows: those of a node lie together, in their first order and in that of
+    each feature (the latter kept from level to level where features are few)."""
+
+    def __init__(self, x: np.ndarray, presorted: bool):
+        self.x, n = x, len(x)
+        self.rows = [np.arange(n)] + [np.argsort(x[:, j], kind="stable") for j in range(x.shape[1] if presorted else 0)]
+        self.sizes = np.array([n])
+        self._count()
+
+    def _count(self) -> None:
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.node = np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def keep(self, kept: np.ndarray) -> None:
+        """The nodes in ``kept`` (a flag each) stay."""
+        if not kept.all():
+            of_rows = kept[self.node]
+            self.rows = [r[of_rows] for r in self.rows]
+            self.sizes = self.sizes[kept]
+            self._count()
+
+    def only(self, nodes: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of some nodes (a flag each) in the order of feature ``j``, and where each node's begin."""
+        of_rows = nodes[self.node]
+        sizes = self.sizes[nodes]
+        if len(self.rows) > 1:
+            rows = self.rows[1 + j][of_rows]
+        else:
+            rows = self.rows[0][of_rows]
+            rows = rows[np.lexsort((self.x[rows, j], self.node[of_rows]))]
+        return rows, np.cumsum(sizes) - sizes
+
+    def split(self, feature: np.ndarray, cut: np.ndarray) -> None:
+        """Each node becomes two; rows keep their order."""
+        goes_left = np.zeros(len(self.x), bool)
+        goes_left[self.rows[0]] = self.x[self.rows[0], feature[self.node]] <= cut[self.node]
+        lefts = np.add.reduceat(goes_left[self.rows[0]].astype(np.int64), self.starts)
+        place = np.arange(len(self.node))
+        for i, rows in enumerate(self.rows):
+            left = goes_left[rows]
+            before = np.cumsum(left) - left
+            before -= before[self.starts][self.node]
+            first = self.starts[self.node]
+            out = np.empty_like(rows)
+            out[np.where(left, first + before, lefts[self.node] + place - before)] = rows
+            self.rows[i] = out
+        self.sizes = np.column_stack([lefts, self.sizes - lefts]).ravel()
+        self._count()
+
+
+def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, key: int, plan: Plan) -> tuple[np.ndarray, ...]:
+    """(feature, cut, left, value) of a tree to pure leaves over rows that fit, all nodes of a level at once; rows come in
+    the order of their keys' hashes."""
+    d, classes = x.shape[1], plan.classes
+    open_ = _Open(x, not plan.drawn and d <= PRESORTED)
+    keys = np.array([key], np.uint64)
+    levels, nodes = [], 1
+    while len(keys):
+        m = len(keys)
+        feature, cut, left, value = np.full(m, -1), np.zeros(m), np.full(m, -1), np.zeros((m, plan.values))
+        levels.append((feature, cut, left, value))
+
+        def close(leaves: np.ndarray, at: np.ndarray) -> None:
+            """Leaves (a flag each) take their values; ``at`` are the places of the open nodes in the level."""
+            if leaves.any():
+                of_rows = leaves[open_.node]
+                rows, sizes = open_.rows[0][of_rows], open_.sizes[leaves]
+                value[at[leaves]] = _leaf_values(y[rows], w[rows], np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes), classes)
+                open_.keep(~leaves)
+
+        at, label = np.arange(m), y[open_.rows[0]]
+        pure = np.minimum.reduceat(label, open_.starts) == np.maximum.reduceat(label, open_.starts)
+        close(pure, at)
+        at, keys = at[~pure], keys[~pure]
+        if not len(at):
+            break
+        here = x[open_.rows[0]]
+        low, high = (f.reduceat(here, open_.starts, axis=0) for f in (np.minimum, np.maximum))
+        tried = plan.tried_in(keys, high > low)
+        best, by, where = np.zeros(len(at)), np.full(len(at), -1), np.zeros(len(at))
+        for j in np.flatnonzero(tried.any(0)):
+            some = tried[:, j]
+            if plan.drawn:
+                drawn = plan.cut_in(keys, j, low[:, j], high[:, j])
+                worth = _drawn_worths(here[:, j] <= drawn[open_.node], y[open_.rows[0]], w[open_.rows[0]], open_.starts, open_.node, classes)[some] if some.all() else None
+                if worth is None:
+                    of_rows = some[open_.node]
+                    rows, sizes = open_.rows[0][of_rows], open_.sizes[some]
+                    node = np.repeat(np.arange(len(sizes)), sizes)
+                    worth = _drawn_worths(x[rows, j] <= drawn[some][node], y[rows], w[rows], np.cumsum(sizes) - sizes, node, classes)
+                cuts = drawn[some]
+            else:
+                rows, starts = open_.only(some, j)
+                worth, cuts = _all_best_cuts(x[rows, j], y[rows], w[rows], starts, open_.sizes[some], classes)
+            better = (by[some] < 0) | (worth > best[some] * (1 + 1e-12))
+            which = np.flatnonzero(some)[better]
+            best[which], by[which], where[which] = worth[better], j, cuts[better]
+        alike = by < 0
+        close(alike, at)
+        at, keys, by, where = (v[~alike] for v in (at, keys, by, where))
+        if not len(at):
+            break
+        feature[at], cut[at], left[at] = by, where, nodes + 2 * np.arange(len(at))
+        nodes += 2 * len(at)
+        open_.split(by, where)
+        keys = np.column_stack([child_keys(keys, 0), child_keys(keys, 1)]).ravel()
+    return tuple(np.concatenate(v) for v in zip(*levels))
 
 
 # -- large nodes on the cluster -------------------------------------------------------------------------
@@ -357,6 +515,11 @@ class _Upper:
 SUBTREE = "tree int, node int, feature array<int>, cut array<double>, left array<int>, value array<double>"
 
 
+def _tasks(df: DataFrame, subtrees: int) -> int:
+    """Tasks for work that is divided by subtree."""
+    return int(max(1, min(subtrees, max(8 * df.sparkSession.sparkContext.defaultParallelism, subtrees // 16))))
+
+
 def fit(frame: Frame, plan: Plan, task_rows: int = TASK_ROWS) -> Forest:
     upper = _Upper(frame, plan, task_rows).trees
     arrays = [t.arrays() for t in upper]
@@ -380,15 +543,16 @@ def fit(frame: Frame, plan: Plan, task_rows: int = TASK_ROWS) -> Forest:
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (t, node), rows in _groups(batches):
             x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
-            nodes = grow(x, rows.column("y").to_numpy(), rows.column("w").to_numpy(), keys[t][node], plan)
-            value = np.array([v or [0.0] * plan.values for v in nodes.value]).ravel()
+            feature, cut, left, value = grow(x, rows.column("y").to_numpy(), rows.column("w").to_numpy(), keys[t][node], plan)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([t], pa.int32()), pa.array([node], pa.int32()), *[pa.array([v], pa.list_(k)) for v, k in zip((nodes.feature, nodes.cut, nodes.left, value), (pa.int32(), pa.float64(), pa.int32(), pa.float64()))]],
+                [pa.array([t], pa.int32()), pa.array([node], pa.int32()), *[pa.array([v], pa.list_(k)) for v, k in zip((feature.astype(np.int32), cut, left.astype(np.int32), value.ravel()), (pa.int32(), pa.float64(), pa.int32(), pa.float64()))]],
                 ["tree", "node", "feature", "cut", "left", "value"],
             )
 
     dealt = frame.arrays.mapInArrow(deal, "tree int, node int, w double, x array<double>, y double, h bigint")
-    dealt = dealt.repartition("tree", "node").sortWithinPartitions("tree", "node", "h", "y")
+    # a task for each subtree where there are rows enough: a subtree costs much more than the size of its rows tells
+    parts = min(_tasks(frame.df, sum(map(sum, waiting))), math.ceil(frame.rows * plan.trees / ROWS_PER_TASK))
+    dealt = dealt.repartition(int(parts), "tree", "node").sortWithinPartitions("tree", "node", "h", "y")
     subtrees = cut_lineage(dealt.mapInArrow(finish, SUBTREE))
     sizes = {r["tree"]: r["n"] for r in subtrees.groupBy("tree").agg(F.sum(F.size("left")).alias("n")).collect()}
     state = {
@@ -432,60 +596,78 @@ class Forest(Fitted):
         return out.select(*keep, first_max([F.col("_mean")[c] for c in range(values)]).alias("prediction"), F.col("_mean").alias("probability"))
 
     def _sent(self, df: DataFrame) -> DataFrame:
-        """``df`` with ``_sum``, what all trees say of a row: for one tree after the other each row goes to the task that
-        has its subtree. A task holds one subtree."""
+        """``df`` with ``_sum``, what all trees say of a row: each row goes to the tasks that have its subtrees, once for every tree,
+        and what they say is added up in the order of the trees. A task holds one subtree."""
         vectors = {f.name for f in df.schema if isinstance(f.dataType, VectorUDT)}
         cells = [(vector_to_array(f"`{c}`") if c in vectors else F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)]
-        rows = df.select(F.struct(*cells).alias("row"), features_array().alias("x"), F.array(*[F.lit(0.0)] * self.state["values"]).alias("sum"))
-        for t in range(len(self.state["sizes"])):
-            rows = self._through(rows, t)
+        rows = cut_lineage(df.select(F.struct(*cells).alias("row"), features_array().alias("x"))).withColumn("id", F.monotonically_increasing_id())
+        said = self._told(rows.select("id", "x")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("tree", "value"))).alias("said"))
+
+        def added(c: int):
+            return F.aggregate("said", F.lit(0.0), lambda a, v: a + v["value"][c])
+
+        total = F.array(*[added(c) for c in range(self.state["values"])])
         back = [(array_to_vector(f"row.c{i}") if c in vectors else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(df.columns)]
-        return rows.select(*back, F.col("sum").alias("_sum"))
-
-    def _through(self, rows: DataFrame, t: int) -> DataFrame:
-        """``rows`` with what tree ``t`` says added to ``sum``."""
-        feature, cut, left, value = self.state["upper"][t]
-        upper = (np.array(feature), np.array(cut, float), np.array(left))
-        known = np.array([v or [0.0] * self.state["values"] for v in value], float)
-        waiting = np.array([v is None for v in value]) & (upper[2] < 0)
-
-        @pandas_udf("bigint")
-        def place(x: pd.Series, spread: pd.Series) -> pd.Series:
-            """The node whose subtree a row needs; rows that the upper nodes answer are dealt to negative places."""
-            if not len(x):
-                return pd.Series([], dtype="int64")
-            at = reached(np.stack(x.to_numpy()), upper)
-            return pd.Series(np.where(waiting[at], at, -1 - spread.to_numpy()))
+        return rows.select("id", "row").join(said, "id").select(*back, total.alias("_sum"))
+
+    def _told(self, rows: DataFrame) -> DataFrame:
+        """(id, tree, value): what each tree says of each row."""
+        upper = [(np.array(feature), np.array(cut, float), np.array(left)) for feature, cut, left, _ in self.state["upper"]]
+        known = [np.array([v or [0.0] * self.state["values"] for v in value], float) for *_, value in self.state["upper"]]
+        waiting = [np.array([v is None for v in value]) & (np.array(left) < 0) for _, _, left, value in self.state["upper"]]
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Each row once for each tree, with the node whose subtree it needs; rows that the upper nodes answer are dealt
+            to negative places."""
+            for batch in batches:
+                n = batch.num_rows
+                if not n:
+                    continue
+                x, number = batch.column("x"), batch.column("id").to_numpy()
+                values = x.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+                for t, tree in enumerate(upper):
+                    at = reached(values, tree)
+                    place = np.where(waiting[t][at], at, -1 - number % DEALT)
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.full(n, t, np.int32)), pa.array(place), x], ["id", "tree", "place", "x"])
 
         def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             holder, held = None, None
             for batch in batches:
-                places, is_row = batch.column("place").to_numpy(), batch.column("is_row").to_numpy(zero_copy_only=False)
+                if not batch.num_rows:
+                    continue
+                trees, places = batch.column("tree").to_numpy(), batch.column("place").to_numpy()
+                is_row = batch.column("is_row").to_numpy(zero_copy_only=False)
                 given = batch.filter(batch.column("is_row"))
                 before = np.append(0, np.cumsum(is_row))
                 x = given.column("x").flatten().to_numpy(zero_copy_only=False).reshape(given.num_rows, -1) if given.num_rows else None
-                total = given.column("sum").flatten().to_numpy(zero_copy_only=False).reshape(given.num_rows, -1).copy() if given.num_rows else None
-                starts = [0, *(np.flatnonzero(places[1:] != places[:-1]) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+                value = np.empty((given.num_rows, known[0].shape[1]))
+                # a subtree comes before its rows
+                new = (trees[1:] != trees[:-1]) | (places[1:] != places[:-1]) | ~is_row[:-1] | ~is_row[1:]
+                starts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
                 for a, b in zip(starts, starts[1:]):
-                    if not is_row[a]:  # a subtree comes before its rows
-                        one = [batch.column(c)[a].values.to_numpy(zero_copy_only=False) for c in ("feature", "cut", "left", "value")]
-                        holder, held = places[a], (*one[:3], one[3].reshape(len(one[2]), -1))
+                    t = int(trees[a])
+                    if not is_row[a]:
+                        one = [batch.column(c)[a].values.to_numpy(zero_copy_only=False) for c in ("feature", "cut", "left", "subtree")]
+                        holder, held = (t, places[a]), (*one[:3], one[3].reshape(len(one[2]), -1))
+                        continue
                     some = slice(before[a], before[b])
-                    if some.start < some.stop:
-                        tree, says = (held[:3], held[3]) if holder == places[a] else (upper, known)
-                        total[some] += says[reached(x[some], tree)]
+                    tree, says = (held[:3], held[3]) if holder == (t, places[a]) else (upper[t], known[t])
+                    value[some] = says[reached(x[some], tree)]
                 if given.num_rows:
-                    sums = pa.array(list(total), pa.list_(pa.float64()))
-                    yield pa.RecordBatch.from_arrays([given.column("row"), given.column("x"), sums], ["row", "x", "sum"])
-
-        spread = F.pmod(F.xxhash64("x", "row"), F.lit(1 << 16))
-        subtrees = self.tables["subtrees"].where(F.col("tree") == t)
-        both = rows.select("*", place("x", spread).alias("place"), F.lit(True).alias("is_row")).unionByName(
-            subtrees.select(F.col("node").cast("bigint").alias("place"), F.lit(False).alias("is_row"), "feature", "cut", "left", "value"),
-            allowMissingColumns=True,
+                    ends = pa.array(np.arange(0, value.size + 1, value.shape[1], dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([given.column("id"), given.column("tree"), pa.ListArray.from_arrays(ends, pa.array(value.ravel()))], ["id", "tree", "value"])
+
+        # empty arrays, since a batch takes as many steps as the square of its rows to write arrays that are null
+        arrays = {"feature": "int", "cut": "double", "left": "int", "subtree": "double"}
+        dealt = rows.mapInArrow(deal, "id bigint, tree int, place bigint, x array<double>").select(
+            "*", F.lit(True).alias("is_row"), *[F.array().cast(f"array<{kind}>").alias(c) for c, kind in arrays.items()]
+        )
+        subtrees = self.tables["subtrees"].withColumnRenamed("value", "subtree").select(
+            F.lit(0).cast("bigint").alias("id"), "tree", F.col("node").cast("bigint").alias("place"), F.array().cast("array<double>").alias("x"),
+            F.lit(False).alias("is_row"), *arrays,
         )
-        both = both.repartition("place").sortWithinPartitions("place", "is_row")
-        return both.mapInArrow(finish, rows.schema)
+        both = dealt.unionByName(subtrees).repartition(_tasks(rows, sum(int(w.sum()) for w in waiting)), "tree", "place")
+        return both.sortWithinPartitions("tree", "place", "is_row").mapInArrow(finish, "id bigint, tree int, value array<double>")
 
     def _chunk(self, numbers: list[int]):
         """A function that adds up what some trees say of a row."""

@@ -186,3 +186,82 @@ def test_rows_are_binned_once_for_all_trees(monkeypatch):
             what = plan.counted(y, w)
             for j in range(3):
                 assert got[j] == pytest.approx(np.array([what[bins[:, j] == b].sum(0) for b in range(4)]))
+
+
+def one_after_another(x, y, w, key, plan):
+    """A tree whose nodes are looked into one at a time: its leaves as (rows, value), its splits as (rows, feature, cut)."""
+    out, open_ = [], [(key, np.arange(len(y)))]
+    while open_:
+        key, rows = open_.pop()
+        best, here = None, x[rows]
+        if len(set(y[rows])) > 1:
+            low, high = here.min(0), here.max(0)
+            for j in plan.tried(key, high > low):
+                if plan.drawn:
+                    cuts = [plan.cuts(key, low, high)[j]]
+                else:
+                    values = np.unique(here[:, j])
+                    cuts = values[:-1] + (values[1:] - values[:-1]) / 2
+                for cut in cuts:
+                    worth = 0.0
+                    for side in (here[:, j] <= cut, here[:, j] > cut):
+                        what = np.bincount(y[rows][side].astype(int), w[rows][side], plan.classes) if plan.classes else (w * y)[rows][side].sum()
+                        worth += (what ** 2).sum() / w[rows][side].sum()
+                    if best is None or worth > best[0] * (1 + 1e-12):
+                        best = (worth, j, cut)
+        if best is None:
+            sums = np.bincount(y[rows].astype(int), w[rows], plan.classes) if plan.classes else np.array([(w * y)[rows].sum()])
+            out.append((rows.tolist(), -1, (sums / w[rows].sum()).round(9).tolist()))
+            continue
+        left = here[:, best[1]] <= best[2]
+        out.append((rows.tolist(), int(best[1]), round(float(best[2]), 9)))
+        open_ += [(forests.child_key(key, 0), rows[left]), (forests.child_key(key, 1), rows[~left])]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("classes", [0, 2, 3, 20])
+@pytest.mark.parametrize("drawn, subset", [(True, forests.ROOT), (True, forests.ALL), (False, forests.ROOT), (False, forests.ALL)])
+@pytest.mark.parametrize("presorted", [16, 0])
+def test_all_nodes_of_a_level_grow_like_one_after_another(monkeypatch, classes, drawn, subset, presorted):
+    monkeypatch.setattr(forests, "PRESORTED", presorted)
+    monkeypatch.setattr(forests, "PADDED", 32)
+    rng = np.random.default_rng(classes + drawn)
+    x = rng.normal(size=(250, 4)).round(1)
+    y = rng.integers(0, classes or 50, 250).astype(float)
+    w = rng.integers(1, 4, 250).astype(float)
+    plan = forests.Plan(classes, 1, drawn, subset, False, 7)
+    feature, cut, left, value = forests.grow(x, y, w, plan.root(0), plan)
+    out, rows_at = [], {0: np.arange(250)}
+    for node in range(len(left)):
+        rows = rows_at[node]
+        if left[node] < 0:
+            out.append((rows.tolist(), -1, value[node].round(9).tolist()))
+            continue
+        out.append((rows.tolist(), int(feature[node]), round(float(cut[node]), 9)))
+        to_left = x[rows, feature[node]] <= cut[node]
+        rows_at[left[node]], rows_at[left[node] + 1] = rows[to_left], rows[~to_left]
+    assert sorted(out, key=str) == one_after_another(x, y, w, plan.root(0), plan)
+
+
+def test_nodes_of_a_level_are_drawn_at_once(monkeypatch):
+    """Thousands of nodes take as many steps as the tree is deep."""
+    hashed, calls = forests._hash, []
+    monkeypatch.setattr(forests, "_hash", lambda a, b: calls.append(1) or hashed(a, b))
+    x = np.arange(5000.0)[:, None]
+    nodes = forests.grow(x, x[:, 0] * 7919 % 1009, np.ones(5000), 5, forests.Plan(0, 1, True, forests.ALL, False, 7))
+    assert len(nodes[0]) == 9999 and len(calls) < 100
+
+
+def test_no_null_arrays_are_sent_with_the_rows(spark, noisy, monkeypatch):
+    """Writing a batch of null arrays takes as many steps as the square of its rows."""
+    x, y = noisy
+    f = frame(spark, x, y, 3)
+    model = forests.extra_trees_classifier(f, 3, task_rows=60)
+    monkeypatch.setattr(forests, "HELD_NODES", 10)
+    seen, kind = [], type(f.df)
+    mapped = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **o: seen.append(self) or mapped(self, *a, **o))
+    model.transform(f.df).count()
+    for df in seen:
+        arrays = [c for c, t in df.dtypes if t.startswith("array")]
+        assert df.where(" or ".join(f"{c} is null" for c in arrays)).count() == 0
