@@ -28,7 +28,7 @@ from ...errors import ModelNotFound, UnsuitableTarget
 UNROLLED = 64       # dot products up to this width are written out for code generation
 ROWS_PER_TASK = 10_000
 DIRECT_PARTS = 64       # arrays of sums the driver adds up directly
-GATHER_BYTES = 256 << 20  # and their total size
+GATHER_BYTES = 64 << 20  # and their total size
 MAX_SUMS = 1 << 23      # numbers in one array of sums
 START_ROWS = 1 << 15    # rows that an iteration over all rows is brought near its end with
 START_STEPS = 1 << 30
@@ -161,7 +161,10 @@ def _gather(frame: Frame, sums: DataFrame, size: int) -> np.ndarray:
     while parts > direct:
         parts = max(direct, math.isqrt(parts))
         sums = sums.repartition(parts).mapInArrow(_add_up, "v array<double>")
-    return np.sum([np.asarray(r["v"], dtype=float) for r in sums.collect()], axis=0)
+    total = np.zeros(size)
+    for value in sums.toArrow().column("v"):    # not collected as rows, whose numbers are objects of four times their size
+        total += value.values.to_numpy(zero_copy_only=False)
+    return total
 
 
 # -- column expressions ---------------------------------------------------------------

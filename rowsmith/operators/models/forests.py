@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ...session import cut_lineage
-from .base import MAX_SUMS, Fitted, Frame, features_array, first_max, rows_of, sum_over_rows
+from .base import Fitted, Frame, features_array, first_max, rows_of, sum_over_rows
 from .boosting import binned, cut_points
 
 TASK_ROWS = 100_000         # rows of a subtree finished in one task
+NODE_SUMS = 1 << 21         # numbers in one array of large nodes' sums; some models are fitted at a time
 ROWS_PER_TASK = 20_000      # and of subtrees that share a task, at least
 HELD_NODES = 1 << 21        # nodes that scoring holds at once; of trees with more in all, a subtree at a time
 DEALT = 256                 # places that rows without a subtree are dealt to
@@ -374,7 +375,7 @@ class _Upper:
         self.table = [np.array(c) for c in cut_points(frame)] if large and not plan.drawn else []
         while large:
             bins = 1 if plan.drawn else max(len(c) for c in self.table) + 1
-            at_once = max(1, MAX_SUMS // (frame.width * bins * self.width))
+            at_once = max(1, NODE_SUMS // (frame.width * bins * self.width))
             after = []
             for i in range(0, len(large), at_once):
                 some = large[i:i + at_once]
@@ -688,8 +689,10 @@ class Forest(Fitted):
     def _whole(self, numbers: list[int]) -> list[tuple[np.ndarray, ...]]:
         """Upper nodes and subtrees of some trees in one piece."""
         parts: dict[int, list] = {t: [] for t in numbers}
-        for r in self.tables["subtrees"].where(F.col("tree").isin(numbers)).collect():
-            parts[r["tree"]].append((r["node"], np.array(r["feature"]), np.array(r["cut"]), np.array(r["left"]), np.array(r["value"]).reshape(len(r["left"]), -1)))
+        table = self.tables["subtrees"].where(F.col("tree").isin(numbers)).select("tree", "node", "feature", "cut", "left", "value").toArrow()
+        for t, node, *arrays in zip(*table.columns):     # arrays as they are: lists of numbers would take many times the memory
+            f, c, l, v = (a.values.to_numpy(zero_copy_only=False) for a in arrays)
+            parts[t.as_py()].append((node.as_py(), f, c, l, v.reshape(len(l), -1)))
         trees = []
         for t in numbers:
             feature, cut, left, value = self.state["upper"][t]

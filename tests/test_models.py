@@ -426,3 +426,19 @@ def test_adaptive_boosting_reads_its_rows_once_a_use(spark):
     model = trees.ada_boost_regressor(f, 6)
     assert len(model.state["weights"]) > 3
     assert read.value - before <= 2 * 200
+
+
+def test_sums_reach_the_driver_as_arrays(spark, monkeypatch):
+    """2,000,000 numbers are 16 MB; four tasks give as many arrays, which as rows of Python numbers took more than 256 MB."""
+    import tracemalloc
+
+    from rowsmith.operators.models import base
+
+    size = 2_000_000
+    f = frame(spark, np.arange(40.0)[:, None], np.arange(40.0), parts=4)
+    assert f.rows == 40
+    tracemalloc.start()
+    total = base.sum_over_rows(f, lambda x, y, h: np.full(size, x.sum()), size)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (total == 780).all() and peak < 128 << 20
