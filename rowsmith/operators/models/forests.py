@@ -26,6 +26,7 @@ from pyspark.sql.functions import pandas_udf
 from ...session import cut_lineage
 from .base import Fitted, Frame, features_array, first_max, rows_of, sum_over_rows
 from .boosting import binned, cut_points
+from .stretches import HeldStretches, Stretches, split_large
 
 TASK_ROWS = 100_000         # rows of a subtree finished in one task
 NODE_SUMS = 1 << 21         # numbers in one array of large nodes' sums; some models are fitted at a time
@@ -34,7 +35,9 @@ HELD_NODES = 1 << 21        # nodes that scoring holds at once; of trees with mo
 DEALT = 256                 # places that rows without a subtree are dealt to
 ALL, ROOT = "all", "sqrt"   # features tried at a node
 PADDED, FEW_CLASSES = 256, 16   # nodes of at most as many rows (and classes) are looked into side by side
+AT_HAND = 4096              # rows of a node on one feature that are looked into whole
 AT_ONCE = 1 << 20           # rows of these at once
+SEARCHED = 64               # cuts on one feature that are searched, not followed
 PRESORTED = 16              # features of which the rows' order is kept
 POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
 
@@ -165,6 +168,17 @@ def reached(x: np.ndarray, tree: tuple[np.ndarray, ...]) -> np.ndarray:
     return at
 
 
+def finder(tree: tuple[np.ndarray, ...]):
+    """``reached`` for one tree; in a large tree on one feature the place among its cuts tells the node, however deep."""
+    feature, cut, left = tree[:3]
+    inner = np.flatnonzero(left >= 0)
+    if len(inner) < SEARCHED or feature[inner].any():
+        return lambda x: reached(x, tree)
+    cuts = np.sort(cut[inner])
+    last = reached(np.append(cuts, np.inf)[:, None], tree)
+    return lambda x: last[np.searchsorted(cuts, x[:, 0], side="left")]
+
+
 # -- subtrees in a task -------------------------------------------------------------------------------
 
 
@@ -255,10 +269,11 @@ class _Open:
     """The open nodes of a growing tree and their rows: those of a node lie together, in their first order and in that of
     each feature (the latter kept from level to level where features are few)."""
 
-    def __init__(self, x: np.ndarray, presorted: bool):
-        self.x, n = x, len(x)
-        self.rows = [np.arange(n)] + [np.argsort(x[:, j], kind="stable") for j in range(x.shape[1] if presorted else 0)]
-        self.sizes = np.array([n])
+    def __init__(self, x: np.ndarray, root: np.ndarray, presorted: bool):
+        """``root`` tells the node that each row begins in."""
+        self.x = x
+        self.rows = [np.argsort(root, kind="stable")] + [np.lexsort((x[:, j], root)) for j in range(x.shape[1] if presorted else 0)]
+        self.sizes = np.bincount(root)
         self._count()
 
     def _count(self) -> None:
@@ -303,12 +318,32 @@ class _Open:
 
 
 def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, key: int, plan: Plan) -> tuple[np.ndarray, ...]:
-    """(feature, cut, left, value) of a tree to pure leaves over rows that fit, all nodes of a level at once; rows come in
-    the order of their keys' hashes."""
+    """(feature, cut, left, value) of a tree to pure leaves over rows that fit; rows come in the order of their keys' hashes."""
+    if x.shape[1] > 1 or plan.classes or plan.drawn or len(y) <= AT_HAND:
+        return _levels(x, y, w, np.zeros(len(y), np.int64), np.array([key], np.uint64), plan)
+    # large nodes on one feature may lose a few rows at a time: no pass over all their rows for each
+    top, order = Nodes(key), np.argsort(x[:, 0], kind="stable")
+    split_large(top, HeldStretches(x[order, 0], w[order], y[order]), lambda n: n > AT_HAND)
+    feature, cut, left = top.arrays()
+    value = np.array([v or [0.0] for v in top.value])
+    at = finder((feature, cut, left))(x)
+    waiting = np.array([v is None for v in top.value]) & (left < 0)
+    rows, nodes = np.flatnonzero(waiting[at]), np.flatnonzero(waiting)
+    if not len(nodes):
+        return feature, cut, left, value
+    # the roots of the lower parts take the places of the nodes that wait, their other nodes come behind
+    lower = _levels(x[rows], y[rows], w[rows], np.searchsorted(nodes, at[rows]), np.array(top.key, np.uint64)[nodes], plan)
+    lower = (*lower[:2], np.where(lower[2] >= 0, lower[2] - len(nodes) + len(left), -1), lower[3])
+    for whole, part in zip((feature, cut, left, value), lower):
+        whole[nodes] = part[:len(nodes)]
+    return tuple(np.concatenate([whole, part[len(nodes):]]) for whole, part in zip((feature, cut, left, value), lower))
+
+
+def _levels(x: np.ndarray, y: np.ndarray, w: np.ndarray, root: np.ndarray, keys: np.ndarray, plan: Plan) -> tuple[np.ndarray, ...]:
+    """Trees from some roots, all nodes of a level at once; ``root`` tells where each row begins, the roots come first."""
     d, classes = x.shape[1], plan.classes
-    open_ = _Open(x, not plan.drawn and d <= PRESORTED)
-    keys = np.array([key], np.uint64)
-    levels, nodes = [], 1
+    open_ = _Open(x, root, not plan.drawn and d <= PRESORTED)
+    levels, nodes = [], len(keys)
     while len(keys):
         m = len(keys)
         feature, cut, left, value = np.full(m, -1), np.zeros(m), np.full(m, -1), np.zeros((m, plan.values))
@@ -522,8 +557,11 @@ def _tasks(df: DataFrame, subtrees: int) -> int:
 
 
 def fit(frame: Frame, plan: Plan, task_rows: int = TASK_ROWS) -> Forest:
-    upper = _Upper(frame, plan, task_rows).trees
-    arrays = [t.arrays() for t in upper]
+    if frame.rows > task_rows and frame.width == 1 and not plan.classes and not plan.drawn:
+        upper = _stretches(frame, plan, task_rows)
+    else:
+        upper = _Upper(frame, plan, task_rows).trees
+    find = [finder(t.arrays()) for t in upper]
     waiting = [np.array([v is None for v in t.value]) for t in upper]
     keys = [list(t.key) for t in upper]
 
@@ -533,7 +571,7 @@ def fit(frame: Frame, plan: Plan, task_rows: int = TASK_ROWS) -> Forest:
                 continue
             x, _, h = rows_of(batch)
             for t in range(plan.trees):
-                at, w = reached(x, arrays[t]), plan.weights(h, t)
+                at, w = find[t](x), plan.weights(h, t)
                 rows = pa.array(np.flatnonzero(waiting[t][at] & (w > 0)))
                 picked = batch.take(rows)
                 yield pa.RecordBatch.from_arrays(
@@ -563,6 +601,22 @@ def fit(frame: Frame, plan: Plan, task_rows: int = TASK_ROWS) -> Forest:
     return Forest(state, tables={"subtrees": subtrees})
 
 
+def _stretches(frame: Frame, plan: Plan, task_rows: int) -> list[Nodes]:
+    """The upper part of all trees on one feature: the best of all cuts, as in a task."""
+    trees = []
+    for t in range(plan.trees):
+        def weigh(batches: Iterator[pa.RecordBatch], t: int = t) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x, y, h = rows_of(batch)
+                    w = plan.weights(h, t)
+                    yield pa.RecordBatch.from_arrays([pa.array(v[w > 0]) for v in (x[:, 0], w, y)], ["v", "w", "y"])
+
+        trees.append(Nodes(plan.root(t)))
+        split_large(trees[t], Stretches(frame.arrays.mapInArrow(weigh, "v double, w double, y double")), lambda n: n > task_rows)
+    return trees
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], pa.Table]]:
     """The rows of one (tree, node) after another; no more than a task takes."""
     kept: list[pa.RecordBatch] = []
@@ -616,6 +670,7 @@ class Forest(Fitted):
         upper = [(np.array(feature), np.array(cut, float), np.array(left)) for feature, cut, left, _ in self.state["upper"]]
         known = [np.array([v or [0.0] * self.state["values"] for v in value], float) for *_, value in self.state["upper"]]
         waiting = [np.array([v is None for v in value]) & (np.array(left) < 0) for _, _, left, value in self.state["upper"]]
+        find = [finder(t) for t in upper]
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """Each row once for each tree, with the node whose subtree it needs; rows that the upper nodes answer are dealt
@@ -626,8 +681,8 @@ class Forest(Fitted):
                     continue
                 x, number = batch.column("x"), batch.column("id").to_numpy()
                 values = x.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-                for t, tree in enumerate(upper):
-                    at = reached(values, tree)
+                for t in range(len(upper)):
+                    at = find[t](values)
                     place = np.where(waiting[t][at], at, -1 - number % DEALT)
                     yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.full(n, t, np.int32)), pa.array(place), x], ["id", "tree", "place", "x"])
 
@@ -653,7 +708,7 @@ class Forest(Fitted):
                         continue
                     some = slice(before[a], before[b])
                     tree, says = (held[:3], held[3]) if holder == (t, places[a]) else (upper[t], known[t])
-                    value[some] = says[reached(x[some], tree)]
+                    value[some] = says[finder(tree)(x[some]) if len(tree[2]) < some.stop - some.start else reached(x[some], tree)]
                 if given.num_rows:
                     ends = pa.array(np.arange(0, value.size + 1, value.shape[1], dtype=np.int32))
                     yield pa.RecordBatch.from_arrays([given.column("id"), given.column("tree"), pa.ListArray.from_arrays(ends, pa.array(value.ravel()))], ["id", "tree", "value"])

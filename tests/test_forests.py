@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from rowsmith.operators.models import forests
+from rowsmith.operators.models import forests, stretches
 from rowsmith.operators.models.base import Frame, load_fitted
 from tests.test_models import frame, predictions
 
@@ -265,3 +265,37 @@ def test_no_null_arrays_are_sent_with_the_rows(spark, noisy, monkeypatch):
     for df in seen:
         arrays = [c for c, t in df.dtypes if t.startswith("array")]
         assert df.where(" or ".join(f"{c} is null" for c in arrays)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["noise", "repeated", "smooth"])
+def test_large_nodes_of_one_feature_are_cut_like_small_ones(spark, monkeypatch, kind):
+    """The tree does not depend on how many rows a task takes: no node is cut between quantiles alone."""
+    monkeypatch.setattr(stretches, "BLOCK", 16)
+    monkeypatch.setattr(stretches, "HELD_BLOCKS", 8)
+    monkeypatch.setattr(stretches, "FETCHED", 4)
+    monkeypatch.setattr(stretches, "LIKELY", 2)
+    rng = np.random.default_rng(11)
+    x = np.arange(1500.0) if kind != "repeated" else rng.integers(0, 400, 1500).astype(float)
+    y = np.sin(x / 300) * 50 + x / 10 if kind == "smooth" else rng.integers(0, 1009, 1500).astype(float)
+    f = frame(spark, x[:, None], y, parts=5)
+    trees = []
+    for task_rows, at_hand in ((300, 4096), (10 ** 6, 4096), (10 ** 6, 100)):
+        monkeypatch.setattr(forests, "AT_HAND", at_hand)    # in a task, both ways
+        tree = forests.decision_tree_regressor(f, task_rows=task_rows)._whole([0])[0]
+        out, open_ = [], [0]
+        while open_:
+            node = open_.pop()
+            inner = tree[2][node] >= 0
+            out += [int(tree[0][node]), float(tree[1][node])] if inner else [float(tree[3][node, 0])]
+            open_ += [tree[2][node] + 1, tree[2][node]] if inner else []
+        trees.append(out)
+    assert trees[0] == pytest.approx(trees[1], rel=1e-9) and trees[2] == pytest.approx(trees[1], rel=1e-9)
+
+
+def test_nodes_found_by_searching_cuts():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2000, 1))
+    feature, cut, left, _ = forests.grow(x, rng.normal(size=2000), np.ones(2000), 1, forests.Plan(0, 1, False, forests.ALL, False, 1))
+    q = np.concatenate([x, rng.normal(size=(500, 1)) * 3, cut[left >= 0][:, None]])
+    tree = (feature, cut, left)
+    assert (forests.finder(tree)(q) == forests.reached(q, tree)).all()
